@@ -5,12 +5,12 @@ all hosts with a beta prior whose two parameters come from the hosts themselves
 then goes back to its documents: a host whose shrunken rate under any rule exceeds `reject_rate` loses all documents,
 one above `suspect_rate` loses those that fail a soft rule.
 
-Everything is an expression or an aggregate; the text is never shuffled. The texts are read twice, once for the host
-table and once for the verdicts, so that no row needs to be matched with its measures.
+Everything is an expression or an aggregate; the text is never shuffled. The texts are measured once into a narrow
+table, from which host counts and verdicts come. Three-word windows are compared by 64-bit hashes, so two different
+windows of one text would count as equal once in some 10^13 long texts.
 
 Null text counts as empty (no words: base_failed). A null host is a host of its own. Equal rows get equal verdicts.
-An empty table gives an empty result. Extra columns are kept by `judge` and names are not disturbed, as working
-columns begin with an underscore and are dropped.
+An empty table gives an empty result. Extra columns do no harm and `keep_good` returns the columns of docs.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fold_key, join_checked, let, stage, text_or_empty, words
+from .common import BROADCAST_ROWS, SPACES, fold_key, join_checked, let, stage, text_or_empty, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -58,7 +58,7 @@ def repeated_words(ws: Column) -> Column:
         return F.when(F.size(F.array_distinct(wins)) == F.size(wins), 0).otherwise(marked(F.sort_array(F.transform(let(pairs, twins), lambda x: x["i"]))))
 
     def of_words(w):
-        wins = F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)))
+        wins = F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
         return F.when(F.size(w) < 4, 0).otherwise(let(wins, of_windows))
 
     return let(ws, of_words)
@@ -113,21 +113,24 @@ def host_verdicts(hosts: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """docs with _m (measures) and _kept (the verdict)."""
-    hosts = stage(host_table(measure(docs.select(text, host), text, rules), host), "hosts")
+    """A row for each document: doc_id, _h (a hash of its text), _m (its measures) and _kept (the verdict)."""
+    rows = docs.select("doc_id", F.col(host).alias("_host"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
+    rows = stage(measure(rows, "_text", rules).drop("_text"), "measures")
+    hosts = stage(host_table(rows, "_host"), "hosts")
     verdicts = stage(host_verdicts(hosts, rules).select("_k", "_kn", "host_suspect", "host_rejected"), "verdicts")
     soft = F.col("_m.symbols") | F.col("_m.dup_lines") | F.col("_m.word_length")
-    out = join_checked(fold_key(measure(docs, text, rules), host), verdicts, ["_k", "_kn"], "left")
     kept = ~F.col("_m.base") & ~F.col("host_rejected") & ~(F.col("host_suspect") & soft)
-    return out.withColumn("_kept", kept).drop("_k", "_kn", "host_suspect", "host_rejected")
+    return join_checked(fold_key(rows, "_host"), verdicts, ["_k", "_kn"], "left").select("doc_id", "_h", "_m", kept.alias("_kept"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
     """The documents that stay, with the columns of docs."""
-    return judge(docs, text, host, rules).filter("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = stage(judge(docs, text, host, rules).filter(~F.col("_kept")).select(F.col("doc_id").alias("_gid"), F.col("_h").alias("_gh")).distinct(), "rejected")
+    side = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_gid")) & (F.xxhash64(text) == F.col("_gh")), "left_anti")
 
 
 def report(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
     """One row for each document: its measures, base_failed and kept."""
     m = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return judge(docs.select("doc_id", text, host), text, host, rules).select("doc_id", *[f"_m.{x}" for x in m], F.col("_m.base").alias("base_failed"), F.col("_kept").alias("kept"))
+    return judge(docs, text, host, rules).select("doc_id", *[f"_m.{x}" for x in m], F.col("_m.base").alias("base_failed"), F.col("_kept").alias("kept"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality_rules
+from . import exact_dedup, html_text, lattice_lm, mixing, ngram_join, packing, quality_rules
 from .common import documents
 from .sql import SQL
 
@@ -10,5 +10,8 @@ QUERIES = {
     "op1_length_buckets": lambda spark, sf: packing.report(documents(spark, sf)),
     "op2_pivotal_mix": lambda spark, sf: mixing.report(documents(spark, sf)),
     "op3_exact_dedup": lambda spark, sf: exact_dedup.exact_groups(documents(spark, sf)),
+    "op7_block_rules": lambda spark, sf: html_text.extract(spark.read.parquet(f"{sf}/pages.parquet")),
+    "op8_ngram_jaccard": lambda spark, sf: ngram_join.link_components(documents(spark, sf)),
+    "op10_lattice_lm": lambda spark, sf: lattice_lm.score(documents(spark, sf)),
     "op9_host_rules": lambda spark, sf: quality_rules.report(documents(spark, sf)),
 }
