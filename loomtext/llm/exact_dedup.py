@@ -23,6 +23,7 @@ _ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each of many small stores holds some MB of disk ahead
     "spark.sql.streaming.minBatchesToRetain": "1",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
