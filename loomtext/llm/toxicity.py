@@ -1,13 +1,15 @@
 """Toxicity by a logistic model with a counterfactual penalty.
 
-Features are words that occur in a text (lower case, without punctuation at their ends). Words that differ most
-between the labels in the sample are chosen by the z-value of their log odds; the identity terms always take part.
+Features are the distinct words of a text (lower case, without punctuation at their ends) and the beginnings of 4, 5
+and 6 characters of longer ones, each valued by the logarithm of one plus its number of distinct words: so inflected
+and compound forms share what is learned. Features that differ most between the labels in the sample are chosen by
+the z-value of their log odds; the identity terms always take part.
 Sentences of the labelled texts that name an identity term are written again with every other term of its set, and the
 training loss adds the squared difference of the two sentences' scores. So a mention of one group weighs like a
 mention of another, and words are not charged for the groups they happen to stand beside.
 
 The sample is at most `most_rows` labelled documents (smallest hashes of their id). Counting words is a grouping on
-Spark; what comes to the driver is at most `most_words` words, each sampled text's chosen words, and the distinct
+Spark; what comes to the driver is at most `most_words` features, each sampled text's chosen ones, and the distinct
 sentence pairs with their counts. Scoring is one pass over all texts.
 
 Null and empty texts have no words and get the score of the bias. Rows may repeat, each is scored. Extra columns do no harm.
@@ -16,14 +18,17 @@ Without labels of both kinds all scores are the share of label 1 (0 if there are
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, words
+from .common import stage
 from .quality_mil import held_out, sample
 
 MOST_ROWS = 20_000
@@ -45,17 +50,28 @@ TERMS = {t: [x for x in s if x != t] for s in IDENTITY for t in s}
 _EDGE = "\"'`.,;:!?()[]{}<>#*$%&|-_~^+=/\\@“”‘’«»¡¿…"
 
 
-def bare(word: Column) -> Column:
-    return F.btrim(F.lower(word), F.lit(_EDGE))
+BEGINNINGS = (4, 5, 6)
 
 
-def _present(text: Column) -> Column:
-    """The distinct words of a text."""
-    return F.array_remove(F.array_distinct(F.transform(words(text), bare)), "")
+def features(text: str | None) -> dict[str, int]:
+    """=word and ^beginning, with the number of distinct words behind each."""
+    out: dict[str, int] = {}
+    for w in {x.strip(_EDGE) for x in set((text or "").lower().split())}:
+        if w:
+            out["=" + w] = 1
+            for k in BEGINNINGS:
+                if len(w) > k:
+                    p = "^" + w[:k]
+                    out[p] = out.get(p, 0) + 1
+    return out
+
+
+def value(k: int) -> float:
+    return math.log2(1 + k)
 
 
 def choose_words(rows: DataFrame, most_words: int, least: int = 5, z: float = 3.0) -> list[str]:
-    """The words of rows(ws, y) whose log odds differ most surely between the labels, and the identity terms."""
+    """The features of rows(ws, y) whose log odds differ most surely between the labels, and the identity terms."""
     totals = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
     n, pos = totals[0], totals[1] or 0
     by = rows.select(F.explode("ws").alias("w"), "y").groupBy("w").agg(F.count(F.lit(1)).alias("k"), F.sum("y").alias("k1")).filter(F.col("k") >= least)
@@ -63,27 +79,29 @@ def choose_words(rows: DataFrame, most_words: int, least: int = 5, z: float = 3.
     c, d = F.lit(pos + 1.0) - a, F.lit(n - pos + 1.0) - b
     by = by.withColumn("z", F.abs(F.log(a * d / (b * c))) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)).filter(F.col("z") >= z)
     got = [r["w"] for r in by.orderBy(F.desc("z"), "w").limit(most_words).collect()]
-    return got + sorted(set(TERMS) - set(got))
+    return got + sorted({"=" + t for t in TERMS} - set(got))
 
 
-def fit_weights(x: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int], float]], n: int, penalty: float = 5.0, ridge: float = 1e-3, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def fit_weights(x: list[dict[int, float]], y: np.ndarray, pairs: list[tuple[dict[int, float], dict[int, float], float]], n: int, penalty: float = 5.0, ridge: float = 1e-5, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias: mean log loss + ridge + penalty * mean squared score difference over the pairs."""
-    rows = np.repeat(np.arange(len(x)), [len(r) for r in x])
-    cols = np.array([c for r in x for c in r], dtype=np.int64)
-    add = lambda at, of, size: np.bincount(at, of, size)
-    flat = lambda k: (np.repeat(np.arange(len(pairs)), [len(p[k]) for p in pairs]), np.array([c for p in pairs for c in p[k]], dtype=np.int64))
-    (r0, c0), (r1, c1) = flat(0), flat(1)
+
+    def flat(rows):
+        at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        return at, np.array([c for r in rows for c in r], dtype=np.int64), np.array([v for r in rows for v in r.values()])
+
+    rows, (r0, c0, v0), (r1, c1, v1) = flat(x), flat([p[0] for p in pairs]), flat([p[1] for p in pairs])
     weight = np.array([p[2] for p in pairs]) / max(1.0, sum(p[2] for p in pairs))
     w, b, m, v = np.zeros(n), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))), np.zeros(n + 1), np.zeros(n + 1)
     logistic = lambda t: 1 / (1 + np.exp(-np.clip(t, -30, 30)))
     for step in range(1, steps + 1):
-        d = (logistic(add(rows, w[cols], len(x)) + b) - y) / len(x)
-        g = np.append(add(cols, d[rows], n) + 2 * ridge * w, d.sum())
+        at, cols, vals = rows
+        d = (logistic(np.bincount(at, w[cols] * vals, len(x)) + b) - y) / len(x)
+        g = np.append(np.bincount(cols, d[at] * vals, n) + 2 * ridge * w, d.sum())
         if len(pairs):
-            s0, s1 = logistic(add(r0, w[c0], len(pairs)) + b), logistic(add(r1, w[c1], len(pairs)) + b)
+            s0, s1 = logistic(np.bincount(r0, w[c0] * v0, len(pairs)) + b), logistic(np.bincount(r1, w[c1] * v1, len(pairs)) + b)
             e = 2 * penalty * weight * (s0 - s1)
             e0, e1 = e * s0 * (1 - s0), e * s1 * (1 - s1)
-            g[:n] += add(c0, e0[r0], n) - add(c1, e1[r1], n)
+            g[:n] += np.bincount(c0, e0[r0] * v0, n) - np.bincount(c1, e1[r1] * v1, n)
             g[n] += (e0 - e1).sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -92,42 +110,59 @@ def fit_weights(x: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int],
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS, penalty: float = 5.0) -> tuple[dict[str, float], float]:
-    """Word weights and bias."""
-    got = stage(sample(docs, labels, label, text, most_rows).select("y", _present(F.col("text")).alias("ws"), "text"), "toxic-sample")
-    vocabulary = choose_words(got, most_words)
-    index = {w: i for i, w in enumerate(vocabulary)}
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    rows = got.select("y", F.array_intersect("ws", known).alias("ws")).collect()
-    y = np.array([r["y"] for r in rows], dtype=float)
+    """Feature weights and bias."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([part.column("y"), pa.array([list(features(t)) for t in part.column("text").to_pylist()], pa.list_(pa.string()))], names=["y", "ws"])
+
+    got = stage(sample(docs, labels, label, text, most_rows), "toxic-sample")
+    index = {w: i for i, w in enumerate(choose_words(got.mapInArrow(listed, "y int, ws array<string>"), most_words))}
+    chosen = lambda fs: {index[w]: value(k) for w, k in fs.items() if w in index}
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.map_(pa.int32(), pa.float64())
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            found = [[sorted(f) for s in re.split(r"(?<=[.!?])\s+|\n", t or "") if (f := features(s).keys() & index.keys()) & terms] for t in texts]
+            xs = pa.array([list(chosen(features(t)).items()) for t in texts], kind)
+            yield pa.RecordBatch.from_arrays([batch.column("y"), xs, pa.array(found, pa.list_(pa.list_(pa.string())))], names=["y", "x", "sentences"])
+
+    terms = {"=" + t for t in TERMS}
+    rows = stage(got.mapInArrow(valued, "y int, x map<int,double>, sentences array<array<string>>"), "toxic-features")
+    known = rows.select("y", "x").collect()
+    y = np.array([r["y"] for r in known], dtype=float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return {}, float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    terms = F.array(*[F.lit(t) for t in sorted(TERMS)])
-    sentences = got.select(F.explode(F.split("text", r"(?<=[.!?])\s+|\n")).alias("s")).select(F.array_sort(F.array_intersect(_present(F.col("s")), known)).alias("ws"))
-    sentences = sentences.filter(F.arrays_overlap("ws", terms)).groupBy("ws").count().collect()
     pairs = []
-    for r in sentences:
-        ids = [index[w] for w in r["ws"]]
-        for t in set(r["ws"]) & set(TERMS):
-            for other in TERMS[t]:
-                pairs.append((ids, [index[other] if w == t else index[w] for w in r["ws"]], float(r["count"])))
-    w, b = fit_weights([[index[x] for x in r["ws"]] for r in rows], y, pairs, len(vocabulary), penalty)
+    for r in rows.select(F.explode("sentences").alias("s")).groupBy("s").count().collect():
+        ids = {index[w]: 1.0 for w in r["s"]}
+        for t in terms & set(r["s"]):
+            for other in TERMS[t[1:]]:
+                pairs.append((ids, {index["=" + other] if w == t else index[w]: 1.0 for w in r["s"]}, float(r["count"])))
+    w, b = fit_weights([r["x"] for r in known], y, pairs, len(index), penalty)
     return {x: float(w[i]) for x, i in index.items() if w[i]}, b
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", threshold: float = 0.7, **how) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted."""
     weights, bias = fit(docs, labels, label, text, **how)
-    keyed = {w.encode(): x for w, x in weights.items()}
-    edge = _EDGE.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = set(keyed)
+        whole = {f[1:]: w for f, w in weights.items() if f[0] == "="}
+        starts = [(k, {f[1:]: w for f, w in weights.items() if f[0] == "^" and len(f) == k + 1}) for k in BEGINNINGS]
         for batch in batches:
             logits = np.empty(len(batch))
             for i, t in enumerate(batch.column("text")):
-                seen = {w.strip(edge) for w in set((t.as_py() or "").encode().lower().split())}
-                logits[i] = bias + sum(keyed[w] for w in seen & plain)
+                seen = {w.strip(_EDGE) for w in set((t.as_py() or "").lower().split())}
+                x = bias + sum(whole[w] for w in seen & whole.keys())
+                for k, known in starts:
+                    hits = Counter(w[:k] for w in seen if len(w) > k and w[:k] in known)
+                    x += sum(known[p] * value(c) for p, c in hits.items())
+                logits[i] = x
             scores = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
