@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, lattice_lm, mixing, ngram_join, packing, quality_mil, quality_rules, toxicity
+from . import exact_dedup, html_text, lattice_lm, line_dedup, mixing, ngram_join, packing, quality_mil, quality_rules, toxicity
 from .common import documents
 from .sql import SQL
 
@@ -10,6 +10,7 @@ QUERIES = {
     "op1_length_buckets": lambda spark, sf: packing.report(documents(spark, sf)),
     "op2_pivotal_mix": lambda spark, sf: mixing.report(documents(spark, sf)),
     "op3_exact_dedup": lambda spark, sf: exact_dedup.exact_groups(documents(spark, sf)),
+    "op4_line_suffixes": lambda spark, sf: line_dedup.report(documents(spark, sf)),
     "op5_attention_mil": lambda spark, sf: quality_mil.score(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")),
     "op6_counterfactual": lambda spark, sf: toxicity.score(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")),
     "op7_block_rules": lambda spark, sf: html_text.extract(spark.read.parquet(f"{sf}/pages.parquet")),

@@ -36,7 +36,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source
 """
 
+LINE_SUFFIXES = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM d),
+w AS (SELECT doc_id, i, line, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY i) AS upto, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
+pairs AS (
+  SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 50 GROUP BY ALL
+  UNION
+  SELECT b.doc_id, max(a.i) AS s, b.i AS e FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 50 GROUP BY b.doc_id, b.i),
+content AS (SELECT doc_id, s, e, array_to_string(ls[s:e], chr(10)) AS c FROM pairs JOIN d USING (doc_id)),
+later AS (SELECT doc_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY c, e - s ORDER BY doc_id, s) AS k FROM content) WHERE k > 1),
+gone AS (SELECT DISTINCT w.doc_id, w.i, length(w.line) AS chars FROM w JOIN later ON w.doc_id = later.doc_id AND w.i BETWEEN s AND e),
+per AS (SELECT doc_id, count(*) AS k, sum(chars) AS c, list(i - 1 ORDER BY i) AS deleted FROM gone GROUP BY doc_id),
+whole AS (SELECT doc_id, count(*) AS n_lines, sum(length(line)) + count(*) - 1 AS n_chars FROM l GROUP BY doc_id)
+SELECT doc_id, n_lines, coalesce(k, 0) AS n_deleted, CASE WHEN coalesce(k, 0) = n_lines THEN 0 ELSE n_chars - coalesce(c, 0) - coalesce(k, 0) END AS n_chars, coalesce(deleted, []) AS deleted
+FROM whole LEFT JOIN per USING (doc_id)
+"""
+
 SQL = {
+    "op4_line_suffixes": LINE_SUFFIXES,
     "op3_exact_dedup": EXACT_DEDUP,
     "op9_host_rules": HOST_RULES,
 }
