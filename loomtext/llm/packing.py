@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_checked, n_words, stage
+from .common import join_checked, let, n_words, stage
 
 _OWN = ["n_tokens", "bucket", "bucket_length", "batch", "slot", "padding"]
 
@@ -90,18 +90,21 @@ def pack(docs: DataFrame, text: str = "text", n_buckets: int = 16, token_budget:
     """
     taken = {c for c in docs.columns if c.lower() in _OWN}
     rows = docs.drop(*taken).withColumn("n_tokens", n_words(F.col(text)) if length is None else length.cast("long"))
-    bounds = plan_buckets(rows.select("n_tokens"), n_buckets, exact_to)
-    edges = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
-    rows = rows.withColumn("bucket", F.size(F.filter(edges, lambda b: b < F.col("n_tokens"))))
-    rows = rows.withColumn("bucket_length", F.get(edges, F.col("bucket")))
     seed = F.xxhash64(*[F.col(c) for c in ("doc_id",) if c in docs.columns], F.length(text))
-    counts = rows.groupBy("bucket").count().collect()  # one row for each bucket
+    sizes = stage(rows.select("n_tokens", seed.alias("_seed")), "lengths")  # texts are measured once for all statistics
+    bounds = plan_buckets(sizes, n_buckets, exact_to)
+    edges = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
+    bucket = let(F.col("n_tokens"), lambda n: F.size(F.filter(edges, lambda b: b < n)))
+    sizes = sizes.withColumn("bucket", bucket)
+    counts = sizes.groupBy("bucket").count().collect()  # one row for each bucket
     shards = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r[0], max(1, -(-r[1] // rows_per_shard)))]), F.col("bucket")) if counts else F.lit(1)
-    rows = rows.withColumn("_shard", F.pmod(seed, shards).cast("int"))
-    per = rows.groupBy("bucket", "_shard").agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.withColumn("_seed", seed).withColumn("bucket", bucket).withColumn("bucket_length", F.get(edges, F.col("bucket")))
+    shard = F.pmod(F.col("_seed"), shards).cast("int")
+    rows, sizes = rows.withColumn("_shard", shard), sizes.withColumn("_shard", shard)
+    per = sizes.groupBy("bucket", "_shard").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("bucket").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1))
     offsets = stage(per.select("bucket", "_shard", F.coalesce(before, F.lit(0)).alias("_before")), "offsets")
-    local = F.row_number().over(Window.partitionBy("bucket", "_shard").orderBy(seed, *[c for c in ("doc_id",) if c in docs.columns])) - 1
+    local = F.row_number().over(Window.partitionBy("bucket", "_shard").orderBy("_seed", *[c for c in ("doc_id",) if c in docs.columns])) - 1
     rows = join_checked(rows.withColumn("_local", local), offsets, ["bucket", "_shard"])
     place, room = F.col("_before") + F.col("_local"), F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.col("bucket_length"), F.lit(1))))
     rows = rows.withColumns({"batch": F.concat_ws("-", "bucket", F.floor(place / room)), "slot": (place % room).cast("int"), "padding": F.col("bucket_length") - F.col("n_tokens")})
@@ -110,4 +113,5 @@ def pack(docs: DataFrame, text: str = "text", n_buckets: int = 16, token_budget:
 
 def report(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """One row for each document: where it is packed."""
-    return pack(docs.select("doc_id", n_words(F.col(text)).alias("n"), F.lit("").alias("text")), "text", length=F.col("n"), **how).select("doc_id", *_OWN)
+    lengths = stage(docs.select("doc_id", n_words(F.col(text)).alias("n")), "words")
+    return pack(lengths.withColumn("text", F.lit("")), "text", length=F.col("n"), **how).select("doc_id", *_OWN)
