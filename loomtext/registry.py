@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import runs  # noqa: F401
+from .plans.registering import QUERIES, SQL  # noqa: F401
