@@ -36,32 +36,31 @@ def leaves_fixed(docs: DataFrame, size: int, text: str = "text", keys: tuple[str
 
 
 def leaves_aligned(docs: DataFrame, target: int, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Leaves of at least `target` bytes that begin at lone spaces: each cut is the first one at or after the target.
+    """(keys, ord, byte_start, leaf, n): leaves of at least `target` bytes that begin at lone spaces.
 
-    The pieces between lone spaces get their byte offsets from one running fold, which also decides the cuts greedily,
-    so a text is split once, whatever its number of leaves.
+    Each cut is the first lone space at or after the target; there is none where the rest fits the target. A text is
+    split once; one fold over the sizes of the pieces decides the cuts greedily, and only cuts are kept. Narrow.
     """
     pieces = F.split(F.coalesce(F.col(text), F.lit("")), LONE_SPACE, -1)
 
-    def of(ps):
-        # each piece after the first is led by its space
-        sizes = F.transform(ps, lambda p, i: F.octet_length(p) + F.when(i > 0, 1).otherwise(0))
-        total = F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
+    def of(x):
+        n = F.octet_length(x["data"])
+        sizes = F.transform(x["ps"], lambda p, i: F.octet_length(p) + F.when(i > 0, 1).otherwise(0))  # a space leads its piece
 
-        def step(acc, x):
-            # a cut before this piece: its start is at or after the target, and the text reaches beyond the target
-            cuts = (acc["at"] > acc["cut"]) & (acc["at"] >= acc["cut"] + target) & (acc["cut"] + target < acc["total"])
-            return F.struct((acc["at"] + x).alias("at"), F.when(cuts, acc["at"]).otherwise(acc["cut"]).alias("cut"), acc["total"].alias("total"), F.concat(acc["starts"], F.array(F.when(cuts, acc["at"]).otherwise(acc["cut"]))).alias("starts"))
+        def step(acc, size):
+            at, cut = acc["at"], acc["cut"]
+            here = (at > cut) & (at >= cut + target) & (cut + target < n)
+            return F.struct((at + size).alias("at"), F.when(here, at).otherwise(cut).alias("cut"), F.when(here, F.concat(acc["cuts"], F.array(at))).otherwise(acc["cuts"]).alias("cuts"))
 
-        zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("cut"), total.alias("total"), F.array().cast("array<int>").alias("starts"))
-        starts = F.aggregate(sizes, zero, step)["starts"]
-        return F.arrays_zip(starts.alias("byte_start"), F.transform(ps, lambda p, i: F.when(i > 0, F.concat(F.lit(" "), p)).otherwise(p)).alias("piece"))
+        zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("cut"), F.array(F.lit(0)).alias("cuts"))
 
-    rows = docs.select(*keys, F.posexplode(let(pieces, of)).alias("i", "x")).select(*keys, "i", F.col("x.0").alias("byte_start"), F.col("x.1").alias("piece"))
-    parts = rows.groupBy(*keys, "byte_start").agg(F.sort_array(F.collect_list(F.struct("i", "piece"))).alias("ps"))
-    leaf = F.array_join(F.transform("ps", lambda p: p["piece"]), "")
-    order = F.row_number().over(Window.partitionBy(*keys).orderBy("byte_start")) - 1
-    return parts.select(*keys, order.alias("ord"), F.col("byte_start").cast("long").alias("byte_start"), leaf.alias("leaf"), F.octet_length(leaf).alias("n"))
+        def leaf(cuts):
+            end = lambda i: F.coalesce(F.get(cuts, i + 1), n)
+            return F.transform(cuts, lambda c, i: F.struct(i.alias("ord"), c.cast("long").alias("byte_start"), F.decode(F.substring(x["data"], c + 1, end(i) - c), "UTF-8").alias("leaf"), (end(i) - c).alias("n")))
+
+        return let(F.aggregate(sizes, zero, step)["cuts"], leaf)
+
+    return docs.select(*keys, F.inline(let(F.struct(content(F.col(text)).alias("data"), pieces.alias("ps")), of)))
 
 
 def tokens(text: Column) -> Column:
@@ -80,7 +79,7 @@ def leaf_token_rows(leaves: DataFrame, key: str = "doc_id") -> DataFrame:
         leaf = F.make_valid_utf8(leaf.cast("string"))
     listed = leaves.select(key, "ord", tokens(leaf).alias("ts"))
     before = F.coalesce(F.sum(F.size("ts")).over(Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return listed.select(key, before.alias("before"), F.posexplode("ts").alias("i", "token")).select(key, (F.col("before") + F.col("i")).cast("int").alias("pos"), "token")
+    return listed.select(key, before.alias("before"), "ts").select(key, "before", F.posexplode("ts").alias("i", "token")).select(key, (F.col("before") + F.col("i")).cast("int").alias("pos"), "token")
 
 
 def identity_report(docs: DataFrame, leaves: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

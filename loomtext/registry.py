@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import runs  # noqa: F401
+from .plans import content, runs  # noqa: F401
 from .plans.registering import QUERIES, SQL  # noqa: F401
