@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 #: A table is broadcast only when its counted rows stay at or below this number.
 BROADCAST_ROWS = 200_000
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is staged: its shuffle files go as soon as the write ends, and batches for Python stay small.
+_WHILE = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,12 +38,14 @@ def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     Shuffle files of the write are dropped as soon as it ends, so that a job of many steps holds one step's files.
     """
     spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    path, before = new_path(spark, name), {k: spark.conf.get(k, None) for k in _WHILE}
+    for k, v in _WHILE.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path), path
 
 
