@@ -1,59 +1,17 @@
-"""Shared helpers: word rules, staged tables, size-checked joins, ranks without a single sorting task."""
+"""Shared helpers: the word rules of the contracts, and the library's staged tables, checked joins and ranks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the word contracts: space, \t, \n, \v, \f, \r.
-SPACES = " \t\n\x0b\x0c\r"
-SPACE_RE = r"[\x20\x09-\x0D]+"
-
-#: A table is broadcast only when its counted rows stay at or below this number.
-BROADCAST_ROWS = 200_000
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir") or spark.conf.get("loomtext.shared.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-loomtext-")
-        spark.conf.set("loomtext.shared.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/loomtext-{name}-{uuid.uuid4().hex}"
-
+from ..functions.tables import BROADCAST_ROWS, global_rank, join_checked, let, new_path, stage, stage_at
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    return stage_at(df, name)[0]
+__all__ = ["BROADCAST_ROWS", "SPACES", "documents", "fold_key", "global_rank", "join_checked", "let", "n_words", "new_path", "stage", "stage_at", "text_or_empty", "words"]
 
-
-def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df to the shared folder and read it back: lineage ends here and a lost executor loses nothing.
-
-    Shuffle files of the write are dropped as soon as it ends, so that a job of many steps holds one step's files.
-    """
-    spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def let(value: Column, body) -> Column:
-    """body(x) with x bound to value, which is then evaluated once."""
-    return F.transform(F.array(value), body)[0]
+#: White space of the word contracts: space, \\t, \\n, \\v, \\f, \\r.
+SPACES = " \t\n\x0b\x0c\r"
+SPACE_RE = r"[\x20\x09-\x0D]+"
 
 
 def text_or_empty(text: Column) -> Column:
@@ -76,28 +34,5 @@ def fold_key(df: DataFrame, col: str) -> DataFrame:
     return df.withColumns({"_k": F.coalesce(F.col(col).cast("string"), F.lit("")), "_kn": F.col(col).isNull()})
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a broadcast where small has at most `most` rows (counted; pass a staged table), else with a
-    shuffled join whose large partitions adaptive execution splits."""
-    if small.limit(most + 1).count() <= most:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small.hint("merge"), on, how)
-
-
-def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """0-based rank over the whole table: range partitions, a row number in each, and the counts of those before."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    dealt = stage(dealt, "ranges")
-    offset, before = [], 0
-    for row in sorted(dealt.groupBy("_part").count().collect()):  # one row for each partition
-        offset += [F.lit(row[0]), F.lit(before)]
-        before += row[1]
-    if not offset:
-        return dealt.drop("_part").withColumn(name, F.lit(0).cast("long"))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return dealt.withColumn(name, (local + F.create_map(*offset)[F.col("_part")]).cast("long")).drop("_part")
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
