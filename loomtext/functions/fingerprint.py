@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .tables import let
+
 MODULUS = (1 << 31) - 1
 BASES = (131, 137)
 LANES = ("fp1", "fp2")
@@ -50,9 +52,9 @@ def leaf_hash(leaf: Column, longest: int) -> Column:
 
 def geometric(q: Column, ratio: Column, bits: int = 32) -> Column:
     """1 + r + ... + r^(q-1) mod MODULUS by doubling over the bits of q, high to low; 0 for q = 0."""
-    step = lambda acc, k: _double(acc, q, ratio, k)
     zero = F.struct(F.lit(0).cast("long").alias("s"), F.lit(1).cast("long").alias("p"))
-    return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0)), zero, step)["s"]
+    fold = lambda x: F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0)), zero, lambda acc, k: _double(acc, x["q"], x["r"], k))["s"]
+    return let(F.struct(q.alias("q"), ratio.alias("r")), fold)
 
 
 def _double(acc: Column, q: Column, ratio: Column, k: Column) -> Column:
