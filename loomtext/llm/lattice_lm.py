@@ -22,6 +22,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,6 +101,139 @@ class Lattice:
                     into[p] = into.get(p, 0.0) + share
 
 
+class WordBatch:
+    """Lattices of many words at once: spans are looked up by hash, sums run over all words of one length together.
+
+    Gives what Lattice gives; words beyond `longest_word` characters go to Lattice.
+    """
+
+    longest_word = 64
+
+    def __init__(self, pieces: dict[str, float]):
+        self.lattice, self.names = Lattice(pieces), sorted(p for p in pieces if not p.startswith("<0x"))
+        self.span = max(map(len, self.names))
+        hashes = np.array([self._hash(p) for p in self.names], dtype=np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.ids = hashes[order], order
+        if len(np.unique(hashes)) < len(hashes):
+            raise ValueError("two pieces share a hash")
+        self.weights = np.array([pieces[p] for p in self.names])[order]
+        self.maybe = np.zeros(1 << 22, dtype=bool)
+        self.maybe[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
+        self.spelt: dict[int, float] = {}
+
+    _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+    def _hash(self, piece: str) -> np.uint64:
+        h = np.zeros(1, np.uint64)
+        for ch in piece:
+            h = h * self._BASE + np.uint64(ord(ch) + 1)
+        return (h * self._MIX)[0]
+
+    def _spell(self, code: int) -> float:
+        if code not in self.spelt:
+            self.spelt[code] = sum(self.lattice.pieces[f"<0x{b:02X}>"] for b in chr(code).encode())
+        return self.spelt[code]
+
+    def _spans(self, codes: np.ndarray):
+        """For each length l: (log weights by start, -inf where no piece; place in self.weights, -1 without; spelt)."""
+        n, width = codes.shape
+        out, h = [], np.zeros((n, width), dtype=np.uint64)
+        for k in range(1, min(self.span, width) + 1):
+            h = h[:, : width - k + 1] * self._BASE + (codes[:, k - 1 :] + 1).astype(np.uint64)
+            key = h * self._MIX
+            w, at = np.full(key.shape, -np.inf), np.full(key.shape, -1, dtype=np.int64)
+            hit = np.flatnonzero(self.maybe[(key >> np.uint64(42)).astype(np.int64)])
+            if len(hit):
+                found = key.ravel()[hit]
+                place = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+                good = self.hashes[place] == found
+                w.ravel()[hit[good]], at.ravel()[hit[good]] = self.weights[place[good]], place[good]
+            if k == 1:
+                lone = at < 0
+                if lone.any():
+                    chars, back = np.unique(codes[lone], return_inverse=True)
+                    w[lone] = np.array([self._spell(int(c)) for c in chars])[back]
+            out.append((w, at))
+        return out
+
+    @staticmethod
+    def _sum(terms: list[np.ndarray]) -> np.ndarray:
+        """Log of the sum of exponentials across the list."""
+        x = np.stack(terms)
+        top = x.max(0)
+        safe = np.where(np.isfinite(top), top, 0.0)
+        with np.errstate(divide="ignore"):
+            return safe + np.log(np.exp(x - safe).sum(0))
+
+    def _forward(self, spans, n: int, width: int) -> np.ndarray:
+        alpha = np.full((width + 1, n), -np.inf)
+        alpha[0] = 0.0
+        for j in range(1, width + 1):
+            alpha[j] = self._sum([alpha[j - k] + spans[k - 1][0][:, j - k] for k in range(1, min(len(spans), j) + 1)])
+        return alpha
+
+    def _by_length(self, words: list[str]):
+        groups: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            groups.setdefault(len(w), []).append(i)
+        for length, members in groups.items():
+            step = max(1, 200_000 // (length + 1))
+            for at in range(0, len(members), step):
+                part = members[at : at + step]
+                if length > self.longest_word:
+                    yield part, None
+                else:
+                    text = "".join(MARK + words[i] for i in part)
+                    yield part, np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64).reshape(len(part), length + 1)
+
+    def totals(self, words: list[str]) -> np.ndarray:
+        out = np.empty(len(words))
+        for part, codes in self._by_length(words):
+            if codes is None:
+                out[part] = [self.lattice.total(words[i]) for i in part]
+            else:
+                out[part] = self._forward(self._spans(codes), *codes.shape)[-1]
+        return out
+
+    def expected(self, words: list[str], times: list[int], into: dict[str, float]) -> None:
+        sums, weight = np.zeros(len(self.weights)), np.array(times, dtype=np.float64)
+        for part, codes in self._by_length(words):
+            if codes is None:
+                for i in part:
+                    self.lattice.expected(words[i], times[i], into)
+                continue
+            (n, width), spans = codes.shape, self._spans(codes)
+            alpha = self._forward(spans, n, width)
+            beta = np.full((width + 1, n), -np.inf)
+            beta[width] = 0.0
+            for i in range(width - 1, -1, -1):
+                beta[i] = self._sum([beta[i + k] + spans[k - 1][0][:, i] for k in range(1, min(len(spans), width - i) + 1)])
+            for k, (w, at) in enumerate(spans, 1):
+                share = np.exp(alpha[: width - k + 1].T + w + beta[k:].T - alpha[width][:, None]) * weight[part][:, None]
+                known = at >= 0
+                sums += np.bincount(at[known], share[known], len(sums))
+                if k == 1 and not known.all():
+                    for c, x in zip(codes[~known].tolist(), share[~known].tolist(), strict=True):
+                        for b in chr(c).encode():
+                            into[f"<0x{b:02X}>"] = into.get(f"<0x{b:02X}>", 0.0) + x
+        for place in np.flatnonzero(sums):
+            name = self.names[self.ids[place]]
+            into[name] = into.get(name, 0.0) + float(sums[place])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """The batches, joined to at least `least` rows each: short ones leave few words of a length together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= least:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _word_counts(docs: DataFrame) -> DataFrame:
     """(word, total, c): uses in all texts and in training texts; counted in each task before anything moves."""
 
@@ -130,10 +264,9 @@ def fit_pieces(words: DataFrame, pieces: dict[str, float], n_ends: int) -> tuple
     shared = words.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, into = Lattice(shared.value), {}
-        for batch in batches:
-            for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                lattice.expected(w, c, into)
+        lattice, into = WordBatch(shared.value), {}
+        for batch in _gathered(batches):
+            lattice.expected(batch.column("word").to_pylist(), batch.column("c").to_pylist(), into)
         yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.string()), pa.array(list(into.values()), pa.float64())], names=["piece", "e"])
 
     got = words.filter("c > 0").select("word", "c").mapInArrow(run, "piece string, e double").groupBy("piece").agg(F.sum("e").alias("e"))
@@ -146,9 +279,9 @@ def _lattice_totals(words: DataFrame, pieces: dict[str, float]) -> DataFrame:
     shared = words.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(shared.value)
-        for batch in batches:
-            logs = [lattice.total(w) / math.log(10) for w in batch.column("word").to_pylist()]
+        lattice = WordBatch(shared.value)
+        for batch in _gathered(batches):
+            logs = lattice.totals(batch.column("word").to_pylist()) / math.log(10)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64())], names=["word", "c", "total", "lp"])
 
     return words.select("word", "c", "total").mapInArrow(run, "word string, c long, total long, lp double")
