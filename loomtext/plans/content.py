@@ -29,7 +29,8 @@ def _pow(i: str, base: int, bits: int = 18) -> str:
 #: A row for each byte with its share in both lanes, each byte standing at i.
 _BYTES = f"""h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
 pw AS MATERIALIZED (SELECT i, {_pow('i', BASES[0])} AS w1, {_pow('i', BASES[1])} AS w2 FROM range(0, 140000) r(i)),
-b AS (SELECT doc_id, i, n, ('0x' || substr(h, 2 * i + 1, 2))::BIGINT + 1 AS v FROM h, unnest(range(n)) u(i))"""
+lf AS (SELECT doc_id, n, o, substr(h, o * {2 * LB} + 1, {2 * LB}) AS lh FROM h, unnest(range((n + {LB - 1}) // {LB})) u(o)),
+b AS (SELECT doc_id, o * {LB} + j AS i, n, ('0x' || substr(lh, 2 * j + 1, 2))::BIGINT + 1 AS v FROM lf, unnest(range(length(lh) // 2)) w(j))"""
 _SUM = lambda w: f"(sum(v * {w}) % {MODULUS})::BIGINT"
 
 _LONE = f"""ch AS (SELECT doc_id, generate_subscripts(cs, 1) AS i, unnest(cs) AS c FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?s).') AS cs FROM documents)),

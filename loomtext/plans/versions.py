@@ -51,7 +51,7 @@ def _(spark, sf):
 
 
 def _bytes_of(table_: str, key: str, hex_: str) -> str:
-    return f"pw AS MATERIALIZED (SELECT i, {_pow('i', BASES[0])} AS w1, {_pow('i', BASES[1])} AS w2 FROM range(0, 140000) r(i)), b AS (SELECT {key}, i, ('0x' || substr({hex_}, 2 * i + 1, 2))::BIGINT + 1 AS v FROM {table_}, unnest(range(length({hex_}) // 2)) u(i)), f AS (SELECT {key}, count(*) AS n, (sum(v * w1) % {MODULUS})::BIGINT AS fp1, (sum(v * w2) % {MODULUS})::BIGINT AS fp2 FROM b JOIN pw USING (i) GROUP BY {key})"
+    return f"pw AS MATERIALIZED (SELECT i, {_pow('i', BASES[0])} AS w1, {_pow('i', BASES[1])} AS w2 FROM range(0, 140000) r(i)), lf AS (SELECT {key}, o, substr({hex_}, o * 512 + 1, 512) AS lh FROM {table_}, unnest(range((length({hex_}) + 511) // 512)) u(o)), b AS (SELECT {key}, o * 256 + j AS i, ('0x' || substr(lh, 2 * j + 1, 2))::BIGINT + 1 AS v FROM lf, unnest(range(length(lh) // 2)) y(j)), f AS (SELECT {key}, count(*) AS n, (sum(v * w1) % {MODULUS})::BIGINT AS fp1, (sum(v * w2) % {MODULUS})::BIGINT AS fp2 FROM b JOIN pw USING (i) GROUP BY {key})"
 
 
 @query("branch_fingerprint", f"WITH {_BRANCH.format(per=1)}, whole AS (SELECT branch_id, base || step AS h FROM br), {_bytes_of('whole', 'branch_id', 'h')} SELECT * FROM f")

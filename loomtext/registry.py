@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import content, runs, versions  # noqa: F401
+from .plans import content, runs, sources, streams, versions  # noqa: F401
 from .plans.registering import QUERIES, SQL  # noqa: F401
