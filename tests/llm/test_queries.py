@@ -1,0 +1,42 @@
+"""The queries of the subpackage and the pipeline on the smallest tables."""
+
+import pytest
+from comparing import DATA, rows_of, sql_rows
+
+import corpus_pipeline
+from loomtext.llm.queries import QUERIES
+from loomtext.llm.sql import SQL
+
+pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, name):
+    cols, got = rows_of(QUERIES[name](spark, str(DATA)))
+    assert got
+    if name in SQL:
+        want_cols, want = sql_rows(SQL[name])
+        assert cols == want_cols and got == want
+
+
+def test_pipeline(spark):
+    """Each stage against what it must do on its own input."""
+    from pyspark.sql import functions as F
+
+    from loomtext.llm import exact_dedup, ngram_join, packing, quality_rules
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality rules", "exact dedup", "n-gram Jaccard join", "mixing", "packing"]
+    good = stages["quality rules"](spark, docs, str(DATA)).cache()
+    assert {r.doc_id for r in good.collect()} == {r.doc_id for r in quality_rules.report(docs).filter("kept").collect()}
+    one = stages["exact dedup"](spark, good, str(DATA)).cache()
+    assert {r.doc_id for r in one.collect()} == {r.doc_id for r in exact_dedup.exact_groups(good).filter("kept").collect()}
+    near = stages["n-gram Jaccard join"](spark, one, str(DATA)).cache()
+    assert {r.doc_id for r in near.collect()} == {r.component_id for r in ngram_join.link_components(one).collect()}
+    mixed = stages["mixing"](spark, near, str(DATA)).cache()
+    assert {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in near.collect()} and mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+    packed = stages["packing"](spark, mixed, str(DATA))
+    assert packed.count() == mixed.count() and set(packing._OWN) <= set(packed.columns)
+    assert all(x.columns == docs.columns for x in (good, one, near, mixed))
+    assert corpus_pipeline.run(spark, str(DATA)).count() == mixed.count()
