@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import let
 
+# Fixed value: the rule of a safe cut.
 #: Space with other than ASCII white space on both sides.
 LONE_SPACE = r"(?<=[^ \t\n\r\f\x0b]) (?=[^ \t\n\r\f\x0b])"
 #: Pre-tokens: a space leads its word, other white space stands alone.

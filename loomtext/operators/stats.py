@@ -9,8 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Two-sided 95 % Student t by degrees of freedom; beyond the last, 1.96.
-T_TABLE = ((1, 12.706), (2, 4.303), (3, 3.182), (4, 2.776), (5, 2.571), (6, 2.447), (7, 2.365), (8, 2.306), (9, 2.262), (10, 2.228), (12, 2.179), (15, 2.131), (20, 2.086), (25, 2.060), (30, 2.042), (31, 1.96))  # fixed values
+# Two-sided 95 % Student t by degrees of freedom; 1.96 beyond 30.
+T_COARSE = {
+    1: 12.71, 2: 4.30, 3: 3.18, 4: 2.78, 5: 2.57, 6: 2.45, 7: 2.36, 8: 2.31, 9: 2.26, 10: 2.23, 11: 2.20, 12: 2.18,
+    13: 2.16, 14: 2.14, 15: 2.13, 16: 2.12, 18: 2.10, 20: 2.09, 25: 2.06, 30: 2.04, 31: 1.96,
+}
+T_FINE = {
+    1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8: 2.306, 9: 2.262, 10: 2.228, 11: 2.201, 12: 2.179, 13: 2.160, 14: 2.145, 15: 2.131,
+    16: 2.120, 17: 2.110, 18: 2.101, 19: 2.093, 20: 2.086, 21: 2.080, 22: 2.074, 23: 2.069, 24: 2.064, 25: 2.060, 26: 2.056, 27: 2.052, 28: 2.048, 29: 2.045, 30: 2.042, 31: 1.96,
+}
 
 
 def rep_median(runs: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -41,9 +48,9 @@ def bootstrap_ci(runs: DataFrame, keys: list[str], value: str = "value", draws:
     return drawn.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.count(F.lit(1)).alias("draws")).select(*keys, F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"), "draws")
 
 
-def t_value(df: Column) -> Column:
-    """The table's t at the nearest lower degrees of freedom."""
-    rows = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(t).alias("t")) for d, t in T_TABLE])
+def t_value(df: Column, table: dict[int, float]) -> Column:
+    """The table's t at the nearest lower degrees of freedom: an as-of lookup in a constant array."""
+    rows = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(t).alias("t")) for d, t in table.items()])
     return F.element_at(F.filter(rows, lambda r: r["d"] <= df), -1)["t"]
 
 
@@ -51,14 +58,14 @@ def t_interval(runs: DataFrame, keys: list[str], value: str = "value") -> DataFr
     """mean, half = t s / sqrt(n), lo, hi; a single value has half 0."""
     s = group_stats(runs, keys, value)
     n = F.col("n_values")
-    half = F.when(n > 1, t_value(n - 1) * F.col("std_samp") / F.sqrt(n)).otherwise(0.0)
+    half = F.when(n > 1, t_value(n - 1, T_COARSE) * F.col("std_samp") / F.sqrt(n)).otherwise(0.0)
     return s.select(*keys, "mean", half.alias("half"), (F.col("mean") - half).alias("lo"), (F.col("mean") + half).alias("hi"))
 
 
 def t_band(runs: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Run-to-run band mean +- t s."""
     s = group_stats(runs, keys, value)
-    half = F.when(F.col("n_values") > 1, t_value(F.col("n_values") - 1) * F.col("std_samp")).otherwise(0.0)
+    half = F.when(F.col("n_values") > 1, t_value(F.col("n_values") - 1, T_FINE) * F.col("std_samp")).otherwise(0.0)
     return s.select(*keys, "mean", (F.col("mean") - half).alias("band_lo"), (F.col("mean") + half).alias("band_hi"))
 
 

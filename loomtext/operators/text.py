@@ -97,6 +97,7 @@ def utf8_offsets(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("
     return rows.select(*keys, "i", F.coalesce(F.sum(F.octet_length("c")).over(w), F.lit(0)).alias("byte"))
 
 
+# The grammar of a move line and the value words.
 _NUMBER = r"-?\d+(?:\.\d+)?"
 MOVE = rf"^\s*({_NUMBER})\s*([+\-*/])\s*({_NUMBER})\s*=\s*({_NUMBER})\s*\(\s*remaining\s*:\s*([^)]*)\)\s*$"
 

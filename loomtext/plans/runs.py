@@ -17,7 +17,7 @@ _WITH = f"WITH runs AS ({RUNS})"
 _STATS = f"{_WITH}, s AS (SELECT arm, n, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS std FROM runs GROUP BY arm, n)"
 _BOTH = f"{_STATS}, both_ AS (SELECT n, max(CASE WHEN arm = 'F' THEN mean END) AS mean_a, max(CASE WHEN arm = 'F' THEN std END) AS std_a, max(CASE WHEN arm = 'O' THEN mean END) AS mean_b, max(CASE WHEN arm = 'O' THEN std END) AS std_b FROM s GROUP BY n)"
 _PAIRS = f"{_WITH}, m AS (SELECT arm, n, seed, inv, avg(value) AS v FROM runs GROUP BY ALL), pairs AS (SELECT x.n, x.seed, x.inv, x.v AS a, y.v AS b FROM m x JOIN m y USING (n, seed, inv) WHERE x.arm = 'F' AND y.arm = 'O')"
-_T = "(SELECT arg_max(t, d) FROM (VALUES " + ", ".join(f"({d}, {t})" for d, t in stats.T_TABLE) + ") AS tt(d, t) WHERE d <= k - 1)"
+_T = lambda table_: "(SELECT arg_max(t, d) FROM (VALUES " + ", ".join(f"({d}, {t})" for d, t in table_.items()) + ") AS tt(d, t) WHERE d <= k - 1)"
 _BINOMIAL = "(SELECT sum(exp(lgamma(n_ + 1) - lgamma(i + 1) - lgamma(n_ - i + 1) - n_ * ln(2.0))) FROM range(0, 1000) r(i) WHERE i BETWEEN k_ AND n_)"
 
 
@@ -65,12 +65,12 @@ def _(spark, sf):
     return stats.bootstrap_ci(runs(spark, sf), ["arm", "n"], draws=2000)
 
 
-@query("t_interval", f"{_WITH}, s AS (SELECT arm, n, count(*) AS k, avg(value) AS mean, stddev_samp(value) AS sd FROM runs GROUP BY arm, n), h AS (SELECT *, CASE WHEN k > 1 THEN {_T} * sd / sqrt(k) ELSE 0 END AS half FROM s) SELECT arm, n, mean, half, mean - half AS lo, mean + half AS hi FROM h")
+@query("t_interval", f"{_WITH}, s AS (SELECT arm, n, count(*) AS k, avg(value) AS mean, stddev_samp(value) AS sd FROM runs GROUP BY arm, n), h AS (SELECT *, CASE WHEN k > 1 THEN {_T(stats.T_COARSE)} * sd / sqrt(k) ELSE 0 END AS half FROM s) SELECT arm, n, mean, half, mean - half AS lo, mean + half AS hi FROM h")
 def _(spark, sf):
     return stats.t_interval(runs(spark, sf), ["arm", "n"])
 
 
-@query("t_band", f"{_WITH}, s AS (SELECT arm, n, count(*) AS k, avg(value) AS mean, stddev_samp(value) AS sd FROM runs GROUP BY arm, n), h AS (SELECT *, CASE WHEN k > 1 THEN {_T} * sd ELSE 0 END AS half FROM s) SELECT arm, n, mean, mean - half AS band_lo, mean + half AS band_hi FROM h")
+@query("t_band", f"{_WITH}, s AS (SELECT arm, n, count(*) AS k, avg(value) AS mean, stddev_samp(value) AS sd FROM runs GROUP BY arm, n), h AS (SELECT *, CASE WHEN k > 1 THEN {_T(stats.T_FINE)} * sd ELSE 0 END AS half FROM s) SELECT arm, n, mean, mean - half AS band_lo, mean + half AS band_hi FROM h")
 def _(spark, sf):
     return stats.t_band(runs(spark, sf), ["arm", "n"])
 
