@@ -137,7 +137,7 @@ def _(spark, sf):
     return identity.match_prefix(d.filter("doc_id % 2 = 1"), d.filter("doc_id % 2 = 0"), LB)
 
 
-_SEQ = "s AS (SELECT l_orderkey AS id, list(l_quantity::BIGINT ORDER BY l_linenumber, l_partkey, l_suppkey) AS t FROM lineitem GROUP BY l_orderkey)"
+_SEQ = "s AS (SELECT l_orderkey AS id, list(l_quantity::BIGINT ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT) AS t FROM lineitem GROUP BY l_orderkey)"
 _LCPT = "(SELECT coalesce(min(i), least(len(x.t), len(y.t))) FROM range(least(len(x.t), len(y.t))) r(i) WHERE x.t[i + 1] <> y.t[i + 1])"
 
 
@@ -321,11 +321,11 @@ def responses(spark, sf):
     n, q = F.col("l_linenumber"), F.col("q")
     move = F.concat(F.lit("  "), q, F.lit(" + "), n.cast("string"), F.lit(" = "), (q.cast("long") + n).cast("string"), F.lit(" (remaining: "), (q.cast("long") % 3).cast("string"), F.lit(", "), (q.cast("long") % 2).cast("string"), F.lit(" 24)"))
     line = F.when(n % 4 == 0, "I think this is right.").when(n % 4 == 3, "").otherwise(move)
-    rows = li.groupBy(F.col("l_orderkey").alias("response_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line")))).alias("s"))
+    rows = li.groupBy(F.col("l_orderkey").alias("response_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "q", line.alias("line")))).alias("s"))
     return rows.select("response_id", F.array_join(F.transform("s", lambda x: x["line"]), "\n").alias("text"))
 
 
-@query("parse_moves", f"WITH l AS (SELECT l_orderkey AS response_id, l_linenumber, l_partkey, l_suppkey, (l_quantity::BIGINT % 4) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos FROM lineitem), m AS (SELECT response_id, pos, q || ' + ' || l_linenumber || ' = ' || (q + l_linenumber) || ' (remaining: ' || (q % 3) || ' ' || (q % 2) || ' 24)' AS thought, [(q % 3)::VARCHAR, (q % 2)::VARCHAR, '24'] AS remaining FROM l WHERE l_linenumber % 4 IN (1, 2)) SELECT response_id, thought, min(pos) AS pos, any_value(remaining) AS remaining FROM m GROUP BY response_id, thought")
+@query("parse_moves", f"WITH l AS (SELECT l_orderkey AS response_id, l_linenumber, l_partkey, l_suppkey, (l_quantity::BIGINT % 4) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT % 4) - 1 AS pos FROM lineitem), m AS (SELECT response_id, pos, q || ' + ' || l_linenumber || ' = ' || (q + l_linenumber) || ' (remaining: ' || (q % 3) || ' ' || (q % 2) || ' 24)' AS thought, [(q % 3)::VARCHAR, (q % 2)::VARCHAR, '24'] AS remaining FROM l WHERE l_linenumber % 4 IN (1, 2)) SELECT response_id, thought, min(pos) AS pos, any_value(remaining) AS remaining FROM m GROUP BY response_id, thought")
 def _(spark, sf):
     return text.parse_moves(responses(spark, sf))
 

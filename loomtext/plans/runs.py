@@ -264,6 +264,6 @@ def _(spark, sf):
     return samples(spark, sf).groupBy("device").agg(F.avg("watts").alias("watts"))
 
 
-@query("trace_cumulative", "SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS total FROM lineitem")
+@query("trace_cumulative", "SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING) AS total FROM lineitem")
 def _(spark, sf):
-    return timeseries.trace_cumulative(table(spark, sf, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "l_quantity").select("l_orderkey", "l_linenumber", "total")
+    return timeseries.trace_cumulative(table(spark, sf, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_quantity").select("l_orderkey", "l_linenumber", "total")
