@@ -83,13 +83,14 @@ def _fold(items: Column, done_type: str, seed: int) -> Column:
     return F.aggregate(F.slice(items, 2, F.greatest(F.size(items), F.lit(1))), zero, pair)
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", keep: tuple[str, ...] = ("doc_id",), weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, block: int = 64) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", keep: tuple[str, ...] = ("doc_id",), weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, block: int = 64, size: Column | None = None) -> DataFrame:
     """A row for each document: the columns `keep`, _k and _kn (its source), size, source_size, target, copies.
 
-    `keep` names the columns that identify a document; they also seed its random numbers.
+    `keep` names the columns that identify a document; they also seed its random numbers. `size` is the words of the
+    text unless given.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in keep])
-    sizes = fold_key(docs.select(*{*keep, source}, n_words(F.col(text)).alias("size")), source)
+    sizes = fold_key(docs.select(*{*keep, source}, (n_words(F.col(text)) if size is None else size).alias("size")), source)
     sizes = stage(sizes.select("_k", "_kn", row.alias("row"), "size"), "sizes")
     sources = stage(source_targets(sizes, weights, share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -129,7 +130,8 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", **how) ->
 
     Rows that share doc_id and source are one unit here and are taken together, as many times as the first of them.
     """
-    taken = mix(docs.dropDuplicates(["doc_id", source]), text, source, **how)
+    units = docs.select("doc_id", source, n_words(F.col(text)).alias("_size")).dropDuplicates(["doc_id", source])  # no texts are shuffled here
+    taken = mix(units, text, source, size=F.col("_size"), **how)
     taken = stage(taken.filter("copies > 0").select("doc_id", "_k", "_kn", F.col("copies").alias("_copies")), "copies")
     out = fold_key(docs, source).withColumn("_id", F.struct("doc_id")).join(taken.withColumn("_id", F.struct("doc_id")).drop("doc_id"), ["_id", "_k", "_kn"])
     out = out.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
