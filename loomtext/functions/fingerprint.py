@@ -19,11 +19,13 @@ LANES = ("fp1", "fp2")
 
 
 def power(exponent: Column, base: int, bits: int = 40) -> Column:
-    """base^exponent mod MODULUS, for exponents below 2^bits."""
-    out, square = F.lit(1).cast("long"), base % MODULUS
-    for k in range(bits):
-        factor = F.when(F.shiftright(exponent.cast("long"), k).bitwiseAND(F.lit(1)) == 1, F.lit(square)).otherwise(F.lit(1))
-        out, square = (out * factor) % MODULUS, square * square % MODULUS
+    """base^exponent mod MODULUS for exponents below 2^bits: one look-up in a constant table for each byte of the exponent."""
+    out = None
+    for k in range(0, bits, 8):
+        table = F.expr("array(" + ",".join(f"{pow(base, d << k, MODULUS)}L" for d in range(256)) + ")")
+        digit = F.shiftright(exponent.cast("long"), k).bitwiseAND(F.lit(255)).cast("int") + 1
+        factor = F.element_at(table, digit)
+        out = factor if out is None else (out * factor) % MODULUS
     return out
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import BASES, LANES, MODULUS, leaf_hash, power
-from ..functions.tables import let
+from ..functions.tables import let, stage
 from .leaves import content, leaves_fixed
 
 LEAF = 256
@@ -100,25 +100,32 @@ def prefix_classes(docs: DataFrame, size: int = LEAF, text: str = "text") -> Dat
     return prefixes.groupBy("ord", "n_bytes", *LANES).agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_id")).filter("n_docs > 1")
 
 
-def match_prefix(queries: DataFrame, cache: DataFrame, size: int = LEAF, text: str = "text") -> DataFrame:
+def full_prefixes(docs: DataFrame, size: int = LEAF, text: str = "text") -> DataFrame:
+    """(doc_id, k, fp1, fp2): fingerprints of the first k full leaves, k from 1."""
+    prefixes = prefix_fingerprint(fingerprint_leaves(leaves_fixed(docs, size, text), size))
+    return prefixes.filter(F.col("n_bytes") == (F.col("ord") + 1) * size).select("doc_id", (F.col("ord") + 1).alias("k"), *LANES)
+
+
+def match_prefix(queries: DataFrame, cache: DataFrame, size: int = LEAF, text: str = "text", prefixes: DataFrame | None = None) -> DataFrame:
     """For each query document the cached one with the longest common prefix: (doc_id, cached_id, lcp).
 
-    Cached prefixes are first reduced to one witness for each (ord, fingerprint), so a prefix that all entries share
+    Cached prefixes are first reduced to one witness for each (k, fingerprint), so a prefix that all entries share
     costs one row, and no pair table exists. Among entries of equal depth, the longest continuation inside the next
     leaf wins, then the smallest id: the candidates of the last shared leaf are compared by their next leaf.
+    `prefixes` are the cache's full prefixes, if they are at hand; bytes are hashed once on either side.
     """
-    pre = lambda d: prefix_fingerprint(fingerprint_leaves(leaves_fixed(d, size, text), size)).filter(F.col("n_bytes") == (F.col("ord") + 1) * size)
-    witness = pre(cache).groupBy("ord", *LANES).agg(F.min("doc_id").alias("w"))
-    found = pre(queries).join(witness, ["ord", *LANES]).groupBy("doc_id").agg((F.max("ord") + 1).alias("k"))
-    # leaves that follow the shared part: of queries, and of the cache reduced to distinct ones for each prefix
-    leaf_after = lambda d: leaves_fixed(d, size, text).select("doc_id", F.col("ord").alias("k"), F.col("leaf").alias("next"))
-    shared = pre(cache).select("doc_id", (F.col("ord") + 1).alias("k"), *LANES)
-    after = shared.join(leaf_after(cache), ["doc_id", "k"], "left").groupBy("k", *LANES, "next").agg(F.min("doc_id").alias("cached_id"))
-    asked = found.join(pre(queries).select("doc_id", (F.col("ord") + 1).alias("k"), *LANES), ["doc_id", "k"]).join(leaf_after(queries).withColumnRenamed("next", "mine"), ["doc_id", "k"], "left")
+    ours = stage(full_prefixes(cache, size, text), "cached-prefixes") if prefixes is None else prefixes
+    mine = stage(full_prefixes(queries, size, text), "asked-prefixes")
+    deepest = mine.join(ours.select("k", *LANES).distinct(), ["k", *LANES], "left_semi").groupBy("doc_id").agg(F.max("k").alias("k"))
+    asked = mine.join(deepest, ["doc_id", "k"])
+    leaf_after = lambda d, name: leaves_fixed(d, size, text).select("doc_id", F.col("ord").alias("k"), F.col("leaf").alias(name))
+    near = ours.join(asked.select("k", *LANES).distinct(), ["k", *LANES], "left_semi")
+    after = near.join(leaf_after(cache, "next"), ["doc_id", "k"], "left").groupBy("k", *LANES, "next").agg(F.min("doc_id").alias("cached_id"))
     none = F.lit(b"")
     more = lcp_bytes(F.coalesce("mine", none), F.coalesce("next", none), size)
+    both = asked.join(leaf_after(queries, "mine"), ["doc_id", "k"], "left").join(after, ["k", *LANES]).withColumn("more", more)
     best = F.max_by(F.struct("cached_id", "more"), F.struct("more", -F.col("cached_id")))
-    return asked.join(after, ["k", *LANES]).withColumn("more", more).groupBy("doc_id", "k").agg(best.alias("b")).select("doc_id", "b.cached_id", (F.col("k") * size + F.col("b.more")).alias("lcp"))
+    return both.groupBy("doc_id", "k").agg(best.alias("b")).select("doc_id", "b.cached_id", (F.col("k") * size + F.col("b.more")).alias("lcp"))
 
 
 def exact_dup_groups(docs: DataFrame, size: int = LEAF, text: str = "text") -> DataFrame:

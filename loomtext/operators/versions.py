@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -67,13 +68,20 @@ def token_blocks(tokens: DataFrame, size: int, keys: tuple[str, ...]) -> DataFra
 
 
 def block_table(tokens: DataFrame, sizes: list[int], group: str, key: str = "doc_id") -> DataFrame:
-    """(group, block_size, table_entries, live_blocks) of paged sequences; entries are the sum of ceil(tokens / size)."""
-    out = None
-    for size in sizes:
-        chained = token_blocks(tokens, size, (group, key)).groupBy(group, "block", *LANES, "n").agg(F.count(F.lit(1)).alias("c"))
-        r = chained.groupBy(group).agg(F.sum("c").alias("table_entries"), F.count(F.lit(1)).alias("live_blocks")).withColumn("block_size", F.lit(size))
-        out = r if out is None else out.unionByName(r)
-    return out
+    """(group, block_size, table_entries, live_blocks) of paged sequences; entries are the sum of ceil(tokens / size).
+
+    Tokens are hashed once, in blocks of the sizes' greatest common divisor; a larger block's chain is that of the
+    last small one in it.
+    """
+    unit = math.gcd(*sizes)
+    small = token_blocks(tokens, unit, (group, key))
+    last = F.max("block").over(Window.partitionBy(group, key))
+    small = small.withColumn("last", last).withColumn("block_size", F.explode(F.array(*[F.lit(s) for s in sizes])))
+    ends = small.filter(((F.col("block") + 1) * unit % F.col("block_size") == 0) | (F.col("block") == F.col("last")))
+    place = F.floor(F.col("block") * unit / F.col("block_size"))
+    # the tokens of the last, part-filled block count too: a longer sequence's full block is another one
+    chained = ends.groupBy(group, "block_size", place.alias("at"), *LANES).agg(F.count(F.lit(1)).alias("c"))
+    return chained.groupBy(group, "block_size").agg(F.sum("c").alias("table_entries"), F.count(F.lit(1)).alias("live_blocks"))
 
 
 def tail_block(n: Column, size: Column) -> Column:
