@@ -5,8 +5,9 @@ and 6 characters of longer ones, each valued by the logarithm of one plus its nu
 and compound forms share what is learned. Features that differ most between the labels in the sample are chosen by
 the z-value of their log odds; the identity terms always take part.
 Sentences of the labelled texts that name an identity term are written again with every other term of its set, and the
-training loss adds the squared difference of the two sentences' scores. So a mention of one group weighs like a
-mention of another, and words are not charged for the groups they happen to stand beside.
+training loss adds the squared difference of the two sentences' scores, by all features of either with their values. So
+a mention of one group weighs like a mention of another, by the word and by its beginnings, and words are not charged
+for the groups they happen to stand beside.
 
 The sample is at most `most_rows` labelled documents (smallest hashes of their id). Counting words is a grouping on
 Spark; what comes to the driver is at most `most_words` features, each sampled text's chosen ones, and the distinct
@@ -70,6 +71,17 @@ def value(k: int) -> float:
     return math.log2(1 + k)
 
 
+def swapped(sentence: str) -> Iterator[tuple[dict[str, int], dict[str, int]]]:
+    """Features of the sentence, and of it with one of its identity terms replaced: for each term, each other of its set."""
+    ws = {x.strip(_EDGE) for x in set(sentence.lower().split())}
+    named = ws & TERMS.keys()
+    if named:
+        mine = features(sentence)
+        for t in sorted(named):
+            for other in TERMS[t]:
+                yield mine, features(" ".join(ws - {t} | {other}))
+
+
 def choose_words(rows: DataFrame, most_words: int, least: int = 5, z: float = 3.0) -> list[str]:
     """The features of rows(ws, y) whose log odds differ most surely between the labels, and the identity terms."""
     totals = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
@@ -122,27 +134,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     index = {w: i for i, w in enumerate(choose_words(got.mapInArrow(listed, "y int, ws array<string>"), most_words))}
     chosen = lambda fs: {index[w]: value(k) for w, k in fs.items() if w in index}
 
+    counted = lambda fs: [n for i in sorted((index[w], k) for w, k in fs.items() if w in index) for n in i]
+
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.map_(pa.int32(), pa.float64())
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = [[sorted(f) for s in re.split(r"(?<=[.!?])\s+|\n", t or "") if (f := features(s).keys() & index.keys()) & terms] for t in texts]
-            xs = pa.array([list(chosen(features(t)).items()) for t in texts], kind)
-            yield pa.RecordBatch.from_arrays([batch.column("y"), xs, pa.array(found, pa.list_(pa.list_(pa.string())))], names=["y", "x", "sentences"])
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                texts = part.column("text").to_pylist()
+                found = [[[counted(a), counted(b)] for s in re.split(r"(?<=[.!?])\s+|\n", t or "") for a, b in swapped(s)] for t in texts]
+                xs = pa.array([list(chosen(features(t)).items()) for t in texts], kind)
+                yield pa.RecordBatch.from_arrays([part.column("y"), xs, pa.array(found, pa.list_(pa.list_(pa.list_(pa.int32()))))], names=["y", "x", "swaps"])
 
-    terms = {"=" + t for t in TERMS}
-    rows = stage(got.mapInArrow(valued, "y int, x map<int,double>, sentences array<array<string>>"), "toxic-features")
+    rows = stage(got.mapInArrow(valued, "y int, x map<int,double>, swaps array<array<array<int>>>"), "toxic-features")
     known = rows.select("y", "x").collect()
     y = np.array([r["y"] for r in known], dtype=float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return {}, float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    pairs = []
-    for r in rows.select(F.explode("sentences").alias("s")).groupBy("s").count().collect():
-        ids = {index[w]: 1.0 for w in r["s"]}
-        for t in terms & set(r["s"]):
-            for other in TERMS[t[1:]]:
-                pairs.append((ids, {index["=" + other] if w == t else index[w]: 1.0 for w in r["s"]}, float(r["count"])))
+    side = lambda ns: {i: value(k) for i, k in zip(ns[::2], ns[1::2], strict=True)}
+    swaps = rows.select(F.explode("swaps").alias("s")).groupBy("s").count().collect()
+    pairs = [(side(r["s"][0]), side(r["s"][1]), float(r["count"])) for r in swaps]
     w, b = fit_weights([r["x"] for r in known], y, pairs, len(index), penalty)
     return {x: float(w[i]) for x, i in index.items() if w[i]}, b
 

@@ -98,6 +98,20 @@ def test_counterfactual_penalty_closes_gaps(spark):
     assert gap[50.0] < 0.5 * gap[0.0]
 
 
+def test_counterfactual_pairs_cover_all_features(spark):
+    """Whole scores of swapped sentences are close: no other feature of a term keeps what the penalty takes from its word."""
+    docs, labels = corpus(spark)
+    of = lambda w, b, text: 1 / (1 + math.exp(-b - sum(w.get(f, 0.0) * toxicity.value(k) for f, k in toxicity.features(text).items())))
+    gap = {}
+    for p in (0.0, 50.0):
+        w, b = toxicity.fit(docs, labels, penalty=p)
+        gap[p] = abs(of(w, b, "the muslim spoke of a vilefool") - of(w, b, "the christian spoke of a vilefool")) + abs(of(w, b, "a muslim came") - of(w, b, "a christian came"))
+        assert p or any(f in w for f in ("^musl", "^musli", "^chri", "^chris", "^christ"))
+    assert gap[50.0] < 0.2 * gap[0.0], gap
+    a, c = next(x for x in toxicity.swapped("Christian, christianity") if "=muslim" in x[1])
+    assert a["^chri"] == 2 and c["^chri"] == 1 and c["^musl"] == 1
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a = "<p>x</p>";</script></head><body>
 <header class="top"><p>The site of the news and of the weather for all of you in the country, with all that there is to it today.</p></header>
 <nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>
