@@ -2,7 +2,9 @@
 
 Pass one looks at each block alone: blocks in boilerplate containers or with many linked characters are bad; long
 blocks with enough stop words are good, and blocks inside an article or main element need no stop words; the rest is
-undecided, short ones above all. Pass two gives each undecided block the label of its nearest decided neighbours,
+undecided, short ones above all. A class or id that names boilerplate (as a whole or by its last part) marks an element
+and all below it, unless an article or main stands inside: that shows the name to be one of the layout. Names of
+replies and recommendations, which hold articles of their own, yield only to the first article of the page. Pass two gives each undecided block the label of its nearest decided neighbours,
 looking inside its own region of the page first.
 
 Each page is worked on alone, in Arrow batches, with memory in proportion to the page. Null or empty html gives an
@@ -45,6 +47,9 @@ _BAD_NAMES = frozenset(
     share sharing social related recommended recommendations newsletter subscribe subscription signup login widget widgets toolbar pagination pager copyright disclaimer form search tagcloud
     navigation contentinfo complementary""".split()
 )
+#: Of those, the ones whose elements often hold articles that are not the page's text.
+_REPLY_NAMES = frozenset("comment comments commentlist disqus reply replies respond discussion reader-comments related recommended recommendations".split())
+_ABOUT = frozenset("has with without no".split())
 
 
 class Rules:
@@ -57,33 +62,63 @@ class Rules:
     article_min_stop_density = 0.0
 
 
-def _attributes(text: str) -> tuple[bool, bool]:
-    """Do the attributes name boilerplate, do they hide the element?"""
-    bad = hidden = False
+def _named(token: str, region: int) -> int:
+    """Does a class or id name boilerplate: 0 no, 1 yes, 2 replies or recommendations?"""
+    *before, last = [p for p in re.split(r"[-_]+", token) if p] or [""]
+    name = token if token in _BAD_NAMES else last if not (before and before[-1] in _ABOUT) else ""
+    if name not in _BAD_NAMES or (region and name in ("header", "headers")):  # an article's own header is text
+        return 0
+    return 2 if name in _REPLY_NAMES else 1
+
+
+def _attributes(text: str, region: int) -> tuple[int, bool, bool]:
+    """Do class and id name boilerplate (see _named), does the role, do the attributes hide the element?"""
+    named, role, hidden = 0, False, False
     for name, value in _ATTRIBUTE.findall(text):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id", "role"):
-            bad = bad or any(t in _BAD_NAMES or any(p in _BAD_NAMES for p in re.split(r"[-_]+", t)) for t in value.split())
+        if name == "role":
+            role = role or any(t in _BAD_NAMES for t in value.split())
+        elif name in ("class", "id"):
+            named = max([named, *(_named(t, region) for t in value.split())])
         elif name == "style":
             hidden = hidden or "display:none" in value.replace(" ", "")
         else:
             hidden = hidden or value != "false"
-    return bad, hidden
+    return named, role, hidden
 
 
 def blocks(page: str) -> list[tuple[str, float, bool, int]]:
     """(text, share of linked characters, in boilerplate, region) of each block with text; region 0: outside articles."""
-    out: list[tuple[str, float, bool, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, region
+    out: list[tuple[str, float, bool, int, int]] = []
+    stack: list[tuple[str, bool, int, int]] = []  # tag, boilerplate for sure, innermost label by name, region
+    names, above = [0], [0]  # labels by name and the labels around them; an article inside takes them back
     parts: list[str] = []
     linked = in_link = regions = 0
 
+    def label(named: int, around: int) -> int:
+        if not named:
+            return around
+        names.append(named)
+        above.append(around)
+        return len(names) - 1
+
+    def taken_back(at: int) -> bool:
+        """Take back the labels by name around an article, if it is the page's text."""
+        around = []
+        while at:
+            around.append(at)
+            at = above[at]
+        if regions and any(names[i] == 2 for i in around):
+            return False
+        for i in around:
+            names[i] = 0
+        return True
+
     def close() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", _html.unescape("".join(parts))).strip(" ")
         if text:
-            bad, region = stack[-1][1:] if stack else (False, 0)
-            out.append((text, linked / len(text), bad, region))
+            out.append((text, linked / len(text), *(stack[-1][1:] if stack else (False, 0, 0))))
         parts.clear()
         linked = 0
 
@@ -102,9 +137,10 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
             in_link = 0 if end else 1
             continue
         if tag in _INLINE and tag != "img":
-            if not end and attributes and any(_attributes(attributes)) and not attributes.rstrip().endswith("/"):
+            sure, at, region = stack[-1][1:] if stack else (False, 0, 0)
+            if not end and attributes and any(found := _attributes(attributes, region)) and not attributes.rstrip().endswith("/"):
                 close()
-                stack.append((tag, True, stack[-1][2] if stack else 0))
+                stack.append((tag, sure or found[1] or found[2], label(found[0], at), region))
             elif end and stack and stack[-1][0] == tag:
                 close()
                 stack.pop()
@@ -127,20 +163,25 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
-        bad, region = stack[-1][1:] if stack else (False, 0)
+        sure, at, region = stack[-1][1:] if stack else (False, 0, 0)
         if tag == "body":
-            bad = False
-        if tag in _GOOD_TAGS and not region and not bad:
+            sure, at = False, 0
+        if tag in _GOOD_TAGS and not region and not sure and taken_back(at):
             regions += 1
             region = regions
         if tag in _BAD_TAGS or (tag == "header" and not region):
-            bad = True
+            sure = True
         elif attributes and tag not in ("html", "body"):
-            named, hidden = _attributes(attributes)
-            bad = bad or hidden or (named and not (tag in _GOOD_TAGS or re.fullmatch(r"h[1-6]", tag) and region))
-        stack.append((tag, bad, region))
+            named, role, hidden = _attributes(attributes, region)
+            text = tag in _GOOD_TAGS or (re.fullmatch(r"h[1-6]", tag) and region)
+            sure = sure or hidden or (role and not text)
+            at = at if text else label(named, at)
+        stack.append((tag, sure, at, region))
     close()
-    return out
+    marked = [False] * len(names)
+    for i in range(1, len(names)):
+        marked[i] = bool(names[i]) or marked[above[i]]
+    return [(text, share, sure or marked[at], region) for text, share, sure, at, region in out]
 
 
 def main_text(page: str | None) -> str:

@@ -137,6 +137,24 @@ def test_pages_without_article():
     assert html_text.main_text(page) == f"{body.strip()}\nAnd then.\n{body.strip()}"
 
 
+STORY = "The first of the paragraphs is about the state of the things that are in the town, and it goes on for a while as all of them do."
+
+
+@pytest.mark.parametrize("wrapper", ["class='content-sidebar-wrap'", "class='has-sidebar'", "id='page-with-ads'", "class='blog-sidebar'", "class='widget'", "id='site_comments'"])
+@pytest.mark.parametrize("tag", ["main", "article"])
+def test_names_around_an_article(wrapper, tag):
+    page = f"<body><div {wrapper}><div class='x'><{tag}><h1>Heading</h1><p>{STORY}</p></{tag}></div><div class='sidebar'><p>{STORY} Aside.</p></div></div></body>"
+    assert html_text.main_text(page) == f"Heading\n{STORY}"
+
+
+def test_names_inside_an_article():
+    for head in ("<header class='entry-header'>{}</header>", "<div class='entry-header'>{}</div>", "<header>{}</header>"):
+        page = f"<article>{head.format('<h1>Heading</h1>')}<div class='body has-sidebar'><p>{STORY}</p></div><div class='in-text-ad'><p>{STORY} Buy.</p></div></article>"
+        assert html_text.main_text(page) == f"Heading\n{STORY}"
+    replies = f"<div id='comments'><article><p>{STORY} I agree.</p></article></div><nav><article><p>{STORY} Go.</p></article></nav>"
+    assert html_text.main_text(f"<article><p>{STORY}</p></article>{replies}") == STORY
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (2, None, None, "x"), (3, "v", "<p>" * 5000 + "a", "x")], "page_id long, url string, html string, text string")
     rows = html_text.extract(pages).collect()
