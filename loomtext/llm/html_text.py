@@ -16,6 +16,7 @@ from __future__ import annotations
 import html as _html
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,8 +32,12 @@ STOP_WORDS = frozenset(
     el los las que y a del se por con una su para es al lo como más o pero sus le ya este sí porque esta entre cuando muy sin sobre también me hasta hay donde""".split()
 )
 
-_RAW = "script|style|noscript|template|title|textarea|select|iframe|object|svg|math|canvas|audio|video|button"
-_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({_RAW})\b(?:"[^"]*"|'[^']*'|[^>"'])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?/][^>]*>|[^<]+|<""", re.S | re.I)
+#: Their content is no markup; without an end tag it runs to the end of the page.
+_RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "title", "textarea")}
+#: Their content is dropped, up to their end tag or that of an element around them.
+_DROPPED = frozenset("noscript template select iframe object svg math canvas audio video button".split())
+_FOREIGN = frozenset("svg math".split())
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?/][^>]*>|[^<]+|<""", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -93,7 +98,9 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
     stack: list[tuple[str, bool, int, int]] = []  # tag, boilerplate for sure, innermost label by name, region
     names, above = [0], [0]  # labels by name and the labels around them; an article inside takes them back
     parts: list[str] = []
-    linked = in_link = regions = 0
+    linked = in_link = regions = at_token = 0
+    dropped = -1  # place in the stack of the dropped element around
+    inner: Counter[str] = Counter()  # inline elements open inside it
 
     def label(named: int, around: int) -> int:
         if not named:
@@ -122,23 +129,59 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
         parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        raw, end, tag, attributes = m.groups()
+    while m := _TOKEN.match(page, at_token):
+        at_token = m.end()
+        end, tag, attributes = m.groups()
+        if len(stack) <= dropped:
+            dropped = -1
         if tag is None:
             token = m.group()
-            if raw or token.startswith(("<!", "<?", "</")):
+            if dropped >= 0 or token.startswith(("<!", "<?", "</")):
                 continue
             parts.append(token)
             if in_link:
                 linked += len(token)
             continue
         tag = tag.lower()
+        closed = attributes.rstrip().endswith("/")
+        if tag in _RAW:
+            if not end and not (closed and dropped >= 0 and any(x[0] in _FOREIGN for x in stack[dropped:])):
+                over = _RAW[tag].search(page, at_token)
+                at_token = over.end() if over else len(page)
+            continue
+        if dropped >= 0 and (tag in _INLINE or tag in _VOID):
+            if tag in _VOID or (not end and closed):
+                continue
+            if not end or inner[tag]:
+                inner[tag] += -1 if end else 1
+                continue
+            del stack[dropped:]  # the end of an inline element around
+            dropped = -1
+        if tag in _DROPPED and dropped < 0:
+            if not end and not (closed and tag in _FOREIGN):
+                dropped = len(stack)
+                inner.clear()
+                stack.append((tag, True, *(stack[-1][2:] if stack else (0, 0))))
+            continue
+        if dropped >= 0:
+            if not end:
+                if not closed:
+                    stack.append((tag, *stack[-1][1:]))
+                continue
+            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+            if i >= dropped:
+                del stack[i:]
+                continue
+            if i < 0:
+                continue
+            del stack[dropped:]  # the end of an element around
+            dropped = -1
         if tag == "a":
             in_link = 0 if end else 1
             continue
         if tag in _INLINE and tag != "img":
             sure, at, region = stack[-1][1:] if stack else (False, 0, 0)
-            if not end and attributes and any(found := _attributes(attributes, region)) and not attributes.rstrip().endswith("/"):
+            if not end and attributes and any(found := _attributes(attributes, region)) and not closed:
                 close()
                 stack.append((tag, sure or found[1] or found[2], label(found[0], at), region))
             elif end and stack and stack[-1][0] == tag:

@@ -155,6 +155,19 @@ def test_names_inside_an_article():
     assert html_text.main_text(f"<article><p>{STORY}</p></article>{replies}") == STORY
 
 
+@pytest.mark.parametrize("inside", ["<svg class='i'/>", '<svg><title/><path d="M0 0"/></svg>', "<math/>", "<b><svg><path></b>", "<div><button>Go</div>", "<div><select><option>One<option>Two</div>", "<span><object data=x></span>", "<svg><g><path/></g></svg>", "<div><video><p>None.</p></video></div>"])
+def test_embedded_elements_end(inside):
+    """Embedded elements take nothing of the text after them, even when closed by '/>' or by the element around."""
+    got = html_text.main_text(f"<article><p>{STORY}</p>{inside}<p>{STORY}</p></article>")
+    assert got == f"{STORY}\n{STORY}"
+
+
+def test_embedded_elements_in_a_line():
+    for inside in ("<svg><path/></svg>", "<svg/>", "<button>Go <b>on</b></button>", "<noscript><p>None.</p></noscript>"):
+        assert html_text.main_text(f"<article><p>{STORY} {inside} And on.</p></article>") == f"{STORY} And on."
+    assert html_text.main_text(f"<article><p>{STORY}</p><textarea>{STORY}") == STORY
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (2, None, None, "x"), (3, "v", "<p>" * 5000 + "a", "x")], "page_id long, url string, html string, text string")
     rows = html_text.extract(pages).collect()
