@@ -109,7 +109,8 @@ def full_prefixes(docs: DataFrame, size: int = LEAF, text: str = "text") -> Data
 def match_prefix(queries: DataFrame, cache: DataFrame, size: int = LEAF, text: str = "text", prefixes: DataFrame | None = None) -> DataFrame:
     """For each query document the cached one with the longest common prefix: (doc_id, cached_id, lcp).
 
-    Cached prefixes are first reduced to one witness for each (k, fingerprint), so a prefix that all entries share
+    Every query has a row: those that share less than a leaf are matched inside the first one, and what shares nothing
+    has lcp 0 and the smallest id of the cache (null if that is empty). Cached prefixes are first reduced to one witness for each (k, fingerprint), so a prefix that all entries share
     costs one row, and no pair table exists. Among entries of equal depth, the longest continuation inside the next
     leaf wins, then the smallest id: the candidates of the last shared leaf are compared by their next leaf.
     `prefixes` are the cache's full prefixes, if they are at hand; bytes are hashed once on either side.
@@ -125,7 +126,30 @@ def match_prefix(queries: DataFrame, cache: DataFrame, size: int = LEAF, text: s
     more = lcp_bytes(F.coalesce("mine", none), F.coalesce("next", none), size)
     both = asked.join(leaf_after(queries, "mine"), ["doc_id", "k"], "left").join(after, ["k", *LANES]).withColumn("more", more)
     best = F.max_by(F.struct("cached_id", "more"), F.struct("more", -F.col("cached_id")))
-    return both.groupBy("doc_id", "k").agg(best.alias("b")).select("doc_id", "b.cached_id", (F.col("k") * size + F.col("b.more")).alias("lcp"))
+    deep = stage(both.groupBy("doc_id", "k").agg(best.alias("b")).select("doc_id", "b.cached_id", (F.col("k") * size + F.col("b.more")).alias("lcp")), "matched-leaves")
+    rest = match_beginning(queries.join(deep, "doc_id", "left_anti"), cache, size, text)
+    return deep.unionByName(rest)
+
+
+def match_beginning(queries: DataFrame, cache: DataFrame, size: int = LEAF, text: str = "text", step: int = 16) -> DataFrame:
+    """match_prefix for queries whose longest common prefix is below `size` bytes: (doc_id, cached_id, lcp).
+
+    Prefixes meet as bytes, first at multiples of `step`, then at each byte after the longest of those. Cached ones are
+    reduced to the smallest id for each prefix, at the second pass only behind prefixes that were asked for.
+    """
+    data = lambda d: d.select("doc_id", F.substring(content(F.col(text)), F.lit(1), F.lit(size)).alias("data")).withColumn("n", F.octet_length("data"))
+    prefix = lambda n: F.substring("data", F.lit(1), n)
+    coarse = F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / step).cast("int")), lambda i: prefix(i * step))
+    fine = F.transform(F.sequence(F.col("at"), F.least("n", F.col("at") + step - 1)), lambda i: prefix(i))
+    asked, ours = data(queries), data(cache)
+    known = ours.select(F.explode(coarse).alias("p")).distinct()
+    longest = asked.select("doc_id", F.explode(coarse).alias("p")).join(known, "p", "left_semi").groupBy("doc_id").agg(F.max(F.octet_length("p")).alias("at"))
+    asked = stage(asked.join(longest, "doc_id", "left").withColumn("at", F.coalesce("at", F.lit(0))), "asked-beginnings")
+    bases = asked.select(prefix(F.col("at")).alias("base")).distinct()
+    behind = ours.select("doc_id", "data", "n", F.explode(coarse).alias("base")).join(bases, "base", "left_semi").withColumn("at", F.octet_length("base"))
+    first = behind.select("doc_id", F.explode(fine).alias("p")).groupBy("p").agg(F.min("doc_id").alias("cached_id"))
+    met = asked.select("doc_id", F.explode(fine).alias("p")).join(first, "p", "left").withColumn("m", F.when(F.col("cached_id").isNotNull(), F.octet_length("p")))
+    return met.groupBy("doc_id").agg(F.max_by("cached_id", "m").alias("cached_id"), F.coalesce(F.max("m"), F.lit(0)).cast("long").alias("lcp"))
 
 
 def exact_dup_groups(docs: DataFrame, size: int = LEAF, text: str = "text") -> DataFrame:

@@ -134,7 +134,7 @@ def _(spark, sf):
 @query("match_prefix", f"WITH {_H}, p AS (SELECT x.doc_id, y.doc_id AS cached_id, {_LCP} AS lcp FROM h x JOIN h y ON x.doc_id % 2 = 1 AND y.doc_id % 2 = 0 AND substr(x.h, 1, {2 * LB}) = substr(y.h, 1, {2 * LB}) WHERE length(x.h) >= {2 * LB}) SELECT doc_id, lcp, cached_id FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY lcp DESC, cached_id) = 1")
 def _(spark, sf):
     d = docs(spark, sf)
-    return identity.match_prefix(d.filter("doc_id % 2 = 1"), d.filter("doc_id % 2 = 0"), LB)
+    return identity.match_prefix(d.filter("doc_id % 2 = 1"), d.filter("doc_id % 2 = 0"), LB).filter(F.col("lcp") >= LB)  # the SQL asks for a full leaf
 
 
 _SEQ = "s AS (SELECT l_orderkey AS id, list(l_quantity::BIGINT ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT) AS t FROM lineitem GROUP BY l_orderkey)"

@@ -23,7 +23,7 @@ def _stream(spark, rows, parts, name):
 def _(spark, sf):
     d = docs(spark, sf).select("doc_id", "text")
     requests = _stream(spark, d.filter("doc_id % 2 = 1"), 2, "requests")
-    return spark.read.parquet(jobs.match_prefix(requests, d.filter("doc_id % 2 = 0"), LB)).drop("batch")
+    return spark.read.parquet(jobs.match_prefix(requests, d.filter("doc_id % 2 = 0"), LB)).drop("batch").filter(F.col("lcp") >= LB)  # the SQL asks for a full leaf
 
 
 _LINE = "role || ': ' || text || chr(10) || chr(10)"

@@ -143,3 +143,19 @@ def test_parsing(spark):
     assert [(r.v.label, r.v.score) for r in v] == [("impossible", 0), ("unparsed", 0), ("unparsed", 0)]
     g = spark.createDataFrame([(["24"],), (["48/2"],), (["24.00001"],), (["24", "1"],), ([],), (["x"],), (["1/0"],)], "n array<string>").select(text.is_goal(F.col("n")).alias("g")).collect()
     assert [r.g for r in g] == [True, True, True, False, False, False, False]
+
+
+def test_match_prefix_inside_the_first_leaf(spark):
+    """Every request has its longest prefix, against brute force: shared bytes below a leaf, short and empty texts too."""
+    r = random.Random(4)
+    stem = "".join(r.choice("abc") for _ in range(700))
+    made = [stem[: r.choice([0, 1, 5, 15, 16, 17, 31, 32, 100, 255, 256, 257, 300, 600])] + "".join(r.choice("abcé") for _ in range(r.choice([0, 1, 3, 20, 300]))) for _ in range(120)]
+    rows = [*enumerate(made), (120, stem[:40]), (121, stem[:40]), (122, None), (123, "zzz"), (125, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    data = {i: (t or "").encode() for i, t in rows}
+    lcp = lambda x, y: next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
+    want = {q: max((lcp(data[q], data[c]), -c) for c in data if c % 2 == 0) for q in data if q % 2}
+    got = identity.match_prefix(d.filter("doc_id % 2 = 1"), d.filter("doc_id % 2 = 0")).collect()
+    assert len(got) == len(want) and {x.doc_id: (x.lcp, -x.cached_id) for x in got} == want
+    none = identity.match_prefix(d.filter("doc_id % 2 = 1"), d.limit(0)).collect()
+    assert len(none) == len(want) and all(x.lcp == 0 and x.cached_id is None for x in none)
