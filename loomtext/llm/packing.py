@@ -4,9 +4,11 @@ The global histogram of document lengths (one aggregate over all documents) goes
 programming chooses the bucket boundaries that minimise the padding of the whole corpus. Inside each bucket, batches
 of equal capacity form: a batch holds as many documents as fit the token budget at the bucket's boundary length.
 
-The histogram is bounded: lengths up to `exact_to` are bins of their own, longer ones share bins of a relative width
-of 1/`exact_to`, whose sums of lengths and largest length are exact. So padding is counted exactly, and only boundaries inside a
-bin are not considered; some 10 to 20 thousand bins serve any corpus.
+Lengths up to `exact_to` (131,072) are bins of their own, so boundaries are optimal among all lengths where none is
+longer. Longer ones share bins of a relative width of at most 2/`exact_to`, whose sums of lengths and largest length are
+exact: padding is counted exactly, but boundaries inside a bin are not considered. An optimal boundary raised to the top
+of its bin adds less than 2/`exact_to` of it to each document below, so the lost padding is less than 1/65,536 of the
+padded size of the buckets beyond `exact_to`, and the histogram stays bounded for any corpus.
 
 A bucket may hold most of the corpus, so ranks inside a bucket come from shards: a row number in each shard and the
 counts of the shards before it. Only the last batch of a bucket can be part-filled.
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import join_checked, let, n_words, stage
 
+EXACT_TO = 1 << 17
 _OWN = ["n_tokens", "bucket", "bucket_length", "batch", "slot", "padding"]
 
 
@@ -83,7 +86,7 @@ def plan_buckets(lengths: DataFrame, n_buckets: int, exact_to: int) -> list[int]
     return best_boundaries(top, n, s, n_buckets)[0]
 
 
-def pack(docs: DataFrame, text: str = "text", n_buckets: int = 16, token_budget: int = 16384, exact_to: int = 1024, rows_per_shard: int = 50_000, length: Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", n_buckets: int = 16, token_budget: int = 16384, exact_to: int = EXACT_TO, rows_per_shard: int = 50_000, length: Column | None = None) -> DataFrame:
     """docs with n_tokens, bucket, bucket_length, batch (bucket and number), slot (place in the batch) and padding.
 
     `length` is the token count of a row, words by default.

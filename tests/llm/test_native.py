@@ -4,7 +4,7 @@ import hashlib
 import math
 import random
 from collections import Counter, defaultdict
-from itertools import combinations_with_replacement
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pytest
@@ -175,3 +175,14 @@ def test_pack(spark, docs, none):
         part[members[0].bucket] += len(members) < room
     assert max(part.values()) <= 1
     assert packing.pack(docs).count() == len(ROWS) and packing.pack(none).count() == 0 and packing.report(none).count() == 0
+
+
+def test_boundaries_among_long_lengths(spark):
+    """Lengths beyond 1,024 are boundaries each: as many buckets as lengths leave no padding, fewer the least there is."""
+    lengths = [1024] * 9 + [1025] * 9 + [20000] * 5 + [20001] * 4 + [20019] * 3
+    df = spark.createDataFrame([(i, "x", n) for i, n in enumerate(lengths)], "doc_id long, text string, n long")
+    assert packing.pack(df, n_buckets=5, length=F.col("n")).agg(F.sum("padding")).first()[0] == 0
+    for k in (2, 3, 4):
+        tops = sorted(set(lengths))
+        want = min(sum(min(b for b in (*c, tops[-1]) if b >= n) - n for n in lengths) for c in combinations(tops[:-1], k - 1))
+        assert packing.pack(df, n_buckets=k, length=F.col("n")).agg(F.sum("padding")).first()[0] == want
