@@ -1,6 +1,7 @@
 """The shingle join and line deduplication against brute force."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +64,20 @@ def test_join_edges(spark):
     assert ngram_join.link_components(df.limit(0)).count() == 0
 
 
+def test_near_copies_with_malformed_ids(spark):
+    """Rows of one id with different texts stay, near copies go whatever their ids, null ids too."""
+    r = random.Random(3)
+    text = lambda: " ".join(r.choice("abcdefghijklmnop") * r.randint(1, 4) for _ in range(120))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a), (1, b), (1, a), (2, a + " more"), (None, c), (None, c + " more"), (None, d), (None, b + " end"), (4, None), (4, None), (5, "x"), (5, "y"), (None, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((x.doc_id, x.text) for x in ngram_join.keep_one(df).collect())
+    late = {k: n for k, n in got.items() if k in ((None, c), (None, c + " more"))}
+    assert sum(late.values()) == 1
+    assert got - Counter(late) == Counter([(1, a), (1, b), (None, d), (4, None), (5, "x"), (5, "y"), (None, ""), (None, None)])
+    assert ngram_join.keep_one(df.filter("doc_id is null and text is null")).count() == 1
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 101), (102, 101), (7, 7), (100, 102)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
