@@ -1,15 +1,17 @@
-"""Staged tables, size-checked joins, ranks without a single sorting task."""
+"""Staged tables, size-checked joins, ranks and running sums without a single sorting task."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A table is broadcast only when its counted rows stay at or below this number.
-BROADCAST_ROWS = 200_000
+#: A table is broadcast only when its measured bytes stay at or below this number.
+BROADCAST_BYTES = 16 << 20
 
 #: While a table is staged: its shuffle files go as soon as the write ends, and batches for Python stay small.
 _WHILE = {
@@ -20,9 +22,11 @@ _WHILE = {
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only in local mode, where there is one machine."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("loomtext.shared.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-loomtext-")
         spark.conf.set("loomtext.shared.dir", folder)
     return folder.rstrip("/")
@@ -53,26 +57,69 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return stage_at(df, name)[0]
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a broadcast where small has at most `most` rows (counted; pass a staged table), else with a
-    shuffled join whose large partitions adaptive execution splits."""
-    if small.limit(most + 1).count() <= most:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small.hint("merge"), on, how)
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; files outside of the shared folder are left alone."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if "/loomtext-" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _width(column: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, roughly: 8 for each number, the length of strings and binaries."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+            return F.coalesce(F.aggregate(column, F.lit(0).cast("long"), lambda acc, x: acc + _width(x, kind.elementType)), F.lit(0)) + 16
+        return 8 * F.greatest(F.size(column), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(column[f.name], f.dataType) for f in kind), F.lit(16))
+    return F.lit(8)
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes that the rows of df take in memory, from one aggregate over them."""
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(32))
+    return int(df.agg(F.sum(width.cast("long"))).first()[0] or 0)
+
+
+def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
+    """Join with a broadcast where small has at most `most` measured bytes (pass a staged table), else with a shuffled
+    join whose large partitions adaptive execution splits."""
+    return big.join(F.broadcast(small) if measured_bytes(small) <= most else small, on, how)
+
+
+def _dealt(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> tuple[DataFrame, list[Column]]:
+    """df in staged range partitions, with (_at: partition) and the totals of `sums` in the partitions before each."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stage(df.repartitionByRange(parts, *order).withColumn("_at", F.spark_partition_id()), "ranges")
+    rows = dealt.groupBy("_at").agg(*[F.sum(c).alias(x) for x, c in sums.items()]).collect()  # one row for each partition
+    totals = {r["_at"]: r for r in rows}
+    before = []
+    for x in sums:
+        run, listed = 0, []
+        for at in range(max(totals, default=-1) + 1):
+            listed.append(run)
+            run += (totals[at][x] or 0) if at in totals else 0
+        before.append(F.element_at(F.expr("array(" + ",".join(f"{n}L" for n in listed or [0]) + ")"), F.col("_at") + 1))
+    return dealt, before
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """0-based rank over the whole table: range partitions, a row number in each, and the counts of those before."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stage(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    offset, before = [], 0
-    for row in sorted(dealt.groupBy("_part").count().collect()):  # one row for each partition
-        offset += [F.lit(row[0]), F.lit(before)]
-        before += row[1]
-    if not offset:
-        return dealt.drop("_part").withColumn(name, F.lit(0).cast("long"))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return dealt.withColumn(name, (local + F.create_map(*offset)[F.col("_part")]).cast("long")).drop("_part")
+    dealt, before = _dealt(df, order, {"n": F.lit(1)})
+    local = F.row_number().over(Window.partitionBy("_at").orderBy(*order)) - 1
+    return dealt.withColumn(name, (local + before[0]).cast("long")).drop("_at")
+
+
+def running_sum(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """The sum of value over all rows up to each, in the given order, found like global_rank."""
+    dealt, before = _dealt(df, order, {"n": value})
+    w = Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.withColumn(name, (F.sum(value).over(w) + before[0]).cast("long")).drop("_at")
 
 
 def let(value: Column, body) -> Column:
