@@ -1,23 +1,26 @@
 """Exact deduplication as a stream: keyed state on disk holds digest, stable identifier and content locator.
 
 The documents' keys (digest, id, length, locator) arrive as a stream. The state, one entry for each digest, lives in
-RocksDB under the checkpoint folder and never expires; it keeps the best row so far, its locator and a count. Each
-micro-batch emits the entries that it changed, and the last emission of a digest is its group. A digest that was hit
-more than once is then checked on full bytes: all texts under it must have one minimum and maximum, which partial
-aggregation reduces to a row in each task before anything moves, however many copies there are. Texts that differ
-under one digest (none are known for SHA-256) stop the job with an error rather than being merged.
+RocksDB under the checkpoint folder and never expires; it keeps the best row so far, its locator (file and position, by
+which the row is read again) and a count. Each micro-batch emits the entries that it changed, and the last emission of a
+digest is its group. A digest that was hit again is checked on full bytes: a Bloom filter of the hit digests picks their
+rows in place, and all texts under a digest, its keeper's among them, must have one minimum and maximum, which partial
+aggregation reduces to a row in each task before anything moves, however many copies there are. Rows whose texts differ
+under one digest (none are known for SHA-256) are grouped by their full text instead.
 
 Null text counts as empty, all empty texts are equal. Ties go to the smallest doc_id, a null doc_id loses to any
-other; of fully equal rows the first in the table's order stays. Extra columns do no harm. An empty table gives an
-empty result.
+other; of fully equal rows the first by its locator stays. doc_id may have any type that has an order. Rows that share
+an id are rows of their own. Extra columns, whatever their names, do no harm. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACES, new_path, stage, stage_at, text_or_empty
+from .common import SPACES, bloom, join_checked, new_path, of_row, rows_of, stage, stage_at, text_or_empty, unpacked, without
 
 _ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -29,6 +32,12 @@ _ROCKS = {
 }
 
 
+def _group() -> list[Column]:
+    """Size and best row of a group: most code points, then smallest id (null last), then first locator."""
+    best = F.struct((-F.col("n_points")).alias("neg_points"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("at"))
+    return [F.count(F.lit(1)).alias("group_size"), F.min(best).alias("best")]
+
+
 def normalised(text: Column) -> Column:
     """The text without white space."""
     return F.translate(text_or_empty(text), SPACES, "")
@@ -39,18 +48,15 @@ def _digest(text: Column) -> Column:
 
 
 def keyed_state(keys: DataFrame, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Run the stream over the staged keys; (digest, group_size, best) as the state has them at the end.
-
-    best orders by code points, then by smallest id, then by first locator.
-    """
+    """Run the stream over the staged keys(doc_id, digest, n_points, at); (digest, group_size, best) as the state has
+    them at the end."""
     spark = keys.sparkSession
     updates, before = new_path(spark, "updates"), {k: spark.conf.get(k, None) for k in _ROCKS}
     for k, v in _ROCKS.items():
         spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(keys.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-        best = F.struct("n_points", (-F.col("doc_id")).alias("neg_id"), (-F.col("locator")).alias("neg_locator"))
-        state = stream.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.max(best).alias("best"))
+        state = stream.groupBy("digest").agg(*_group())
 
         def emit(batch: DataFrame, number: int) -> None:
             batch.write.mode("overwrite").parquet(f"{updates}/batch={number}")
@@ -60,43 +66,43 @@ def keyed_state(keys: DataFrame, path: str, files_per_batch: int = 1000) -> Data
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    schema = "digest binary, group_size long, best struct<n_points:int,neg_id:bigint,neg_locator:bigint>, batch int"
+    empty = keys.groupBy("digest").agg(*_group())
     if not keys.limit(1).count():
-        return spark.createDataFrame([], schema).drop("batch")
-    last = spark.read.schema(schema).parquet(updates).groupBy("digest").agg(F.max(F.struct("batch", "group_size", "best")).alias("s"))
-    return last.select("digest", "s.group_size", "s.best")
+        return empty
+    last = spark.read.schema(empty.withColumn("batch", F.lit(0)).schema).parquet(updates)
+    return last.groupBy("digest").agg(F.max_by(F.struct("group_size", "best"), "batch").alias("s")).select("digest", "s.group_size", "s.best")
 
 
-def clashes(docs: DataFrame, hits: DataFrame, text: str = "text") -> DataFrame:
-    """Digests of `hits` under which the full texts differ."""
-    rows = docs.select(_digest(F.col(text)).alias("digest"), normalised(F.col(text)).alias("full"))
-    if hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # else all texts take part, which only costs time
-        rows = rows.join(F.broadcast(hits.select("digest")), "digest", "left_semi")
-    return rows.groupBy("digest").agg(F.min("full").alias("a"), F.max("full").alias("b")).filter("a <> b").select("digest")
+def clashes(rows: DataFrame, hits: DataFrame, text: str = "text", digest: Callable[[Column], Column] = _digest) -> DataFrame:
+    """Digests of the staged table hits(digest) under which the full texts of rows(row, at) differ."""
+    hit = bloom(hits, lambda: F.col("digest"))
+    texts = rows.select(digest(of_row(text)).alias("digest"), normalised(of_row(text)).alias("full")).filter(hit(F.col("digest")))
+    return texts.groupBy("digest").agg(F.min("full").alias("a"), F.max("full").alias("b")).filter("a <> b").select("digest")
 
 
-def exact_groups(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(F.col(text)).alias("digest"), F.length(text_or_empty(F.col(text))).alias("n_points"), F.monotonically_increasing_id().alias("locator"))
-    keys, path = stage_at(keys, "keys")
+def _grouped(rows: DataFrame, text: str, digest: Callable[[Column], Column]) -> DataFrame:
+    """For rows(row, at): doc_id, digest, at, group_size, best."""
+    measured = [of_row("doc_id").alias("doc_id"), digest(of_row(text)).alias("digest"), F.length(text_or_empty(of_row(text))).alias("n_points"), F.col("at")]
+    keys, path = stage_at(rows.select(*measured), "keys")
     groups = stage(keyed_state(keys, path), "groups")
-    bad = stage(clashes(docs, groups.filter("group_size > 1"), text), "clashes")
+    hits = stage(groups.filter("group_size > 1").select("digest"), "hits")
+    bad = stage(clashes(rows, hits, text, digest), "clashes")
     out = keys.join(groups, "digest")
-    out = out.select("doc_id", (-F.col("best.neg_id")).alias("keep_id"), "group_size", (F.col("locator") == -F.col("best.neg_locator")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     if bad.limit(1).count():
-        raise ValueError("different texts share a SHA-256 digest")
-    return out
-
-
-def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row of each group of equal texts, with the columns of docs."""
-    groups = exact_groups(docs, text).filter(~F.col("kept"))
-    gone = stage(groups.select(F.col("doc_id").alias("_gid"), F.col("text_sha256").alias("_gsha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_again")), "gone")
-    rows = docs.withColumn("_sha", F.lower(F.hex(_digest(F.col(text)))))
-    others = gone.filter(~F.col("_again"))
-    if others.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        others = F.broadcast(others)
-    out = rows.join(others, F.col("doc_id").eqNullSafe(F.col("_gid")) & (F.col("_sha") == F.col("_gsha")), "left_anti")
-    if gone.filter("_again").limit(1).count():  # rows repeated with their id: only then must rows meet
-        out = out.dropDuplicates(["doc_id", "_sha"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        split = stage(join_checked(rows.select(*measured, normalised(of_row(text)).alias("full")), bad, ["digest"]), "split")
+        texts = split.groupBy("digest", "full").agg(*_group())
+        out = join_checked(out, bad, ["digest"], "left_anti").unionByName(split.join(texts, ["digest", "full"]).drop("full"))
+    return out.drop("n_points")
+
+
+def exact_groups(docs: DataFrame, text: str = "text", files: bool = False, digest: Callable[[Column], Column] = _digest) -> DataFrame:
+    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256. `files`: see common.rows_of."""
+    rows = _grouped(rows_of(docs, files), text, digest)
+    return rows.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("at") == F.col("best.at")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def keep_first(docs: DataFrame, text: str = "text", files: bool = False, digest: Callable[[Column], Column] = _digest) -> DataFrame:
+    """One row of each group of equal texts, that which exact_groups keeps, with the columns of docs."""
+    rows = rows_of(docs, files)
+    gone = stage(_grouped(rows, text, digest).filter(F.col("at") != F.col("best.at")).select("at"), "copies")
+    return unpacked(without(rows, gone), docs.columns)

@@ -1,20 +1,26 @@
 """Line deduplication: repeated runs of lines by a suffix array over line-ID sequences.
 
 A run of lines with at least `min_words` words that also occurs earlier (by doc_id, then line) is a later copy, and its
-lines are deleted. The suffixes of all line sequences get their ranks by distributed prefix doubling: lines are ranked
-by content, and the rank of 2^(k+1) lines comes from the ranks of the two halves. Suffixes that share L lines form a
-longest-common-prefix interval; two overlapping ranks of 2^k <= L < 2^(k+1) lines name it. The intervals asked for
-are those of the shortest runs with enough words, from each line onwards and up to each line: together they
-cover exactly the maximal repeated runs with enough words, and their length bounds the number of doublings. The first
-member of an interval stays, later ones are deleted; overlapping repeats inside one document count like any others.
-
-Lines that occur once leave after the first grouping. Groups are only ever reduced (count, first position) and joined,
-so a line or run that a third of all documents share is pre-aggregated in each task and split in the join. Documents
-must have fewer than 2^24 lines each.
+lines are deleted. Steps:
+
+1. Lines get ids by content; lines that occur once leave. What is left are suffixes (document, line).
+2. Distributed prefix doubling sorts the suffixes: the rank of 2^(k+1) lines comes from the ranks of the two halves. A
+   half that is missing (the document ends, or a line that occurs once stands there) is a symbol of its own. The last
+   ranks are the suffix array, to a depth that covers the longest run asked for.
+3. The longest common prefix of each suffix with its neighbour in that order is found by descending the ranks of all
+   levels: where the ranks of 2^k lines agree, both move on by 2^k lines.
+4. Intervals of suffixes whose common prefixes reach a run's length are its copies: a new interval begins where the
+   common prefix is shorter, and a running sum over the suffix order numbers them. The runs asked for are the shortest
+   ones with enough words from each line onwards and up to each line; together they cover exactly the maximal repeated
+   runs with enough words. The first member of an interval stays, later ones are deleted.
+
+Overlapping repeats inside one document count like any others. Groups are only ever reduced (count, first place) and
+joined, so a line or run that a third of all documents share is pre-aggregated in each task and split in the join.
+Documents may have any number of lines. Lines are equal when their 128-bit hashes are.
 
 Null and empty texts have one empty line, never deleted (it has no words). Rows that repeat with their doc_id are
-copies in the order in which the table has them; null doc_ids come last. Extra columns are kept by `clean`. An empty
-table gives an empty result.
+copies in the order of their places in the table's files; null doc_ids come last. Extra columns, whatever their names,
+are kept by `clean`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_rank, join_checked, stage
+from .common import discard, global_rank, join_checked, let, of_row, rows_of, running_sum, stage, text_or_empty, with_sparse
 
 MIN_WORDS = 50
-_SHIFT = 1 << 24
 
 
 def windows(n_words: list[int], least: int) -> tuple[list[int], list[int]]:
@@ -56,9 +61,9 @@ def windows(n_words: list[int], least: int) -> tuple[list[int], list[int]]:
 
 
 def _lines(rows: DataFrame, min_words: int) -> DataFrame:
-    """rows(rid, text) -> a row for each line: rid, line, id1, id2 (128-bit content id), chars, onward, upto."""
-    names = ["rid", "line", "id1", "id2", "chars", "onward", "upto"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    """rows(file, pos, text) -> a row for each line: file, pos, i, id1, id2 (128-bit content id), chars, onward, upto."""
+    names = ["file", "pos", "i", "id1", "id2", "chars", "onward", "upto"]
+    kinds = [pa.int64()] * 6 + [pa.int32()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[] for _ in names]
@@ -70,78 +75,111 @@ def _lines(rows: DataFrame, min_words: int) -> DataFrame:
             return out
 
         for batch in batches:
-            for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text"), strict=True):
+            for file, pos, text in zip(batch.column("file").to_pylist(), batch.column("pos").to_pylist(), batch.column("text"), strict=True):
                 lines = (text.as_py() or "").split("\n")
-                ids = [xxhash.xxh3_128_intdigest(x.encode()) for x in lines]
-                onward, upto = windows([len(x.encode().split()) for x in lines], min_words)
-                cols[0] += [rid] * len(lines)
-                cols[1] += range(len(lines))
-                cols[2] += [(i >> 64) - (1 << 63) for i in ids]
-                cols[3] += [(i & ((1 << 64) - 1)) - (1 << 63) for i in ids]
-                cols[4] += map(len, lines)
-                cols[5] += onward
-                cols[6] += upto
+                data = [x.encode() for x in lines]
+                ids = [xxhash.xxh3_128_intdigest(x) for x in data]
+                onward, upto = windows([len(x.split()) for x in data], min_words)
+                cols[0] += [file] * len(lines)
+                cols[1] += [pos] * len(lines)
+                cols[2] += range(len(lines))
+                cols[3] += [(i >> 64) - (1 << 63) for i in ids]
+                cols[4] += [(i & ((1 << 64) - 1)) - (1 << 63) for i in ids]
+                cols[5] += map(len, lines)
+                cols[6] += onward
+                cols[7] += upto
                 if len(cols[0]) > 50_000:
                     yield flush()
         if cols[0]:
             yield flush()
 
-    return rows.select("rid", "text").mapInArrow(run, "rid long, line long, id1 long, id2 long, chars long, onward int, upto int")
+    return rows.select("file", "pos", "text").mapInArrow(run, "file long, pos long, i long, id1 long, id2 long, chars long, onward int, upto int")
 
 
-def _ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """rows whose keys occur twice or more, with r: the rank of the keys."""
-    groups = stage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"), f"{name}-groups")
+def _ranked(rows: DataFrame, keys: list[str], name: str, least: int = 1) -> DataFrame:
+    """rows with r: the rank of their keys, among those that occur at least `least` times."""
+    groups = stage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).drop("n"), f"{name}-groups")
     ranks = stage(global_rank(groups, [F.col(k) for k in keys], "r"), f"{name}-ranks")
-    return join_checked(rows, ranks, keys)
-
-
-def deletions(rows: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """For rows(rid, doc_id, text): the deleted lines (rid, line, chars), and a row (rid, doc_id, n_lines, n_chars) for each document."""
-    lines = stage(_lines(rows, min_words), "lines")
-    whole = lines.groupBy("rid").agg(F.count(F.lit(1)).alias("n_lines"), (F.sum("chars") + F.count(F.lit(1)) - 1).alias("n_chars"))
-    ids = stage(rows.select("rid", "doc_id"), "ids")
-    order = stage(global_rank(ids, [F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid")], "d"), "order")
-    kept = _ranked(lines, ["id1", "id2"], "lines").select("rid", "line", "chars", "onward", "upto", "r")
-    kept = stage(kept.join(order.select("rid", "d"), "rid").withColumn("p", F.col("d") * _SHIFT + F.col("line")), "repeated-lines")
-    runs = kept.filter("onward > 0").select("p", F.col("onward").alias("n")).union(kept.filter("upto > 0").select(F.col("p") - F.col("upto") + 1, "upto"))
-    runs = stage(runs.distinct(), "runs")
-    longest = runs.agg(F.max("n")).first()[0] or 0
-    level, k, found = kept.select("p", "r"), 0, []
-    while (1 << k) <= longest:
-        asked = runs.filter((F.col("n") >= (1 << k)) & (F.col("n") < (2 << k)))
-        tail = level.select((F.col("p")).alias("q"), F.col("r").alias("r2"))
-        named = stage(asked.join(level, "p").withColumn("q", F.col("p") + F.col("n") - (1 << k)).join(tail, "q").select("p", "n", "r", "r2"), "named")
-        firsts = named.groupBy("n", "r", "r2").agg(F.min("p").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-        found.append(join_checked(named, stage(firsts, "firsts"), ["n", "r", "r2"]).filter("p > first").select("p", "n"))
+    out = stage(join_checked(rows, ranks, keys), name)
+    discard(groups, ranks)
+    return out
+
+
+def suffix_order(first: DataFrame, depth: int) -> list[DataFrame]:
+    """For first(d, i, r), the ranks of the lines that occur again: tables (d, i, r) with the ranks of 1, 2, 4 ... lines
+    from each of them, until they cover `depth` lines; the last one is the order of the suffixes."""
+    levels, k = [first], 0
+    while (1 << k) < depth:
+        level = levels[-1]
+        half = level.select("d", (F.col("i") - (1 << k)).alias("i"), F.col("r").alias("r2"))
+        none = F.col("r2").isNull()
+        pairs = level.join(half, ["d", "i"], "left").select("d", "i", F.col("r").alias("r1"), F.coalesce("r2", F.lit(-1)).alias("r2"), F.when(none, F.col("d")).otherwise(-1).alias("own_d"), F.when(none, F.col("i")).otherwise(-1).alias("own_i"))
+        pairs = stage(pairs, "halves")
+        levels.append(_ranked(pairs, ["r1", "r2", "own_d", "own_i"], f"ranks-{k + 1}").select("d", "i", "r"))
+        discard(pairs)
         k += 1
-        if (1 << k) <= longest:
-            half = level.select((F.col("p") - (1 << (k - 1))).alias("p"), F.col("r").alias("r2"))
-            pairs = stage(level.join(half, "p"), "halves")
-            level = stage(_ranked(pairs.withColumnRenamed("r", "r1"), ["r1", "r2"], "doubled").select("p", "r"), "level")
-    if not found:
-        return kept.limit(0).select("rid", "line", "chars"), ids.join(whole, "rid")
-    spans = found[0]
-    for x in found[1:]:
-        spans = spans.union(x)
-    gone = spans.select(F.explode(F.sequence(F.col("p"), F.col("p") + F.col("n") - 1)).alias("p")).distinct()
-    return stage(kept.select("p", "rid", "line", "chars").join(gone, "p", "left_semi").drop("p"), "deleted"), ids.join(whole, "rid")
-
-
-def report(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each document: doc_id, n_lines, n_deleted, n_chars (of the text that stays), deleted (line numbers from 0)."""
-    gone, whole = deletions(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col(text).alias("text")), min_words)
-    per = gone.groupBy("rid").agg(F.count(F.lit(1)).alias("k"), F.sum("chars").alias("c"), F.sort_array(F.collect_list("line")).alias("deleted"))
+    return levels
+
+
+def common_prefixes(levels: list[DataFrame]) -> DataFrame:
+    """(d, i, place, lcp): the suffixes in order, and the lines that each shares with the one before it, to twice the
+    depth of the last level less one."""
+    order = stage(global_rank(levels[-1], [F.col("r"), F.col("d"), F.col("i")], "place"), "suffix-array")
+    before = order.select((F.col("place") + 1).alias("place"), F.col("d").alias("e"), F.col("i").alias("j"))
+    pairs = stage(order.join(before, "place", "left").select("d", "i", "place", "e", "j", F.lit(0).cast("long").alias("lcp")), "neighbours")
+    for k in range(len(levels) - 1, -1, -1):
+        mine = levels[k].select("d", F.col("i").alias("at"), F.col("r").alias("a"))
+        theirs = levels[k].select(F.col("d").alias("e"), F.col("i").alias("to"), F.col("r").alias("b"))
+        moved = pairs.withColumns({"at": F.col("i") + F.col("lcp"), "to": F.col("j") + F.col("lcp")}).join(mine, ["d", "at"], "left").join(theirs, ["e", "to"], "left")
+        after = stage(moved.select("d", "i", "place", "e", "j", (F.col("lcp") + F.when(F.col("a") == F.col("b"), 1 << k).otherwise(0)).alias("lcp")), f"common-{k}")
+        discard(pairs)
+        pairs = after
+    discard(order)
+    return pairs.select("d", "i", "place", "lcp")
+
+
+def deletions(rows: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For rows(row, at): the deleted lines (d, i, chars), the documents (doc_id, at, d) with d their rank by doc_id
+    (null last) and place, and the sizes (file, pos, n_lines, n_chars)."""
+    lines = stage(_lines(rows.select("at.file", "at.pos", of_row(text).alias("text")), min_words), "lines")
+    whole = lines.groupBy("file", "pos").agg(F.count(F.lit(1)).alias("n_lines"), (F.sum("chars") + F.count(F.lit(1)) - 1).alias("n_chars"))
+    ids = stage(rows.select(of_row("doc_id").alias("doc_id"), "at"), "ids")
+    order = stage(global_rank(ids, [F.col("doc_id").isNull(), F.col("doc_id"), F.col("at")], "d"), "order")
+    repeated = _ranked(lines, ["id1", "id2"], "repeated-lines", 2).drop("id1", "id2")
+    repeated = stage(repeated.join(order.select("at.file", "at.pos", "d"), ["file", "pos"]).drop("file", "pos"), "repeated")
+    asked = repeated.filter("onward > 0").select("d", "i", F.col("onward").alias("n")).union(repeated.filter("upto > 0").select("d", F.col("i") - F.col("upto") + 1, "upto"))
+    asked = stage(asked.distinct(), "runs")
+    levels = suffix_order(repeated.select("d", "i", "r"), asked.agg(F.max("n")).first()[0] or 1)
+    suffixes = stage(common_prefixes(levels), "lcp-array")
+    runs = suffixes.join(asked, ["d", "i"]).withColumn("begins", (F.col("lcp") < F.col("n")).cast("int"))
+    numbered = stage(running_sum(runs, [F.col("n"), F.col("place")], F.col("begins"), "interval"), "intervals")
+    firsts = numbered.groupBy("interval").agg(F.min(F.struct("d", "i")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    later = join_checked(numbered, stage(firsts, "firsts"), ["interval"]).filter(F.struct("d", "i") != F.col("first"))
+    gone = later.select("d", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1)).alias("i")).distinct()
+    out = stage(repeated.select("d", "i", "chars").join(gone, ["d", "i"], "left_semi"), "deleted")
+    discard(*levels[1:], suffixes, numbered, repeated, asked, ids)
+    return out, order, whole
+
+
+def report(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, files: bool = False) -> DataFrame:
+    """One row for each document: doc_id, n_lines, n_deleted, n_chars (of the text that stays), deleted (line numbers from
+    0). `files`: see common.rows_of."""
+    gone, order, whole = deletions(rows_of(docs, files), text, min_words)
+    per = gone.groupBy("d").agg(F.count(F.lit(1)).alias("k"), F.sum("chars").alias("c"), F.sort_array(F.collect_list("i")).alias("deleted"))
     k = F.coalesce("k", F.lit(0))
     left = F.when(k == F.col("n_lines"), 0).otherwise(F.col("n_chars") - F.coalesce("c", F.lit(0)) - k)
-    return whole.join(per, "rid", "left").select("doc_id", "n_lines", k.alias("n_deleted"), left.alias("n_chars"), F.coalesce("deleted", F.array().cast("array<bigint>")).alias("deleted"))
+    out = whole.join(order.select("doc_id", "d", "at.file", "at.pos"), ["file", "pos"]).join(per, "d", "left")
+    return out.select("doc_id", "n_lines", k.alias("n_deleted"), left.alias("n_chars"), F.coalesce("deleted", F.array().cast("array<bigint>")).alias("deleted"))
 
 
-def clean(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def clean(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, files: bool = False) -> DataFrame:
     """docs without the later copies of repeated runs."""
-    rows = stage(docs.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
-    gone, _ = deletions(rows.select(F.col("_rid").alias("rid"), "doc_id", F.col(text).alias("text")), min_words)
-    per = stage(gone.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list("line").alias("_gone")), "gone")
-    left = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("_gone", i.cast("long")))
-    out = join_checked(rows, per, ["_rid"], "left")
-    return out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = rows_of(docs, files)
+    gone, order, _ = deletions(rows, text, min_words)
+    per = stage(gone.groupBy("d").agg(F.collect_list("i").alias("gone")).join(order, "d").select("at", "gone"), "gone")
+    lines = F.split(text_or_empty(of_row(text)), "\n")
+    numbers = lambda x: F.array_except(F.sequence(F.lit(0).cast("long"), F.size(x).cast("long") - 1), F.col("gone"))
+    left = let(lines, lambda x: F.array_join(F.transform(numbers(x), lambda n: F.get(x, n.cast("int"))), "\n"))
+    out = with_sparse(rows, per)
+    cleaned = F.when(F.col("gone").isNull(), of_row(text)).otherwise(left)
+    return out.select(*[(cleaned if c == text else of_row(c)).alias(c) for c in docs.columns])

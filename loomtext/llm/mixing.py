@@ -11,7 +11,8 @@ block, up to one root for each source: a reduction tree whose levels are plain g
 third of all rows is a third of the blocks. Random numbers are hashes of the two documents, so reruns agree.
 
 Null text has size 0, null source is a source of its own (last in the order), documents of size 0 take the whole
-part only. Repeated rows are documents of their own in `mix`. An empty table gives an empty result.
+part only. Rows that repeat, or share an id, are documents of their own. Extra columns, whatever their names, do no
+harm. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_key, global_rank, join_checked, let, n_words, stage
+from .common import fold_key, global_rank, join_checked, let, n_words, of_row, rows_of, stage, unpacked
 
 WEIGHTS = (3, 1, 2)
 
@@ -83,23 +84,20 @@ def _fold(items: Column, done_type: str, seed: int) -> Column:
     return F.aggregate(F.slice(items, 2, F.greatest(F.size(items), F.lit(1))), zero, pair)
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", keep: tuple[str, ...] = ("doc_id",), weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, block: int = 64, size: Column | None = None) -> DataFrame:
-    """A row for each document: the columns `keep`, _k and _kn (its source), size, source_size, target, copies.
+def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, block: int = 64) -> DataFrame:
+    """For rows(key, name, source, size): key, _k and _kn (the source), size, source_size, target, copies.
 
-    `keep` names the columns that identify a document; they also seed its random numbers. `size` is the words of the
-    text unless given.
+    `key` is carried along. `name` seeds a row's random numbers; rows of one name and size are interchangeable.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in keep])
-    sizes = fold_key(docs.select(*{*keep, source}, (n_words(F.col(text)) if size is None else size).alias("size")), source)
-    sizes = stage(sizes.select("_k", "_kn", row.alias("row"), "size"), "sizes")
+    sizes = stage(fold_key(rows, "source").select("_k", "_kn", "key", F.xxhash64("name").alias("u"), "size"), "sizes")
     sources = stage(source_targets(sizes, weights, share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     every = join_checked(sizes, sources, ["_k", "_kn"]).withColumns({"_whole": F.floor(rate).cast("int"), "_p": rate - F.floor(rate)})
     opens = (F.col("size") > 0) & (F.col("_p") > 0)
-    done_type = f"array<struct<row:struct<row:{sizes.schema['row'].dataType.simpleString()},size:bigint>,copies:int>>"
-    item = F.struct(F.xxhash64("row", F.lit(seed)).alias("u"), F.struct("row", "size").alias("row"), F.col("size").cast("double").alias("size"), F.col("_p").alias("p"))
+    done_type = f"array<struct<row:struct<key:{sizes.schema['key'].dataType.simpleString()},size:bigint>,copies:int>>"
+    item = F.struct(F.xxhash64("u", F.lit(seed)).alias("u"), F.struct("key", "size").alias("row"), F.col("size").cast("double").alias("size"), F.col("_p").alias("p"))
     blocks = F.ceil(F.col("n") / block)
-    level = every.filter(opens).select("_k", "_kn", F.pmod(F.xxhash64("row", F.lit(seed + 1)), blocks).alias("blk"), item.alias("it"))
+    level = every.filter(opens).select("_k", "_kn", F.pmod(F.xxhash64("u", F.lit(seed + 1)), blocks).alias("blk"), item.alias("it"))
     deepest = every.agg(F.max(blocks)).first()[0] or 1
     parts = []
     while True:
@@ -115,24 +113,31 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", keep: tuple
     rounded = parts[0]
     for p in parts[1:]:
         rounded = rounded.union(p)
-    rounded = rounded.select("_k", "_kn", "row.row", "row.size", "copies").unionByName(every.filter(~opens).select("_k", "_kn", "row", "size", F.lit(0).alias("copies")))
+    rounded = rounded.select("_k", "_kn", "row.key", "row.size", "copies").unionByName(every.filter(~opens).select("_k", "_kn", "key", "size", F.lit(0).alias("copies")))
     out = join_checked(rounded, sources, ["_k", "_kn"])
-    return out.select(*[F.col(f"row.`{c}`") for c in keep], "_k", "_kn", "size", "source_size", "target", (F.floor(rate).cast("int") + F.col("copies")).alias("copies"))
+    return out.select("key", "_k", "_kn", "size", "source_size", "target", (F.floor(rate).cast("int") + F.col("copies")).alias("copies"))
 
 
-def report(docs: DataFrame, **how) -> DataFrame:
+def _units(rows: DataFrame, key: Column, text: str, source: str) -> DataFrame:
+    """For rows(row, at): what `mix` needs. Texts are measured in place; none is shuffled."""
+    name = F.struct(of_row("doc_id").alias("doc_id"), F.xxhash64(of_row(text)).alias("text"))
+    return rows.select(key.alias("key"), name.alias("name"), of_row(source).alias("source"), n_words(of_row(text)).alias("size"))
+
+
+def report(docs: DataFrame, text: str = "text", source: str = "source", **how) -> DataFrame:
     """One row for each document: what the mix takes of it."""
-    return mix(docs, **how).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    rows = docs.select(F.struct("doc_id", F.col(f"`{text}`"), F.col(f"`{source}`")).alias("row"))
+    taken = mix(_units(rows, of_row("doc_id"), text, source), **how)
+    return taken.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-def mixed(docs: DataFrame, text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The mix itself: docs with each row as often as the mix takes it.
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", files: bool = False, **how) -> DataFrame:
+    """The mix itself: docs with each row as often as the mix takes it. `files`: see common.rows_of.
 
-    Rows that share doc_id and source are one unit here and are taken together, as many times as the first of them.
+    Every row is a unit of its own, told by its place in its file. Of rows that are equal in id and text, it is not
+    fixed which are taken, only how many.
     """
-    units = docs.select("doc_id", source, n_words(F.col(text)).alias("_size")).dropDuplicates(["doc_id", source])  # no texts are shuffled here
-    taken = mix(units, text, source, size=F.col("_size"), **how)
-    taken = stage(taken.filter("copies > 0").select("doc_id", "_k", "_kn", F.col("copies").alias("_copies")), "copies")
-    out = fold_key(docs, source).withColumn("_id", F.struct("doc_id")).join(taken.withColumn("_id", F.struct("doc_id")).drop("doc_id"), ["_id", "_k", "_kn"])
-    out = out.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = rows_of(docs, files)
+    taken = stage(mix(_units(rows, F.col("at"), text, source), **how).filter("copies > 0").select(F.col("key").alias("at"), "copies"), "copies")
+    times = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth")
+    return unpacked(join_checked(rows, taken, ["at"]).select("row", times), docs.columns)

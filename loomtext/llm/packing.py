@@ -14,7 +14,8 @@ A bucket may hold most of the corpus, so ranks inside a bucket come from shards:
 counts of the shards before it. Only the last batch of a bucket can be part-filled.
 
 Null and empty texts have length 0 and are packed like any others. Repeated rows are packed each. A document longer
-than the budget has a batch of its own. An empty table gives an empty result. Extra columns are kept.
+than the budget has a batch of its own. An empty table gives an empty result. Extra columns are kept, whatever their
+names; only those that bear the name of a column added here give way to it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_checked, let, n_words, stage
+from .common import join_checked, let, n_words, of_row, stage
 
 EXACT_TO = 1 << 17
 _OWN = ["n_tokens", "bucket", "bucket_length", "batch", "slot", "padding"]
@@ -92,26 +93,28 @@ def pack(docs: DataFrame, text: str = "text", n_buckets: int = 16, token_budget:
     `length` is the token count of a row, words by default.
     """
     taken = {c for c in docs.columns if c.lower() in _OWN}
-    rows = docs.drop(*taken).withColumn("n_tokens", n_words(F.col(text)) if length is None else length.cast("long"))
-    seed = F.xxhash64(*[F.col(c) for c in ("doc_id",) if c in docs.columns], F.length(text))
-    sizes = stage(rows.select("n_tokens", seed.alias("_seed")), "lengths")  # texts are measured once for all statistics
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that no working column meets one of docs
+    ids = [of_row(c) for c in ("doc_id",) if c in docs.columns]
+    n = n_words(of_row(text)) if length is None else F.col("n_given")
+    rows = docs.select(whole, *([] if length is None else [length.cast("long").alias("n_given")]))
+    rows = rows.select("row", n.alias("n_tokens"), F.xxhash64(*ids, F.length(of_row(text))).alias("seed"))
+    sizes = stage(rows.select("n_tokens", "seed"), "lengths")  # texts are measured once for all statistics
     bounds = plan_buckets(sizes, n_buckets, exact_to)
     edges = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
     bucket = let(F.col("n_tokens"), lambda n: F.size(F.filter(edges, lambda b: b < n)))
     sizes = sizes.withColumn("bucket", bucket)
     counts = sizes.groupBy("bucket").count().collect()  # one row for each bucket
     shards = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r[0], max(1, -(-r[1] // rows_per_shard)))]), F.col("bucket")) if counts else F.lit(1)
-    rows = rows.withColumn("_seed", seed).withColumn("bucket", bucket).withColumn("bucket_length", F.get(edges, F.col("bucket")))
-    shard = F.pmod(F.col("_seed"), shards).cast("int")
-    rows, sizes = rows.withColumn("_shard", shard), sizes.withColumn("_shard", shard)
-    per = sizes.groupBy("bucket", "_shard").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("bucket").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = stage(per.select("bucket", "_shard", F.coalesce(before, F.lit(0)).alias("_before")), "offsets")
-    local = F.row_number().over(Window.partitionBy("bucket", "_shard").orderBy("_seed", *[c for c in ("doc_id",) if c in docs.columns])) - 1
-    rows = join_checked(rows.withColumn("_local", local), offsets, ["bucket", "_shard"])
-    place, room = F.col("_before") + F.col("_local"), F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.col("bucket_length"), F.lit(1))))
+    shard = F.pmod(F.col("seed"), shards).cast("int")
+    rows, sizes = rows.withColumn("bucket", bucket).withColumn("shard", shard), sizes.withColumn("shard", shard)
+    per = sizes.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = stage(per.select("bucket", "shard", F.coalesce(before, F.lit(0)).alias("before")), "offsets")
+    local = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("seed", *ids)) - 1
+    rows = join_checked(rows.withColumn("local", local), offsets, ["bucket", "shard"]).withColumn("bucket_length", F.get(edges, F.col("bucket")))
+    place, room = F.col("before") + F.col("local"), F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.col("bucket_length"), F.lit(1))))
     rows = rows.withColumns({"batch": F.concat_ws("-", "bucket", F.floor(place / room)), "slot": (place % room).cast("int"), "padding": F.col("bucket_length") - F.col("n_tokens")})
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c not in taken], *_OWN)
+    return rows.select(*[of_row(c).alias(c) for c in docs.columns if c not in taken], *_OWN)
 
 
 def report(docs: DataFrame, text: str = "text", **how) -> DataFrame:

@@ -9,8 +9,9 @@ Everything is an expression or an aggregate; the text is never shuffled. The tex
 table, from which host counts and verdicts come. Three-word windows are compared by 64-bit hashes, so two different
 windows of one text would count as equal once in some 10^13 long texts.
 
-Null text counts as empty (no words: base_failed). A null host is a host of its own. Equal rows get equal verdicts.
-An empty table gives an empty result. Extra columns do no harm and `keep_good` returns the columns of docs.
+Null text counts as empty (no words: base_failed). A null host is a host of its own. Equal rows get equal verdicts, and
+rows that share an id get their own. An empty table gives an empty result. Extra columns, whatever their names, do no
+harm and `keep_good` returns the columns of docs.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACES, fold_key, join_checked, let, stage, text_or_empty, words
+from .common import SPACES, fold_key, join_checked, let, of_row, rows_of, stage, text_or_empty, unpacked, without, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -112,25 +113,24 @@ def host_verdicts(hosts: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return hosts.withColumns(rates).withColumns({"host_suspect": over(rules.suspect_rate), "host_rejected": over(rules.reject_rate)})
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """A row for each document: doc_id, _h (a hash of its text), _m (its measures) and _kept (the verdict)."""
-    rows = docs.select("doc_id", F.col(host).alias("_host"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
-    rows = stage(measure(rows, "_text", rules).drop("_text"), "measures")
-    hosts = stage(host_table(rows, "_host"), "hosts")
+def _judged(rows: DataFrame, text: str, host: str, rules: Rules) -> DataFrame:
+    """For rows(row, at): doc_id, at, _m (the measures) and _kept (the verdict)."""
+    narrow = stage(measure(rows.select(of_row("doc_id").alias("doc_id"), "at", of_row(host).alias("_host"), of_row(text).alias("_text")), "_text", rules).drop("_text"), "measures")
+    hosts = stage(host_table(narrow, "_host"), "hosts")
     verdicts = stage(host_verdicts(hosts, rules).select("_k", "_kn", "host_suspect", "host_rejected"), "verdicts")
     soft = F.col("_m.symbols") | F.col("_m.dup_lines") | F.col("_m.word_length")
     kept = ~F.col("_m.base") & ~F.col("host_rejected") & ~(F.col("host_suspect") & soft)
-    return join_checked(fold_key(rows, "_host"), verdicts, ["_k", "_kn"], "left").select("doc_id", "_h", "_m", kept.alias("_kept"))
+    return join_checked(fold_key(narrow, "_host"), verdicts, ["_k", "_kn"], "left").select("doc_id", "at", "_m", kept.alias("_kept"))
 
 
-def keep_good(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """The documents that stay, with the columns of docs."""
-    gone = stage(judge(docs, text, host, rules).filter(~F.col("_kept")).select(F.col("doc_id").alias("_gid"), F.col("_h").alias("_gh")).distinct(), "rejected")
-    side = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_gid")) & (F.xxhash64(text) == F.col("_gh")), "left_anti")
+def keep_good(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules(), files: bool = False) -> DataFrame:
+    """The documents that stay, with the columns of docs. `files`: see common.rows_of."""
+    rows = rows_of(docs, files)
+    gone = stage(_judged(rows, text, host, rules).filter(~F.col("_kept")).select("at"), "rejected")
+    return unpacked(without(rows, gone), docs.columns)
 
 
-def report(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
+def report(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules(), files: bool = False) -> DataFrame:
     """One row for each document: its measures, base_failed and kept."""
     m = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return judge(docs, text, host, rules).select("doc_id", *[f"_m.{x}" for x in m], F.col("_m.base").alias("base_failed"), F.col("_kept").alias("kept"))
+    return _judged(rows_of(docs, files), text, host, rules).select("doc_id", *[f"_m.{x}" for x in m], F.col("_m.base").alias("base_failed"), F.col("_kept").alias("kept"))

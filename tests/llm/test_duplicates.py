@@ -53,13 +53,13 @@ def test_components_of_texts(spark, heavy):
     rows = list(enumerate(texts))
     r.shuffle(rows)
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, component_id string")
-    got = sorted(tuple(x) for x in ngram_join.link_components(df, heavy=heavy).collect())
+    got = sorted(tuple(x)[:3] for x in ngram_join.link_components(df, heavy=heavy).collect())
     assert got == brute(rows)
 
 
 def test_join_edges(spark):
     df = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A B C D E F G"), (3, None)], "doc_id long, text string")
-    assert sorted(tuple(x) for x in ngram_join.link_components(df).collect()) == [(1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 0, 3)]
+    assert sorted(tuple(x)[:3] for x in ngram_join.link_components(df).collect()) == [(1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 0, 3)]
     assert sorted(x.doc_id for x in ngram_join.keep_one(df).collect()) == [1, 3]
     assert ngram_join.link_components(df.limit(0)).count() == 0
 

@@ -55,17 +55,70 @@ def test_exact_keeps_one_row_each(docs, none):
 
 def test_state_spans_batches(spark, docs):
     """Copies that arrive in different micro-batches meet in the state."""
-    from loomtext.llm.common import stage_at
+    from loomtext.llm.common import rows_of, stage_at
 
-    keys = docs.select("doc_id", exact_dedup._digest(F.col("text")).alias("digest"), F.length(F.coalesce("text", F.lit(""))).alias("n_points"), F.monotonically_increasing_id().alias("locator"))
+    rows = rows_of(docs)
+    keys = rows.select("row.doc_id", exact_dedup._digest(F.col("row.text")).alias("digest"), F.length(F.coalesce("row.text", F.lit(""))).alias("n_points"), "at")
     staged, path = stage_at(keys.repartition(4), "keys")
     one = exact_dedup.keyed_state(staged, path, files_per_batch=1)
     assert one.agg(F.sum("group_size")).first()[0] == len(ROWS) and one.count() == 5
 
 
-def test_digest_clash_is_seen(spark):
-    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
-    assert exact_dedup.clashes(docs, docs.select(exact_dedup._digest(F.col("text")).alias("digest"))).count() == 0
+def test_digest_clash_splits_the_group(spark):
+    """With the parity of the length as digest nearly all texts clash; full bytes keep the groups right."""
+    r = random.Random(8)
+    rows = [(i, r.choice(["a", "b", "c d", "cd", "e" * 40, None, ""])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bit = lambda text: F.encode((F.length(exact_dedup.normalised(text)) % 2).cast("string"), "UTF-8")
+    got = {x.doc_id: (x.keep_id, x.group_size, x.kept) for x in exact_dedup.exact_groups(docs, digest=bit).collect()}
+    want = {x.doc_id: (x.keep_id, x.group_size, x.kept) for x in exact_dedup.exact_groups(docs).collect()}
+    assert got == want and len({k for k, _, _ in want.values()}) == 5
+    assert {x.doc_id for x in exact_dedup.keep_first(docs, digest=bit).collect()} == {k for k, _, _ in want.values()}
+
+
+def test_ids_of_any_kind(spark):
+    """Strings, the least long and repeated ids whose texts differ in white space only."""
+    named = spark.createDataFrame([("b", "x y"), ("a", "xy"), ("c", "z"), (None, "z")], "doc_id string, text string")
+    assert {(x.doc_id, x.keep_id) for x in exact_dedup.exact_groups(named).collect()} == {("b", "b"), ("a", "b"), ("c", "c"), (None, "c")}
+    low = spark.createDataFrame([(-(2**63), "q"), (5, "q")], "doc_id long, text string")
+    assert {x.keep_id for x in exact_dedup.exact_groups(low).collect()} == {-(2**63)}
+    same = spark.createDataFrame([(1, "ab"), (1, "a b")], "doc_id long, text string")
+    assert [x.text for x in exact_dedup.keep_first(same).collect()] == ["a b"]
+
+
+CLASHES = "row string, at long, _k string, _kn string, _sha string, _gid string, _id string, digest string, node long, root string, shard string, seed string, local string, d string, gone string, n_given string"
+
+
+def test_columns_of_any_name(spark):
+    """Working columns meet no column of the user's; all come back as they were."""
+    names = [c.split()[0] for c in CLASHES.split(", ")]
+    values = [7 if c.endswith("long") else "mine" for c in CLASHES.split(", ")]
+    good = " ".join(f"w{i} v{i % 17}" for i in range(60))
+    df = spark.createDataFrame([(i, f"{good} {i % 2}", "s", *values) for i in range(4)], f"doc_id long, text string, source string, {CLASHES}")
+    from loomtext.llm import line_dedup, ngram_join
+
+    for f in (quality_rules.keep_good, exact_dedup.keep_first, ngram_join.keep_one, line_dedup.clean, mixing.mixed, packing.pack):
+        out = f(df)
+        assert out.columns[: len(df.columns)] == df.columns
+        rows = out.collect()
+        assert rows and all([x[c] for c in names] == values for x in rows), f
+
+
+def test_long_lists_of_rows(spark, monkeypatch):
+    """Lists too long for a broadcast: the same rows by Bloom filters and shuffled joins."""
+    from loomtext.functions import tables
+    from loomtext.llm import common, line_dedup, ngram_join
+
+    r = random.Random(6)
+    base = [" ".join(r.choice("abcdefgh") * 3 + str(r.randrange(50)) for _ in range(90)) for _ in range(8)]
+    rows = [(i, r.choice(base) + r.choice(["", " tail", "\n" + base[0]]), f"s{i % 3}") for i in range(80)] + [(None, "junk", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    make = lambda: [sorted(map(repr, f(df).collect())) for f in (quality_rules.keep_good, exact_dedup.keep_first, ngram_join.keep_one, line_dedup.clean, mixing.report)]
+    want = make()
+    for module in (tables, common, ngram_join):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(tables.join_checked, "__defaults__", ("inner", -1))
+    assert make() == want
 
 
 def measures(t):
@@ -131,15 +184,23 @@ def test_mix(spark, docs, none):
     assert mixing.report(docs).count() == len(ROWS)
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
+    taken = Counter()
+    for x in mixing.mixed(df).collect():
+        taken[x.source] += len(x.text.split())
+    assert all(abs(taken[s] - want[s]) <= 40 for s in sizes)
+    one = spark.createDataFrame([(1, " ".join(["w"] * r.randint(1, 30)), "s") for _ in range(200)], "doc_id long, text string, source string")  # one id for all
+    words = [sorted(x.text for x in mixing.mixed(one.repartition(k)).collect()) for k in (2, 3)]
+    assert words[0] == words[1] and abs(sum(len(t.split()) for t in words[0]) - 1.5 * one.agg(F.sum(mixing.n_words(F.col("text")))).first()[0]) <= 30
 
 
 def test_mix_is_fair(spark):
     """Over many seeds each document is taken as often as its probability says."""
     df = spark.createDataFrame([(i, "w " * (1 + i % 7), "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
     total = Counter()
+    rows = df.select(F.col("doc_id").alias("key"), F.col("doc_id").alias("name"), "source", mixing.n_words(F.col("text")).alias("size"))
     for seed in range(6):
-        for x in mixing.mix(df, seed=seed, block=4).collect():
-            total[x.doc_id] += x.copies - x.target / x.source_size
+        for x in mixing.mix(rows, seed=seed, block=4).collect():
+            total[x.key] += x.copies - x.target / x.source_size
     assert abs(sum(total.values())) < 25 and max(map(abs, total.values())) < 6
 
 
