@@ -1,14 +1,19 @@
 """Main text of web pages by two passes of block rules.
 
-Pass one looks at each block alone: blocks in boilerplate containers or with many linked characters are bad; long
-blocks with enough stop words are good, and blocks inside an article or main element need no stop words; the rest is
-undecided, short ones above all. A class or id that names boilerplate (as a whole or by its last part) marks an element
-and all below it, unless an article or main stands inside: that shows the name to be one of the layout. Names of
-replies and recommendations, which hold articles of their own, yield only to the first article of the page. Pass two gives each undecided block the label of its nearest decided neighbours,
-looking inside its own region of the page first.
-
-Each page is worked on alone, in Arrow batches, with memory in proportion to the page. Null or empty html gives an
-empty text. Rows may repeat. Extra columns do no harm. An empty table gives an empty result.
+Pass one looks at each block alone. Blocks in containers that are no text by their tag, role or attributes, and blocks
+with many linked characters, are bad. Long blocks with enough stop words are good; inside an article or main element a
+lower density is enough, and blocks below it are undecided; outside, the rest is bad or, if short, undecided. Pass two
+gives each undecided block the label of its nearest decided neighbours, looking inside its own region of the page first.
+
+A class or id that names boilerplate (as a whole or by its last part) is evidence against an element and all below it.
+It is overruled where the rest of the page speaks for the element: an article or main inside shows the name to be one
+of the layout; so does a name that would take more than half of an article's text, or all good blocks of a page
+without article. Names of replies and recommendations, which hold texts of their own, yield only to the first article
+of the page.
+
+A page is read once from front to end, in time in proportion to its length even where its markup is broken, and with
+memory in proportion to it. Null or empty html gives an empty text. Rows may repeat. Extra columns, whatever their names,
+do no harm. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +42,8 @@ _RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "title",
 #: Their content is dropped, up to their end tag or that of an element around them.
 _DROPPED = frozenset("noscript template select iframe object svg math canvas audio video button".split())
 _FOREIGN = frozenset("svg math".split())
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?/][^>]*>|[^<]+|<""", re.S | re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)")
+_STOP = re.compile(r""">|=\s*(["'])""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -64,7 +70,8 @@ class Rules:
     short = 60
     long = 160
     min_stop_density = 0.12
-    article_min_stop_density = 0.0
+    article_min_stop_density = 0.04
+    most_taken_by_names = 0.5  # share of an article's characters
 
 
 def _named(token: str, region: int) -> int:
@@ -92,10 +99,63 @@ def _attributes(text: str, region: int) -> tuple[int, bool, bool]:
     return named, role, hidden
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, int]]:
-    """(text, share of linked characters, in boilerplate, region) of each block with text; region 0: outside articles."""
+class _Tags:
+    """Finds where tags end. Quotes count after '=', as in HTML; once a quote is seen to stay open to the end of the page,
+    they count no more, so that no page is searched to its end again and again."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def end(self, at: int) -> int:
+        """Place after the '>' of the tag whose name ends at `at`; -1 without one."""
+        if at > self.last:
+            return -1
+        i = at
+        while self.quotes:
+            m = _STOP.search(self.page, i)
+            if m and m.group() == ">":
+                return m.end()
+            i = self.page.find(m[1], m.end()) + 1 if m else 0
+            self.quotes = i > 0
+        return self.page.find(">", at) + 1
+
+
+class _Open(list):
+    """The open elements, (tag, boilerplate for sure, innermost label by name, region), with the places of each tag."""
+
+    _WALLS = frozenset("ul ol table dl div article section main body".split())
+
+    def __init__(self):
+        self.places: dict[str, list[int]] = {}
+        self.walls: list[int] = []
+
+    def put(self, *element) -> None:
+        self.places.setdefault(element[0], []).append(len(self))
+        if element[0] in self._WALLS:
+            self.walls.append(len(self))
+        self.append(element)
+
+    def place(self, *tags: str) -> int:
+        """Place of the innermost of these elements; -1 without one."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def cut(self, at: int) -> None:
+        """End the element at a place and all inside it."""
+        while len(self) > at:
+            tag = self.pop()[0]
+            self.places[tag].pop()
+            if tag in self._WALLS:
+                self.walls.pop()
+
+
+def blocks(page: str) -> list[tuple[str, float, int, int]]:
+    """(text, share of linked characters, boilerplate, region) of each block with text.
+
+    Boilerplate is 0 for none, 1 by name, 2 by name of replies or recommendations, 3 for sure; region 0 is outside
+    of articles.
+    """
     out: list[tuple[str, float, bool, int, int]] = []
-    stack: list[tuple[str, bool, int, int]] = []  # tag, boilerplate for sure, innermost label by name, region
+    stack, tags = _Open(), _Tags(page)
     names, above = [0], [0]  # labels by name and the labels around them; an article inside takes them back
     parts: list[str] = []
     linked = in_link = regions = at_token = 0
@@ -129,23 +189,36 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
         parts.clear()
         linked = 0
 
-    while m := _TOKEN.match(page, at_token):
-        at_token = m.end()
-        end, tag, attributes = m.groups()
+    while at_token < len(page):
         if len(stack) <= dropped:
             dropped = -1
-        if tag is None:
-            token = m.group()
-            if dropped >= 0 or token.startswith(("<!", "<?", "</")):
+        token, m = "<", None
+        if page[at_token] != "<":
+            stop = page.find("<", at_token)
+            token = page[at_token : stop if stop >= 0 else len(page)]
+        elif page.startswith("<!--", at_token):
+            stop = page.find("-->", at_token + 4)
+            at_token = stop + 3 if stop >= 0 else len(page)
+            continue
+        elif page[at_token + 1 : at_token + 2] in ("!", "?") or (page.startswith("</", at_token) and not _TAG.match(page, at_token)):
+            if at_token <= tags.last:
+                at_token = page.find(">", at_token) + 1
                 continue
-            parts.append(token)
-            if in_link:
-                linked += len(token)
+        elif m := _TAG.match(page, at_token):
+            stop = tags.end(m.end())
+            m = m if stop >= 0 else None
+        if m is None:
+            at_token += len(token)
+            if dropped < 0:
+                parts.append(token)
+                if in_link:
+                    linked += len(token)
             continue
+        (end, tag), attributes, at_token = m.groups(), page[m.end() : stop - 1], stop
         tag = tag.lower()
         closed = attributes.rstrip().endswith("/")
         if tag in _RAW:
-            if not end and not (closed and dropped >= 0 and any(x[0] in _FOREIGN for x in stack[dropped:])):
+            if not end and not (closed and dropped >= 0 and stack.place(*_FOREIGN) >= dropped):
                 over = _RAW[tag].search(page, at_token)
                 at_token = over.end() if over else len(page)
             continue
@@ -155,26 +228,26 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
             if not end or inner[tag]:
                 inner[tag] += -1 if end else 1
                 continue
-            del stack[dropped:]  # the end of an inline element around
+            stack.cut(dropped)  # the end of an inline element around
             dropped = -1
         if tag in _DROPPED and dropped < 0:
             if not end and not (closed and tag in _FOREIGN):
                 dropped = len(stack)
                 inner.clear()
-                stack.append((tag, True, *(stack[-1][2:] if stack else (0, 0))))
+                stack.put(tag, True, *(stack[-1][2:] if stack else (0, 0)))
             continue
         if dropped >= 0:
             if not end:
                 if not closed:
-                    stack.append((tag, *stack[-1][1:]))
+                    stack.put(tag, *stack[-1][1:])
                 continue
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+            i = stack.place(tag)
             if i >= dropped:
-                del stack[i:]
+                stack.cut(i)
                 continue
             if i < 0:
                 continue
-            del stack[dropped:]  # the end of an element around
+            stack.cut(dropped)  # the end of an element around
             dropped = -1
         if tag == "a":
             in_link = 0 if end else 1
@@ -183,29 +256,23 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
             sure, at, region = stack[-1][1:] if stack else (False, 0, 0)
             if not end and attributes and any(found := _attributes(attributes, region)) and not closed:
                 close()
-                stack.append((tag, sure or found[1] or found[2], label(found[0], at), region))
+                stack.put(tag, sure or found[1] or found[2], label(found[0], at), region)
             elif end and stack and stack[-1][0] == tag:
                 close()
-                stack.pop()
+                stack.cut(len(stack) - 1)
             continue
         close()
         if tag in _VOID:
             continue
         in_link = 0 if tag in ("p", "div", "li") else in_link
         if end:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if (i := stack.place(tag)) >= 0:
+                stack.cut(i)
             continue
-        if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack:
-            stops = ("ul", "ol", "table", "dl", "div", "article", "section", "main", "body")
-            for i in range(len(stack) - 1, -1, -1):  # an open one of the same kind ends here
-                if stack[i][0] in stops:
-                    break
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+        if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # an open one of the same kind ends here
+            i = stack.place(tag)
+            if i > (stack.walls[-1] if stack.walls else -1):
+                stack.cut(i)
         sure, at, region = stack[-1][1:] if stack else (False, 0, 0)
         if tag == "body":
             sure, at = False, 0
@@ -219,43 +286,66 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
             text = tag in _GOOD_TAGS or (re.fullmatch(r"h[1-6]", tag) and region)
             sure = sure or hidden or (role and not text)
             at = at if text else label(named, at)
-        stack.append((tag, sure, at, region))
+        stack.put(tag, sure, at, region)
     close()
-    marked = [False] * len(names)
+    marked = [0] * len(names)
     for i in range(1, len(names)):
-        marked[i] = bool(names[i]) or marked[above[i]]
-    return [(text, share, sure or marked[at], region) for text, share, sure, at, region in out]
+        marked[i] = max(names[i], marked[above[i]])
+    return [(text, share, 3 if sure else marked[at], region) for text, share, sure, at, region in out]
 
 
-def main_text(page: str | None) -> str:
-    """The article's blocks, joined by line ends."""
-    found = blocks(page or "")
-    labels: list[bool | None] = []
+def stop_density(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def _overruled(found: list[tuple[str, float, int, int]]) -> set[int]:
+    """Regions whose names of boilerplate are those of a layout."""
+    out, whole, taken, replies = set(), Counter(), Counter(), Counter()
+    for text, share, bad, region in found:
+        if bad != 3 and share <= Rules.max_link_density:
+            whole[region] += len(text)
+            taken[region] += len(text) * (bad == 1)
+            replies[region] += len(text) * (bad == 2)
+    for region in whole:
+        if region and taken[region] > Rules.most_taken_by_names * (whole[region] - replies[region]):
+            out.add(region)
+    good = lambda text, share: len(text) >= Rules.long and share <= Rules.max_link_density and stop_density(text) >= Rules.min_stop_density
+    if set(whole) == {0} and not any(bad == 0 and good(text, share) for text, share, bad, _ in found):
+        out.add(0)
+    return out
+
+
+def _first_pass(found: list[tuple[str, float, int, int]]) -> list[bool | None]:
+    """Good, bad or undecided, for each block alone."""
+    layout, labels = _overruled(found), []
     for text, link_share, bad, region in found:
-        if bad or link_share > Rules.max_link_density:
+        if (bad and not (bad == 1 and region in layout)) or link_share > Rules.max_link_density:
             labels.append(False)
-            continue
-        words = _WORD.findall(text.lower()) if len(text) >= Rules.short else ()
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if len(text) < Rules.short:
+        elif len(text) < Rules.short:
             labels.append(None)
         elif region:
-            labels.append(True if stops >= Rules.article_min_stop_density else None)
-        elif stops >= Rules.min_stop_density:
+            labels.append(True if stop_density(text) >= Rules.article_min_stop_density else None)
+        elif stop_density(text) >= Rules.min_stop_density:
             labels.append(True if len(text) >= Rules.long else None)
         else:
             labels.append(False)
+    return labels
+
+
+def _second_pass(found: list[tuple[str, float, int, int]], labels: list[bool | None]) -> list[bool]:
+    """Undecided blocks take the label of the nearest decided ones, of their own region first."""
     decided = [i for i, x in enumerate(labels) if x is not None]
     by_region: dict[int, list[int]] = {}
     for i in decided:
-        if not found[i][2]:
+        if not found[i][2] or labels[i]:
             by_region.setdefault(found[i][3], []).append(i)
 
     def inherited(i: int) -> bool:
         region = found[i][3]
         near = by_region.get(region) or ([] if region else decided)
         if not near:
-            return bool(region)  # an article of short blocks only
+            return bool(region)  # an article of undecided blocks only
         k = bisect_left(near, i)
         left, right = near[k - 1] if k else None, near[k] if k < len(near) else None
         if left is None or right is None:
@@ -266,7 +356,13 @@ def main_text(page: str | None) -> str:
             return bool(labels[left if i - left < right - i else right])
         return len(found[i][0]) >= Rules.short  # between a good and a bad one: the longer undecided ones are text
 
-    return "\n".join(t[0] for i, t in enumerate(found) if (labels[i] if labels[i] is not None else inherited(i)))
+    return [inherited(i) if x is None else x for i, x in enumerate(labels)]
+
+
+def main_text(page: str | None) -> str:
+    """The article's blocks, joined by line ends."""
+    found = blocks(page or "")
+    return "\n".join(block[0] for block, good in zip(found, _second_pass(found, _first_pass(found)), strict=True) if good)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

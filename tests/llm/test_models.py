@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 from itertools import product
@@ -168,6 +169,53 @@ def test_embedded_elements_in_a_line():
     assert html_text.main_text(f"<article><p>{STORY}</p><textarea>{STORY}") == STORY
 
 
+@pytest.mark.parametrize("unit", ['<a "x ', "<a ", '<a x="', "<a x='y' ", "<!-- ", "<! ", "</ ", "<p", "<div>", "<li>", "<b class=ad>", "<svg>", "<script>", "</div>", "<x><li>", '<a x="y">', "&amp", "=' "])
+def test_time_follows_length(unit):
+    """A megabyte of any broken markup takes seconds, not hours."""
+    began = time.process_time()
+    html_text.main_text("<article><p>Text.</p>" + unit * (1_000_000 // len(unit)))
+    assert time.process_time() - began < 8
+
+
+def test_names_are_evidence():
+    """A name that would take most of an article is one of the layout; one that takes a part of it is not."""
+    for name in ("share", "search-results form", "widget", "content-sidebar"):
+        assert html_text.main_text(f"<article><div class='{name}'><p>{STORY}</p><p>{STORY}</p></div></article>") == f"{STORY}\n{STORY}"
+        assert html_text.main_text(f"<article><p>{STORY}</p><p>{STORY}</p><div class='{name}'><p>{STORY}</p></div></article>") == f"{STORY}\n{STORY}"
+    long = STORY + " " + STORY
+    assert html_text.main_text(f"<body><div class='widget'><p>{long}</p></div></body>") == long
+    assert html_text.main_text(f"<body><div class='widget'><p>{long} Aside.</p></div><div><p>{long}</p></div></body>") == long
+    replies = f"<article><p>{STORY}</p><div id='comments'>" + f"<p>{STORY} I agree.</p>" * 9 + "</div></article>"
+    assert html_text.main_text(replies) == STORY
+
+
+def layouts(r):
+    """Pages of several layouts with their main text: (html, blocks of text)."""
+    words = sorted(html_text.STOP_WORDS)
+    prose = lambda n: " ".join(r.choice(words) if r.random() < 0.4 else "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(n)).capitalize() + "."
+    links = lambda n: [prose(2) for _ in range(n)]
+    for k in range(60):
+        head, body, menu, side, foot, ad, talk = prose(5), [prose(r.randint(12, 90)) for _ in range(r.randint(3, 9))], links(6), [prose(30), prose(25)], [prose(12)], [prose(20)], [prose(40), prose(30)]
+        nav = "<nav><ul>" + "".join(f"<li><a href=x>{x}</a>" for x in menu) + "</ul></nav>" if k % 2 else "<div class='menu'>" + " ".join(f"<a href='x'>{x}</a>" for x in menu) + "</div>"
+        aside = f"<aside><p>{side[0]}</p><p>{side[1]}</p></aside>" if k % 3 else f"<div class='sidebar left'><p>{side[0]}<p>{side[1]}</div>"
+        comments = f"<section id='comments'><div class='comment'>{talk[0]}</div><div class='comment'>{talk[1]}</div></section>"
+        paragraphs = [f"<p>{x}</p>" for x in body]
+        paragraphs.insert(len(body) // 2, f"<div class='{r.choice(['ad', 'advert', 'newsletter', 'related'])}'><p>{ad[0]}</p></div>")
+        holder = [("<article>", "</article>"), ("<main><div class='entry'>", "</div></main>"), ("<div class='post has-sidebar'><article>", "</article></div>"), ("<div id='content'><div class='body'>", "</div></div>")][k % 4]
+        html = f"<html><head><title>{prose(4)}</title></head><body><header>{prose(9)}</header>{nav}{holder[0]}<h1>{head}</h1>{''.join(paragraphs)}{holder[1]}{aside}{comments}<footer>{foot[0]}</footer></body></html>"
+        yield html, [head, *body]
+
+
+def test_precision_and_recall_on_labelled_pages():
+    right = wrong = missed = 0
+    for html, text in layouts(random.Random(12)):
+        got = html_text.main_text(html).split("\n")
+        right += sum(b in got for b in text)
+        missed += sum(b not in got for b in text)
+        wrong += sum(b not in text for b in got)
+    assert right / (right + wrong) > 0.99 and right / (right + missed) > 0.97, (right, wrong, missed)
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (2, None, None, "x"), (3, "v", "<p>" * 5000 + "a", "x")], "page_id long, url string, html string, text string")
     rows = html_text.extract(pages).collect()
