@@ -19,7 +19,8 @@ do no harm. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from array import array
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,53 +53,60 @@ def load_pieces(path: str = VOCABULARY) -> dict[str, float]:
 
 
 class Lattice:
-    """All segmentations of a word under piece log-probabilities."""
+    """All segmentations of a word under piece log-probabilities, for words of any length: sums are kept for the span of
+    the longest piece only, and one number for each character where both directions are asked for."""
 
     def __init__(self, pieces: dict[str, float]):
         self.pieces = pieces
         self.longest = max(map(len, pieces))
-        self.bytes = {}
 
-    def _edges(self, word: str) -> list[list[tuple[int, float, tuple[str, ...]]]]:
-        """For each end, (start, log weight, pieces). Characters without a piece are spelt in bytes."""
-        text, get = MARK + word, self.pieces.get
-        edges = [[] for _ in range(len(text) + 1)]
+    def _spans(self, text: str, i: int) -> Iterator[tuple[int, float, tuple[str, ...]]]:
+        """(end, log weight, pieces) of what may stand at i. Characters without a piece are spelt in bytes."""
+        for j in range(i + 1, min(len(text), i + self.longest) + 1):
+            w = self.pieces.get(text[i:j])
+            if w is not None:
+                yield j, w, (text[i:j],)
+            elif j == i + 1:
+                spelt = tuple(f"<0x{b:02X}>" for b in text[i].encode())
+                yield j, sum(self.pieces[b] for b in spelt), spelt
+
+    @staticmethod
+    def _plus(a: float | None, b: float) -> float:
+        """Log of the sum of two exponentials."""
+        if a is None:
+            return b
+        top, low = (a, b) if a > b else (b, a)
+        return top + math.log1p(math.exp(low - top))
+
+    def _forward(self, text: str) -> Iterator[float]:
+        """Log sums over all ways to each place, in turn."""
+        ahead: deque[float | None] = deque([0.0] + [None] * self.longest)
         for i in range(len(text)):
-            for j in range(i + 1, min(len(text), i + self.longest) + 1):
-                w = get(text[i:j])
-                if w is not None:
-                    edges[j].append((i, w, (text[i:j],)))
-                elif j == i + 1:
-                    spelt = tuple(f"<0x{b:02X}>" for b in text[i].encode())
-                    edges[j].append((i, sum(self.pieces[b] for b in spelt), spelt))
-        return edges
-
-    def forward(self, edges) -> list[float]:
-        alpha = [0.0]
-        for incoming in edges[1:]:
-            xs = [alpha[i] + w for i, w, _ in incoming]
-            top = max(xs)
-            alpha.append(top if len(xs) == 1 else top + math.log(sum(math.exp(x - top) for x in xs)))
-        return alpha
+            alpha = ahead.popleft()
+            ahead.append(None)
+            yield alpha
+            for j, w, _ in self._spans(text, i):
+                ahead[j - i - 1] = self._plus(ahead[j - i - 1], alpha + w)
+        yield ahead[0]
 
     def total(self, word: str) -> float:
         """Log of the sum over all segmentations."""
-        return self.forward(self._edges(word))[-1]
+        return deque(self._forward(MARK + word), maxlen=1)[0]
 
     def expected(self, word: str, times: float, into: dict[str, float]) -> None:
         """Add the expected number of each piece, over all segmentations, times `times`."""
-        edges = self._edges(word)
-        alpha, n = self.forward(edges), len(edges) - 1
-        beta = [[] for _ in range(n)] + [[0.0]]
-        for j in range(n, 0, -1):
-            xs = beta[j]
-            top = max(xs)
-            b = top + math.log(sum(math.exp(x - top) for x in xs))
-            for i, w, spelt in edges[j]:
-                beta[i].append(b + w)
-                share = times * math.exp(alpha[i] + w + b - alpha[n])
+        text = MARK + word
+        alpha, n = array("d", self._forward(text)), len(text)
+        beta: deque[float] = deque([0.0], maxlen=self.longest)  # of the places behind i
+        for i in range(n - 1, -1, -1):
+            here = None
+            for j, w, spelt in self._spans(text, i):
+                b = w + beta[j - i - 1]
+                here = self._plus(here, b)
+                share = times * math.exp(alpha[i] + b - alpha[n])
                 for p in spelt:
                     into[p] = into.get(p, 0.0) + share
+            beta.appendleft(here)
 
 
 class WordBatch:

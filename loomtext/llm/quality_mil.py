@@ -1,16 +1,19 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages of `PASSAGE` words. Each passage is encoded as shape features (kinds of characters,
-word lengths, repetition) and embedded; gated attention, learned from document labels alone, weighs the passages; the
-score is a logistic function of the weighted mean embedding. Every passage of every text is encoded and scored.
-
-The model is fitted on at most `most_rows` labelled documents (those with the smallest hashes of their id among the
-rows that may be learned from); their passage features, some 80 bytes a passage, come to the driver. Scoring is one
-pass over Arrow batches, a megabyte of text at a time.
-
-Null and empty texts are one empty passage. Rows may repeat, each is scored; labels that repeat with their id count
-once for each row. Extra columns do no harm. Without any labels of both kinds all scores are the share of label 1
-(0.5 if there are none). An empty table gives an empty result.
+A document is a bag of passages of `PASSAGE` words. Each passage is encoded by its shape (kinds of characters, word
+lengths, repetition) and its content (how the log odds of its hashed words between the labels are spread), and embedded;
+gated attention, learned from document labels alone, weighs the passages; the score is a logistic function of the
+weighted mean embedding. Every passage of every text is encoded and scored.
+
+The model is fitted on at most `most_rows` labelled documents, those with the smallest hashes of their id among the
+rows that may be learned from, and on at most `MOST_PASSAGES` passages of each, spread evenly; their features, some 90
+bytes a passage, come to the driver. Log odds are counted on Spark, for a bounded number of hashed words, in two halves
+of the sample: a document is fitted on the odds of the other half, so that its own label is not in its features.
+Scoring is one pass over Arrow batches, a megabyte of text at a time.
+
+Null and empty texts are one empty passage. Rows may repeat, each is scored; in the sample an id counts once, with its
+largest label and its smallest text. Extra columns do no harm. Without any labels of both kinds all scores are the share
+of label 1 (0.5 if there are none). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,19 +26,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
+from .common import stage
 
 PASSAGE = 64
 MOST_ROWS = 5000
+MOST_PASSAGES = 64
+BUCKETS = 1 << 16  # of hashed words
 
 _KINDS = np.full(256, 9, dtype=np.int8)  # bytes by kind; 9: others
 for _i, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\x0b\x0c", b"\n\r", b".,;:", b"!?", b"|", b"#*$%&<>@^~=+_\\/{}[]`")):
     _KINDS[list(_chars)] = _i
 _KINDS[128:] = 10
-N_FEATURES = 18
+N_SHAPE, N_CONTENT = 18, 5
+N_FEATURES = N_SHAPE + N_CONTENT
+
 
+def passages(texts: pa.Array, odds: np.ndarray | None = None, most_bytes: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features of passages, passages of each text) for a few texts at a time. `odds`: log odds of the hashed words."""
+    odds = np.zeros(BUCKETS) if odds is None else odds
+    for data, bounds in _chunks(texts, most_bytes):
+        yield _features(data, bounds, odds)
 
-def passages(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(features of passages, passages of each text) for a few texts at a time."""
+
+def _chunks(texts: pa.Array, most_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The bytes of a few texts at a time, and where each begins."""
     texts = texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
@@ -44,11 +58,15 @@ def passages(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[np.nd
     i = 0
     while i < len(texts):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most_bytes, "right")) - 1)
-        yield _features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        yield data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 
 
-def _features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bucket(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(48)).astype(np.int64)
+
+
+def _features(data: np.ndarray, bounds: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words, counts = shingles.word_hashes(data, bounds)
     per = np.maximum(1, -(-counts // PASSAGE))
     n = int(per.sum())
@@ -90,7 +108,18 @@ def _features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     distinct = np.bincount(p[new], minlength=n) / count
     capital = np.bincount(word_passage, (data[starts] >= 65) & (data[starts] <= 90), n) / count if len(starts) else np.zeros(n)
     rest = np.stack([np.minimum(mean, 40), np.sqrt(np.minimum(np.maximum(square - mean**2, 0), 900)), repeats, distinct, capital, np.log1p(n_words), np.log1p(per)[text_of]], axis=1)
-    return np.concatenate((kinds / size[:, None], rest), axis=1).astype(np.float32), per
+    return np.concatenate((kinds / size[:, None], rest, _content(odds[_bucket(words)], word_passage, n, count)), axis=1).astype(np.float32), per
+
+
+def _content(v: np.ndarray, passage: np.ndarray, n: int, count: np.ndarray) -> np.ndarray:
+    """Mean, largest and smallest log odds of each passage's words, and the shares beyond 1 and -1."""
+    out = np.zeros((n, N_CONTENT))
+    if len(v):
+        out[:, 0] = np.bincount(passage, v, n) / count
+        np.maximum.at(out[:, 1], passage, v)
+        np.minimum.at(out[:, 2], passage, v)
+        out[:, 3], out[:, 4] = np.bincount(passage, v > 1, n) / count, np.bincount(passage, v < -1, n) / count
+    return out
 
 
 class GatedAttention:
@@ -113,20 +142,25 @@ class GatedAttention:
         z = np.add.reduceat(a[:, None] * h, starts, axis=0)
         return {"x": x, "h": h, "t": t, "s": s, "a": a, "z": z, "bag": bag, "starts": starts, "y": 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["c0"], -30, 30)))}
 
+    def gradient(self, x: np.ndarray, per: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss, by all parameters."""
+        p, f = self.p, self.forward(x, per)
+        d = (f["y"] - y) / len(y)
+        dz = d[:, None] * p["c"]
+        da = (f["h"] * dz[f["bag"]]).sum(1)
+        de = f["a"] * (da - np.add.reduceat(f["a"] * da, f["starts"])[f["bag"]])
+        g = {"c": f["z"].T @ d, "c0": d.sum(keepdims=True), "w": (f["t"] * f["s"]).T @ de}
+        dt, ds = de[:, None] * p["w"] * f["s"] * (1 - f["t"] ** 2), de[:, None] * p["w"] * f["t"] * f["s"] * (1 - f["s"])
+        g["V"], g["U"] = f["h"].T @ dt, f["h"].T @ ds
+        dh = (f["a"][:, None] * dz[f["bag"]] + dt @ p["V"].T + ds @ p["U"].T) * (1 - f["h"] ** 2)
+        g["W"], g["b"] = f["x"].T @ dh, dh.sum(0)
+        return g
+
     def fit(self, x: np.ndarray, per: np.ndarray, y: np.ndarray, epochs: int = 300, rate: float = 0.02, decay: float = 1e-4) -> None:
         self.mean, self.scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-3
         p, m, v = self.p, {}, {}
         for step in range(1, epochs + 1):
-            f = self.forward(x, per)
-            d = (f["y"] - y) / len(y)
-            dz = d[:, None] * p["c"]
-            da = (f["h"] * dz[f["bag"]]).sum(1)
-            de = f["a"] * (da - np.add.reduceat(f["a"] * da, f["starts"])[f["bag"]])
-            g = {"c": f["z"].T @ d, "c0": d.sum(keepdims=True), "w": (f["t"] * f["s"]).T @ de}
-            dt, ds = de[:, None] * p["w"] * f["s"] * (1 - f["t"] ** 2), de[:, None] * p["w"] * f["t"] * f["s"] * (1 - f["s"])
-            g["V"], g["U"] = f["h"].T @ dt, f["h"].T @ ds
-            dh = (f["a"][:, None] * dz[f["bag"]] + dt @ p["V"].T + ds @ p["U"].T) * (1 - f["h"] ** 2)
-            g["W"], g["b"] = f["x"].T @ dh, dh.sum(0)
+            g = self.gradient(x, per, y)
             for k in p:
                 g[k] = g[k] + decay * p[k]
                 m[k] = 0.9 * m.get(k, 0) + 0.1 * g[k]
@@ -142,40 +176,77 @@ def held_out(fold: int = 3, held: int = 1):
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, text: str, most_rows: int) -> DataFrame:
-    """(text, y) of at most most_rows labelled documents outside the held-out fold."""
-    rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("y"))
+    """(text, y, half) of at most most_rows labelled documents outside the held-out fold; half is 0 or 1 by a hash of the id."""
+    rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)  # a top-k in each task, then of all
-    return docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(rows), "doc_id").select("text", "y")
+    met = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")
+    return met.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("half"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", most_rows: int = MOST_ROWS) -> tuple[GatedAttention | None, float]:
-    """The model and the share of label 1; no model without both labels."""
+def log_odds(rows: DataFrame) -> list[np.ndarray]:
+    """For rows(text, y, half): log odds of the hashed words between the labels in half 0, half 1, and both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = np.zeros((4, BUCKETS + 1), dtype=np.int64)  # half and label; the last column counts documents
         for batch in batches:
-            bags, at = [], 0
-            for x, per in passages(batch.column("text")):
-                ends = np.cumsum(per)
-                bags += [x[e - k : e].tobytes() for e, k in zip(ends.tolist(), per.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), batch.column("y")], names=["x", "y"])
+            kinds, at = (2 * batch.column("half").to_numpy() + batch.column("y").to_numpy()).tolist(), 0
+            for data, bounds in _chunks(batch.column("text"), 1 << 20):
+                words, counts = shingles.word_hashes(data, bounds)
+                ends = np.cumsum(counts)
+                for e, c in zip(ends.tolist(), counts.tolist(), strict=True):
+                    k[kinds[at], np.unique(_bucket(words[e - c : e]))] += 1
+                    k[kinds[at], BUCKETS] += 1
+                    at += 1
+        where = np.flatnonzero(k)
+        yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(k.ravel()[where])], names=["at", "k"])
+
+    got = rows.select("text", "y", "half").mapInArrow(run, "at long, k long").groupBy("at").agg(F.sum("k").alias("k")).toArrow()  # at most 4 BUCKETS rows
+    k = np.zeros(4 * (BUCKETS + 1))
+    k[got.column("at").to_numpy()] = got.column("k").to_numpy()
+    k = k.reshape(2, 2, BUCKETS + 1)
+    out = []
+    for c in (k[0], k[1], k.sum(0)):
+        share = (c[:, :BUCKETS] + 1) / (c[:, BUCKETS:] + 2)
+        seen = c[:, :BUCKETS].sum(0) > 0
+        out.append(np.where(seen, np.clip(np.log(share[1] / share[0]), -4, 4), 0.0))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", most_rows: int = MOST_ROWS) -> tuple[GatedAttention | None, np.ndarray, float]:
+    """The model, the words' log odds, and the share of label 1; no model without both labels."""
+    rows = stage(sample(docs, labels, label, text, most_rows), "quality-sample")
+    kinds = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(kinds) < 2:
+        return None, np.zeros(BUCKETS), float(next(iter(kinds), 0.5))
+    odds = log_odds(rows)
+    shared = docs.sparkSession.sparkContext.broadcast(odds[:2])
 
-    got = sample(docs, labels, label, text, most_rows).mapInArrow(run, "x binary, y int").collect()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for half in (0, 1):
+                part, bags = batch.filter(pa.array(batch.column("half").to_numpy() == half)), []
+                for x, per in passages(part.column("text"), shared.value[1 - half]):
+                    for e, k in zip(np.cumsum(per).tolist(), per.tolist(), strict=True):
+                        bags.append(x[e - k : e][np.unique(np.linspace(0, k - 1, min(k, MOST_PASSAGES)).astype(int))].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), part.column("y")], names=["x", "y"])
+
+    got = rows.mapInArrow(run, "x binary, y int").collect()  # at most most_rows, of at most MOST_PASSAGES passages
     y = np.array([r["y"] for r in got], dtype=float)
-    if not len(y) or y.min() == y.max():
-        return None, float(y.mean()) if len(y) else 0.5
     bags = [np.frombuffer(bytes(r["x"]), dtype=np.float32).reshape(-1, N_FEATURES) for r in got]
     model = GatedAttention(N_FEATURES)
     model.fit(np.concatenate(bags).astype(np.float64), np.array([len(b) for b in bags]), y)
-    return model, float(y.mean())
+    return model, odds[2], float(y.mean())
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", most_rows: int = MOST_ROWS) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted."""
-    model, share = fit(docs, labels, label, text, most_rows)
+    model, odds, share = fit(docs, labels, label, text, most_rows)
+    shared = docs.sparkSession.sparkContext.broadcast((model, odds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, odds = shared.value
         for batch in batches:
-            got = [model.score(x, per) if model else np.full(len(per), share) for x, per in passages(batch.column("text"))]
+            got = [model.score(x, per) if model else np.full(len(per), share) for x, per in passages(batch.column("text"), odds)]
             scores = np.concatenate(got) if got else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 

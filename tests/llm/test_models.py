@@ -3,6 +3,7 @@
 import math
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import product
@@ -67,14 +68,62 @@ def test_passages_cover_texts():
     assert np.allclose(np.concatenate(small), np.concatenate(whole))
 
 
+def numeric(f, v, step=1e-5):
+    out = np.zeros_like(v)
+    for i in np.ndindex(v.shape):
+        was = v[i]
+        v[i] = was + step
+        up = f()
+        v[i] = was - step
+        out[i] = (up - f()) / (2 * step)
+        v[i] = was
+    return out
+
+
 def test_attention_gradient():
     r = np.random.default_rng(0)
     x, per, y = r.normal(size=(9, 3)), np.array([2, 3, 4]), np.array([0.0, 1.0, 1.0])
     m = quality_mil.GatedAttention(3, 4, 2)
-    before = m.forward(x, per)["y"]
+    loss = lambda: float(-np.mean(y * np.log(m.forward(x, per)["y"]) + (1 - y) * np.log(1 - m.forward(x, per)["y"])))
+    for k, g in m.gradient(x, per, y).items():
+        assert np.allclose(g, numeric(loss, m.p[k]), atol=1e-7), k
+    before = loss()
     m.fit(x, per, y, epochs=200)
-    loss = lambda p: -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
-    assert loss(m.forward(x, per)["y"]) < 0.3 * loss(before)
+    assert loss() < 0.3 * before
+
+
+def test_attention_finds_the_passage():
+    """One bad passage among many decides; learned attention tells it, the plain mean of the passages less well."""
+    r = np.random.default_rng(1)
+    bags, y = [], r.integers(0, 2, 600).astype(float)
+    for label in y:
+        x = r.normal(size=(40, 4))
+        if label:
+            x[r.integers(40), 0] += 5
+        bags.append(x)
+    per = np.full(600, 40)
+    fitted, mean = quality_mil.GatedAttention(4), quality_mil.GatedAttention(4)
+    fitted.fit(np.concatenate(bags[:400]), per[:400], y[:400])
+    gate = mean.gradient
+    mean.p["w"][:] = 0
+    mean.gradient = lambda *a: gate(*a) | {"w": np.zeros_like(mean.p["w"])}  # equal weights for good
+    mean.fit(np.concatenate(bags[:400]), per[:400], y[:400])
+    right = [np.mean((m.score(np.concatenate(bags[400:]), per[400:]) >= 0.5) == y[400:]) for m in (fitted, mean)]
+    assert right[0] > 0.88 and right[0] > right[1] + 0.1, right
+
+
+def test_quality_by_words_alone(spark):
+    """Bad texts that differ from good ones in their words only, not in their shape."""
+    r = random.Random(2)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(900):
+        bad = i % 2
+        rows.append((i, " ".join(r.choice(vocabulary[:60] if bad and r.random() < 0.3 else vocabulary) for _ in range(150)), "x"))
+        labels.append((i, 1 - bad))
+    docs, truth = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = [x for x in quality_mil.score(docs, truth).collect() if x.held_out]
+    assert np.mean([x.predicted == labels[x.doc_id][1] for x in got]) > 0.9
 
 
 def test_toxicity(spark, odd):
@@ -89,14 +138,50 @@ def test_toxicity(spark, odd):
     assert toxicity.score(odd.limit(0), labels).count() == 0
 
 
-def test_counterfactual_penalty_closes_gaps(spark):
-    """Mentions of one group go with toxic labels in the sample; the penalty keeps that out of the weights."""
+def test_toxicity_gradient():
+    x, y = [{0: 1.0, 2: 1.5}, {1: 1.0}, {}], np.array([1.0, 0.0, 1.0])
+    pairs = [({0: 1.0, 1: 1.58}, {2: 1.0}, 3.0), ({1: 1.0}, {0: 1.0, 2: 1.0}, 1.0)]
+    of = toxicity.loss_and_gradient(x, y, pairs, 3, 5.0, 0.01)
+    wb = np.array([0.3, -0.8, 0.5, 0.1])
+    assert np.allclose(of(wb)[1], numeric(lambda: of(wb)[0], wb), atol=1e-7)
+
+
+def scored(model, text):
+    return 1 / (1 + math.exp(-model.bias - sum(model.weights.get(f, 0.0) * toxicity.value(k) for f, k in toxicity.features(text).items())))
+
+
+def test_counterfactual_penalty_on_held_out_sentences(spark):
+    """Mentions of one group go with toxic labels in the sample. On sentences that were held out, the penalty closes the
+    gap between a sentence and its swap, and neutral mentions of the group are no false positives."""
     docs, labels = corpus(spark)
-    gap = {}
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    held_rows = [(r.doc_id, r.text) for r in docs.collect() if held(r.doc_id)]
+    gap, wrong = {}, {}
     for p in (0.0, 50.0):
-        w, _ = toxicity.fit(docs, labels, penalty=p)
-        gap[p] = abs(w.get("=muslim", 0) - w.get("=christian", 0))
-    assert gap[50.0] < 0.5 * gap[0.0]
+        m = toxicity.fit(docs, labels, penalty=p)
+        assert m.n_pairs > 100
+        mentions = [(t, t.replace("muslim", "christian"), truth[d]) for d, t in held_rows if "muslim" in t.split()]
+        mentions += [(t.replace("christian", "muslim"), t, truth[d]) for d, t in held_rows if "christian" in t.split()]
+        short = [(" ".join(a.split()[:12]) + " muslim", " ".join(a.split()[:12]) + " christian") for a, _, y in mentions if not y]
+        gap[p] = np.mean([abs(scored(m, a) - scored(m, b)) for a, b in short])
+        wrong[p] = np.mean([scored(m, a) for a, _ in short])
+    assert len(short) > 20 and gap[50.0] < 0.3 * gap[0.0], gap
+    assert wrong[50.0] < 0.7 * wrong[0.0], wrong
+
+
+def test_terms_of_the_corpus(spark):
+    """A corpus without any term of IDENTITY has sets of its own: neutral words with like neighbours; they enter the loss."""
+    r = random.Random(3)
+    rows, labels = [], []
+    for i in range(300):
+        ws = [r.choice(["red", "blue"]) if k % 3 == 1 else r.choice(["one", "two"]) if k % 3 == 0 else f"x{r.randrange(40)}" for k in range(60)]
+        if i % 4 == 0:
+            ws[r.randrange(60)] = "vilefool"
+        rows.append((i, " ".join(ws) + ".", "x"))
+        labels.append((i, int(i % 4 == 0)))
+    m = toxicity.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert m.n_pairs > 50 and m.terms and not set(sum(m.terms, ())) & {"vilefool"}
+    assert abs(m.weights.get("=red", 0) - m.weights.get("=blue", 0)) < 0.5 and m.weights["=vilefool"] > 2
 
 
 def test_counterfactual_pairs_cover_all_features(spark):
@@ -105,7 +190,7 @@ def test_counterfactual_pairs_cover_all_features(spark):
     of = lambda w, b, text: 1 / (1 + math.exp(-b - sum(w.get(f, 0.0) * toxicity.value(k) for f, k in toxicity.features(text).items())))
     gap = {}
     for p in (0.0, 50.0):
-        w, b = toxicity.fit(docs, labels, penalty=p)
+        w, b, *_ = toxicity.fit(docs, labels, penalty=p)
         gap[p] = abs(of(w, b, "the muslim spoke of a vilefool") - of(w, b, "the christian spoke of a vilefool")) + abs(of(w, b, "a muslim came") - of(w, b, "a christian came"))
         assert p or any(f in w for f in ("^musl", "^musli", "^chri", "^chris", "^christ"))
     assert gap[50.0] < 0.2 * gap[0.0], gap
@@ -275,6 +360,38 @@ def test_scores(spark, odd):
     assert lattice_lm.score(odd.limit(0)).count() == 0
 
 
+def test_scores_by_brute_force(spark, odd):
+    """The whole of every score: pieces re-weighted by the training words, then each document word by word."""
+    rows = [(r.doc_id, r.text) for r in odd.collect()] + [(k, t) for k, t in enumerate(["the cat sat on the Mat", "the dog sat", "the cat ran far", "a b c"], 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = [t for d, t in rows if d is None or not held(d, 5)]
+    prior, into = lattice_lm.load_pieces(), {}
+    words = Counter(w for t in train for w in (t or "").lower().split())
+    for w, c in words.items():
+        lattice_lm.Lattice(prior).expected(w, c, into)
+    total = sum(into.values()) + lattice_lm.PRIOR_COUNT + len(train) + 1
+    lattice = lattice_lm.Lattice({p: math.log((into.get(p, 0.0) + lattice_lm.PRIOR_COUNT * math.exp(w)) / total) for p, w in prior.items()})
+    end = math.log10((len(train) + 1) / total)
+    want = sorted((str(d), round(end + sum(lattice.total(w) for w in (t or "").lower().split()) / math.log(10), 6)) for d, t in rows if len(t or "") < 1000)
+    got = sorted((str(x.doc_id), round(x.score, 6)) for x in lattice_lm.score(df, broadcast_words=3).collect() if x.n_tokens < 1000)
+    assert got == want
+
+
+def test_very_long_word():
+    """A word of any length takes a window of sums, not all its edges; time follows its length."""
+    word = "ab" * 100_000
+    lattice = lattice_lm.Lattice(PIECES)
+    tracemalloc.start()
+    total = lattice.total(word)
+    assert tracemalloc.get_traced_memory()[1] < 8e6
+    tracemalloc.stop()
+    half = lattice.total("ab" * 50_000)
+    assert total < half < 0 and math.isclose(total, 2 * half, rel_tol=1e-3)
+    into = {}
+    lattice.expected("ab" * 5000, 2.0, into)
+    assert math.isclose(sum(len(p) * c for p, c in into.items()), 2 * 10_001, rel_tol=1e-9)
+
+
 def test_fitting_helps(spark):
     """The fitted pieces give the training texts a higher likelihood than the vocabulary's own weights."""
     words = spark.createDataFrame([("the", 50), ("then", 20), ("zzyzx", 3)], "word string, c long")
