@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tables import BROADCAST_BYTES, discard, global_rank, join_checked, let, measured_bytes, new_path, running_sum, stage, stage_at
+from ..functions.tables import BROADCAST_BYTES, Bloom, bloom, discard, global_rank, join_checked, let, measured_bytes, new_path, running_sum, stage, stage_at
 
 __all__ = [
     "BROADCAST_BYTES", "Bloom", "SPACES", "bloom", "discard", "documents", "fold_key", "global_rank", "join_checked", "let", "measured_bytes", "n_words", "new_path", "of_row", "rows_of", "running_sum",
@@ -70,51 +67,6 @@ def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*[of_row(c).alias(c) for c in columns])
 
 
-class Bloom:
-    """A test of 64-bit hashes against those of a staged table's rows: false only for hashes that are not there.
-
-    The filter is an array of at most most_bits / 64 longs (8 MB), whatever the table's size: beyond four million rows
-    it lets more of the others pass, and callers must judge those that pass exactly or treat them alike.
-    """
-
-    def __init__(self, rows: DataFrame, hashed: Column, bits_for_each: int = 16, most_bits: int = 1 << 26):
-        spark, n, self.bits = rows.sparkSession, rows.count(), 64
-        while self.bits < min(n * bits_for_each, most_bits):
-            self.bits *= 2
-        marks = rows.select(F.explode(F.array(*self._marks(hashed))).alias("b"))
-        marks = marks.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
-        full = spark.range(self.bits // 64).join(marks, F.col("id") == F.col("w"), "left").select("id", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
-        self.words = stage(full.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias("words")), "bloom")
-
-    def _marks(self, h: Column) -> list[Column]:
-        return [h.bitwiseAND(F.lit(self.bits - 1)), F.shiftrightunsigned(h, 34).bitwiseAND(F.lit(self.bits - 1))]
-
-    def holds(self, h: Column) -> Column:
-        words_ = self.words.scalar()
-        hit = lambda b: F.getbit(F.get(words_, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1
-        one, two = self._marks(h)
-        return hit(one) & hit(two)
-
-    def in_tasks(self) -> Callable[[np.ndarray], np.ndarray]:
-        """The same test for arrays of unsigned hashes inside Python tasks."""
-        words_ = self.words.toArrow().column(0).combine_chunks().values.to_numpy(zero_copy_only=False).view(np.uint64)
-        shared, most = self.words.sparkSession.sparkContext.broadcast(words_), np.uint64(self.bits - 1)
-
-        def holds(h: np.ndarray) -> np.ndarray:
-            w, ok = shared.value, np.ones(len(h), dtype=bool)
-            for b in (h & most, (h >> np.uint64(34)) & most):
-                ok &= ((w[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1)).astype(bool)
-            return ok
-
-        return holds
-
-
-def bloom(keys: DataFrame, key: Callable[[], Column]) -> Callable[[Column], Column]:
-    """The test of a Bloom filter over a key of any type."""
-    held = Bloom(keys, F.xxhash64(key()))
-    return lambda value: held.holds(F.xxhash64(value))
-
-
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """rows(row, at) without those whose place is in the staged table gone(at).
 
