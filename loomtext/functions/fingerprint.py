@@ -6,8 +6,10 @@ and q copies are H(S) * (1 + x^n + ... + x^((q-1) n)). Products of two residues
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,10 +31,25 @@ def power(exponent: Column, base: int, bits: int = 40) -> Column:
     return out
 
 
+@functools.cache
 def powers(lane: int, n: int) -> np.ndarray:
+    """The first n powers of a lane's base."""
     out = np.ones(n, dtype=np.int64)
-    for i in range(1, n):
-        out[i] = out[i - 1] * BASES[lane] % MODULUS
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * pow(BASES[lane], done, MODULUS) % MODULUS
+        done += more
+    return out
+
+
+def powers_at(lane: int, exponents: np.ndarray) -> np.ndarray:
+    """The lane's base to each of the exponents, by a table for each byte of them."""
+    out, k = np.ones(len(exponents), dtype=np.int64), 0
+    while len(exponents) and (int(exponents.max()) >> k):
+        digits = np.array([pow(BASES[lane], d << k, MODULUS) for d in range(256)], dtype=np.int64)
+        out = out * digits[(exponents >> k) & 255] % MODULUS
+        k += 8
     return out
 
 
@@ -41,13 +58,40 @@ def hash_bytes(data: bytes, tables: list[np.ndarray]) -> tuple[int, int]:
     return tuple(int((values * t[: len(values)] % MODULUS).sum() % MODULUS) for t in tables)
 
 
-def leaf_hash(leaf: Column, longest: int) -> Column:
-    """struct<fp1, fp2> of a block of at most `longest` bytes."""
+def byte_values(blocks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of strings or binaries, and where each begins and the last ends; nulls are empty."""
+    text = pa.types.is_string(blocks.type) or pa.types.is_large_string(blocks.type)
+    blocks = blocks.cast(pa.large_string() if text else pa.large_binary())
+    if blocks.null_count:
+        blocks = blocks.fill_null("" if text else b"")
+    offsets = np.frombuffer(blocks.buffers()[1], dtype=np.int64)[blocks.offset : blocks.offset + len(blocks) + 1] if len(blocks) else np.zeros(1, np.int64)
+    data = np.frombuffer(blocks.buffers()[2], dtype=np.uint8) if len(blocks) and blocks.buffers()[2] else np.zeros(0, np.uint8)
+    return data, offsets
+
+
+def hash_blocks(data: np.ndarray, offsets: np.ndarray, most_bytes: int = 1 << 20) -> np.ndarray:
+    """Both lanes of all blocks, a megabyte of them at a time."""
+    out, i = np.zeros((2, len(offsets) - 1), dtype=np.int64), 0
+    while i < len(offsets) - 1:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most_bytes, "right")) - 1)
+        sizes, starts = np.diff(offsets[i : j + 1]), offsets[i:j] - offsets[i]
+        place = np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
+        values, full = data[offsets[i] : offsets[j]].astype(np.int64) + 1, np.flatnonzero(sizes)
+        for k in range(2):
+            if len(full):
+                terms = values * powers(k, int(sizes.max()))[place] % MODULUS
+                out[k, i + full] = np.add.reduceat(terms, starts[full]) % MODULUS
+        i = j
+    return out
+
+
+def leaf_hash(leaf: Column) -> Column:
+    """struct<fp1, fp2> of a block, a batch of blocks at a time."""
 
-    @F.pandas_udf("fp1 long, fp2 long")
-    def of(blocks: pd.Series) -> pd.DataFrame:
-        tables = [powers(k, longest) for k in range(2)]
-        return pd.DataFrame([hash_bytes(bytes(b), tables) for b in blocks], columns=list(LANES), dtype="int64")
+    @F.arrow_udf("fp1 long, fp2 long")
+    def of(blocks: pa.Array) -> pa.Array:
+        h = hash_blocks(*byte_values(blocks))
+        return pa.StructArray.from_arrays([pa.array(h[0]), pa.array(h[1])], names=list(LANES))
 
     return of(leaf)
 

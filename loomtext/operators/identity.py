@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import BASES, LANES, MODULUS, leaf_hash, power
-from ..functions.tables import let, stage
+from ..functions.tables import bloom, let, stage
 from .leaves import content, leaves_fixed
 
 LEAF = 256
 
 
-def fingerprint_leaves(leaves: DataFrame, longest: int = LEAF) -> DataFrame:
+def fingerprint_leaves(leaves: DataFrame) -> DataFrame:
     """leaves with fp1, fp2: one Arrow pass over the bytes."""
-    return leaves.withColumn("_h", leaf_hash(F.col("leaf"), longest)).withColumns({x: F.col(f"_h.{x}") for x in LANES}).drop("_h")
+    return leaves.withColumn("_h", leaf_hash(F.col("leaf"))).withColumns({x: F.col(f"_h.{x}") for x in LANES}).drop("_h")
 
 
 def placed(start: Column, fp: str, lane: int) -> Column:
@@ -43,7 +43,7 @@ def range_fingerprint(docs: DataFrame, ranges: DataFrame, size: int = LEAF, text
     leaves = leaves_fixed(docs, size, text, (key,)).join(ranges, key).filter((F.col("byte_start") < F.col("b")) & (F.col("byte_start") + F.col("n") > F.col("a")))
     lo, hi = F.greatest("a", "byte_start"), F.least("b", F.col("byte_start") + F.col("n"))
     part = leaves.select(key, "a", "b", F.substring("leaf", (lo - F.col("byte_start") + 1).cast("int"), (hi - lo).cast("int")).alias("leaf"), (lo - F.col("a")).alias("byte_start"), (hi - lo).alias("n"))
-    return doc_fingerprint(fingerprint_leaves(part, size), (key, "a", "b"))
+    return doc_fingerprint(fingerprint_leaves(part), (key, "a", "b"))
 
 
 def lcp_bytes(a: Column, b: Column, size: int = LEAF) -> Column:
@@ -75,16 +75,24 @@ def lcp_pairs(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def lcp_all_pairs(docs: DataFrame, size: int = LEAF, text: str = "text", group: str | None = None) -> DataFrame:
     """(a_id, b_id, lcp) for all pairs of documents that share at least one full leaf (within a group, if given).
 
-    Prefix fingerprints meet on (group, ord, fp1, fp2); the deepest match of a pair and the bytes of the one leaf
-    after it give the prefix. Bytes are then verified: a pair whose matched part differs (a collision) is compared in
-    full. The output has a row for each pair, so use `prefix_classes` where thousands share a beginning.
+    Prefix fingerprints meet on (group, ord, fp1, fp2), but only where prefixes part: a prefix whose documents all go on
+    to one and the same next prefix takes no part, and two documents meet at the last one that they share, once. The
+    bytes of the one leaf after it give the rest. Bytes are then verified: a pair whose matched part differs (a
+    collision) is compared in full. The output has a row for each pair, so use `prefix_classes` where thousands share a
+    beginning.
     """
     keys = ("doc_id",) if group is None else ("doc_id", group)
-    hashed = fingerprint_leaves(leaves_fixed(docs, size, text, keys), size)
+    hashed = fingerprint_leaves(leaves_fixed(docs, size, text, keys))
     on = ["ord", *LANES] + ([group] if group else [])
     full = prefix_fingerprint(hashed, keys).filter(F.col("n_bytes") == (F.col("ord") + 1) * size)
-    met = full.select(F.col("doc_id").alias("a_id"), *on).join(full.select(F.col("doc_id").alias("b_id"), *on), on).filter("a_id < b_id")
-    deepest = met.groupBy("a_id", "b_id").agg((F.max("ord") + 1).alias("k"))
+    after = F.lead(F.struct(*LANES)).over(Window.partitionBy(*keys).orderBy("ord"))
+    full = stage(full.select("doc_id", *on, after.alias("next")), "prefixes")
+    parts = full.groupBy(*on).agg(F.count(F.lit(1)).alias("c"), F.count("next").alias("k"), F.min("next").alias("a"), F.max("next").alias("b"))
+    parts = parts.filter("c > 1 and (k < c or a <> b)").select(*on)
+    full = full.join(parts, on, "left_semi")
+    met = full.select(F.col("doc_id").alias("a_id"), F.col("next").alias("na"), *on).join(full.select(F.col("doc_id").alias("b_id"), F.col("next").alias("nb"), *on), on)
+    met = met.filter(F.col("a_id") < F.col("b_id")).filter(F.col("na").isNull() | F.col("nb").isNull() | (F.col("na") != F.col("nb")))
+    deepest = met.groupBy("a_id", "b_id").agg((F.max("ord") + 1).alias("k"))  # one row a pair but for collisions
     data = lambda x: docs.select(F.col("doc_id").alias(f"{x}_id"), content(F.col(text)).alias(x))
     both = deepest.join(data("a"), "a_id").join(data("b"), "b_id")
     known = F.col("k") * size
@@ -96,69 +104,77 @@ def lcp_all_pairs(docs: DataFrame, size: int = LEAF, text: str = "text", group:
 
 def prefix_classes(docs: DataFrame, size: int = LEAF, text: str = "text") -> DataFrame:
     """Shared prefixes without pairs: (ord, fp1, fp2, n_docs, first_id) of each leaf-boundary prefix of several documents."""
-    prefixes = prefix_fingerprint(fingerprint_leaves(leaves_fixed(docs, size, text), size))
+    prefixes = prefix_fingerprint(fingerprint_leaves(leaves_fixed(docs, size, text)))
     return prefixes.groupBy("ord", "n_bytes", *LANES).agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_id")).filter("n_docs > 1")
 
 
 def full_prefixes(docs: DataFrame, size: int = LEAF, text: str = "text") -> DataFrame:
     """(doc_id, k, fp1, fp2): fingerprints of the first k full leaves, k from 1."""
-    prefixes = prefix_fingerprint(fingerprint_leaves(leaves_fixed(docs, size, text), size))
+    prefixes = prefix_fingerprint(fingerprint_leaves(leaves_fixed(docs, size, text)))
     return prefixes.filter(F.col("n_bytes") == (F.col("ord") + 1) * size).select("doc_id", (F.col("ord") + 1).alias("k"), *LANES)
 
 
 def match_prefix(queries: DataFrame, cache: DataFrame, size: int = LEAF, text: str = "text", prefixes: DataFrame | None = None) -> DataFrame:
     """For each query document the cached one with the longest common prefix: (doc_id, cached_id, lcp).
 
-    Every query has a row: those that share less than a leaf are matched inside the first one, and what shares nothing
-    has lcp 0 and the smallest id of the cache (null if that is empty). Cached prefixes are first reduced to one witness for each (k, fingerprint), so a prefix that all entries share
-    costs one row, and no pair table exists. Among entries of equal depth, the longest continuation inside the next
-    leaf wins, then the smallest id: the candidates of the last shared leaf are compared by their next leaf.
-    `prefixes` are the cache's full prefixes, if they are at hand; bytes are hashed once on either side.
+    Every query has a row; what shares nothing has lcp 0 and the smallest id of the cache (null if that is empty), and of
+    entries with equal prefixes the smallest id is given. Two steps, each linear in the rows of both sides:
+
+    1. Fingerprints of the first k full leaves meet; the deepest is the query's class (k = 0 where none meets).
+    2. Within the class the leaf after it is matched as bytes: prefixes of it meet at multiples of 16 bytes, and then at
+       each byte behind the longest of those. Cached prefixes are first reduced to the smallest id, so a beginning that
+       all entries share costs one row, and no table of pairs exists.
+
+    `prefixes` are the cache's full prefixes, if they are at hand.
     """
     ours = stage(full_prefixes(cache, size, text), "cached-prefixes") if prefixes is None else prefixes
     mine = stage(full_prefixes(queries, size, text), "asked-prefixes")
-    deepest = mine.join(ours.select("k", *LANES).distinct(), ["k", *LANES], "left_semi").groupBy("doc_id").agg(F.max("k").alias("k"))
-    asked = mine.join(deepest, ["doc_id", "k"])
-    leaf_after = lambda d, name: leaves_fixed(d, size, text).select("doc_id", F.col("ord").alias("k"), F.col("leaf").alias(name))
-    near = ours.join(asked.select("k", *LANES).distinct(), ["k", *LANES], "left_semi")
-    after = near.join(leaf_after(cache, "next"), ["doc_id", "k"], "left").groupBy("k", *LANES, "next").agg(F.min("doc_id").alias("cached_id"))
-    none = F.lit(b"")
-    more = lcp_bytes(F.coalesce("mine", none), F.coalesce("next", none), size)
-    both = asked.join(leaf_after(queries, "mine"), ["doc_id", "k"], "left").join(after, ["k", *LANES]).withColumn("more", more)
-    best = F.max_by(F.struct("cached_id", "more"), F.struct("more", -F.col("cached_id")))
-    deep = stage(both.groupBy("doc_id", "k").agg(best.alias("b")).select("doc_id", "b.cached_id", (F.col("k") * size + F.col("b.more")).alias("lcp")), "matched-leaves")
-    rest = match_beginning(queries.join(deep, "doc_id", "left_anti"), cache, size, text)
-    return deep.unionByName(rest)
-
-
-def match_beginning(queries: DataFrame, cache: DataFrame, size: int = LEAF, text: str = "text", step: int = 16) -> DataFrame:
-    """match_prefix for queries whose longest common prefix is below `size` bytes: (doc_id, cached_id, lcp).
-
-    Prefixes meet as bytes, first at multiples of `step`, then at each byte after the longest of those. Cached ones are
-    reduced to the smallest id for each prefix, at the second pass only behind prefixes that were asked for.
-    """
-    data = lambda d: d.select("doc_id", F.substring(content(F.col(text)), F.lit(1), F.lit(size)).alias("data")).withColumn("n", F.octet_length("data"))
-    prefix = lambda n: F.substring("data", F.lit(1), n)
-    coarse = F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / step).cast("int")), lambda i: prefix(i * step))
-    fine = F.transform(F.sequence(F.col("at"), F.least("n", F.col("at") + step - 1)), lambda i: prefix(i))
-    asked, ours = data(queries), data(cache)
-    known = ours.select(F.explode(coarse).alias("p")).distinct()
-    longest = asked.select("doc_id", F.explode(coarse).alias("p")).join(known, "p", "left_semi").groupBy("doc_id").agg(F.max(F.octet_length("p")).alias("at"))
+    key = ["k", *LANES]
+    deepest = mine.join(ours.select(*key).distinct(), key, "left_semi").groupBy("doc_id").agg(F.max(F.struct(*key)).alias("c")).select("doc_id", "c.*")
+    asked = stage(_next_leaf(queries, deepest, size, text), "asked-leaves")
+    classes = asked.select(*key).distinct()
+    cached = _next_leaf(cache, ours.join(classes.filter("k > 0"), key, "left_semi"), size, text, every=True)
+    cached = stage(cached.join(classes, key, "left_semi"), "cached-leaves")
+    return _match_leaves(asked, cached, key)
+
+
+def _next_leaf(docs: DataFrame, known: DataFrame, size: int, text: str, every: bool = False) -> DataFrame:
+    """(doc_id, k, fp1, fp2, data): the leaf after the first k for known(doc_id, k, fp1, fp2), and the first leaf of
+    documents that are not known, or of `every` one, with k = 0."""
+    none = [F.lit(0).cast("long").alias(x) for x in LANES]
+    first = docs.select("doc_id", F.lit(0).alias("k"), *none, F.substring(content(F.col(text)), F.lit(1), F.lit(size)).alias("data"))
+    leaf = leaves_fixed(docs, size, text).select("doc_id", F.col("ord").alias("k"), F.col("leaf").alias("data")).filter("k > 0")
+    later = known.join(leaf, ["doc_id", "k"], "left").select("doc_id", "k", *LANES, F.coalesce("data", F.lit(b"")).alias("data"))
+    return later.unionByName(first if every else first.join(known, "doc_id", "left_anti"))
+
+
+def _match_leaves(asked: DataFrame, cached: DataFrame, key: list[str], size: int = LEAF, step: int = 16) -> DataFrame:
+    """(doc_id, cached_id, lcp) for asked and cached(doc_id, key, data) by the longest common prefix of data under one key."""
+    n = F.octet_length("data")
+    prefix = lambda i: F.substring("data", F.lit(1), i)
+    coarse = lambda least: F.transform(F.filter(F.sequence(F.lit(0), F.floor(n / step).cast("int")), lambda i: i >= least), lambda i: prefix(i * step))
+    fine = F.transform(F.sequence(F.col("at"), F.least(n, F.col("at") + step - 1)), lambda i: prefix(i))
+    known = cached.select(*key, F.explode(coarse(1)).alias("p")).distinct()
+    longest = asked.select("doc_id", *key, F.explode(coarse(1)).alias("p")).join(known, [*key, "p"], "left_semi").groupBy("doc_id").agg(F.max(F.octet_length("p")).alias("at"))
     asked = stage(asked.join(longest, "doc_id", "left").withColumn("at", F.coalesce("at", F.lit(0))), "asked-beginnings")
-    bases = asked.select(prefix(F.col("at")).alias("base")).distinct()
-    behind = ours.select("doc_id", "data", "n", F.explode(coarse).alias("base")).join(bases, "base", "left_semi").withColumn("at", F.octet_length("base"))
-    first = behind.select("doc_id", F.explode(fine).alias("p")).groupBy("p").agg(F.min("doc_id").alias("cached_id"))
-    met = asked.select("doc_id", F.explode(fine).alias("p")).join(first, "p", "left").withColumn("m", F.when(F.col("cached_id").isNotNull(), F.octet_length("p")))
-    return met.groupBy("doc_id").agg(F.max_by("cached_id", "m").alias("cached_id"), F.coalesce(F.max("m"), F.lit(0)).cast("long").alias("lcp"))
+    bases = asked.select(*key, prefix(F.col("at")).alias("base")).distinct()
+    behind = cached.select("doc_id", *key, "data", F.explode(coarse(0)).alias("base")).join(bases, [*key, "base"], "left_semi").withColumn("at", F.octet_length("base"))
+    first = behind.select("doc_id", *key, F.explode(fine).alias("p")).groupBy(*key, "p").agg(F.min("doc_id").alias("cached_id"))
+    met = asked.select("doc_id", *key, F.explode(fine).alias("p")).join(first, [*key, "p"], "left").withColumn("m", F.when(F.col("cached_id").isNotNull(), F.octet_length("p")))
+    return met.groupBy("doc_id").agg(F.max_by("cached_id", "m").alias("cached_id"), (F.max("k") * size + F.coalesce(F.max("m"), F.lit(0))).cast("long").alias("lcp"))
 
 
 def exact_dup_groups(docs: DataFrame, size: int = LEAF, text: str = "text") -> DataFrame:
-    """Groups of equal texts: (n, fp1, fp2, first_id, n_docs, verified). Bytes are verified by minimum and maximum."""
-    fps = doc_fingerprint(fingerprint_leaves(leaves_fixed(docs, size, text), size))
-    groups = fps.groupBy("n", *LANES).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs")).filter("n_docs > 1")
-    rows = fps.join(groups, ["n", *LANES], "left_semi").join(docs.select("doc_id", content(F.col(text)).alias("data")), "doc_id")
-    same = rows.groupBy("n", *LANES).agg((F.min("data") == F.max("data")).alias("verified"))
-    return groups.join(same, ["n", *LANES])
+    """Groups of equal texts: (n, fp1, fp2, first_id, n_docs, verified). Bytes are verified by minimum and maximum, which
+    each task reduces first; a Bloom filter of the members' ids keeps all other texts where they are."""
+    key = ["n", *LANES]
+    fps = stage(doc_fingerprint(fingerprint_leaves(leaves_fixed(docs, size, text))), "fingerprints")
+    groups = stage(fps.groupBy(*key).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs")).filter("n_docs > 1"), "groups")
+    members = stage(fps.join(groups.select(*key), key, "left_semi"), "members")
+    member = bloom(members, lambda: F.col("doc_id"))
+    texts = docs.filter(member(F.col("doc_id"))).select("doc_id", content(F.col(text)).alias("data"))
+    same = members.join(texts, "doc_id").groupBy(*key).agg((F.min("data") == F.max("data")).alias("verified"))
+    return groups.join(same, key)
 
 
 def corrupt(tokens: Column, pos: Column, modulus: int = 1 << 32) -> Column:

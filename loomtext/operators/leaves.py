@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fingerprint import byte_values
 from ..functions.tables import let
 
-# Fixed value: the rule of a safe cut.
-#: Space with other than ASCII white space on both sides.
-LONE_SPACE = r"(?<=[^ \t\n\r\f\x0b]) (?=[^ \t\n\r\f\x0b])"
+# A safe cut is at a space with other than ASCII white space on both sides.
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[32, 9, 10, 11, 12, 13]] = True
 #: Pre-tokens: a space leads its word, other white space stands alone.
 TOKEN = r" ?[^ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]"
 
@@ -36,32 +39,48 @@ def leaves_fixed(docs: DataFrame, size: int, text: str = "text", keys: tuple[str
     return docs.select(*keys, F.inline(cut(content(F.col(text)), size, empty_leaf)))
 
 
-def leaves_aligned(docs: DataFrame, target: int, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys, ord, byte_start, leaf, n): leaves of at least `target` bytes that begin at lone spaces.
-
-    Each cut is the first lone space at or after the target; there is none where the rest fits the target. A text is
-    split once; one fold over the sizes of the pieces decides the cuts greedily, and only cuts are kept. Narrow.
-    """
-    pieces = F.split(F.coalesce(F.col(text), F.lit("")), LONE_SPACE, -1)
-
-    def of(x):
+def aligned_cuts(text: Column, target: int) -> Column:
+    """array<int>: 0 and the bytes at which further leaves begin, each the first lone space at or after the target; none
+    where the rest fits the target. Lone spaces of a whole batch are found at once, then each cut is a look-up."""
+
+    @F.arrow_udf("array<int>")
+    def of(texts: pa.Array) -> pa.Array:
+        data, offsets = byte_values(texts)
+        white = _WHITE[data]
+        lone = np.zeros(len(data), dtype=bool)
+        lone[1:-1] = (data[1:-1] == 32) & ~white[:-2] & ~white[2:]
+        for edge in (offsets[:-1], offsets[1:] - 1):  # no neighbour beyond the text's ends
+            edge = edge[(edge >= 0) & (edge < len(data))]
+            lone[edge] = False
+        places, out, sizes = np.flatnonzero(lone), [], []
+        firsts = np.searchsorted(places, offsets).tolist()
+        for i, (start, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            mine, at, n = places[firsts[i] : firsts[i + 1]], start, 1
+            out.append(0)
+            while at + target < end and (k := int(np.searchsorted(mine, at + target))) < len(mine):
+                at = int(mine[k])
+                out.append(at - start)
+                n += 1
+            sizes.append(n)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(out, pa.int32()))
+
+    return of(F.coalesce(text, F.lit("")))
+
+
+def aligned(text: Column, target: int) -> Column:
+    """array<struct<ord, byte_start, leaf, n>> of leaves of at least `target` bytes that begin at lone spaces."""
+
+    def leaf(x):
         n = F.octet_length(x["data"])
-        sizes = F.transform(x["ps"], lambda p, i: F.octet_length(p) + F.when(i > 0, 1).otherwise(0))  # a space leads its piece
-
-        def step(acc, size):
-            at, cut = acc["at"], acc["cut"]
-            here = (at > cut) & (at >= cut + target) & (cut + target < n)
-            return F.struct((at + size).alias("at"), F.when(here, at).otherwise(cut).alias("cut"), F.when(here, F.concat(acc["cuts"], F.array(at))).otherwise(acc["cuts"]).alias("cuts"))
-
-        zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("cut"), F.array(F.lit(0)).alias("cuts"))
+        end = lambda i: F.coalesce(F.get(x["cuts"], i + 1), n)
+        return F.transform(x["cuts"], lambda c, i: F.struct(i.alias("ord"), c.cast("long").alias("byte_start"), F.decode(F.substring(x["data"], c + 1, end(i) - c), "UTF-8").alias("leaf"), (end(i) - c).alias("n")))
 
-        def leaf(cuts):
-            end = lambda i: F.coalesce(F.get(cuts, i + 1), n)
-            return F.transform(cuts, lambda c, i: F.struct(i.alias("ord"), c.cast("long").alias("byte_start"), F.decode(F.substring(x["data"], c + 1, end(i) - c), "UTF-8").alias("leaf"), (end(i) - c).alias("n")))
+    return let(F.struct(content(text).alias("data"), aligned_cuts(text, target).alias("cuts")), leaf)
 
-        return let(F.aggregate(sizes, zero, step)["cuts"], leaf)
 
-    return docs.select(*keys, F.inline(let(F.struct(content(F.col(text)).alias("data"), pieces.alias("ps")), of)))
+def leaves_aligned(docs: DataFrame, target: int, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, ord, byte_start, leaf, n): see aligned. Narrow."""
+    return docs.select(*keys, F.inline(aligned(F.col(text), target)))
 
 
 def tokens(text: Column) -> Column:
@@ -73,26 +92,26 @@ def token_rows(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("do
     return docs.select(*keys, F.posexplode(tokens(F.col(text))).alias("pos", "token"))
 
 
-def leaf_token_rows(leaves: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, pos, token): pre-tokens of each leaf alone, in order; leaf may be string or binary (bad bytes replaced)."""
-    leaf = F.col("leaf")
-    if dict(leaves.dtypes)["leaf"] == "binary":
-        leaf = F.make_valid_utf8(leaf.cast("string"))
-    listed = leaves.select(key, "ord", tokens(leaf).alias("ts"))
-    before = F.coalesce(F.sum(F.size("ts")).over(Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return listed.select(key, before.alias("before"), "ts").select(key, "before", F.posexplode("ts").alias("i", "token")).select(key, (F.col("before") + F.col("i")).cast("int").alias("pos"), "token")
+def leaf_tokens(leaves: Column, binary: bool = False) -> Column:
+    """Pre-tokens of each leaf alone, in order, of an array<struct<leaf>>; bad bytes of binary leaves are replaced."""
+    read = (lambda x: F.make_valid_utf8(x.cast("string"))) if binary else (lambda x: x)
+    return F.flatten(F.transform(leaves, lambda x: tokens(read(x["leaf"]))))
+
+
+def leaf_token_rows(docs: DataFrame, target: int, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, pos, token): pre-tokens of each aligned leaf alone, in order. Narrow."""
+    return docs.select(*keys, F.posexplode(leaf_tokens(aligned(F.col(text), target))).alias("pos", "token"))
 
 
-def identity_report(docs: DataFrame, leaves: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def identity_report(docs: DataFrame, leaves: Column, text: str = "text", key: str = "doc_id", binary: bool = False) -> DataFrame:
     """Whole against leaf-wise token streams: exact_match, n_leaves, whole_tok, chunked_tok, first_divergence,
-    divergent_positions (differing places and the difference in length), invalid_leaves."""
-    a = token_rows(docs, text, (key,)).withColumnRenamed("token", "a")
-    b = leaf_token_rows(leaves, key).withColumnRenamed("token", "b")
-    differs = ~F.col("a").eqNullSafe(F.col("b"))
-    both = a.join(b, [key, "pos"], "full").groupBy(key).agg(
-        F.count("a").alias("whole_tok"), F.count("b").alias("chunked_tok"), F.min(F.when(differs, F.col("pos"))).alias("first_divergence"), F.count_if(differs).alias("divergent_positions")
-    )
-    bad = F.count_if(~F.is_valid_utf8("leaf")) if dict(leaves.dtypes)["leaf"] != "binary" else F.count_if(~F.is_valid_utf8(F.col("leaf").cast("string")))
-    counts = leaves.groupBy(key).agg(F.count(F.lit(1)).alias("n_leaves"), bad.alias("invalid_leaves"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return counts.join(both, key, "left").select(key, F.col("first_divergence").isNull().alias("exact_match"), "n_leaves", zero("whole_tok"), zero("chunked_tok"), "first_divergence", zero("divergent_positions"), "invalid_leaves")
+    divergent_positions (differing places and the difference in length), invalid_leaves.
+
+    `leaves` is an array<struct<leaf>> of the text, strings or binaries. Both streams are compared inside the row.
+    """
+    rows = docs.select(key, F.col(text).alias("text"), leaves.alias("leaves")).select(key, "leaves", tokens(F.col("text")).alias("a"), leaf_tokens(F.col("leaves"), binary).alias("b"))
+    differs = F.when(F.col("a") == F.col("b"), F.array().cast("array<boolean>")).otherwise(F.zip_with("a", "b", lambda x, y: ~x.eqNullSafe(y)))
+    bad = F.size(F.filter("leaves", lambda x: ~F.is_valid_utf8(x["leaf"].cast("string") if binary else x["leaf"])))
+    rows = rows.select(key, F.size("leaves").cast("long").alias("n_leaves"), F.size("a").cast("long").alias("whole_tok"), F.size("b").cast("long").alias("chunked_tok"), differs.alias("differs"), bad.cast("long").alias("invalid_leaves"))
+    first = F.nullif(F.array_position("differs", F.lit(True)), F.lit(0)) - 1
+    return rows.select(key, first.isNull().alias("exact_match"), "n_leaves", "whole_tok", "chunked_tok", first.alias("first_divergence"), F.size(F.filter("differs", lambda x: x)).cast("long").alias("divergent_positions"), "invalid_leaves")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import join_checked, stage
+
 # Two-sided 95 % Student t by degrees of freedom; 1.96 beyond 30.
 T_COARSE = {
     1: 12.71, 2: 4.30, 3: 3.18, 4: 2.78, 5: 2.57, 6: 2.45, 7: 2.36, 8: 2.31, 9: 2.26, 10: 2.23, 11: 2.20, 12: 2.18,
@@ -38,13 +40,18 @@ def latency_percentiles(runs: DataFrame, keys: list[str], value: str = "value",
 
 
 def bootstrap_ci(runs: DataFrame, keys: list[str], value: str = "value", draws: int = 2000, seed: int = 7) -> DataFrame:
-    """2.5 and 97.5 % points of the median over resamples; picks are hashes of draw and place, so reruns agree."""
-    cells = runs.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("v"))
+    """2.5 and 97.5 % points of the median over resamples; picks are hashes of draw and place, so reruns agree.
+
+    Draws are dealt over all partitions first and then meet their group's values, so one group is many tasks.
+    """
     n = F.size("v")
+    cells = stage(runs.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("v")).filter(n > 0), "bootstrap-cells")
     pick = F.transform(F.sequence(F.lit(1), n), lambda i: F.get("v", F.pmod(F.xxhash64(F.col("draw"), i, F.lit(seed)), n).cast("int")))
     middle = F.sort_array(pick)
     median = (F.get(middle, F.floor((n - 1) / 2).cast("int")) + F.get(middle, F.floor(n / 2).cast("int"))) / 2
-    drawn = cells.filter(n > 0).select(*keys, "v", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select(*keys, median.alias("m"))
+    dealt = cells.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    dealt = dealt.repartition(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "draw")
+    drawn = join_checked(dealt, cells, keys).select(*keys, median.alias("m"))
     return drawn.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.count(F.lit(1)).alias("draws")).select(*keys, F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"), "draws")
 
 
@@ -166,12 +173,11 @@ def crossover_stable(both: DataFrame, keys: list[str], tolerance: float = 1.001)
 
 
 def grid_neighbour(both: DataFrame, keys: list[str], target: int, column: str = "cross_mean") -> DataFrame:
-    """Is the crossover within one step of the size grid from `target`?"""
-    grid = both.select("n").distinct().withColumn("step", F.dense_rank().over(Window.orderBy("n")))  # a handful of sizes
-    cross = crossovers(both, keys).select(*keys, F.col(column).alias("cross"))
-    mine = cross.join(F.broadcast(grid.withColumnRenamed("n", "cross")), "cross", "left")
-    there = grid.filter(F.col("n") == target).select(F.col("step").alias("goal"))
-    return mine.join(F.broadcast(there), F.lit(True), "left").select(*keys, "cross", (F.abs(F.col("step") - F.col("goal")) <= 1).alias("near"))
+    """Is the crossover within one step of the size grid from `target`? The grid, a row of distinct sizes, is a scalar."""
+    grid = both.agg(F.sort_array(F.collect_set("n")).alias("grid")).scalar()
+    step = lambda n: F.nullif(F.array_position(grid, n), F.lit(0).cast("long"))
+    goal = step(F.lit(target).cast(both.schema["n"].dataType))
+    return crossovers(both, keys).select(*keys, F.col(column).alias("cross")).withColumn("near", F.abs(step(F.col("cross")) - goal) <= 1)
 
 
 def monotone_increasing(cells: DataFrame, keys: list[str], x: str = "n", y: str = "mean") -> DataFrame:
@@ -185,11 +191,12 @@ def losing_cells(both: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def grid_coverage(runs: DataFrame, axes: list[str]) -> DataFrame:
-    """Cells of the full grid of the axes' values that no run has."""
+    """Cells of the full grid of the axes' values that no run has. The axes' values meet in one row, which unfolds axis by
+    axis; the grid of an experiment is its output."""
     have = runs.select(*axes).distinct()
-    grid = have.select(axes[0]).distinct()
-    for x in axes[1:]:
-        grid = grid.crossJoin(F.broadcast(have.select(x).distinct()))  # the grid of an experiment is its output
+    grid = have.agg(*[F.collect_set(x).alias(x) for x in axes])
+    for x in axes:
+        grid = grid.withColumn(x, F.explode(x))
     return grid.join(have, axes, "left_anti")
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fingerprint import byte_values
+from ..functions.tables import global_rank, let
+
 
 def strip_boilerplate(text: Column, start: str, end: str) -> Column:
     """What stands between the first line that matches `start` and the next that matches `end`, if both exist; trimmed."""
@@ -13,20 +18,27 @@ def strip_boilerplate(text: Column, start: str, end: str) -> Column:
     return F.btrim(F.when(both, inner).otherwise(text), F.lit(" \t\n\r\f\x0b"))
 
 
+def fixed_pieces(text: Column, size: int) -> Column:
+    """array<string> of pieces of `size` characters; empty for an empty text."""
+    pieces = lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(t) - 1) / size)).cast("int")), lambda i: F.substring(t, i * size + 1, F.lit(size)))
+    return let(F.coalesce(text, F.lit("")), lambda t: F.when(F.length(t) > 0, pieces(t)).otherwise(F.array().cast("array<string>")))
+
+
 def chunk_fixed_chars(docs: DataFrame, size: int = 8192, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, ord, piece): pieces of `size` characters; none for an empty text."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(t) - 1) / size)).cast("int"))
-    return docs.filter(F.length(t) > 0).select(*keys, F.posexplode(F.transform(starts, lambda i: F.substring(t, i * size + 1, F.lit(size)))).alias("ord", "piece"))
-
+    return docs.select(*keys, F.posexplode(fixed_pieces(F.col(text), size)).alias("ord", "piece"))
 
-def seeded_shuffle(rows: DataFrame, key: str, seed: int, out: str = "place") -> DataFrame:
-    """rows with a place in a seeded permutation: the order of a multiplicative key modulo a prime, the same on reruns.
 
-    The place itself is a global rank and is only taken when asked for; readers that stream the shuffle sort by `_key`.
-    """
+def shuffle_key(key: Column, seed: int) -> Column:
+    """A number by whose order, and then the key, rows stand in a seeded permutation, the same on reruns."""
     prime = (1 << 31) - 1
-    return rows.withColumn(out, ((F.col(key) + 1) % prime * (48271 + 2 * seed) + seed) % prime)
+    return ((key + 1) % prime * (48271 + 2 * seed) + seed) % prime
+
+
+def seeded_shuffle(rows: DataFrame, key: str, seed: int, out: str = "place") -> DataFrame:
+    """rows with their place in a seeded permutation: the rank by shuffle_key, then key, found without a single sort."""
+    marked = rows.withColumn("_key", shuffle_key(F.col(key), seed))
+    return global_rank(marked, [F.col("_key"), F.col(key)], out).drop("_key")
 
 
 def provenance(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -90,11 +102,22 @@ def token_offset(byte: Column) -> Column:
 
 
 def utf8_offsets(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys, i, byte): where each character begins, and the total length for i = number of characters."""
-    chars = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), ""), lambda c: c != "")
-    rows = docs.select(*keys, F.posexplode(F.concat(chars, F.array(F.lit("")))).alias("i", "c"))
-    w = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select(*keys, "i", F.coalesce(F.sum(F.octet_length("c")).over(w), F.lit(0)).alias("byte"))
+    """(keys, i, byte): where each character begins, and the total length for i = number of characters. Narrow."""
+
+    @F.arrow_udf("array<bigint>")
+    def begins(texts: pa.Array) -> pa.Array:
+        data, offsets = byte_values(texts)
+        first = np.flatnonzero((data & 0xC0) != 0x80)
+        cuts = np.searchsorted(first, offsets)
+        of = np.repeat(np.arange(len(offsets) - 1), np.diff(cuts) + 1)  # a place for each character and one for the end
+        out = np.zeros(len(of), dtype=np.int64)
+        ends = np.cumsum(np.diff(cuts) + 1) - 1
+        inner = np.ones(len(of), dtype=bool)
+        inner[ends] = False
+        out[inner], out[ends] = first[cuts[0] : cuts[-1]] - offsets[of[inner]], np.diff(offsets)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends + 1), pa.int32()), pa.array(out))
+
+    return docs.select(*keys, F.posexplode(begins(F.coalesce(F.col(text), F.lit("")))).alias("i", "byte"))
 
 
 # The grammar of a move line and the value words.

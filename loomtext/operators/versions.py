@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fingerprint import BASES, LANES, MODULUS, geometric, hash_bytes, power, powers
+from ..functions.fingerprint import BASES, LANES, MODULUS, byte_values, geometric, power, powers, powers_at
 from ..functions.tables import let
 
 
@@ -129,34 +130,45 @@ def edit_apply(docs: DataFrame, edits: DataFrame, data: str = "data", key: str =
     return docs.join(listed, key, "left").select(key, F.when(F.col("_e").isNull(), F.col(data)).otherwise(done).alias("data"))
 
 
-def edit_identity(docs: DataFrame, edits: DataFrame, every: int, data: str = "data", key: str = "doc_id", longest: int = 64) -> DataFrame:
-    """(key, step, n, fp1, fp2, md5) at each multiple of `every`. Edits keep the length (del_len = length of ins), so the fingerprint
-    moves by the edited span alone and the document is never hashed again."""
-    listed = edits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("step", "pos", "ins"))).alias("e"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
-        tables = [powers(k, longest) for k in range(2)]
-        for frame in frames:
-            rows = []
-            for k, content, steps, f1, f2 in zip(frame[key], frame["data"], frame["e"], frame["fp1"], frame["fp2"], strict=True):
-                now, fp = bytearray(content), [int(f1), int(f2)]
-                for i, e in enumerate(steps):
-                    at, ins = int(e["pos"]), bytes(e["ins"])
-                    old, new = hash_bytes(bytes(now[at : at + len(ins)]), tables), hash_bytes(ins, tables)
-                    fp = [(fp[j] + (new[j] - old[j]) * pow(BASES[j], at, MODULUS)) % MODULUS for j in range(2)]
-                    now[at : at + len(ins)] = ins
-                    if (i + 1) % every == 0:
-                        rows.append((k, int(e["step"]), len(now), *fp, hashlib.md5(bytes(now)).hexdigest()))
-            yield pd.DataFrame(rows, columns=[key, "step", "n", "fp1", "fp2", "md5"])
-
-    from .identity import LEAF, doc_fingerprint, fingerprint_leaves
+def edit_identity(docs: DataFrame, edits: DataFrame, every: int, data: str = "data", key: str = "doc_id") -> DataFrame:
+    """(key, step, n, fp1, fp2) at each multiple of `every`. Edits keep the length (del_len = length of ins), so the
+    fingerprint moves by the edited span alone and the document is never hashed again. A batch of documents takes its
+    first edits together, then its second ones, and so on."""
+    from .identity import doc_fingerprint, fingerprint_leaves
     from .leaves import cut
 
-    fps = doc_fingerprint(fingerprint_leaves(docs.select(key, F.inline(cut(F.col(data), LEAF))), LEAF), (key,)).drop("n")
+    listed = edits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("step", "pos", "ins"))).alias("e"))
+    fps = doc_fingerprint(fingerprint_leaves(docs.select(key, F.inline(cut(F.col(data), 256)))), (key,)).drop("n")
     rows = docs.select(key, F.col(data).alias("data")).join(listed, key).join(fps, key)
-    return rows.mapInPandas(run, f"{key} long, step long, n long, fp1 long, fp2 long, md5 string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content, starts = byte_values(batch.column("data"))
+            now = content[starts[0] : starts[-1]].copy()
+            starts = starts - starts[0]
+            lists = batch.column("e")
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            step, pos, ins = (lists.values.field(i) for i in range(3))
+            step, pos, (new, at) = step.to_numpy(), pos.to_numpy(), byte_values(ins)
+            fp = np.stack([batch.column(x).to_numpy().copy() for x in LANES])
+            for i in range(int(np.diff(ends).max(initial=0))):
+                doc = np.flatnonzero(np.diff(ends) > i)
+                e = ends[doc] + i
+                size = at[e + 1] - at[e]
+                place = np.arange(int(size.max(initial=0)))
+                inside = place < size[:, None]
+                there, here = (starts[doc] + pos[e])[:, None] + place, at[e][:, None] + place
+                delta = np.zeros(inside.shape, dtype=np.int64)
+                delta[inside] = new[here[inside]].astype(np.int64) - now[there[inside]]
+                for k in range(2):
+                    moved = (delta * powers(k, len(place)) % MODULUS).sum(1) % MODULUS
+                    fp[k, doc] = (fp[k, doc] + moved * powers_at(k, pos[e])) % MODULUS
+                now[there[inside]] = new[here[inside]]
+                if (i + 1) % every == 0:
+                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(doc)), pa.array(step[e]), pa.array(starts[doc + 1] - starts[doc]), pa.array(fp[0, doc]), pa.array(fp[1, doc])], names=[key, "step", "n", *LANES])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return rows.select(key, "data", "e", *LANES).mapInArrow(run, f"{key} {kind}, step long, n long, fp1 long, fp2 long")
 
 
 def snapshot_at(docs: DataFrame, edits: DataFrame, version: int, **how) -> DataFrame:

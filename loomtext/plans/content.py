@@ -17,7 +17,7 @@ def docs(spark, sf):
     return table(spark, sf, "documents")
 
 
-def _pow(i: str, base: int, bits: int = 18) -> str:
+def _pow(i: str, base: int, bits: int = 21) -> str:
     """x^i mod p in SQL, by the bits of i."""
     out, square = "1::BIGINT", base
     for k in range(bits):
@@ -42,6 +42,12 @@ cut(doc_id, target, s) AS (SELECT doc_id, target, 0::BIGINT FROM d, (SELECT unne
   UNION ALL SELECT c.doc_id, c.target, min(l.boff) FROM cut c JOIN d ON d.doc_id = c.doc_id JOIN lone l ON l.doc_id = c.doc_id AND l.boff >= c.s + c.target WHERE c.s + c.target < d.n GROUP BY c.doc_id, c.target, c.s)"""
 
 
+_LEAF_TOKENS = f"""lv AS (SELECT doc_id, target, s, coalesce(lead(s) OVER (PARTITION BY target, doc_id ORDER BY s), n) AS e FROM cut JOIN d USING (doc_id)),
+lt AS (SELECT doc_id, target, count(*) AS n_leaves, flatten(list({_TOKENS} ORDER BY s)) AS b FROM (SELECT lv.doc_id, target, s, decode(unhex(substr(hex(encode(coalesce(text, ''))), 2 * s::INT + 1, 2 * (e - s)::INT))) AS text FROM lv JOIN documents USING (doc_id)) GROUP BY doc_id, target),
+wt AS (SELECT doc_id, {_TOKENS} AS a FROM documents),
+cmp AS (SELECT doc_id, target, n_leaves, len(a) AS whole_tok, len(b) AS chunked_tok, list_filter(range(greatest(len(a), len(b))), lambda i: a[i + 1] IS DISTINCT FROM b[i + 1]) AS bad FROM lt JOIN wt USING (doc_id))"""
+
+
 @query("leaves_fixed", f"WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents) SELECT doc_id, o AS ord, o * {LB} AS byte_start, substr(h, o * {2 * LB} + 1, {2 * LB}) AS leaf, length(substr(h, o * {2 * LB} + 1, {2 * LB})) // 2 AS n FROM d, unnest(range(greatest(1, (n + {LB - 1}) // {LB}))) u(o)")
 def _(spark, sf):
     return leaves.leaves_fixed(docs(spark, sf), LB).withColumn("leaf", F.hex("leaf"))
@@ -60,13 +66,12 @@ def _(spark, sf):
 
 @query("tokenize_leaves", f"WITH t AS (SELECT doc_id, {_TOKENS} AS ts FROM documents) SELECT doc_id, generate_subscripts(ts, 1) - 1 AS pos, unnest(ts) AS token FROM t")
 def _(spark, sf):
-    return leaves.leaf_token_rows(leaves.leaves_aligned(docs(spark, sf), LB))
+    return leaves.leaf_token_rows(docs(spark, sf), LB)
 
 
-@query("identity_report", f"{_CUTS('[256]')}, t AS (SELECT doc_id, len({_TOKENS}) AS k FROM documents), l AS (SELECT doc_id, count(*) AS n_leaves FROM cut GROUP BY doc_id) SELECT doc_id, true AS exact_match, n_leaves, k AS whole_tok, k AS chunked_tok, NULL AS first_divergence, 0 AS divergent_positions, 0 AS invalid_leaves FROM t JOIN l USING (doc_id)")
+@query("identity_report", f"{_CUTS('[256]')}, {_LEAF_TOKENS} SELECT doc_id, len(bad) = 0 AS exact_match, n_leaves, whole_tok, chunked_tok, bad[1] AS first_divergence, len(bad) AS divergent_positions, 0 AS invalid_leaves FROM cmp")
 def _(spark, sf):
-    d = docs(spark, sf)
-    return leaves.identity_report(d, leaves.leaves_aligned(d, LB))
+    return leaves.identity_report(docs(spark, sf), leaves.aligned(F.col("text"), LB))
 
 
 @query("identity_report_blind", f"""WITH t AS (SELECT doc_id, text, {_TOKENS} AS a FROM documents), p AS (SELECT doc_id, o, substr(text, o * 256 + 1, 256) AS text FROM t, unnest(range((length(text) + 255) // 256)) u(o)),
@@ -74,15 +79,15 @@ q AS (SELECT doc_id, count(*) AS n_leaves, flatten(list({_TOKENS} ORDER BY o)) A
 SELECT doc_id, count_if(a[i + 1] IS DISTINCT FROM b[i + 1]) = 0 AS exact_match, any_value(n_leaves) AS n_leaves, any_value(len(a)) AS whole_tok, any_value(len(b)) AS chunked_tok, min(i) FILTER (a[i + 1] IS DISTINCT FROM b[i + 1]) AS first_divergence, count_if(a[i + 1] IS DISTINCT FROM b[i + 1]) AS divergent_positions, 0 AS invalid_leaves FROM e GROUP BY doc_id""")
 def _(spark, sf):
     """Control: blind cuts break the token stream, and the report must say so."""
-    d = docs(spark, sf)
-    return leaves.identity_report(d, text.chunk_fixed_chars(d, 256).withColumnRenamed("piece", "leaf"))
+    pieces = F.transform(text.fixed_pieces(F.col("text"), 256), lambda x: F.struct(x.alias("leaf")))
+    return leaves.identity_report(docs(spark, sf), pieces).filter("n_leaves > 0")
 
 
-@query("leaf_size_sweep", f"{_CUTS('[128, 256, 512]')}, l AS (SELECT target, doc_id, count(*) AS k FROM cut GROUP BY target, doc_id) SELECT target, count(*) AS n_docs, sum(k)::BIGINT AS n_leaves, count(*) AS exact_docs FROM l GROUP BY target")
+@query("leaf_size_sweep", f"{_CUTS('[128, 256, 512]')}, {_LEAF_TOKENS} SELECT target, count(*) AS n_docs, sum(n_leaves)::BIGINT AS n_leaves, count_if(len(bad) = 0) AS exact_docs FROM cmp GROUP BY target")
 def _(spark, sf):
     d, out = docs(spark, sf), None
     for size in (128, 256, 512):
-        r = leaves.identity_report(d, leaves.leaves_aligned(d, size)).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_leaves").alias("n_leaves"), F.count_if("exact_match").alias("exact_docs")).withColumn("target", F.lit(size))
+        r = leaves.identity_report(d, leaves.aligned(F.col("text"), size)).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_leaves").alias("n_leaves"), F.count_if("exact_match").alias("exact_docs")).withColumn("target", F.lit(size))
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -131,10 +136,14 @@ def _(spark, sf):
     return identity.prefix_classes(docs(spark, sf), LB).drop("fp1", "fp2")
 
 
-@query("match_prefix", f"WITH {_H}, p AS (SELECT x.doc_id, y.doc_id AS cached_id, {_LCP} AS lcp FROM h x JOIN h y ON x.doc_id % 2 = 1 AND y.doc_id % 2 = 0 AND substr(x.h, 1, {2 * LB}) = substr(y.h, 1, {2 * LB}) WHERE length(x.h) >= {2 * LB}) SELECT doc_id, lcp, cached_id FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY lcp DESC, cached_id) = 1")
+_LCP_H = lambda x: f"coalesce((SELECT coalesce(min(i), least(length(h), length({x})) // 2) FROM range(least(length(h), length({x})) // 2) r(i) WHERE substr(h, 2 * i + 1, 2) <> substr({x}, 2 * i + 1, 2)), 0)"
+
+
+@query("match_prefix", f"WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, doc_id % 2 = 0 AS c FROM documents), o AS (SELECT doc_id, h, c, coalesce(last_value(CASE WHEN c THEN h END IGNORE NULLS) OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS lo, coalesce(first_value(CASE WHEN c THEN h END IGNORE NULLS) OVER (ORDER BY h ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), '') AS hi FROM h), q AS (SELECT doc_id, h, greatest({_LCP_H('lo')}, {_LCP_H('hi')})::BIGINT AS lcp FROM o WHERE NOT c) SELECT q.doc_id, lcp, min(k.doc_id) AS cached_id FROM q JOIN h k ON k.c AND substr(k.h, 1, 2 * lcp) = substr(q.h, 1, 2 * lcp) GROUP BY q.doc_id, lcp")
 def _(spark, sf):
+    """Every other document asks for its longest prefix among the others."""
     d = docs(spark, sf)
-    return identity.match_prefix(d.filter("doc_id % 2 = 1"), d.filter("doc_id % 2 = 0"), LB).filter(F.col("lcp") >= LB)  # the SQL asks for a full leaf
+    return identity.match_prefix(d.filter("doc_id % 2 = 1"), d.filter("doc_id % 2 = 0"), LB)
 
 
 _SEQ = "s AS (SELECT l_orderkey AS id, list(l_quantity::BIGINT ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT) AS t FROM lineitem GROUP BY l_orderkey)"
@@ -153,6 +162,9 @@ def neighbours(spark, sf):
     return s.select("id", F.col("t").alias("a")).join(s.select((F.col("id") - 1).alias("id"), F.col("t").alias("b")), "id")
 
 
+_CODES = "coalesce(list_aggregate(list_transform(t, lambda x: printf('%02X%02X%02X%02X', x & 255, (x >> 8) & 255, (x >> 16) & 255, (x >> 24) & 255)), 'string_agg', ''), '')"
+
+
 @query("lcp_tokens", f"WITH {_SEQ} SELECT x.id, {_LCPT} AS lcp FROM s x JOIN s y ON y.id = x.id + 1")
 def _(spark, sf):
     return neighbours(spark, sf).select("id", identity.lcp_array(F.col("a"), F.col("b")).alias("lcp"))
@@ -171,14 +183,14 @@ def _(spark, sf):
     return neighbours(spark, sf).select("id", identity.lcp_array(F.col("a"), F.col("b")).alias("scan"), by.alias("by_bytes")).withColumn("agree", F.col("scan") == F.col("by_bytes"))
 
 
-@query("correctness_gate", f"WITH {_SEQ} SELECT x.id % 10 AS part, count(*) AS n_checks, 0 AS mismatches FROM s x JOIN s y ON y.id = x.id + 1 GROUP BY 1")
+@query("correctness_gate", f"WITH {_SEQ}, c AS (SELECT x.id, {_LCPT} AS scan, x.h AS h, y.h AS g FROM (SELECT id, t, {_CODES} AS h FROM s) x JOIN (SELECT id, t, {_CODES} AS h FROM s) y ON y.id = x.id + 1) SELECT id % 10 AS part, count(*) AS n_checks, count_if(scan <> (SELECT coalesce(min(i), least(length(h), length(g))) FROM range(least(length(h), length(g))) r(i) WHERE substr(h, i + 1, 1) <> substr(g, i + 1, 1)) // 8) AS mismatches FROM c GROUP BY 1")
 def _(spark, sf):
     by = text.token_offset(identity.lcp_bytes(text.encode_tokens(F.col("a")), text.encode_tokens(F.col("b"))))
     rows = neighbours(spark, sf).select((F.col("id") % 10).alias("part"), identity.lcp_array(F.col("a"), F.col("b")).alias("scan"), by.alias("by_bytes"))
     return identity.correctness_gate(rows, ["part"], "scan", "by_bytes")
 
 
-@query("negative_control", f"WITH {_SEQ}, w AS (SELECT id, len(t) AS n, unnest(['first', 'middle', 'last']) AS place, unnest([0, len(t) // 2, len(t) - 1]) AS pos FROM s) SELECT id, place, n AS lcp, pos, pos AS found, true AS detected FROM w")
+@query("negative_control", f"WITH {_SEQ}, w AS (SELECT id, len(t) AS n, unnest(['first', 'middle', 'last']) AS place, unnest([0, len(t) // 2, len(t) - 1]) AS pos, t FROM s), b AS (SELECT *, list_transform(t, lambda x, i: CASE WHEN i = pos + 1 THEN x + 1 ELSE x END) AS u FROM w), f AS (SELECT *, (SELECT coalesce(min(i), n) FROM range(n) r(i) WHERE t[i + 1] <> u[i + 1]) AS found FROM b) SELECT id, place, n AS lcp, pos, found, found = pos AS detected FROM f")
 def _(spark, sf):
     s = sequences(spark, sf).withColumn("lcp", F.size("t").cast("long"))
     at = F.explode(F.create_map(F.lit("first"), F.lit(0).cast("long"), F.lit("middle"), F.floor(F.col("lcp") / 2), F.lit("last"), F.col("lcp") - 1)).alias("place", "at")
@@ -210,10 +222,10 @@ _PAIR = f"{_CONV}, r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY c
 def reuse(spark, sf):
     """A row for each sampled conversation: tokens cached, tokens asked, their LCP."""
     turns = table(spark, sf, "conversations")
-    t = text.sample_pairs(turns)
-    w = text.Window.partitionBy("conv_id").orderBy("turn")
-    ranked = text.rolling_context(turns).withColumn("k", F.row_number().over(w.orderBy("t")))
-    rows = ranked.join(t.select("conv_id", F.col("t").alias("want")), "conv_id").filter("k = want + 1")
+    t = text.sample_pairs(turns).select("conv_id", F.col("t").alias("want"))
+    ranked = turns.withColumn("k", F.row_number().over(text.Window.partitionBy("conv_id").orderBy("turn"))).join(t, "conv_id").filter("k <= want + 1")
+    heard = ranked.groupBy("conv_id", "want").agg(F.sort_array(F.collect_list(F.struct("k", "role", "text"))).alias("s"))
+    rows = heard.select("conv_id", "want", text.render(F.slice("s", F.lit(1), F.col("want").cast("int"))).alias("cached_text"), text.render(F.col("s")).alias("query_text"))
     tok = lambda c: leaves.tokens(F.col(c))
     rows = rows.select("conv_id", F.col("want").alias("t"), tok("cached_text").alias("a"), tok("query_text").alias("b"))
     return rows.select("conv_id", "t", F.size("a").alias("cached_len"), F.size("b").alias("query_len"), identity.lcp_array(F.col("a"), F.col("b")).alias("lcp"))
@@ -262,7 +274,7 @@ def _(spark, sf):
     return text.chunk_fixed_chars(docs(spark, sf), 512)
 
 
-@query("seeded_shuffle", "SELECT doc_id, ((doc_id + 1) % 2147483647 * (48271 + 2 * 42) + 42) % 2147483647 AS place FROM documents")
+@query("seeded_shuffle", "SELECT doc_id, row_number() OVER (ORDER BY ((doc_id + 1) % 2147483647 * (48271 + 2 * 42) + 42) % 2147483647, doc_id) - 1 AS place FROM documents")
 def _(spark, sf):
     return text.seeded_shuffle(docs(spark, sf).select("doc_id"), "doc_id", 42)
 

@@ -25,7 +25,7 @@ def _(spark, sf):
     return got.select("id", "n_turns", F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("/"), x["content"])), "\n").alias("said"))
 
 
-@query("read_traces", "SELECT doc_id // 40 AS puzzle_id, 42 + (doc_id // 40) % 3 AS seed, doc_id % 40 AS id, CASE WHEN doc_id % 40 > 0 THEN (doc_id % 40 - 1) // 3 END AS parent_id, left(text, 64) AS thought_text, (n_chars % 3)::DOUBLE AS value_score FROM documents")
+@query("read_traces", "SELECT doc_id // 40 AS puzzle_id, 42 + (doc_id // 40) % 3 AS seed, doc_id % 40 AS id, CASE WHEN doc_id % 40 > 0 THEN (doc_id % 40 - 1) // 3 END AS parent_id, text AS thought_text, (n_chars % 3)::DOUBLE AS value_score FROM documents")
 def _(spark, sf):
     from .versions import nodes
 
@@ -49,12 +49,11 @@ def _(spark, sf):
 def _(spark, sf):
     li = table(spark, sf, "lineitem").groupBy("l_linestatus", "l_linenumber").agg(F.round(F.sum("l_quantity"), 2).alias("mean"))
     root = new_path(spark, "bench")
-    for a in ("O", "F"):  # two folders of a nested layout, each with its own sizes
-        for k in range(1, 8):
-            cell = li.filter((F.col("l_linestatus") == a) & (F.col("l_linenumber") == k))
-            at = f"{root}/{a}/{k}/new"
-            readers.jsonl(cell, F.col("l_linestatus").alias("group_id"), (F.col("l_linenumber") * 1000).cast("string").alias("value_str")).coalesce(1).write.text(f"{at}/benchmark")
-            readers.jsonl(cell, F.struct(F.col("mean").alias("point_estimate")).alias("mean")).coalesce(1).write.text(f"{at}/estimates")
+    folders = [F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("size"), F.lit("new").alias("kind")]
+    about = F.to_json(F.struct(F.col("l_linestatus").alias("group_id"), (F.col("l_linenumber") * 1000).cast("string").alias("value_str")))
+    result = F.to_json(F.struct(F.struct(F.col("mean").alias("point_estimate")).alias("mean")))
+    for name, value in (("benchmark", about), ("estimates", result)):  # one folder a cell, all from one write
+        li.select(value.alias("value"), *folders).write.partitionBy("status", "size", "kind").text(f"{root}/{name}")
     return readers.read_bench_estimates(spark, root, 10, [1000, 3000, 5000])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.fingerprint import BASES, MODULUS
 from ..operators import identity, leaves, trees, versions
 from ..operators.text import parse_value
-from .content import _TOKENS, LB, _pow, docs
+from .content import _CUTS, _LEAF_TOKENS, _TOKENS, LB, _pow, docs
 from .registering import query, table
 
 
@@ -20,14 +20,14 @@ def base_leaves(spark, sf):
     return leaves.leaves_fixed(bases(spark, sf), LB, empty_leaf=False)
 
 
-def branches(spark, sf, per: int = 5):
-    """Forks of each base by the beginnings of the next documents."""
-    d = docs(spark, sf).filter(f"doc_id % 10 between 1 and {per}")
-    return d.select(F.col("doc_id").alias("branch_id"), (F.col("doc_id") - F.col("doc_id") % 10).alias("base_id"), F.substring(leaves.content(F.col("text")), F.lit(1), F.lit(128)).alias("step"))
+def branches(spark, sf):
+    """Nine forks of each base, the first document of its ten, by the whole texts of the other nine."""
+    d = docs(spark, sf).filter("doc_id % 10 > 0")
+    return d.select(F.col("doc_id").alias("branch_id"), (F.col("doc_id") - F.col("doc_id") % 10).alias("base_id"), leaves.content(F.col("text")).alias("step"))
 
 
-_BRANCH = "br AS (SELECT s.doc_id AS branch_id, b.doc_id AS base_id, hex(encode(b.text)) AS base, substr(hex(encode(s.text)), 1, 256) AS step FROM documents s JOIN documents b ON b.doc_id = s.doc_id - s.doc_id % 10 WHERE s.doc_id % 10 BETWEEN 1 AND {per})"
-_REFS = _BRANCH.format(per=5) + f", refs AS (SELECT branch_id, base_id, o AS ord, 'base' AS kind, substr(base, o * {2 * LB} + 1, {2 * LB}) AS leaf FROM br, unnest(range((length(base) + {2 * LB - 1}) // {2 * LB})) u(o) UNION ALL SELECT branch_id, base_id, (length(base) + {2 * LB - 1}) // {2 * LB}, 'step', step FROM br)"
+_BRANCH = "br AS (SELECT s.doc_id AS branch_id, b.doc_id AS base_id, hex(encode(b.text)) AS base, hex(encode(s.text)) AS step FROM documents s JOIN documents b ON b.doc_id = s.doc_id - s.doc_id % 10 WHERE s.doc_id % 10 > 0)"
+_REFS = _BRANCH + f", refs AS (SELECT branch_id, base_id, o AS ord, 'base' AS kind, substr(base, o * {2 * LB} + 1, {2 * LB}) AS leaf FROM br, unnest(range((length(base) + {2 * LB - 1}) // {2 * LB})) u(o) UNION ALL SELECT branch_id, base_id, (length(base) + {2 * LB - 1}) // {2 * LB}, 'step', step FROM br)"
 
 
 def refs(spark, sf):
@@ -39,24 +39,23 @@ def _(spark, sf):
     return versions.materialize(leaves.leaves_fixed(docs(spark, sf), LB)).select("doc_id", F.md5("data").alias("digest"))
 
 
-@query("branch_create", f"WITH {_BRANCH.format(per=1)} SELECT branch_id, md5(unhex(base || step)) AS digest FROM br")
+@query("branch_create", f"WITH {_BRANCH} SELECT branch_id, md5(unhex(base || step)) AS digest FROM br")
 def _(spark, sf):
-    r = versions.branch_refs(branches(spark, sf, 1), base_leaves(spark, sf))
-    return versions.materialize(r, ("branch_id",)).select("branch_id", F.md5("data").alias("digest"))
+    return versions.materialize(refs(spark, sf), ("branch_id",)).select("branch_id", F.md5("data").alias("digest"))
 
 
-@query("branch_many", f"WITH {_BRANCH.format(per=5)} SELECT base_id, branch_id, length(base || step) // 2 AS n_bytes, md5(unhex(base || step)) AS digest FROM br")
+@query("branch_many", f"WITH {_BRANCH} SELECT base_id, branch_id, length(base || step) // 2 AS n_bytes, md5(unhex(base || step)) AS digest FROM br")
 def _(spark, sf):
     return versions.materialize(refs(spark, sf), ("base_id", "branch_id")).select("base_id", "branch_id", F.octet_length("data").alias("n_bytes"), F.md5("data").alias("digest"))
 
 
 def _bytes_of(table_: str, key: str, hex_: str) -> str:
-    return f"pw AS MATERIALIZED (SELECT i, {_pow('i', BASES[0])} AS w1, {_pow('i', BASES[1])} AS w2 FROM range(0, 140000) r(i)), lf AS (SELECT {key}, o, substr({hex_}, o * 512 + 1, 512) AS lh FROM {table_}, unnest(range((length({hex_}) + 511) // 512)) u(o)), b AS (SELECT {key}, o * 256 + j AS i, ('0x' || substr(lh, 2 * j + 1, 2))::BIGINT + 1 AS v FROM lf, unnest(range(length(lh) // 2)) y(j)), f AS (SELECT {key}, count(*) AS n, (sum(v * w1) % {MODULUS})::BIGINT AS fp1, (sum(v * w2) % {MODULUS})::BIGINT AS fp2 FROM b JOIN pw USING (i) GROUP BY {key})"
+    return f"pw AS MATERIALIZED (SELECT i, {_pow('i', BASES[0])} AS w1, {_pow('i', BASES[1])} AS w2 FROM range(0, (SELECT max(length({hex_})) // 2 + 1 FROM {table_})::BIGINT) r(i)), lf AS (SELECT {key}, o, substr({hex_}, o * 512 + 1, 512) AS lh FROM {table_}, unnest(range((length({hex_}) + 511) // 512)) u(o)), b AS (SELECT {key}, o * 256 + j AS i, ('0x' || substr(lh, 2 * j + 1, 2))::BIGINT + 1 AS v FROM lf, unnest(range(length(lh) // 2)) y(j)), f AS (SELECT {key}, count(*) AS n, (sum(v * w1) % {MODULUS})::BIGINT AS fp1, (sum(v * w2) % {MODULUS})::BIGINT AS fp2 FROM b JOIN pw USING (i) GROUP BY {key})"
 
 
-@query("branch_fingerprint", f"WITH {_BRANCH.format(per=1)}, whole AS (SELECT branch_id, base || step AS h FROM br), {_bytes_of('whole', 'branch_id', 'h')} SELECT * FROM f")
+@query("branch_fingerprint", f"WITH {_BRANCH}, whole AS (SELECT branch_id, base || step AS h FROM br), {_bytes_of('whole', 'branch_id', 'h')} SELECT * FROM f")
 def _(spark, sf):
-    br = branches(spark, sf, 1)
+    br = branches(spark, sf)
     base_fp = identity.doc_fingerprint(identity.fingerprint_leaves(base_leaves(spark, sf)))
     step_fp = identity.doc_fingerprint(identity.fingerprint_leaves(br.select("branch_id", F.lit(0).cast("long").alias("byte_start"), F.col("step").alias("leaf"), F.octet_length("step").alias("n"))), ("branch_id",))
     return versions.branch_fingerprint(br, base_fp, step_fp)
@@ -126,10 +125,9 @@ def _(spark, sf):
     return line_runs(spark, sf).groupBy("doc_id").agg(F.sum("q").alias("naive_blocks"), F.count(F.lit(1)).alias("encoded_blocks"), F.sum(F.col("q") * n).alias("naive_bytes"), F.sum(n).alias("encoded_bytes"))
 
 
-@query("run_fingerprint", f"WITH w AS (SELECT doc_id, repeat(hex(encode(left(text, 40))), (doc_id % 11)::INT) AS h FROM documents), {_bytes_of('w', 'doc_id', 'h')} SELECT doc_id, coalesce(n, 0) AS n, coalesce(fp1, 0) AS fp1, coalesce(fp2, 0) AS fp2 FROM documents LEFT JOIN f USING (doc_id)")
+@query("run_fingerprint", f"WITH w AS (SELECT doc_id, repeat(hex(encode(text)), (doc_id % 11)::INT) AS h FROM documents), {_bytes_of('w', 'doc_id', 'h')} SELECT doc_id, coalesce(n, 0) AS n, coalesce(fp1, 0) AS fp1, coalesce(fp2, 0) AS fp2 FROM documents LEFT JOIN f USING (doc_id)")
 def _(spark, sf):
-    d = docs(spark, sf).select("doc_id", F.left("text", F.lit(40)).alias("text"))
-    fp = identity.doc_fingerprint(identity.fingerprint_leaves(leaves.leaves_fixed(d, LB)))
+    fp = identity.doc_fingerprint(identity.fingerprint_leaves(leaves.leaves_fixed(docs(spark, sf), LB)))
     return versions.run_fingerprint(fp.withColumn("q", F.col("doc_id") % 11)).drop("q")
 
 
@@ -150,18 +148,13 @@ def _(spark, sf):
     return versions.edit_apply(*edit_tables(spark, sf)).select("doc_id", F.md5("data").alias("digest"))
 
 
-@query("edit_identity", f"WITH RECURSIVE {_EDITS.format(last=_STEPS)} SELECT doc_id, step, md5(unhex(h)) AS md5, true AS same FROM e WHERE step % 10 = 0 AND step > 0")
+_EDITED = f"WITH RECURSIVE {_EDITS.format(last=_STEPS)}, ends AS (SELECT doc_id * 100 + step AS k, doc_id, step, h FROM e WHERE step % 10 = 0 AND step > 0), {_bytes_of('ends', 'k', 'h')}"
+
+
+@query("edit_identity", f"{_EDITED} SELECT doc_id, step, n, fp1, fp2 FROM f JOIN ends USING (k)")
 def _(spark, sf):
-    """Fingerprints moved along by edits, against fingerprints of the edited content."""
-    d, e = edit_tables(spark, sf)
-    moved = versions.edit_identity(d, e, 10)
-    out = None
-    for step in (10, 20):
-        whole = versions.edit_apply(d, e, upto=step)
-        fp = identity.doc_fingerprint(identity.fingerprint_leaves(whole.select("doc_id", F.inline(leaves.cut(F.col("data"), LB)))))
-        r = fp.select("doc_id", F.lit(step).cast("long").alias("step"), F.col("fp1").alias("r1"), F.col("fp2").alias("r2"))
-        out = r if out is None else out.unionByName(r)
-    return moved.join(out, ["doc_id", "step"]).select("doc_id", "step", "md5", ((F.col("fp1") == F.col("r1")) & (F.col("fp2") == F.col("r2"))).alias("same"))
+    """Fingerprints moved along by edits; the SQL hashes the edited content."""
+    return versions.edit_identity(*edit_tables(spark, sf), 10)
 
 
 @query("snapshot_at", f"WITH RECURSIVE {_EDITS.format(last=7)} SELECT doc_id, md5(unhex(h || '0A')) AS digest FROM e WHERE step = 7")
@@ -194,13 +187,13 @@ def _(spark, sf):
 
 # --- search trees: 40 documents each, three children a node ---
 
-_NODES = "nd AS (SELECT doc_id // 40 AS tree, doc_id % 40 AS id, CASE WHEN doc_id % 40 > 0 THEN (doc_id % 40 - 1) // 3 END AS parent, left(text, 64) AS step, n_chars % 3 AS score, n_chars % 7 = 0 AS is_solution FROM documents), pt(tree, id, depth, path, ids) AS (SELECT tree, id, 0, step, [id] FROM nd WHERE parent IS NULL UNION ALL SELECT nd.tree, nd.id, pt.depth + 1, pt.path || nd.step, list_append(pt.ids, nd.id) FROM nd JOIN pt ON nd.tree = pt.tree AND nd.parent = pt.id)"
+_NODES = "nd AS (SELECT doc_id // 40 AS tree, doc_id % 40 AS id, CASE WHEN doc_id % 40 > 0 THEN (doc_id % 40 - 1) // 3 END AS parent, text AS step, n_chars % 3 AS score, n_chars % 7 = 0 AS is_solution FROM documents), pt(tree, id, depth, path, ids) AS (SELECT tree, id, 0, step, [id] FROM nd WHERE parent IS NULL UNION ALL SELECT nd.tree, nd.id, pt.depth + 1, pt.path || nd.step, list_append(pt.ids, nd.id) FROM nd JOIN pt ON nd.tree = pt.tree AND nd.parent = pt.id)"
 
 
 def nodes(spark, sf):
     d, i = docs(spark, sf), F.col("doc_id") % 40
     parent = F.when(i > 0, F.floor((i - 1) / 3))
-    return d.select(F.floor(F.col("doc_id") / 40).alias("tree"), i.alias("id"), parent.alias("parent"), F.left("text", F.lit(64)).alias("step"), (F.col("n_chars") % 3).alias("score"), (F.col("n_chars") % 7 == 0).alias("is_solution"))
+    return d.select(F.floor(F.col("doc_id") / 40).alias("tree"), i.alias("id"), parent.alias("parent"), F.col("text").alias("step"), (F.col("n_chars") % 3).alias("score"), (F.col("n_chars") % 7 == 0).alias("is_solution"))
 
 
 def paths(spark, sf):
@@ -269,11 +262,9 @@ def _(spark, sf):
     return trees.tree_distinct(nodes(spark, sf).withColumn("rank", F.floor(F.col("tree") / 3)), "rank", ["step"])
 
 
-@query("token_seal", "SELECT source, count(*) AS n_docs, 0 AS broken FROM documents GROUP BY source")
+@query("token_seal", f"{_CUTS('[256]')}, {_LEAF_TOKENS} SELECT source, count(*) AS n_docs, count_if(len(bad) > 0) AS broken FROM cmp JOIN documents USING (doc_id) GROUP BY source")
 def _(spark, sf):
-    """Tokens stored leaf by leaf against the text tokenised again."""
-    d = docs(spark, sf)
-    stored = leaves.leaf_token_rows(leaves.leaves_aligned(d, LB)).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("s"))
-    again = d.select("doc_id", "source", leaves.tokens(F.col("text")).alias("a")).join(stored, "doc_id", "left")
-    same = F.transform("s", lambda x: x["token"]) == F.col("a")
-    return again.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(~F.coalesce(same, F.size("a") == 0)).alias("broken"))
+    """Tokens taken leaf by leaf against the text tokenised as a whole."""
+    rows = docs(spark, sf).select("doc_id", "source", "text")
+    report = rows.select("source", (leaves.leaf_tokens(leaves.aligned(F.col("text"), LB)) != leaves.tokens(F.col("text"))).alias("broken"))
+    return report.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("broken").alias("broken"))

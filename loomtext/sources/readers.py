@@ -37,12 +37,12 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bench_estimates(spark: SparkSession, root: str, per: int, sizes: list[int]) -> DataFrame:
-    """Benchmarks and their estimates from nested folders, joined by folder: (group_id, n, per_unit)."""
-    folder = F.regexp_extract(F.input_file_name(), r"^(.*)/[^/]*/[^/]*$", 1)
-    about = spark.read.schema(BENCHMARK).json(f"{root}/*/*/new/benchmark").withColumn("folder", folder)
-    result = spark.read.schema(ESTIMATES).json(f"{root}/*/*/new/estimates").withColumn("folder", folder)
+    """Benchmarks and their estimates from two trees of nested folders under root, joined by the folder inside the tree:
+    (group_id, n, per_unit)."""
+    read = lambda name, schema: spark.read.schema(schema).json(f"{root}/{name}/*/*/*").withColumn("folder", F.regexp_extract(F.input_file_name(), rf"/{name}/(.*)/[^/]*$", 1))
     n = F.col("value_str").cast("long")
-    return about.join(result, "folder").filter(n.isin(sizes)).select("group_id", n.alias("n"), (F.col("mean.point_estimate") / per).alias("per_unit"))
+    both = read("benchmark", BENCHMARK).join(read("estimates", ESTIMATES), "folder").filter(n.isin(sizes))
+    return both.select("group_id", n.alias("n"), (F.col("mean.point_estimate") / per).alias("per_unit"))
 
 
 def read_csv_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:

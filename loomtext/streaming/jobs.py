@@ -34,7 +34,8 @@ def drain(stream: DataFrame, mode: str, then=None) -> str:
 
 
 def match_prefix(requests: DataFrame, cache: DataFrame, size: int = identity.LEAF) -> str:
-    """Each arriving request gets its longest cached prefix. The cache is hashed once, before the stream begins."""
+    """Each arriving request gets its longest cached prefix. The cache is hashed once, before the stream begins; a batch
+    reads of its leaves those that its requests ask for."""
     prefixes = stage(identity.full_prefixes(cache, size), "cached-prefixes")
     return drain(requests, "append", lambda batch: identity.match_prefix(batch, cache, size, prefixes=prefixes))
 

@@ -33,7 +33,7 @@ def test_fixed_leaves(docs):
 @pytest.mark.parametrize("target", [8, 96, 192])
 def test_aligned_leaves_keep_tokens(docs, target):
     rows = leaves.leaves_aligned(docs, target)
-    report = {r.doc_id: r for r in leaves.identity_report(docs, rows).collect()}
+    report = {r.doc_id: r for r in leaves.identity_report(docs, leaves.aligned(F.col("text"), target)).collect()}
     assert len(report) == len(TEXTS) + 1 and all(r.exact_match and r.invalid_leaves == 0 for r in report.values())
     sizes = rows.groupBy("doc_id").agg(F.collect_list("n").alias("n")).collect()
     assert all(min(r.n[:-1], default=target) >= target for r in sizes)
@@ -42,7 +42,7 @@ def test_aligned_leaves_keep_tokens(docs, target):
 
 @pytest.mark.parametrize("size", [16, 64, 256])
 def test_fingerprints_do_not_depend_on_cuts(docs, size):
-    hashed = identity.fingerprint_leaves(leaves.leaves_fixed(docs, size), size)
+    hashed = identity.fingerprint_leaves(leaves.leaves_fixed(docs, size))
     got = {r.doc_id: (r.n, (r.fp1, r.fp2)) for r in identity.doc_fingerprint(hashed).collect()}
     assert got == {i: (len((t or "").encode()), fold((t or "").encode())) for i, t in [*enumerate(TEXTS), (99, "")]}
 
@@ -159,3 +159,49 @@ def test_match_prefix_inside_the_first_leaf(spark):
     assert len(got) == len(want) and {x.doc_id: (x.lcp, -x.cached_id) for x in got} == want
     none = identity.match_prefix(d.filter("doc_id % 2 = 1"), d.limit(0)).collect()
     assert len(none) == len(want) and all(x.lcp == 0 and x.cached_id is None for x in none)
+
+
+def test_many_documents_behind_one_header(spark):
+    """Requests and entries that share a header of many leaves: rows of the joins are linear, so this ends soon."""
+    header, r = "h" * 2560, random.Random(5)
+    rows = [(i, header + "".join(r.choice("abcdef") for _ in range(360))) for i in range(2000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.cached_id, x.lcp) for x in identity.match_prefix(d.filter("doc_id % 2 = 1"), d.filter("doc_id % 2 = 0")).collect()}
+    tails = sorted((t[2560:], i) for i, t in rows)
+    lcp = lambda x, y: next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+    for i, t in rows[1::2][:60]:
+        best = max(lcp(t[2560:], x) for x, k in tails if k % 2 == 0)
+        assert got[i][1] == 2560 + best and got[i][0] == min(k for x, k in tails if k % 2 == 0 and lcp(t[2560:], x) == best)
+
+
+def test_bootstrap(spark):
+    """Against the same picks by hand; a constant group and a single value have no width, an empty one no row."""
+    values = {"a": [3.0, 1.0, 2.0, 9.0, 4.0], "b": [5.0] * 4, "c": [7.0], "d": [None]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, value double")
+    got = {x.k: x for x in stats.bootstrap_ci(df, ["k"], draws=200).collect()}
+    assert set(got) == {"a", "b", "c"} and all(x.draws == 200 for x in got.values())
+    assert (got["b"].lo, got["b"].hi, got["c"].lo, got["c"].hi) == (5.0, 5.0, 7.0, 7.0)
+    picks = spark.range(1, 201).select(*[F.pmod(F.xxhash64(F.col("id").cast("int"), F.lit(i), F.lit(7)), F.lit(5)).alias(f"p{i}") for i in range(1, 6)]).collect()
+    a = sorted(values["a"])
+    medians = sorted(sorted(a[p] for p in row)[2] for row in picks)
+    at = lambda q: medians[int(q * 199)] + (q * 199 % 1) * (medians[min(199, int(q * 199) + 1)] - medians[int(q * 199)])
+    assert abs(got["a"].lo - at(0.025)) < 1e-9 and abs(got["a"].hi - at(0.975)) < 1e-9
+
+
+def test_grid(spark):
+    have = [(a, n) for a in "xy" for n in (1, 10, 100) if (a, n) != ("y", 10)]
+    missing = stats.grid_coverage(spark.createDataFrame(have, "arm string, n long"), ["arm", "n"]).collect()
+    assert [(r.arm, r.n) for r in missing] == [("y", 10)]
+    both = spark.createDataFrame([("g", 1, 5.0, 0.0, 1.0, 0.0), ("g", 10, 5.0, 0.0, 4.0, 0.0), ("g", 100, 5.0, 0.0, 6.0, 0.0)], "k string, n long, mean_a double, std_a double, mean_b double, std_b double")
+    assert [stats.grid_neighbour(both, ["k"], t).first().near for t in (1, 10, 100, 5)] == [False, True, True, None]
+
+
+@pytest.mark.parametrize("text_", ["", "é", "a b", "日本 語", "x" * 3000])
+def test_offsets_of_characters(spark, text_):
+    rows = text.utf8_offsets(spark.createDataFrame([(1, "ä"), (2, text_), (3, None)], "doc_id long, text string")).filter("doc_id = 2").collect()
+    assert [(r.i, r.byte) for r in sorted(rows, key=lambda r: r.i)] == [(i, len(text_[:i].encode())) for i in range(len(text_) + 1)]
+
+
+def test_shuffle_is_a_permutation(spark):
+    rows = text.seeded_shuffle(spark.range(500), "id", 42).collect()
+    assert sorted(r.place for r in rows) == list(range(500)) and [r.id for r in sorted(rows, key=lambda r: r.place)] != list(range(500))
