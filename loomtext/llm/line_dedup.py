@@ -98,11 +98,8 @@ def _lines(rows: DataFrame, min_words: int) -> DataFrame:
 
 def _ranked(rows: DataFrame, keys: list[str], name: str, least: int = 1) -> DataFrame:
     """rows with r: the rank of their keys, among those that occur at least `least` times."""
-    groups = stage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).drop("n"), f"{name}-groups")
-    ranks = stage(global_rank(groups, [F.col(k) for k in keys], "r"), f"{name}-ranks")
-    out = stage(join_checked(rows, ranks, keys), name)
-    discard(groups, ranks)
-    return out
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select(*keys)
+    return stage(rows.join(global_rank(groups, [F.col(k) for k in keys], "r"), keys), name)
 
 
 def suffix_order(first: DataFrame, depth: int) -> list[DataFrame]:
