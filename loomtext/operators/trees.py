@@ -37,6 +37,11 @@ def tree_expansions(paths: DataFrame) -> DataFrame:
     return per.groupBy("tree").agg((F.sum("c") - 1).alias("expansions"), F.sort_array(F.collect_list(F.struct("depth", "c"))).alias("by_depth")).select("tree", "expansions", F.transform("by_depth", lambda x: x["c"]).alias("by_depth"))
 
 
+def depth_stats(paths: DataFrame, step_bytes: str = "path") -> DataFrame:
+    """(depth, n_nodes, n_trees, mean_bytes): expansions of each depth over all trees, and the mean length of their paths."""
+    return paths.groupBy("depth").agg(F.count(F.lit(1)).alias("n_nodes"), F.countDistinct("tree").alias("n_trees"), F.avg(F.octet_length(step_bytes)).alias("mean_bytes"))
+
+
 def beam_select(candidates: DataFrame, width: int = 5) -> DataFrame:
     """The `width` best of each (tree, depth): score first, then order of generation."""
     place = F.row_number().over(Window.partitionBy("tree", "depth").orderBy(F.desc("score"), "id"))

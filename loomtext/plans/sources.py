@@ -9,6 +9,13 @@ from ..sources import readers
 from .registering import query, table
 
 
+def _one_file_each(rows, spark, name, key):
+    """Each row's JSON text in a file of its own, under a folder named by its key."""
+    path = new_path(spark, name)
+    rows.repartition(key).write.partitionBy(key).text(path)
+    return path
+
+
 def _written(rows, spark, name):
     path = new_path(spark, name)
     rows.write.text(path)
@@ -45,6 +52,46 @@ def _(spark, sf):
     return readers.read_runs(spark, path)
 
 
+@query("read_trees", "WITH RECURSIVE nd AS (SELECT doc_id // 40 AS tree, doc_id % 40 AS id, CASE WHEN doc_id % 40 > 0 THEN (doc_id % 40 - 1) // 3 END AS parent FROM documents), dp AS (SELECT tree, id, 0 AS depth FROM nd WHERE parent IS NULL UNION ALL SELECT nd.tree, nd.id, dp.depth + 1 FROM nd JOIN dp ON nd.tree = dp.tree AND nd.parent = dp.id), b AS (SELECT tree, depth, list(id ORDER BY id) AS ids FROM dp GROUP BY tree, depth) SELECT tree AS puzzle_id, count(*) AS n_beams, max(depth) AS deepest, arg_max(ids, depth) AS last_beam FROM b GROUP BY tree")
+def _(spark, sf):
+    """Whole trees with their beams, written as JSON lines with depths as names and read back."""
+    from ..operators import trees
+    from .versions import paths
+
+    beams = paths(spark, sf).groupBy("tree", "depth").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    whole = beams.groupBy("tree").agg(F.map_from_entries(F.collect_list(F.struct(F.col("depth").cast("string").alias("key"), F.col("ids").alias("value")))).alias("beams"))
+    got = readers.read_trees(spark, _written(readers.jsonl(whole, F.col("tree").alias("puzzle_id"), "beams"), spark, "trees")).select(F.col("puzzle_id").alias("tree"), "beams")
+    last = trees.final_beam(got).groupBy("tree").agg(F.sort_array(F.collect_list("id")).alias("last_beam"))
+    return got.select("tree", F.size("beams").cast("long").alias("n_beams"), F.array_max(F.transform(F.map_keys("beams"), lambda x: x.cast("int"))).alias("deepest")).join(last, "tree").withColumnRenamed("tree", "puzzle_id")
+
+
+@query("read_cells", """SELECT l_orderkey || '-' || l_linenumber AS cell_id, count(*)::BIGINT AS n_cells, count_if(l_linenumber % 4 = 3) AS skipped, count_if(l_linenumber % 4 = 2) AS absent, sum(CASE WHEN l_linenumber % 4 < 2 THEN l_quantity END) AS joules, sum(CASE WHEN l_linenumber % 2 = 0 THEN l_partkey % 7 END)::BIGINT AS n_checks, count_if(l_linenumber % 2 = 0) AS gated FROM lineitem GROUP BY 1""")
+def _(spark, sf):
+    """Grid documents of some orders each, with cells that are measured, skipped with a reason, or lack a track."""
+    k = F.col("l_linenumber") % 4
+    track_a = F.when(k == 3, F.struct(F.lit(True).alias("skipped"), F.lit("no memory").alias("reason"), F.lit(None).cast("double").alias("joules_per_token"))).when(k != 2, F.struct(F.lit(None).cast("boolean").alias("skipped"), F.lit(None).cast("string").alias("reason"), F.col("l_quantity").alias("joules_per_token")))
+    track_b = F.when(F.col("l_linenumber") % 2 == 0, F.struct(F.struct((F.col("l_partkey") % 7).alias("n_checks"), F.lit(0).alias("mismatches")).alias("gate")))
+    cell = F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("cell_id"), (k == 0).alias("cache_on"), F.lit(42).alias("seed"), k.alias("inv"), F.lit(1000).alias("L"), track_a.alias("track_a"), track_b.alias("track_b"))
+    docs = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(cell).alias("cells"))
+    docs = docs.groupBy((F.col("l_orderkey") % 50).alias("g")).agg(F.to_json(F.struct(F.flatten(F.collect_list("cells")).alias("cells"))).alias("value"))
+    got = readers.read_cells(spark, _one_file_each(docs, spark, "cells", "g"))
+    count = lambda s: F.count_if(F.col("state") == s)
+    return got.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_cells"), count("skipped").alias("skipped"), count("absent").alias("absent"), F.sum("joules_per_token").alias("joules"), F.sum("n_checks").alias("n_checks"), F.count("n_checks").alias("gated"))
+
+
+@query("read_controls", "SELECT l_shipmode_ AS key, sum(total)::BIGINT AS total, sum(detected)::BIGINT AS detected FROM (SELECT (l_partkey % 5)::VARCHAR AS l_shipmode_, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber ELSE 2 END AS total, CASE WHEN l_linenumber % 2 = 0 THEN CASE WHEN l_quantity > 5 THEN l_linenumber ELSE 1 END ELSE CASE WHEN l_discount > 0.01 THEN 2 ELSE 1 END END AS detected FROM lineitem) GROUP BY 1")
+def _(spark, sf):
+    """Control documents of both shapes, a number with a flag or a sample, and a list."""
+    li = table(spark, sf, "lineitem").select((F.col("l_partkey") % 5).cast("string").alias("dataset"), "l_linenumber", "l_quantity", "l_discount")
+    flag = lambda x: F.struct(x.alias("detected"))
+    counted = F.to_json(F.struct("dataset", F.col("l_linenumber").alias("controls"), F.when(F.col("l_quantity") > 5, F.lit(True)).alias("all_detected"), F.array(flag(F.lit(True)), flag(F.lit(False))).alias("sample")))
+    listed = F.to_json(F.struct("dataset", F.array(flag(F.lit(True)), flag(F.col("l_discount") > 0.01)).alias("controls")))
+    row = F.when(F.col("l_linenumber") % 2 == 0, counted).otherwise(listed)
+    docs = li.groupBy((F.hash("dataset", "l_linenumber") % 40).alias("g")).agg(F.concat(F.lit('{"seed": 42, "rows": ['), F.array_join(F.collect_list(row), ","), F.lit("]}")).alias("value"))
+    got = readers.read_controls(spark, _one_file_each(docs, spark, "controls", "g"))
+    return got.groupBy("key").agg(F.sum("total").alias("total"), F.sum("detected").alias("detected"))
+
+
 @query("read_bench_estimates", "SELECT l_linestatus AS group_id, l_linenumber * 1000 AS n, round(sum(l_quantity), 2) / 10 AS per_unit FROM lineitem WHERE l_linenumber IN (1, 3, 5) GROUP BY ALL")
 def _(spark, sf):
     li = table(spark, sf, "lineitem").groupBy("l_linestatus", "l_linenumber").agg(F.round(F.sum("l_quantity"), 2).alias("mean"))

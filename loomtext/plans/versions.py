@@ -215,6 +215,11 @@ def _(spark, sf):
     return trees.tree_expansions(paths(spark, sf))
 
 
+@query("tree_depths", f"WITH RECURSIVE {_NODES} SELECT depth, count(*) AS n_nodes, count(DISTINCT tree) AS n_trees, avg(strlen(path)) AS mean_bytes FROM pt GROUP BY depth")
+def _(spark, sf):
+    return trees.depth_stats(paths(spark, sf))
+
+
 _BEAM = f"{_NODES}, bm AS (SELECT *, row_number() OVER (PARTITION BY tree, depth ORDER BY score DESC, id) AS place FROM (SELECT nd.*, pt.depth FROM nd JOIN pt USING (tree, id)) WHERE NOT is_solution QUALIFY place <= 5)"
 
 

@@ -11,6 +11,12 @@ TRACE = (
     "in_beam:boolean,is_terminal:boolean,is_solution:boolean>>, beams map<string,array<int>>, solved boolean, solution_path array<int>"
 )
 RUN = "seed int, inv int, cells map<string,struct<mean:double,reps:int>>"
+CELLS = (
+    "cells array<struct<cell_id:string,regime:string,cache_on:boolean,seed:int,inv:int,L:long,"
+    "track_a:struct<skipped:boolean,reason:string,detail:string,joules_per_token:double,ttft:double>,"
+    "track_b:struct<latency:double,gate:struct<n_checks:long,mismatches:long>>>>"
+)
+CONTROLS = "seed int, all_detected boolean, rows array<struct<dataset:string,L:long,controls:string,all_detected:boolean,sample:array<struct<detected:boolean>>>>"
 BENCHMARK = "group_id string, function_id string, value_str string"
 ESTIMATES = "mean struct<point_estimate:double>"
 
@@ -27,6 +33,7 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each search tree, with its beams by depth and its path to the solution."""
     return spark.read.schema(TRACE).json(path)
 
 
@@ -36,6 +43,29 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("seed", "inv", F.explode("cells").alias("n", "c")).select("seed", "inv", F.col("n").cast("long").alias("n"), F.col("c.mean").alias("value"), "c.reps")
 
 
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each cell of nested grid documents: the cell's keys, and state 'measured', 'skipped' or 'absent' of its
+    first track with the reason, its figures where measured, the second track's latency, and the gate's counts."""
+    c = spark.read.schema(CELLS).option("multiLine", True).json(path).select(F.explode("cells").alias("c")).select("c.*")
+    skipped = F.coalesce(F.col("track_a.skipped"), F.lit(False))
+    state = F.when(F.col("track_a").isNull(), "absent").when(skipped, "skipped").otherwise("measured")
+    known = lambda x: F.when(~skipped, F.col(f"track_a.{x}")).alias(x)
+    gate = lambda x: F.when(F.col("track_b").isNotNull(), F.coalesce(f"track_b.gate.{x}", F.lit(0))).alias(x)
+    return c.select("cell_id", "regime", "cache_on", "seed", "inv", F.col("L").alias("length"), state.alias("state"), F.when(skipped, F.col("track_a.reason")).alias("reason"), known("joules_per_token"), known("ttft"), F.col("track_b.latency").alias("latency"), gate("n_checks"), gate("mismatches"))
+
+
+def read_controls(spark: SparkSession, path: str) -> DataFrame:
+    """(key, total, detected) of each row of negative-control documents in both shapes: a number of controls with a flag
+    (without it, the detected ones of the row's sample count), and a list of controls with a flag each."""
+    r = spark.read.schema(CONTROLS).option("multiLine", True).json(path).select(F.explode("rows").alias("r")).select("r.*")
+    listed = F.from_json("controls", "array<struct<detected:boolean>>")
+    n, many = F.col("controls").try_cast("long"), F.col("controls").startswith("[")
+    hits = lambda a: F.size(F.filter(F.coalesce(a, F.array().cast("array<struct<detected:boolean>>")), lambda x: F.coalesce(x["detected"], F.lit(False)))).cast("long")
+    total = F.when(many, F.size(listed)).otherwise(n).cast("long")
+    detected = F.when(many, hits(listed)).when(F.col("all_detected"), n).otherwise(hits(F.col("sample")))
+    return r.select(F.coalesce("dataset", F.col("L").cast("string")).alias("key"), total.alias("total"), detected.alias("detected")).filter("total is not null")
+
+
 def read_bench_estimates(spark: SparkSession, root: str, per: int, sizes: list[int]) -> DataFrame:
     """Benchmarks and their estimates from two trees of nested folders under root, joined by the folder inside the tree:
     (group_id, n, per_unit)."""
