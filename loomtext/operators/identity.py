@@ -114,7 +114,12 @@ def full_prefixes(docs: DataFrame, size: int = LEAF, text: str = "text") -> Data
     return prefixes.filter(F.col("n_bytes") == (F.col("ord") + 1) * size).select("doc_id", (F.col("ord") + 1).alias("k"), *LANES)
 
 
-def match_prefix(queries: DataFrame, cache: DataFrame, size: int = LEAF, text: str = "text", prefixes: DataFrame | None = None) -> DataFrame:
+def cached_leaves(cache: DataFrame, size: int = LEAF, text: str = "text") -> DataFrame:
+    """(doc_id, k, fp1, fp2, data): the leaf after the first k full leaves with their fingerprint, from k = 0; staged."""
+    return stage(_next_leaf(cache, full_prefixes(cache, size, text), size, text, every=True), "cached-leaves")
+
+
+def match_prefix(queries: DataFrame, cache: DataFrame, size: int = LEAF, text: str = "text", leaves: DataFrame | None = None) -> DataFrame:
     """For each query document the cached one with the longest common prefix: (doc_id, cached_id, lcp).
 
     Every query has a row; what shares nothing has lcp 0 and the smallest id of the cache (null if that is empty), and of
@@ -125,16 +130,14 @@ def match_prefix(queries: DataFrame, cache: DataFrame, size: int = LEAF, text: s
        each byte behind the longest of those. Cached prefixes are first reduced to the smallest id, so a beginning that
        all entries share costs one row, and no table of pairs exists.
 
-    `prefixes` are the cache's full prefixes, if they are at hand.
+    `leaves` is the cache as cached_leaves gives it, if it is at hand; the cache itself is then not read.
     """
-    ours = stage(full_prefixes(cache, size, text), "cached-prefixes") if prefixes is None else prefixes
+    leaves = cached_leaves(cache, size, text) if leaves is None else leaves
     mine = stage(full_prefixes(queries, size, text), "asked-prefixes")
     key = ["k", *LANES]
-    deepest = mine.join(ours.select(*key).distinct(), key, "left_semi").groupBy("doc_id").agg(F.max(F.struct(*key)).alias("c")).select("doc_id", "c.*")
+    deepest = mine.join(leaves.filter("k > 0").select(*key).distinct(), key, "left_semi").groupBy("doc_id").agg(F.max(F.struct(*key)).alias("c")).select("doc_id", "c.*")
     asked = stage(_next_leaf(queries, deepest, size, text), "asked-leaves")
-    classes = asked.select(*key).distinct()
-    cached = _next_leaf(cache, ours.join(classes.filter("k > 0"), key, "left_semi"), size, text, every=True)
-    cached = stage(cached.join(classes, key, "left_semi"), "cached-leaves")
+    cached = stage(leaves.join(asked.select(*key).distinct(), key, "left_semi"), "met-leaves")
     return _match_leaves(asked, cached, key)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.fingerprint import BASES, MODULUS, hash_bytes, powers
-from ..functions.tables import new_path, stage
+from ..functions.tables import new_path
 from ..operators import identity
 
 
@@ -34,10 +34,9 @@ def drain(stream: DataFrame, mode: str, then=None) -> str:
 
 
 def match_prefix(requests: DataFrame, cache: DataFrame, size: int = identity.LEAF) -> str:
-    """Each arriving request gets its longest cached prefix. The cache is hashed once, before the stream begins; a batch
-    reads of its leaves those that its requests ask for."""
-    prefixes = stage(identity.full_prefixes(cache, size), "cached-prefixes")
-    return drain(requests, "append", lambda batch: identity.match_prefix(batch, cache, size, prefixes=prefixes))
+    """Each arriving request gets its longest cached prefix. The cache is cut and hashed once, before the stream begins."""
+    leaves = identity.cached_leaves(cache, size)
+    return drain(requests, "append", lambda batch: identity.match_prefix(batch, cache, size, leaves=leaves))
 
 
 def context_fingerprint(turns: DataFrame) -> DataFrame:
