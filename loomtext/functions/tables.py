@@ -97,11 +97,11 @@ def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "in
 class Bloom:
     """A test of 64-bit hashes against those of a staged table's rows: false only for hashes that are not there.
 
-    The filter is an array of at most most_bits / 64 longs (8 MB), whatever the table's size: beyond four million rows
+    The filter is an array of at most most_bits / 64 longs (4 MB), whatever the table's size: beyond two million rows
     it lets more of the others pass, and callers must judge those that pass exactly or treat them alike.
     """
 
-    def __init__(self, rows: DataFrame, hashed: Column, bits_for_each: int = 16, most_bits: int = 1 << 26):
+    def __init__(self, rows: DataFrame, hashed: Column, bits_for_each: int = 16, most_bits: int = 1 << 25):
         spark, n, self.bits = rows.sparkSession, rows.count(), 64
         while self.bits < min(n * bits_for_each, most_bits):
             self.bits *= 2
