@@ -32,7 +32,7 @@ def chunk_fixed_chars(docs: DataFrame, size: int = 8192, text: str = "text", key
 def shuffle_key(key: Column, seed: int) -> Column:
     """A number by whose order, and then the key, rows stand in a seeded permutation, the same on reruns."""
     prime = (1 << 31) - 1
-    return ((key + 1) % prime * (48271 + 2 * seed) + seed) % prime
+    return ((key + 1) % prime * (1_103_515_245 + 2 * seed) + seed) % prime
 
 
 def seeded_shuffle(rows: DataFrame, key: str, seed: int, out: str = "place") -> DataFrame:

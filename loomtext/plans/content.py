@@ -274,7 +274,7 @@ def _(spark, sf):
     return text.chunk_fixed_chars(docs(spark, sf), 512)
 
 
-@query("seeded_shuffle", "SELECT doc_id, row_number() OVER (ORDER BY ((doc_id + 1) % 2147483647 * (48271 + 2 * 42) + 42) % 2147483647, doc_id) - 1 AS place FROM documents")
+@query("seeded_shuffle", "SELECT doc_id, row_number() OVER (ORDER BY ((doc_id + 1) % 2147483647 * (1103515245 + 2 * 42) + 42) % 2147483647, doc_id) - 1 AS place FROM documents")
 def _(spark, sf):
     return text.seeded_shuffle(docs(spark, sf).select("doc_id"), "doc_id", 42)
 
