@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from . import exact_dedup, html_text, lattice_lm, line_dedup, mixing, ngram_join, packing, quality_mil, quality_rules, toxicity
 from .common import documents
-from .sql import SQL
 
 QUERIES = {
     "op1_length_buckets": lambda spark, sf: packing.report(documents(spark, sf)),
