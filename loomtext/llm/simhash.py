@@ -119,7 +119,8 @@ def near_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     at = covered(fps, bits)
     home = covered(fps, 0).select("anchor", F.col("fp").alias("a"))
     apart = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-    return home.join(at.select(F.col("anchor").alias("there"), F.col("fp").alias("b")), (F.col("anchor") == F.col("there")) & apart).select("a", "b")
+    there = at.select(F.col("anchor").alias("there"), F.col("fp").alias("b")).hint("merge")  # never broadcast: the planner cannot know how many replicas there are
+    return home.join(there, (F.col("anchor") == F.col("there")) & apart).select("a", "b")
 
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, bits: int = BITS) -> DataFrame:
