@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fingerprint import BASES, LANES, MODULUS, byte_values, geometric, power, powers, powers_at
+from ..functions.fingerprint import BASES, LANES, MODULUS, geometric, power
 from ..functions.tables import let
+from .edits import edit_apply, edit_identity, edit_pieces, snapshot_at
+
+__all__ = [
+    "block_table", "branch_fingerprint", "branch_refs", "compression_ratio", "copy_vs_share", "edit_apply", "edit_identity", "edit_pieces", "first_leaf_change", "materialize", "new_blocks", "run_encode",
+    "run_expand", "run_fingerprint", "sharing_stats", "snapshot_at", "tail_block", "token_blocks",
+]
 
 
 def materialize(leaves: DataFrame, keys: tuple[str, ...] = ("doc_id",), leaf: str = "leaf") -> DataFrame:
@@ -114,68 +117,6 @@ def run_fingerprint(fps: DataFrame, q: str = "q") -> DataFrame:
     return fps.withColumns(each | {"n": F.col("n") * F.col(q)})
 
 
-def splice(data: Column, pos: Column, del_len: Column, ins: Column) -> Column:
-    """data with del_len bytes at pos replaced by ins: insert, delete and replace are one thing."""
-    return F.concat(F.substring(data, F.lit(1), pos.cast("int")), ins, F.substring(data, (pos + del_len + 1).cast("int"), F.octet_length(data)))
-
-
-def edit_apply(docs: DataFrame, edits: DataFrame, data: str = "data", key: str = "doc_id", upto: int | None = None) -> DataFrame:
-    """(key, data) after edits(key, step, pos, del_len, ins) in step order; up to a step, if given.
-
-    A document's edits fold over its bytes in one expression; documents without edits keep theirs.
-    """
-    taken = edits if upto is None else edits.filter(F.col("step") <= upto)
-    listed = taken.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("step", "pos", "del_len", "ins"))).alias("_e"))
-    done = F.aggregate("_e", F.col(data), lambda acc, e: splice(acc, e["pos"], e["del_len"], e["ins"]))
-    return docs.join(listed, key, "left").select(key, F.when(F.col("_e").isNull(), F.col(data)).otherwise(done).alias("data"))
-
-
-def edit_identity(docs: DataFrame, edits: DataFrame, every: int, data: str = "data", key: str = "doc_id") -> DataFrame:
-    """(key, step, n, fp1, fp2) at each multiple of `every`. Edits keep the length (del_len = length of ins), so the
-    fingerprint moves by the edited span alone and the document is never hashed again. A batch of documents takes its
-    first edits together, then its second ones, and so on."""
-    from .identity import doc_fingerprint, fingerprint_leaves
-    from .leaves import cut
-
-    listed = edits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("step", "pos", "ins"))).alias("e"))
-    fps = doc_fingerprint(fingerprint_leaves(docs.select(key, F.inline(cut(F.col(data), 256)))), (key,)).drop("n")
-    rows = docs.select(key, F.col(data).alias("data")).join(listed, key).join(fps, key)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            content, starts = byte_values(batch.column("data"))
-            now = content[starts[0] : starts[-1]].copy()
-            starts = starts - starts[0]
-            lists = batch.column("e")
-            ends = lists.offsets.to_numpy().astype(np.int64)
-            step, pos, ins = (lists.values.field(i) for i in range(3))
-            step, pos, (new, at) = step.to_numpy(), pos.to_numpy(), byte_values(ins)
-            fp = np.stack([batch.column(x).to_numpy().copy() for x in LANES])
-            for i in range(int(np.diff(ends).max(initial=0))):
-                doc = np.flatnonzero(np.diff(ends) > i)
-                e = ends[doc] + i
-                size = at[e + 1] - at[e]
-                place = np.arange(int(size.max(initial=0)))
-                inside = place < size[:, None]
-                there, here = (starts[doc] + pos[e])[:, None] + place, at[e][:, None] + place
-                delta = np.zeros(inside.shape, dtype=np.int64)
-                delta[inside] = new[here[inside]].astype(np.int64) - now[there[inside]]
-                for k in range(2):
-                    moved = (delta * powers(k, len(place)) % MODULUS).sum(1) % MODULUS
-                    fp[k, doc] = (fp[k, doc] + moved * powers_at(k, pos[e])) % MODULUS
-                now[there[inside]] = new[here[inside]]
-                if (i + 1) % every == 0:
-                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(doc)), pa.array(step[e]), pa.array(starts[doc + 1] - starts[doc]), pa.array(fp[0, doc]), pa.array(fp[1, doc])], names=[key, "step", "n", *LANES])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return rows.select(key, "data", "e", *LANES).mapInArrow(run, f"{key} {kind}, step long, n long, fp1 long, fp2 long")
-
-
-def snapshot_at(docs: DataFrame, edits: DataFrame, version: int, **how) -> DataFrame:
-    """(key, data) as of a version."""
-    return edit_apply(docs, edits, upto=version, **how)
-
-
 def first_leaf_change(a: Column, b: Column) -> Column:
     """Place of the first leaf that differs."""
     return let(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), lambda d: F.array_position(d, F.lit(True)) - 1)

@@ -105,6 +105,26 @@ def _(spark, sf):
     return stats.sign_test_two(pairs(spark, sf), ["n"])
 
 
+#: The first two lines of each order as a pair, in three parts of thousands of pairs each; weights of a binomial relative
+#: to its middle, by cumulated logarithms of their ratios.
+_LINE_PAIRS = """WITH o AS (SELECT l_orderkey % 3 AS part, max(CASE WHEN l_linenumber = 1 THEN l_extendedprice END) AS a, max(CASE WHEN l_linenumber = 2 THEN l_extendedprice END) AS b FROM lineitem GROUP BY l_orderkey),
+w AS (SELECT part, count_if(a < b)::BIGINT AS wins, count_if(a <> b)::BIGINT AS n FROM o WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY part),
+i AS (SELECT part, wins, n, unnest(range((n + 1) // 2, n + 1)) AS i FROM w),
+t AS (SELECT part, wins, n, i, exp(sum(CASE WHEN 2 * i > n + 1 THEN ln((n - i + 1) / i) ELSE 0 END) OVER (PARTITION BY part ORDER BY i)) AS x FROM i),
+g AS (SELECT part, any_value(wins) AS wins, any_value(n) AS n, sum(CASE WHEN 2 * i = n THEN x ELSE 2 * x END) AS total, sum(x) FILTER (i >= greatest(wins, n - wins + 1)) AS up, sum(x) FILTER (i >= greatest(n - wins, wins + 1)) AS down FROM t GROUP BY part),
+p AS (SELECT part, wins, n, CASE WHEN 2 * wins > n THEN up / total ELSE 1 - coalesce(up, 0) / total END AS one, CASE WHEN 2 * (n - wins) > n THEN down / total ELSE 1 - coalesce(down, 0) / total END AS other FROM g)"""
+
+
+@query("sign_tests_large", f"{_LINE_PAIRS} SELECT part, wins, n AS n_untied, one AS p_one, least(1, 2 * CASE WHEN 2 * wins >= n THEN one ELSE other END) AS p_max, least(1, 2 * least(one, other)) AS p_min FROM p")
+def _(spark, sf):
+    """One- and two-sided sign tests of groups of thousands of pairs: is an order's first line cheaper than its second?"""
+    line = lambda k: F.max(F.when(F.col("l_linenumber") == k, F.col("l_extendedprice")))
+    p = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(line(1).alias("a"), line(2).alias("b")).filter("a is not null and b is not null")
+    p = p.withColumn("part", F.col("l_orderkey") % 3)
+    one = stats.sign_test_one(p, ["part"]).withColumnRenamed("p_value", "p_one")
+    return one.join(stats.sign_test_two(p, ["part"]).drop("n_untied"), "part")
+
+
 @query("speedup_ratio_of_means", f"{_PAIRS} SELECT n, avg(a) / avg(b) AS ratio_of_means FROM pairs GROUP BY n")
 def _(spark, sf):
     return stats.speedups(pairs(spark, sf), ["n"]).drop("mean_of_ratios")

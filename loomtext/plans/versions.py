@@ -174,6 +174,60 @@ def _(spark, sf):
     return rows.groupBy((F.col("doc_id") % 10).alias("part")).agg(F.sum("n_new").alias("new_blocks"), F.regr_slope(F.col("n_new").cast("double"), F.log2(F.col("n").cast("double"))).alias("slope"))
 
 
+#: Churn that moves content and changes the length: in turn a delete, an insert elsewhere, a move. Positions follow from
+#: the document's id, the step and the length m before it. In SQL each step rewrites the whole content.
+_CHURN = 12
+_CHURNED = f"""WITH RECURSIVE e(doc_id, step, h) AS (SELECT doc_id, 0, hex(encode(coalesce(text, ''))) FROM documents UNION ALL
+SELECT doc_id, step + 1, CASE (step + 1) % 3
+  WHEN 1 THEN left(h, 2 * p) || substr(h, 2 * (p + d) + 1)
+  WHEN 2 THEN left(h, 2 * q) || repeat(printf('%02X', 97 + (step + 1) % 26), k) || substr(h, 2 * q + 1)
+  ELSE left(left(h, 2 * p) || substr(h, 2 * (p + d) + 1), 2 * t) || substr(h, 2 * p + 1, 2 * d) || substr(left(h, 2 * p) || substr(h, 2 * (p + d) + 1), 2 * t + 1) END
+FROM (SELECT *, ((doc_id * 7919 + (step + 1) * 104729) % (m - d + 1))::INT AS p, ((doc_id * 31 + (step + 1) * 10007) % (m + 1))::INT AS q, ((doc_id * 17 + (step + 1) * 1009) % (m - d + 1))::INT AS t, (1 + (doc_id + step + 1) % 32)::INT AS k
+  FROM (SELECT *, least(m, 1 + (doc_id * 31 + (step + 1) * 17) % 32)::INT AS d FROM (SELECT *, (length(h) // 2)::INT AS m FROM e WHERE step < {_CHURN}))))"""
+
+
+def churn_tables(spark, sf):
+    """All documents, and their edits: the length before each step follows from those before, in one fold of a row."""
+    d = docs(spark, sf).select("doc_id", leaves.content(F.col("text")).alias("data"))
+    i, none, blank = F.col("doc_id"), F.lit(None).cast("long"), F.lit(b"")
+
+    def step(acc, s):
+        m = acc["m"]
+        cut = F.least(m, 1 + (i * 31 + s * 17) % 32)
+        at, to, k = (i * 7919 + s * 104729) % (m - cut + 1), (i * 17 + s * 1009) % (m - cut + 1), 1 + (i + s) % 32
+        new = F.encode(F.repeat(F.char(97 + s % 26), k.cast("int")), "UTF-8")
+        edit = lambda pos, n, ins, move: F.struct(s.alias("step"), pos.alias("pos"), n.alias("del_len"), ins.alias("ins"), move.alias("to"))
+        one = F.when(s % 3 == 1, edit(at, cut, blank, none)).when(s % 3 == 2, edit((i * 31 + s * 10007) % (m + 1), F.lit(0).cast("long"), new, none)).otherwise(edit(at, cut, blank, to))
+        return F.struct((m + F.when(s % 3 == 1, -cut).when(s % 3 == 2, k).otherwise(F.lit(0).cast("long"))).alias("m"), F.concat(acc["e"], F.array(one)).alias("e"))
+
+    start = F.struct(F.octet_length("data").cast("long").alias("m"), F.array().cast("array<struct<step:bigint,pos:bigint,del_len:bigint,ins:binary,to:bigint>>").alias("e"))
+    steps = F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(_CHURN).cast("long")), start, step)["e"]
+    return d, d.select("doc_id", F.inline(steps))
+
+
+@query("edit_churn_apply", f"{_CHURNED} SELECT doc_id, step, md5(unhex(h)) AS digest FROM e WHERE step IN (7, {_CHURN})")
+def _(spark, sf):
+    """The content after deletes, inserts and moves: as of version 7, and in the end."""
+    d, e = churn_tables(spark, sf)
+    at = lambda df, s: df.select("doc_id", F.lit(s).alias("step"), F.md5("data").alias("digest"))
+    return at(versions.snapshot_at(d, e, 7), 7).unionByName(at(versions.edit_apply(d, e), _CHURN))
+
+
+_CHURN_ENDS = f"{_CHURNED}, ends AS (SELECT doc_id * 100 + step AS k, doc_id, step, h FROM e WHERE step % 4 = 0 AND step > 0), {_bytes_of('ends', 'k', 'h')}"
+
+
+@query("edit_churn_identity", f"{_CHURN_ENDS} SELECT doc_id, step, coalesce(n, 0) AS n, coalesce(fp1, 0) AS fp1, coalesce(fp2, 0) AS fp2 FROM ends LEFT JOIN f USING (k)")
+def _(spark, sf):
+    """Fingerprints composed from pieces after each fourth edit; the SQL hashes the edited content."""
+    return versions.edit_identity(*churn_tables(spark, sf), 4)
+
+
+@query("edit_pieces", f"{_CHURNED} SELECT d.doc_id, strlen(coalesce(text, '')) AS base_bytes, length(h) // 2 AS n_bytes FROM documents d JOIN e ON e.doc_id = d.doc_id AND step = {_CHURN}")
+def _(spark, sf):
+    """How much of each edited document refers to its base, and how much to insertions."""
+    return versions.edit_pieces(*churn_tables(spark, sf)).select("doc_id", "base_bytes", (F.col("kept_bytes") + F.col("new_bytes")).alias("n_bytes"))
+
+
 _TURN = "role || ': ' || text || chr(10) || chr(10)"
 
 
