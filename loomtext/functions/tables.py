@@ -169,6 +169,24 @@ def running_sum(df: DataFrame, order: list[Column], value: Column, name: str) ->
     return dealt.withColumn(name, (F.sum(value).over(w) + before[0]).cast("long")).drop("_at")
 
 
+def scan(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], block: int = 4096) -> DataFrame:
+    """df, staged, with running sums: {new column: summed column}, within keys, along the whole numbers `order`, in two levels.
+
+    Rows are summed along in blocks of `block` places, the blocks' totals along each key, and each block gets the totals of
+    those before it; so a key with very many rows is many tasks. Sums must fit a long. Only keys of several blocks are
+    joined, and theirs are few rows: one for each block.
+    """
+    at = F.floor(F.col(order) / block).cast("long")
+    inner = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = stage(df.withColumn("_block", at).select("*", *[F.sum(c).over(inner).alias(x) for x, c in sums.items()]), "scan-blocks")
+    totals = rows.groupBy(*keys, "_block").agg(*[F.sum(c).alias(x) for x, c in sums.items()])
+    long = stage(totals.join(rows.filter("_block > 0").select(*keys).distinct(), keys, "left_semi"), "scan-totals")
+    along = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = stage(long.select(*keys, "_block", *[F.coalesce(F.sum(x).over(along), F.lit(0)).alias(f"_before_{x}") for x in sums]), "scan-offsets")
+    out = join_checked(rows, before, [*keys, "_block"], "left")
+    return out.withColumns({x: F.col(x) + F.coalesce(F.col(f"_before_{x}"), F.lit(0)) for x in sums}).drop("_block", *[f"_before_{x}" for x in sums])
+
+
 def let(value: Column, body) -> Column:
     """body(x) with x bound to value, which is then evaluated once."""
     return F.transform(F.array(value), body)[0]

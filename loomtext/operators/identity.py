@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import BASES, LANES, MODULUS, leaf_hash, power
-from ..functions.tables import bloom, let, stage
+from ..functions.tables import bloom, let, scan, stage
 from .leaves import content, leaves_fixed
 
 LEAF = 256
@@ -29,10 +29,11 @@ def doc_fingerprint(hashed: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> D
 
 
 def prefix_fingerprint(hashed: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys, ord, n_bytes, fp1, fp2): fingerprint of every prefix that ends with a leaf."""
-    w = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    weighted = hashed.select(*keys, "ord", "n", *[placed(F.col("byte_start"), x, k).alias(x) for k, x in enumerate(LANES)])
-    return weighted.select(*keys, "ord", F.sum("n").over(w).alias("n_bytes"), *[(F.sum(x).over(w) % MODULUS).alias(x) for x in LANES])
+    """(keys, ord, n_bytes, fp1, fp2): fingerprint of every prefix that ends with a leaf; a document of very many leaves is
+    many tasks (see scan)."""
+    weighted = hashed.select(*keys, "ord", "n", *[placed(F.col("byte_start"), x, k).alias(f"_{x}") for k, x in enumerate(LANES)])
+    sums = scan(weighted, list(keys), "ord", {"n_bytes": "n"} | {x: f"_{x}" for x in LANES})
+    return sums.select(*keys, "ord", "n_bytes", *[(F.col(x) % MODULUS).alias(x) for x in LANES])
 
 
 def range_fingerprint(docs: DataFrame, ranges: DataFrame, size: int = LEAF, text: str = "text", key: str = "doc_id") -> DataFrame:

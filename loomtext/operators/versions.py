@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import BASES, LANES, MODULUS, geometric, power
-from ..functions.tables import let
+from ..functions.tables import let, scan, stage
 from .edits import edit_apply, edit_identity, edit_pieces, snapshot_at
 
 __all__ = [
-    "block_table", "branch_fingerprint", "branch_refs", "compression_ratio", "copy_vs_share", "edit_apply", "edit_identity", "edit_pieces", "first_leaf_change", "materialize", "new_blocks", "run_encode",
+    "append_delta", "block_table", "branch_fingerprint", "branch_refs", "compression_ratio", "copy_vs_share", "edit_apply", "edit_identity", "edit_pieces", "first_leaf_change", "materialize", "new_blocks", "run_encode",
     "run_expand", "run_fingerprint", "sharing_stats", "snapshot_at", "tail_block", "token_blocks",
 ]
 
@@ -67,8 +67,14 @@ def token_blocks(tokens: DataFrame, size: int, keys: tuple[str, ...]) -> DataFra
     so two blocks are one only where everything before them is equal too."""
     h = [(F.pmod(F.xxhash64(F.lit(k), "token"), F.lit(MODULUS)) + 1) * power(F.col("pos"), BASES[k]) % MODULUS for k in range(2)]
     blocks = tokens.groupBy(*keys, F.floor(F.col("pos") / size).cast("int").alias("block")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{k}") for k, x in enumerate(h)])
-    w = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.select(*keys, "block", "n", *[(F.sum(f"s{k}").over(w) % MODULUS).alias(x) for k, x in enumerate(LANES)])
+    sums = scan(blocks, list(keys), "block", {x: f"s{k}" for k, x in enumerate(LANES)})
+    return sums.select(*keys, "block", "n", *[(F.col(x) % MODULUS).alias(x) for x in LANES])
+
+
+def append_delta(turns: DataFrame, keys: list[str], order: str, tokens: Column) -> DataFrame:
+    """turns with delta_tokens, those of the appended turn alone, and total_tokens of the whole context so far. The running
+    count is a two-level scan along the places of turns, so a context of very many turns is many tasks."""
+    return scan(turns.withColumn("delta_tokens", tokens.cast("long")), keys, order, {"total_tokens": "delta_tokens"})
 
 
 def block_table(tokens: DataFrame, sizes: list[int], group: str, key: str = "doc_id") -> DataFrame:
@@ -99,11 +105,21 @@ def compression_ratio(rows: DataFrame, paged: str, shared: str) -> DataFrame:
 
 
 def run_encode(units: DataFrame, keys: tuple[str, ...], order: str, unit: str) -> DataFrame:
-    """(keys, start, unit, q): runs of equal neighbours."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    begins = F.when(F.lag(unit).over(w).eqNullSafe(F.col(unit)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    runs = units.withColumn("_b", begins).withColumn("_run", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*keys, "_run").agg(F.min(order).alias("start"), F.first(unit).alias("unit"), F.count(F.lit(1)).alias("q")).drop("_run")
+    """(keys, start, unit, q): runs of equal neighbours; `order` counts a key's units from 0 without gaps.
+
+    A unit learns from the one before it, a row of the same key, whether it begins a run; runs are numbered by a two-level
+    scan. A key of very many units is many tasks in both; units are compared by two 64-bit hashes and read once a run.
+    """
+    hashed = lambda u: F.struct(F.xxhash64(u).alias("a"), F.xxhash64(F.lit(1), u).alias("b"), F.col(u).isNull().alias("z"))
+    rows = stage(units.select(*keys, F.col(order).cast("long").alias("_i"), F.col(unit).alias("unit"), hashed(unit).alias("_h")), "units")
+    edge = [(F.col("_i") + k).alias("_i") for k in (0, 1)]
+    pairs = rows.select(*keys, edge[0], "_h", F.lit(0).alias("_late")).unionByName(rows.select(*keys, edge[1], "_h", F.lit(1).alias("_late")))
+    pick = lambda k: F.max(F.when(F.col("_late") == k, F.col("_h")))
+    begins = pairs.groupBy(*keys, "_i").agg(pick(0).alias("mine"), pick(1).alias("before")).filter("mine is not null")
+    begins = begins.select(*keys, "_i", F.when(F.col("mine").eqNullSafe(F.col("before")), 0).otherwise(1).cast("long").alias("_b"))
+    runs = scan(begins, list(keys), "_i", {"_run": "_b"}).groupBy(*keys, "_run").agg(F.min("_i").alias("start"), F.count(F.lit(1)).alias("q"))
+    kind = units.schema[order].dataType
+    return runs.join(rows.select(*keys, F.col("_i").alias("start"), "unit"), [*keys, "start"]).select(*keys, F.col("start").cast(kind).alias("start"), "unit", "q")
 
 
 def run_expand(runs: DataFrame, q: str = "q") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import BASES, MODULUS
-from ..operators import identity, leaves, text
+from ..operators import forest, identity, leaves, text
 from .registering import query, table
 
 LB = 256
@@ -131,6 +131,32 @@ def _(spark, sf):
     return identity.lcp_all_pairs(docs(spark, sf), LB)
 
 
+#: Classes of the forest from pairs: a class is a shared prefix at which some pair parts.
+_FOREST = f"""WITH {_H}, pr AS (SELECT {_LCP} AS n_bytes, x.h FROM h x JOIN h y ON x.doc_id < y.doc_id AND substr(x.h, 1, {2 * LB}) = substr(y.h, 1, {2 * LB}) WHERE length(x.h) >= {2 * LB}),
+cl AS (SELECT DISTINCT n_bytes, substr(h, 1, 2 * n_bytes) AS pre FROM pr),
+mb AS (SELECT n_bytes, pre, doc_id FROM cl JOIN h ON length(h) >= 2 * n_bytes AND substr(h, 1, 2 * n_bytes) = pre),
+cs AS (SELECT n_bytes, pre, min(doc_id) AS first_id, count(*) AS n_docs FROM mb GROUP BY n_bytes, pre)"""
+
+
+@query("lcp_forest", f"{_FOREST} SELECT c.n_bytes, c.first_id, any_value(c.n_docs) AS n_docs, max(p.n_bytes) AS parent_bytes, arg_max(p.first_id, p.n_bytes) AS parent_id FROM cs c LEFT JOIN cs p ON p.n_bytes < c.n_bytes AND substr(c.pre, 1, 2 * p.n_bytes) = p.pre GROUP BY c.n_bytes, c.first_id")
+def _(spark, sf):
+    return forest.lcp_forest(docs(spark, sf), LB)[0]
+
+
+@query("lcp_forest_members", f"{_FOREST} SELECT doc_id, max(n_bytes) AS n_bytes, arg_max(first_id, n_bytes) AS first_id FROM mb JOIN cs USING (n_bytes, pre) GROUP BY doc_id")
+def _(spark, sf):
+    return forest.lcp_forest(docs(spark, sf), LB)[1]
+
+
+@query("lcp_forest_pairs", f"WITH {_H} SELECT x.doc_id AS a_id, y.doc_id AS b_id, CASE WHEN {_LCP} >= {LB} THEN {_LCP} ELSE 0 END AS lcp FROM h x JOIN h y ON y.doc_id = x.doc_id + 1 UNION ALL SELECT x.doc_id, y.doc_id, CASE WHEN {_LCP} >= {LB} THEN {_LCP} ELSE 0 END FROM h x JOIN h y ON y.doc_id <> x.doc_id + 1 AND x.doc_id < y.doc_id AND substr(x.h, 1, {2 * LB}) = substr(y.h, 1, {2 * LB}) WHERE length(x.h) >= {2 * LB}")
+def _(spark, sf):
+    """All neighbours by id, asked for as pairs; and all other pairs that the forest expands to."""
+    d = docs(spark, sf)
+    classes, members = forest.lcp_forest(d, LB)
+    near = d.select(F.col("doc_id").alias("a_id")).join(d.select(F.col("doc_id").alias("b_id"), (F.col("doc_id") - 1).alias("a_id")), "a_id")
+    return forest.lcp_of(near, classes, members).unionByName(forest.expand(classes, members).filter("b_id <> a_id + 1"))
+
+
 @query("prefix_classes", f"WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS x, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents), p AS (SELECT doc_id, o AS ord, least(n, (o + 1) * {LB}) AS n_bytes, substr(h, 1, 2 * (o + 1) * {LB}) AS pre FROM d, unnest(range(greatest(1, (n + {LB - 1}) // {LB}))) u(o)) SELECT ord, n_bytes, count(*) AS n_docs, min(doc_id) AS first_id FROM p GROUP BY ord, n_bytes, pre HAVING count(*) > 1")
 def _(spark, sf):
     return identity.prefix_classes(docs(spark, sf), LB).drop("fp1", "fp2")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import BASES, MODULUS
@@ -235,8 +234,8 @@ _TURN = "role || ': ' || text || chr(10) || chr(10)"
 def _(spark, sf):
     """Only the appended turn is tokenised; the running count equals that of the whole context."""
     line = F.concat("role", F.lit(": "), "text", F.lit("\n\n"))
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.size(leaves.tokens(line)).cast("long").alias("delta_tokens"))
-    return rows.withColumn("total_tokens", F.sum("delta_tokens").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", line.alias("line"))
+    return versions.append_delta(rows, ["conv_id"], "turn", F.size(leaves.tokens(F.col("line")))).drop("line")
 
 
 # --- search trees: 40 documents each, three children a node ---
