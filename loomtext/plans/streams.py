@@ -9,7 +9,7 @@ from ..streaming import jobs
 from .content import LB, docs
 from .registering import SQL, query, table
 from .runs import _WITH, runs
-from .versions import _EDITED, _STEPS, _bytes_of, edit_tables
+from .versions import _EDITED, _STEPS, _bytes_of, churn_tables, edit_tables
 
 
 def _stream(spark, rows, parts, name):
@@ -38,8 +38,34 @@ def _(spark, sf):
 def _(spark, sf):
     """Fingerprints from the stream's state; the SQL hashes the edited content."""
     d, e = edit_tables(spark, sf)
-    rows = e.join(d.withColumn("step", F.lit(1).cast("long")), ["doc_id", "step"], "left").select("doc_id", "step", "pos", "ins", "data")
-    return spark.read.parquet(jobs.drain(jobs.edit_identity(_stream(spark, rows, 3, "edits"), _STEPS // 2), "append")).drop("batch")
+    return _edited(spark, d, e, _STEPS // 2).drop("n")
+
+
+def _edited(spark, d, e, every):
+    to = e["to"] if "to" in e.columns else F.lit(None)
+    rows = e.withColumn("to", to.cast("long")).join(d.withColumn("step", F.lit(1).cast("long")), ["doc_id", "step"], "left")
+    rows = rows.select("doc_id", "step", "pos", F.col("del_len").cast("long").alias("del_len"), "ins", "to", "data")
+    return spark.read.parquet(jobs.drain(jobs.edit_identity(_stream(spark, rows, 3, "edits"), every), "append")).drop("batch")
+
+
+@query("stream_edit_churn", SQL["edit_churn_identity"])
+def _(spark, sf):
+    """Deletes, inserts and moves as they arrive, out of order; the SQL hashes the edited content."""
+    return _edited(spark, *churn_tables(spark, sf), 4)
+
+
+_LEAVES = f"p AS (SELECT doc_id, k, md5(substr(h, 1, {2 * LB} * k)) AS pre FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), unnest(range(length(h) // {2 * LB} + 1)) u(k))"
+
+
+@query("stream_growing_cache", f"WITH {_LEAVES}, m AS (SELECT a.doc_id, a.k, min(c.doc_id) AS cached_id FROM p a JOIN p c ON a.k = c.k AND a.pre = c.pre AND a.doc_id % 2 = 1 AND c.doc_id % 2 = 0 AND c.doc_id % 3 < a.doc_id % 3 GROUP BY a.doc_id, a.k) SELECT doc_id, arg_max(cached_id, k) AS cached_id, max(k) * {LB} AS lcp FROM m GROUP BY doc_id")
+def _(spark, sf):
+    """Entries and requests in one stream of three batches (by id % 3): requests see the entries of earlier batches."""
+    d = docs(spark, sf).select("doc_id", "text", (F.col("doc_id") % 2 == 1).alias("asks"))
+    path = new_path(spark, "arrivals")
+    for batch in range(3):
+        d.filter(F.col("doc_id") % 3 == batch).coalesce(1).write.mode("append").parquet(path)
+    found = jobs.growing_cache(jobs.file_stream(spark, path, d.schema), LB)
+    return spark.read.parquet(jobs.drain(found, "append", lambda b: jobs.longest(b, LB))).drop("batch")
 
 
 @query("stream_energy_window", "WITH l AS (SELECT user_id, ts, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS us, value, lag(value) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)) SELECT user_id AS device, time_bucket(INTERVAL 1 HOUR, ts) AS start, sum((value + p) / 2 * us / 1e6) AS joules FROM l WHERE p IS NOT NULL GROUP BY 1, 2")

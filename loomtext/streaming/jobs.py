@@ -1,35 +1,49 @@
 """Structured Streaming jobs. Each has a batch operator with the same results on the same rows.
 
-State is keyed (conversation, document, device), lives in the state store, and outputs are written by batch number, so a
+State is keyed (conversation, document, device, prefix), as values, lists and maps in the state store, and outputs are written by batch number, so a
 batch that runs again after a failure overwrites its own output.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.fingerprint import BASES, MODULUS, hash_bytes, powers
+from ..functions.fingerprint import BASES, LANES, MODULUS, byte_values, hash_blocks, hash_bytes, powers, powers_at
 from ..functions.tables import new_path
 from ..operators import identity
+from ..operators.edits import PieceTable, Source, join_fp
+
+#: Keyed state is kept on disk; value, list and map state need it.
+_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def drain(stream: DataFrame, mode: str, then=None) -> str:
-    """Run a stream over what is there and stop; the folder with one sub-folder for each batch."""
-    spark, out = stream.sparkSession, new_path(stream.sparkSession, "stream")
+def drain(stream: DataFrame, mode: str, then=None, out: str | None = None, state: str | None = None) -> str:
+    """Run a stream over what is there and stop; the folder with one sub-folder for each batch. With the folders `out` and
+    `state` of an earlier run, it goes on from there."""
+    spark = stream.sparkSession
+    out, state = out or new_path(spark, "stream"), state or new_path(spark, "state")
 
     def put(batch: DataFrame, number: int) -> None:
         (then(batch) if then else batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", new_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    before = spark.conf.get(_STORE[0], None)
+    spark.conf.set(*_STORE)
+    try:
+        stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(_STORE[0]) if before is None else spark.conf.set(_STORE[0], before)
     return out
 
 
@@ -39,86 +53,285 @@ def match_prefix(requests: DataFrame, cache: DataFrame, size: int = identity.LEA
     return drain(requests, "append", lambda batch: identity.match_prefix(batch, cache, size, leaves=leaves))
 
 
-def context_fingerprint(turns: DataFrame) -> DataFrame:
-    """Stream of (conv_id, turn, line): after each turn the context's length and fingerprint, from state alone.
-
-    Turns of one batch are taken in turn order; a turn that was seen before is dropped, one that comes early waits.
-    """
+class _ContextState(StatefulProcessor):
+    """A conversation: length, fingerprint and last turn as a value; each turn that came early is an entry of a map."""
 
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, f1, f2, last, waiting = state.get if state.exists else (0, 0, 0, -1, "{}")
-        import json
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "n long, f1 long, f2 long, last long")
+        self.waiting = handle.getMapState("waiting", "turn long", "line string")
 
-        held = {int(k): v for k, v in json.loads(waiting).items()}
-        for frame in frames:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, f1, f2, last = self.now.get() if self.now.exists() else (0, 0, 0, -1)
+        fresh: dict[int, str] = {}
+        for frame in rows:
             for turn, line in zip(frame["turn"], frame["line"], strict=True):
                 if turn > last:
-                    held[int(turn)] = line
-        out = []
-        while last + 1 in held:
+                    fresh.setdefault(int(turn), line or "")
+        out, held = [], self.waiting.exists()
+        while True:
+            if held and self.waiting.containsKey((last + 1,)):  # what came first counts
+                line = self.waiting.getValue((last + 1,))[0]
+                self.waiting.removeKey((last + 1,))
+                fresh.pop(last + 1, None)
+            elif last + 1 in fresh:
+                line = fresh.pop(last + 1)
+            else:
+                break
             last += 1
-            data = held.pop(last).encode()
+            data = line.encode()
             h = hash_bytes(data, [powers(k, len(data)) for k in range(2)])
             f1, f2 = ((f + x * pow(b, n, MODULUS)) % MODULUS for f, x, b in zip((f1, f2), h, BASES, strict=True))
             n += len(data)
             out.append((key[0], last, n, f1, f2))
-        state.update((n, f1, f2, last, json.dumps(held)))
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "n_bytes", "fp1", "fp2"])
+        for turn, line in fresh.items():
+            if not (held and self.waiting.containsKey((turn,))):
+                self.waiting.updateValue((turn,), (line,))
+        self.now.update((n, f1, f2, last))
+        if out:
+            yield pd.DataFrame(out, columns=["conv_id", "turn", "n_bytes", "fp1", "fp2"])
 
-    return turns.groupBy("conv_id").applyInPandasWithState(run, "conv_id long, turn long, n_bytes long, fp1 long, fp2 long", "n long, f1 long, f2 long, last long, waiting string", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
-def edit_identity(edits: DataFrame, every: int) -> DataFrame:
-    """Stream of (doc_id, step, pos, ins, data): data comes with the first step. Emits the content's fingerprint after
-    each multiple of `every` steps. Steps wait until those before have come; repeated steps are dropped."""
+def context_fingerprint(turns: DataFrame) -> DataFrame:
+    """Stream of (conv_id, turn, line): after each turn the context's length and fingerprint, from state alone.
+
+    Turns of one batch are taken in turn order, from 0; a turn that was taken before is dropped, one that comes early waits
+    as an entry of its own.
+    """
+    return turns.groupBy("conv_id").transformWithStateInPandas(_ContextState(), "conv_id long, turn long, n_bytes long, fp1 long, fp2 long", "Append", "None")
+
+
+_BLOCK = 1 << 16
+
+
+class _HeldSource:
+    """Bytes in state, in blocks that carry the fingerprint of what goes before; only the blocks that edits cut are read."""
+
+    def __init__(self, blocks, number: int):
+        self.blocks, self.number, self.read = blocks, number, {}
+
+    @staticmethod
+    def store(blocks, number: int, data: bytes) -> "_HeldSource":
+        so_far = (0, 0, 0)
+        for k in range(0, max(len(data), 1), _BLOCK):
+            part = data[k : k + _BLOCK]
+            blocks.updateValue((number, k // _BLOCK), (part, so_far[1], so_far[2]))
+            so_far = join_fp(so_far, (len(part), *Source(part).upto(len(part))))
+        return _HeldSource(blocks, number)
 
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import pickle
+    def upto(self, at: int) -> tuple[int, ...]:
+        k = max(0, at - 1) // _BLOCK
+        if k not in self.read:
+            part, f1, f2 = self.blocks.getValue((self.number, k))
+            self.read[k] = Source(bytes(part)), (k * _BLOCK, f1, f2)
+        part, before = self.read[k]
+        return join_fp(before, (at - k * _BLOCK, *part.upto(at - k * _BLOCK)))[1:]
 
-        content, f1, f2, last, waiting = state.get if state.exists else (None, 0, 0, 0, None)
-        held = pickle.loads(waiting) if waiting else {}
-        for frame in frames:
-            for step, pos, ins, data in zip(frame["step"], frame["pos"], frame["ins"], frame["data"], strict=True):
+
+class _HeldPieces(PieceTable):
+    """A piece table whose sources stay in state; new ones are stored there."""
+
+    def __init__(self, blocks, pieces: list[tuple], n_sources: int):
+        self.blocks, self.n_sources, self.known = blocks, n_sources, {}
+        self.fingerprints, self.chunks, self.sizes, self.prints = True, [], [], []
+        self._put(0, [(self._source(s), s, a, b, (p1, p2), (q1, q2)) for s, a, b, p1, p2, q1, q2 in pieces])
+
+    def _source(self, number: int) -> _HeldSource:
+        return self.known.setdefault(number, _HeldSource(self.blocks, number))
+
+    def _whole(self, data: bytes) -> list[tuple]:
+        if not data:
+            return []
+        number, self.n_sources = self.n_sources, self.n_sources + 1
+        source = self.known[number] = _HeldSource.store(self.blocks, number, data)
+        return [(source, number, 0, len(data), (0, 0), source.upto(len(data)))]
+
+    def rows(self) -> list[tuple]:
+        return [(s, a, b, *before, *after) for chunk in self.chunks for _, s, a, b, before, after in chunk]
+
+
+class _EditState(StatefulProcessor):
+    """A document under edit: its pieces as a list, the bytes that they refer to as a map of blocks, and each edit that came
+    early as an entry of a map. No batch reads or writes the whole content."""
+
+    def __init__(self, every: int):
+        self.every = every
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "last long, sources long")
+        self.pieces = handle.getListState("pieces", "source long, a long, b long, p1 long, p2 long, q1 long, q2 long")
+        self.blocks = handle.getMapState("blocks", "source long, block long", "data binary, f1 long, f2 long")
+        self.waiting = handle.getMapState("waiting", "step long", "pos long, del_len long, ins binary, to long, data binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, sources = self.now.get() if self.now.exists() else (0, 0)
+        whole = lambda x: None if pd.isna(x) else int(x)
+        fresh: dict[int, tuple] = {}
+        for frame in rows:
+            for step, pos, cut, ins, to, data in frame[["step", "pos", "del_len", "ins", "to", "data"]].itertuples(index=False):
                 if step > last:
-                    held[int(step)] = (int(pos), bytes(ins), bytes(data) if data is not None else None)
-        out = []
-        while last + 1 in held:
+                    fresh.setdefault(int(step), (int(pos), int(cut), bytes(ins or b""), whole(to), None if data is None else bytes(data)))
+        held, table, out = self.waiting.exists(), None, []
+        while True:
+            if held and self.waiting.containsKey((last + 1,)):  # what came first counts
+                edit = tuple(self.waiting.getValue((last + 1,)))
+                self.waiting.removeKey((last + 1,))
+                fresh.pop(last + 1, None)
+            elif last + 1 in fresh:
+                edit = fresh.pop(last + 1)
+            else:
+                break
             last += 1
-            pos, ins, data = held.pop(last)
+            pos, cut, ins, to, data = edit
+            table = table or _HeldPieces(self.blocks, list(self.pieces.get()) if self.pieces.exists() else [], sources)
             if data is not None:
-                content = data
-                f1, f2 = hash_bytes(content, [powers(k, len(content)) for k in range(2)])
-            tables = [powers(k, len(ins)) for k in range(2)]
-            old, new = hash_bytes(content[pos : pos + len(ins)], tables), hash_bytes(ins, tables)
-            f1, f2 = ((f + (b - a) * pow(x, pos, MODULUS)) % MODULUS for f, a, b, x in zip((f1, f2), old, new, BASES, strict=True))
-            content = content[:pos] + ins + content[pos + len(ins) :]
-            if last % every == 0:
-                out.append((key[0], last, f1, f2))
-        state.update((content, f1, f2, last, pickle.dumps(held)))
-        yield pd.DataFrame(out, columns=["doc_id", "step", "fp1", "fp2"])
-
-    return edits.groupBy("doc_id").applyInPandasWithState(run, "doc_id long, step long, fp1 long, fp2 long", "content binary, f1 long, f2 long, last long, waiting binary", "append", GroupStateTimeout.NoTimeout)
-
-
-def energy_parts(samples: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Stream of (device, ts, watts) -> (device, ts, joules) of each interval, booked on its later sample. State holds
-    the last sample; samples behind it, or beyond the watermark, are dropped."""
-
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        micros, watts = state.get if state.exists else (None, None)
-        rows = pd.concat(list(frames)).sort_values("ts")
-        out = []
-        for ts, w in zip(rows["ts"], rows["watts"], strict=True):
-            at = ts.value // 1000
-            if micros is not None and at < micros:
-                continue
-            if micros is not None:
-                out.append((key[0], ts, (w + watts) / 2 * (at - micros) / 1e6))
-            micros, watts = at, float(w)
-        state.update((micros, watts))
-        yield pd.DataFrame(out, columns=["device", "ts", "joules"])
-
-    return samples.withWatermark("ts", late).groupBy("device").applyInPandasWithState(run, "device long, ts timestamp, joules double", "micros long, watts double", "append", GroupStateTimeout.NoTimeout)
+                table._put(0, table._whole(bytes(data)))
+            table.edit(pos, cut, bytes(ins), whole(to))
+            if last % self.every == 0:
+                out.append((key[0], last, *table.fingerprint()))
+        for step, edit in fresh.items():
+            if not (held and self.waiting.containsKey((step,))):
+                self.waiting.updateValue((step,), edit)
+        if table:
+            self.pieces.put(table.rows())
+            sources = table.n_sources
+        self.now.update((last, sources))
+        if out:
+            yield pd.DataFrame(out, columns=["doc_id", "step", "n", "fp1", "fp2"])
+
+    def close(self) -> None:
+        pass
+
+
+def edit_identity(edits: DataFrame, every: int) -> DataFrame:
+    """Stream of (doc_id, step, pos, del_len, ins, to, data): data, the document, comes with step 1. Emits (doc_id, step, n,
+    fp1, fp2), length and fingerprint of the content after each multiple of `every` steps.
+
+    Edits are those of the batch operator: inserts, deletes, moves of any length, an error outside of the content. Steps
+    wait until those before have come, each as an entry of its own; repeated steps are dropped.
+    """
+    return edits.groupBy("doc_id").transformWithStateInPandas(_EditState(every), "doc_id long, step long, n long, fp1 long, fp2 long", "Append", "None")
+
+
+class _EnergyState(StatefulProcessor):
+    """A device's samples since the watermark, and the last one before it. A timer clears them for devices that fall silent."""
+
+    def __init__(self, late_ms: int):
+        self.late = late_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.samples = handle.getMapState("samples", "micros long", "watts double")
+
+    def _known(self) -> dict[int, float]:
+        return {k[0]: v[0] for k, v in self.samples.iterator()} if self.samples.exists() else {}
+
+    def _clear(self, known: dict[int, float], watermark_ms: int) -> None:
+        """Samples before the watermark go, but for the last of them: later ones are booked from there."""
+        for at in sorted(k for k in known if k < watermark_ms * 1000)[:-1]:
+            self.samples.removeKey((at,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known, watermark = self._known(), timerValues.getCurrentWatermarkInMs()
+        times, out = sorted(known), []
+        for frame in rows:
+            for ts, watts in frame[["ts", "watts"]].sort_values("ts", kind="stable").itertuples(index=False):
+                at = ts.value // 1000
+                if at in known or at < watermark * 1000 or pd.isna(watts):
+                    continue
+                i = bisect.bisect(times, at)
+                span = lambda a, b: (known[a] + known[b]) / 2 * (b - a) / 1e6
+                before, after = times[i - 1] if i else None, times[i] if i < len(times) else None
+                known[at] = float(watts)
+                times.insert(i, at)
+                self.samples.updateValue((at,), (float(watts),))
+                if before is not None:
+                    out.append((key[0], ts, span(before, at)))
+                if after is not None:  # between two that are booked: what was booked for them is taken back
+                    out.append((key[0], pd.Timestamp(after * 1000), span(at, after) - (span(before, after) if before is not None else 0.0)))
+        self._clear(known, watermark)
+        if times:
+            self.handle.registerTimer(times[-1] // 1000 + self.late + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["device", "ts", "joules"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._clear(self._known(), timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def energy_parts(samples: DataFrame, late_seconds: int = 3600) -> DataFrame:
+    """Stream of (device, ts, watts) -> (device, ts, joules) of each interval, booked on its later sample.
+
+    Samples may come in any order within the watermark: one that falls between two others books its own interval and the
+    difference for theirs, so sums over (device, time) are those of the sorted samples. Samples that come more than
+    late_seconds behind the newest one of earlier batches are dropped, as are repeats of a device's timestamp and null watts.
+    """
+    stamped = samples.withWatermark("ts", f"{late_seconds} seconds")
+    return stamped.groupBy("device").transformWithStateInPandas(_EnergyState(late_seconds * 1000), "device long, ts timestamp, joules double", "Append", "EventTime")
+
+
+class _PrefixState(StatefulProcessor):
+    """A prefix: the smallest id of an entry that has it. Requests of a batch see what earlier batches have put in."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "id long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first, put, asked = self.first.get()[0] if self.first.exists() else None, [], []
+        for frame in rows:
+            put.extend(frame["put"].dropna().astype("int64").tolist())
+            if first is not None:
+                asked.extend(int(i) for ids in frame["asks"] for i in ids)
+        if asked:
+            yield pd.DataFrame({"doc_id": asked, "k": key[0], "cached_id": first})
+        if put and (first is None or min(put) < first):
+            self.first.update((min(put),))
+
+    def close(self) -> None:
+        pass
+
+
+def _prefix_keys(size: int):
+    """Batches of (doc_id, text, asks) -> one row for each prefix of full leaves among a batch's texts: (k, fp1, fp2), the
+    smallest id that puts it in, and the ids that ask for it. So what all texts share is a row for each batch, not each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = byte_values(batch.column("text"))
+            met: dict[tuple, list] = {}
+            for i, (doc, ask) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("asks").to_pylist(), strict=True)):
+                cuts = np.arange(at[i], at[i + 1] + 1, size)
+                leaves = hash_blocks(data, cuts) if len(cuts) > 1 else np.zeros((2, 0), np.int64)
+                lanes = [np.cumsum(leaves[k] * powers_at(k, cuts[:-1] - at[i]) % MODULUS) % MODULUS for k in range(2)]
+                for key in zip(range(len(cuts)), [0, *lanes[0].tolist()], [0, *lanes[1].tolist()], strict=True):
+                    one = met.setdefault(key, [None, []])
+                    if ask:
+                        one[1].append(doc)
+                    else:
+                        one[0] = doc if one[0] is None else min(one[0], doc)
+            columns = [[k[j] for k in met] for j in range(3)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array([v[0] for v in met.values()], pa.int64()), pa.array([v[1] for v in met.values()], pa.list_(pa.int64()))], names=["k", *LANES, "put", "asks"])
+
+    return run
+
+
+def growing_cache(rows: DataFrame, size: int = identity.LEAF) -> DataFrame:
+    """Stream of (doc_id, text, asks): a request if asks, else an entry for the cache. Requests get a row (doc_id, k,
+    cached_id) for each of their prefixes of k full leaves, from k = 0, that an entry of an earlier batch has, with the smallest
+    such id; see longest. Equal fingerprints (62 bits) count as equal prefixes. State: one value for each distinct prefix."""
+    keys = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "asks").mapInArrow(_prefix_keys(size), "k long, fp1 long, fp2 long, put long, asks array<long>")
+    return keys.groupBy("k", *LANES).transformWithStateInPandas(_PrefixState(), "doc_id long, k long, cached_id long", "Append", "None")
+
+
+def longest(found: DataFrame, size: int = identity.LEAF) -> DataFrame:
+    """A batch of growing_cache -> (doc_id, cached_id, lcp): the longest prefix of full leaves of each request."""
+    return found.groupBy("doc_id").agg(F.max_by("cached_id", "k").alias("cached_id"), (F.max("k") * size).alias("lcp"))
 
 
 def run_stats(runs: DataFrame, keys: list[str]) -> DataFrame:
