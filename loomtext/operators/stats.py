@@ -7,11 +7,14 @@ column expression, so partial aggregation does the work before any shuffle.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import join_checked, let, stage
+from ..functions.tables import join_checked, let, running_sum, stage
 
 # Two-sided 95 % Student t by degrees of freedom; 1.96 beyond 30.
 T_COARSE = {
@@ -57,6 +60,72 @@ def bootstrap_ci(runs: DataFrame, keys: list[str], value: str = "value", draws:
     return drawn.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.count(F.lit(1)).alias("draws")).select(*keys, F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"), "draws")
 
 
+def resampled_ranks(sizes: DataFrame, keys: list[str], draws: int, seed: int) -> DataFrame:
+    """sizes(keys, n) -> (keys, draw, n, lo, hi): the 0-based ranks, among a group's sorted values, of the two middle values of
+    each resample of n picks with replacement (the same one twice for odd n).
+
+    Picks are uniform numbers whose integer part of n u is the rank picked. The m-th smallest of n uniform numbers is
+    beta(m, n - m + 1), and the next one above it the least of n - m uniform numbers on what is left, so a draw takes two
+    random numbers and not n. Numbers are seeded by group and seed: reruns agree.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (n, h) in enumerate(zip(batch.column("n").to_pylist(), batch.column("_h").to_pylist(), strict=True)):
+                random, m = np.random.Generator(np.random.PCG64(h & (2**64 - 1))), (n + 1) // 2
+                low = random.beta(m, n - m + 1, draws)
+                high = low + (1 - low) * -np.expm1(np.log1p(-random.random(draws)) / max(n - m, 1)) if n % 2 == 0 else low
+                ranks = [np.minimum((x * n).astype(np.int64), n - 1) for x in (low, high)]
+                group = [c.take(pa.array(np.full(draws, i))) for c in batch.columns[: len(keys)]]
+                yield pa.RecordBatch.from_arrays([*group, pa.array(np.arange(1, draws + 1)), *map(pa.array, ranks)], names=[*keys, "draw", "lo", "hi"])
+
+    schema = ", ".join(f"`{k}` {sizes.schema[k].dataType.simpleString()}" for k in keys)
+    return sizes.select(*keys, "n", F.xxhash64(*keys, F.lit(seed)).alias("_h")).mapInArrow(run, f"{schema}, draw long, lo long, hi long")
+
+
+def bootstrap_median(runs: DataFrame, keys: list[str], value: str = "value", draws: int = 2000, seed: int = 7) -> DataFrame:
+    """(keys, n, median, lo, hi): the median and the 2.5 and 97.5 % points of the medians of `draws` resamples.
+
+    Values are counted first (equal ones are one row), ranked by running counts over range partitions, and each draw looks
+    up the values at two ranks; so no group's values meet in one row or task, and a group of any size costs `draws` look-ups
+    beside its sort. Nulls are left out; keys must not be null.
+    """
+    counts = runs.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    order = [*[F.col(k) for k in keys], F.col("_v")]
+    ranked = stage(running_sum(counts, order, F.col("_c"), "_upto"), "ranked-counts")
+    sizes = stage(ranked.groupBy(*keys).agg(F.sum("_c").alias("n"), (F.min(F.col("_upto") - F.col("_c"))).alias("_from")), "group-sizes")
+    picked = resampled_ranks(sizes, keys, draws, seed).join(sizes, keys)
+    asked = picked.select(*keys, "draw", F.explode(F.array("lo", "hi")).alias("_r"), "_from")
+    middle = sizes.select(*keys, F.lit(0).cast("long").alias("draw"), F.explode(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))).alias("_r"), "_from")
+    at = asked.unionByName(middle).select(*keys, "draw", (F.col("_from") + F.col("_r")).alias("_at"), F.lit(None).cast("double").alias("_v"))
+    # ranks and values in one order: each rank takes the first value whose running count is above it
+    both = at.unionByName(ranked.select(*keys, F.lit(None).cast("long").alias("draw"), (F.col("_upto") - 1).alias("_at"), "_v"))
+    return _middles(stage(_looked_up(both), "looked-up"), keys, sizes)
+
+
+def _looked_up(rows: DataFrame) -> DataFrame:
+    """Rows (_at, _v, ...) of which those without _v take that of the next row with one in order of _at: in range partitions,
+    each of which knows the first value of those behind it."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("_at").desc(), F.col("_v").isNull()]  # backwards: a frame that grows is linear
+    dealt = stage(rows.repartitionByRange(parts, F.col("_at"), F.col("_v").isNotNull()).withColumn("_p", F.spark_partition_id()), "ranges")
+    firsts = {r["_p"]: r["v"] for r in dealt.filter("_v is not null").groupBy("_p").agg(F.min_by("_v", "_at").alias("v")).collect()}  # one row for each partition
+    behind, after = {}, None
+    for p in range(max(firsts, default=-1), -2, -1):
+        behind[p] = after
+        after = firsts.get(p, after)
+    later = F.coalesce(*[F.when(F.col("_p") == p, F.lit(v)) for p, v in behind.items() if v is not None] or [F.lit(None).cast("double")])
+    w = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.withColumn("_v", F.coalesce(F.last("_v", ignorenulls=True).over(w), later)).filter("draw is not null").drop("_p", "_at")
+
+
+def _middles(rows: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
+    medians = rows.groupBy(*keys, "draw").agg(F.avg("_v").alias("m"))
+    points = F.percentile(F.when(F.col("draw") > 0, F.col("m")), F.array(F.lit(0.025), F.lit(0.975)))
+    out = medians.groupBy(*keys).agg(F.max(F.when(F.col("draw") == 0, F.col("m"))).alias("median"), points.alias("p"))
+    return out.join(sizes.select(*keys, "n"), keys).select(*keys, "n", "median", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+
+
 def t_value(df: Column, table: dict[int, float]) -> Column:
     """The table's t at the nearest lower degrees of freedom: an as-of lookup in a constant array."""
     rows = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(t).alias("t")) for d, t in table.items()])

@@ -5,26 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import stage
+from ..functions.tables import discard, stage
+
+
+def tree_ids(nodes: DataFrame) -> DataFrame:
+    """(tree, id, ids): the ids from the root to every node, staged; by pointer doubling, so a chain of n nodes takes about
+    log2(n) rounds of one join each, whatever the shape. No texts travel. Nodes whose chain of parents ends at an id that is
+    not there are left out; a cycle is an error. (tree, id) must be unique.
+    """
+    now = stage(nodes.select("tree", "id", F.col("parent").cast(nodes.schema["id"].dataType).alias("up"), F.array("id").alias("ids")), "tree-reach")
+    most = 2 + now.count().bit_length()
+    for _ in range(most):
+        if not now.filter("up is not null").limit(1).count():
+            return now.select("tree", "id", "ids")
+        # each row takes over what its topmost ancestor has reached: twice as many as before
+        above = now.select("tree", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("ids").alias("_ids"))
+        on = now.filter("up is not null").join(above, ["tree", "up"]).select("tree", "id", F.col("_up").alias("up"), F.concat("_ids", "ids").alias("ids"))
+        before, now = now, stage(now.filter("up is null").unionByName(on), "tree-reach")
+        discard(before)
+    raise ValueError("the parents of some nodes form a cycle")
 
 
 def tree_path(nodes: DataFrame, step: str = "step") -> DataFrame:
     """(tree, id, depth, path, ids): concatenated steps and the ids from the root, for every node.
 
-    One join for each level, on (tree, parent); each level is written before the next, so lineage stays short and only
-    the frontier takes part.
+    Ids first (see tree_ids); then each node's steps are looked up once, by the ids on its path, and joined in order.
     """
-    n = nodes.select("tree", "id", "parent", F.col(step).alias("_s"))
-    level = stage(n.filter("parent is null").select("tree", "id", F.lit(0).alias("depth"), F.col("_s").alias("path"), F.array("id").alias("ids")), "tree-level")
-    done = [level]
-    while level.limit(1).count():
-        up = level.select("tree", F.col("id").alias("parent"), (F.col("depth") + 1).alias("depth"), F.col("path").alias("_p"), F.col("ids").alias("_i"))
-        level = stage(n.join(up, ["tree", "parent"]).select("tree", "id", "depth", F.concat("_p", "_s").alias("path"), F.concat("_i", F.array("id")).alias("ids")), "tree-level")
-        done.append(level)
-    out = done[0]
-    for d in done[1:]:
-        out = out.union(d)
-    return out
+    ids = tree_ids(nodes)
+    texts = nodes.select("tree", F.col("id").alias("_at"), F.col(step).alias("_s"))
+    each = ids.select("tree", "id", F.posexplode("ids").alias("_pos", "_at")).join(texts, ["tree", "_at"])
+    parts = F.array_sort(F.collect_list(F.struct("_pos", "_s")))
+    joined = F.concat(F.array_join(F.transform(parts, lambda x: x["_s"]), ""), F.when(F.bool_or(F.col("_s").isNull()), F.lit(None)).otherwise(F.lit("")))  # a null step makes a null path
+    paths = each.groupBy("tree", "id").agg(joined.alias("path"))
+    return ids.join(paths, ["tree", "id"]).select("tree", "id", (F.size("ids") - 1).alias("depth"), "path", "ids")
 
 
 def tree_context(paths: DataFrame, prefix: Column) -> DataFrame:
@@ -66,7 +79,8 @@ def solution_path(nodes: DataFrame, paths: DataFrame, solved: str = "is_solution
 
 
 def tree_distinct(nodes: DataFrame, group: str, content: list[str]) -> DataFrame:
-    """Trees and distinct signatures of each group; a signature digests all nodes in id order."""
-    sig = F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("id", *content)))), 256)
-    trees = nodes.groupBy(group, "tree").agg(sig.alias("sig"))
+    """Trees and distinct signatures of each group; a signature digests the digests of all nodes in id order, so no texts meet."""
+    node = F.sha2(F.to_json(F.struct(*content)), 256)
+    sig = F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("id", "_d")))), 256)
+    trees = nodes.select(group, "tree", "id", node.alias("_d")).groupBy(group, "tree").agg(sig.alias("sig"))
     return trees.groupBy(group).agg(F.count(F.lit(1)).alias("n_trees"), F.countDistinct("sig").alias("n_distinct"))

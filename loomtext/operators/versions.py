@@ -7,13 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fingerprint import BASES, LANES, MODULUS, geometric, power
+from ..functions.fingerprint import BASES, LANES, MODULUS, geometric, leaf_hash, power
 from ..functions.tables import let, scan, stage
 from .edits import edit_apply, edit_identity, edit_pieces, snapshot_at
+from .trees import tree_ids
 
 __all__ = [
-    "append_delta", "block_table", "branch_fingerprint", "branch_refs", "compression_ratio", "copy_vs_share", "edit_apply", "edit_identity", "edit_pieces", "first_leaf_change", "materialize", "new_blocks", "run_encode",
-    "run_expand", "run_fingerprint", "sharing_stats", "snapshot_at", "tail_block", "token_blocks",
+    "BLOCK", "append_delta", "block_table", "branch_content", "branch_fingerprint", "branch_refs", "compression_ratio", "copy_vs_share", "edit_apply", "edit_identity", "edit_pieces", "first_leaf_change",
+    "materialize", "named_blocks", "new_blocks", "run_encode", "run_expand", "run_fingerprint", "sharing_stats", "snapshot_at", "tail_block", "token_blocks",
 ]
 
 
@@ -23,17 +24,52 @@ def materialize(leaves: DataFrame, keys: tuple[str, ...] = ("doc_id",), leaf: st
     return leaves.groupBy(*keys).agg(parts.alias("p")).select(*keys, F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("data"))
 
 
+#: What names a block: its fingerprint and length. Two blocks of one name with different bytes are an error (see named_blocks).
+BLOCK = ["fp1", "fp2", "n"]
+
+
+def named_blocks(leaves: DataFrame, owner: str) -> DataFrame:
+    """leaves(owner, ord, leaf, n) -> (owner, at, fp1, fp2, n): blocks by content id, without their bytes; staged. Bytes are
+    checked here, once for each name: all blocks that share it must agree in two other hashes of their bytes."""
+    hashed = leaves.withColumn("_h", leaf_hash(F.col("leaf"))).select(owner, F.col("ord").alias("at"), *[F.col(f"_h.{x}").alias(x) for x in LANES], F.col("n").cast("long").alias("n"), F.xxhash64("leaf").alias("g1"), F.hash("leaf").alias("g2"))
+    hashed = stage(hashed, "blocks")
+    clash = hashed.groupBy(*BLOCK).agg((F.min("g1") != F.max("g1")).alias("c1"), (F.min("g2") != F.max("g2")).alias("c2")).filter("c1 or c2")
+    if clash.limit(1).count():
+        raise ValueError("two different blocks have one fingerprint")
+    return hashed.drop("g1", "g2")
+
+
 def branch_refs(branches: DataFrame, base_leaves: DataFrame) -> DataFrame:
-    """For branches(branch_id, base_id, step binary): leaf references (branch_id, base_id, ord, kind, leaf, n).
+    """For branches(branch_id, base_id, step binary[, parent_branch]): (branch_id, base_id, ord, kind, owner, at, fp1, fp2, n).
 
-    The base's leaves appear by reference, the step is one more leaf after the last.
+    A branch is the leaves of its base and then one leaf for each step from its first ancestor's to its own, all by
+    reference: owner and at name the base's leaf or the branch whose step it is. No bytes are copied, so a fork costs a row
+    for each leaf it refers to, however long the leaf is. With parent_branch (null: a fork of the base itself) a branch
+    forks another one, which may be a fork in turn; base_id is then that of the first.
     """
-    ends = base_leaves.groupBy(F.col("doc_id").alias("base_id")).agg((F.max("ord") + 1).alias("ord"))
-    shared = branches.select("branch_id", "base_id").join(base_leaves.withColumnRenamed("doc_id", "base_id"), "base_id").select("branch_id", "base_id", "ord", F.lit("base").alias("kind"), "leaf", "n")
-    own = branches.join(ends, "base_id").select("branch_id", "base_id", "ord", F.lit("step").alias("kind"), F.col("step").alias("leaf"), F.octet_length("step").alias("n"))
+    base = named_blocks(base_leaves.select(F.col("doc_id").alias("owner"), "ord", "leaf", "n"), "owner")
+    steps = named_blocks(branches.select(F.col("branch_id").alias("owner"), F.lit(0).alias("ord"), F.col("step").alias("leaf"), F.octet_length("step").alias("n")), "owner")
+    if "parent_branch" in branches.columns:
+        chains = tree_ids(branches.select(F.lit(0).alias("tree"), F.col("branch_id").alias("id"), F.col("parent_branch").alias("parent"))).select(F.col("id").alias("branch_id"), "ids")
+    else:
+        chains = branches.select("branch_id", F.array("branch_id").alias("ids"))
+    first = branches.select(F.col("branch_id").alias("_first"), "base_id")
+    chains = stage(chains.withColumn("_first", F.get("ids", F.lit(0))).join(first, "_first").select("branch_id", "base_id", "ids"), "branch-chains")
+    shared = chains.select("branch_id", "base_id").join(base.withColumnRenamed("owner", "base_id"), "base_id")
+    shared = shared.select("branch_id", "base_id", F.col("at").alias("ord"), F.lit("base").alias("kind"), F.col("base_id").alias("owner"), "at", *BLOCK)
+    ends = base.groupBy(F.col("owner").alias("base_id")).agg((F.max("at") + 1).alias("_n"))
+    own = chains.join(ends, "base_id", "left").select("branch_id", "base_id", F.coalesce("_n", F.lit(0)).alias("_n"), F.posexplode("ids").alias("_i", "owner")).join(steps, "owner")
+    own = own.select("branch_id", "base_id", (F.col("_n") + F.col("_i")).cast(shared.schema["ord"].dataType).alias("ord"), F.lit("step").alias("kind"), "owner", "at", *BLOCK)
     return shared.unionByName(own)
 
 
+def branch_content(refs: DataFrame, branches: DataFrame, base_leaves: DataFrame, keys: tuple[str, ...] = ("branch_id",)) -> DataFrame:
+    """(keys, data): the bytes of branches, on request; each reference is looked up where it points."""
+    base = base_leaves.select(F.lit("base").alias("kind"), F.col("doc_id").alias("owner"), F.col("ord").alias("at"), "leaf")
+    steps = branches.select(F.lit("step").alias("kind"), F.col("branch_id").alias("owner"), F.lit(0).alias("at"), F.col("step").alias("leaf"))
+    return materialize(refs.select(*keys, "ord", "kind", "owner", "at").join(base.unionByName(steps), ["kind", "owner", "at"]), keys)
+
+
 def branch_fingerprint(branches: DataFrame, base_fp: DataFrame, step_fp: DataFrame) -> DataFrame:
     """(branch_id, n, fp1, fp2) from the two fingerprints alone: H(AB) = H(A) + x^|A| H(B)."""
     a = base_fp.select(F.col("doc_id").alias("base_id"), F.col("n").alias("na"), *[F.col(x).alias(f"a_{x}") for x in LANES])
@@ -43,22 +79,22 @@ def branch_fingerprint(branches: DataFrame, base_fp: DataFrame, step_fp: DataFra
     return both.select("branch_id", (F.col("na") + F.col("nb")).cast("long").alias("n"), *fps)
 
 
-def sharing_stats(refs: DataFrame, keys: list[str], content: str = "leaf") -> DataFrame:
+def sharing_stats(refs: DataFrame, keys: list[str], content: list[str] = BLOCK) -> DataFrame:
     """References, distinct blocks by content, distinct by kind, and their ratio. Blocks are reduced by content first."""
-    blocks = refs.groupBy(*keys, content).agg(F.count(F.lit(1)).alias("c"), F.max((F.col("kind") == "base").cast("int")).alias("base"))
+    blocks = refs.groupBy(*keys, *content).agg(F.count(F.lit(1)).alias("c"), F.max((F.col("kind") == "base").cast("int")).alias("base"))
     out = blocks.groupBy(*keys).agg(F.sum("c").alias("n_refs"), F.count(F.lit(1)).alias("n_blocks"), F.sum("base").cast("long").alias("n_base"))
     return out.withColumns({"n_step": F.col("n_blocks") - F.col("n_base"), "sharing_ratio": F.col("n_refs") / F.col("n_blocks")})
 
 
-def copy_vs_share(refs: DataFrame, keys: list[str], content: str = "leaf") -> DataFrame:
+def copy_vs_share(refs: DataFrame, keys: list[str]) -> DataFrame:
     """Logical bytes if every branch copies its leaves, and if equal leaves are stored once."""
-    blocks = refs.groupBy(*keys, content).agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    blocks = refs.groupBy(*keys, *BLOCK).agg(F.count(F.lit(1)).alias("c"))
     return blocks.groupBy(*keys).agg(F.sum(F.col("c") * F.col("n")).alias("copied_bytes"), F.sum("n").cast("long").alias("shared_bytes"))
 
 
-def new_blocks(child: DataFrame, parent: DataFrame, keys: list[str], content: str = "leaf") -> DataFrame:
+def new_blocks(child: DataFrame, parent: DataFrame, keys: list[str], content: list[str] = BLOCK) -> DataFrame:
     """(keys, n_new): distinct blocks of the child that the parent lacks; 0 where there are none."""
-    fresh = child.select(*keys, content).distinct().join(parent.select(*keys, content).distinct(), [*keys, content], "left_anti").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_new"))
+    fresh = child.select(*keys, *content).distinct().join(parent.select(*keys, *content).distinct(), [*keys, *content], "left_anti").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_new"))
     return child.select(*keys).distinct().join(fresh, keys, "left").withColumn("n_new", F.coalesce("n_new", F.lit(0)))
 
 

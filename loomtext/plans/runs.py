@@ -65,6 +65,12 @@ def _(spark, sf):
     return stats.bootstrap_ci(runs(spark, sf), ["arm", "n"], draws=2000)
 
 
+@query("bootstrap_median")
+def _(spark, sf):
+    """Medians of prices with resampled bounds: groups of any size, no array of their values."""
+    return stats.bootstrap_median(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice")
+
+
 @query("t_interval", f"{_WITH}, s AS (SELECT arm, n, count(*) AS k, avg(value) AS mean, stddev_samp(value) AS sd FROM runs GROUP BY arm, n), h AS (SELECT *, CASE WHEN k > 1 THEN {_T(stats.T_COARSE)} * sd / sqrt(k) ELSE 0 END AS half FROM s) SELECT arm, n, mean, half, mean - half AS lo, mean + half AS hi FROM h")
 def _(spark, sf):
     return stats.t_interval(runs(spark, sf), ["arm", "n"])

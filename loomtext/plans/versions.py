@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import BASES, MODULUS
+from ..functions.tables import stage
 from ..operators import identity, leaves, trees, versions
 from ..operators.text import parse_value
 from .content import _CUTS, _LEAF_TOKENS, _TOKENS, LB, _pow, docs
@@ -40,12 +41,12 @@ def _(spark, sf):
 
 @query("branch_create", f"WITH {_BRANCH} SELECT branch_id, md5(unhex(base || step)) AS digest FROM br")
 def _(spark, sf):
-    return versions.materialize(refs(spark, sf), ("branch_id",)).select("branch_id", F.md5("data").alias("digest"))
+    return versions.branch_content(refs(spark, sf), branches(spark, sf), base_leaves(spark, sf)).select("branch_id", F.md5("data").alias("digest"))
 
 
 @query("branch_many", f"WITH {_BRANCH} SELECT base_id, branch_id, length(base || step) // 2 AS n_bytes, md5(unhex(base || step)) AS digest FROM br")
 def _(spark, sf):
-    return versions.materialize(refs(spark, sf), ("base_id", "branch_id")).select("base_id", "branch_id", F.octet_length("data").alias("n_bytes"), F.md5("data").alias("digest"))
+    return versions.branch_content(refs(spark, sf), branches(spark, sf), base_leaves(spark, sf), ("base_id", "branch_id")).select("base_id", "branch_id", F.octet_length("data").alias("n_bytes"), F.md5("data").alias("digest"))
 
 
 def _bytes_of(table_: str, key: str, hex_: str) -> str:
@@ -76,6 +77,30 @@ def _(spark, sf):
     return versions.new_blocks(r, r.filter("kind = 'base'"), ["branch_id"])
 
 
+_FORKS = "fk AS (SELECT d.doc_id AS branch_id, b.doc_id AS base_id, d.doc_id % 10 AS depth, hex(encode(coalesce(b.text, ''))) || string_agg(hex(encode(coalesce(d.text, ''))), '') OVER (PARTITION BY b.doc_id ORDER BY d.doc_id) AS h FROM documents d JOIN documents b ON b.doc_id = d.doc_id - d.doc_id % 10 WHERE d.doc_id % 10 > 0)"
+
+
+def forks(spark, sf):
+    """Nine generations of each base: each document forks the one before it, and the first of them the base."""
+    br = branches(spark, sf)
+    return br.withColumn("parent_branch", F.when(F.col("branch_id") % 10 > 1, F.col("branch_id") - 1))
+
+
+@query("fork_chains", f"WITH {_FORKS} SELECT base_id, branch_id, length(h) // 2 AS n_bytes, md5(unhex(h)) AS digest FROM fk")
+def _(spark, sf):
+    """Forks of forks: content is that of all generations before."""
+    f, base = forks(spark, sf), base_leaves(spark, sf)
+    whole = versions.branch_content(versions.branch_refs(f, base), f, base, ("base_id", "branch_id"))
+    return whole.select("base_id", "branch_id", F.octet_length("data").alias("n_bytes"), F.md5("data").alias("digest"))
+
+
+@query("fork_sharing", f"WITH st AS (SELECT doc_id - doc_id % 10 AS base_id, doc_id % 10 AS g, coalesce(text, '') AS t FROM documents), l AS (SELECT base_id, 9 AS c, substr(hex(encode(t)), o * {2 * LB} + 1, {2 * LB}) AS leaf FROM st, unnest(range((strlen(t) + {LB - 1}) // {LB})) u(o) WHERE g = 0 UNION ALL SELECT base_id, 10 - g, hex(encode(t)) FROM st WHERE g > 0), u AS (SELECT base_id, leaf, sum(c) AS c FROM l GROUP BY base_id, leaf) SELECT base_id, sum(c)::BIGINT AS n_refs, count(*) AS n_blocks, sum(c * (length(leaf) // 2))::BIGINT AS copied_bytes, sum(length(leaf) // 2)::BIGINT AS shared_bytes FROM u GROUP BY base_id")
+def _(spark, sf):
+    """Blocks of nine generations of forks: stored once, against copied into each."""
+    r = stage(versions.branch_refs(forks(spark, sf), base_leaves(spark, sf)), "fork-refs")
+    return versions.sharing_stats(r, ["base_id"]).select("base_id", "n_refs", "n_blocks").join(versions.copy_vs_share(r, ["base_id"]), "base_id")
+
+
 _BLOCKS = f"WITH t AS (SELECT doc_id, source, {_TOKENS} AS ts, unnest([8, 16, 32, 64]) AS block_size FROM documents), k AS (SELECT source, block_size, o, md5(array_to_string(ts[1:(o + 1) * block_size], chr(1))) AS key FROM t, unnest(range((len(ts) + block_size - 1) // block_size)) u(o)), bt AS (SELECT source, block_size, count(*) AS table_entries, count(DISTINCT (o, key)) AS live_blocks FROM k GROUP BY source, block_size)"
 
 
@@ -168,7 +193,7 @@ def _(spark, sf):
     """Blocks that edits create, against the document's size."""
     d, e = edit_tables(spark, sf)
     after = versions.edit_apply(d, e)
-    cutting = lambda x: x.select("doc_id", F.inline(leaves.cut(F.col("data"), LB)))
+    cutting = lambda x: versions.named_blocks(x.select("doc_id", F.inline(leaves.cut(F.col("data"), LB))), "doc_id")
     rows = versions.new_blocks(cutting(after), cutting(d), ["doc_id"]).join(d.select("doc_id", F.octet_length("data").alias("n")), "doc_id")
     return rows.groupBy((F.col("doc_id") % 10).alias("part")).agg(F.sum("n_new").alias("new_blocks"), F.regr_slope(F.col("n_new").cast("double"), F.log2(F.col("n").cast("double"))).alias("slope"))
 
@@ -253,6 +278,11 @@ def paths(spark, sf):
     return trees.tree_path(nodes(spark, sf))
 
 
+def reached(spark, sf):
+    """(tree, id, ids, depth): paths without their texts."""
+    return trees.tree_ids(nodes(spark, sf)).withColumn("depth", F.size("ids") - 1)
+
+
 @query("tree_path", f"WITH RECURSIVE {_NODES} SELECT * FROM pt")
 def _(spark, sf):
     return paths(spark, sf)
@@ -265,7 +295,7 @@ def _(spark, sf):
 
 @query("tree_expansions", f"WITH RECURSIVE {_NODES}, c AS (SELECT tree, depth, count(*) AS c FROM pt GROUP BY tree, depth) SELECT tree, (sum(c) - 1)::BIGINT AS expansions, list(c ORDER BY depth) AS by_depth FROM c GROUP BY tree")
 def _(spark, sf):
-    return trees.tree_expansions(paths(spark, sf))
+    return trees.tree_expansions(reached(spark, sf))
 
 
 @query("tree_depths", f"WITH RECURSIVE {_NODES} SELECT depth, count(*) AS n_nodes, count(DISTINCT tree) AS n_trees, avg(strlen(path)) AS mean_bytes FROM pt GROUP BY depth")
@@ -277,7 +307,7 @@ _BEAM = f"{_NODES}, bm AS (SELECT *, row_number() OVER (PARTITION BY tree, depth
 
 
 def beams(spark, sf):
-    c = nodes(spark, sf).join(paths(spark, sf).select("tree", "id", "depth"), ["tree", "id"]).filter("not is_solution")
+    c = nodes(spark, sf).join(reached(spark, sf).select("tree", "id", "depth"), ["tree", "id"]).filter("not is_solution")
     return trees.beam_select(c)
 
 
@@ -296,7 +326,7 @@ def _(spark, sf):
 @query("beam_sharing", f"WITH RECURSIVE {_BEAM}, fin AS (SELECT tree, id FROM bm WHERE depth = (SELECT max(depth) FROM bm b WHERE b.tree = bm.tree)), r AS (SELECT tree, unnest(ids) AS block FROM fin JOIN pt USING (tree, id)) SELECT tree, count(*) AS n_refs, count(DISTINCT block) AS n_blocks FROM r GROUP BY tree")
 def _(spark, sf):
     """Blocks (steps) that a final beam's members share, against their sum."""
-    p = paths(spark, sf)
+    p = reached(spark, sf)
     recorded = beams(spark, sf)
     deepest = recorded.groupBy("tree").agg(F.max("depth").alias("depth"))
     final = recorded.join(deepest, ["tree", "depth"]).select("tree", "id")
@@ -312,7 +342,7 @@ def _(spark, sf):
 
 @query("solution_path", f"WITH RECURSIVE {_NODES}, s AS (SELECT tree, min(id) FILTER (is_solution) AS id FROM nd GROUP BY tree) SELECT s.tree, s.id IS NOT NULL AS solved, ids FROM s LEFT JOIN pt ON pt.tree = s.tree AND pt.id = s.id")
 def _(spark, sf):
-    return trees.solution_path(nodes(spark, sf), paths(spark, sf))
+    return trees.solution_path(nodes(spark, sf), reached(spark, sf))
 
 
 @query("tree_distinct", f"WITH RECURSIVE {_NODES}, g AS (SELECT tree, md5(string_agg(id || '|' || step, chr(1) ORDER BY id)) AS s FROM nd GROUP BY tree) SELECT tree // 3 AS rank, count(*) AS n_trees, count(DISTINCT s) AS n_distinct FROM g GROUP BY 1")
