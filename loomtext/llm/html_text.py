@@ -22,7 +22,7 @@ import html as _html
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,7 +50,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("br hr img input meta link area base col embed param source track wbr".split())
-_BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset head".split())
+_BAD_TAGS = frozenset("nav footer aside menu dialog fieldset head".split())
 _GOOD_TAGS = frozenset("article main".split())
 _BAD_NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar sidebars rail menu menus nav navbar navigation breadcrumb breadcrumbs
@@ -58,6 +58,8 @@ _BAD_NAMES = frozenset(
     share sharing social related recommended recommendations newsletter subscribe subscription signup login widget widgets toolbar pagination pager copyright disclaimer form search tagcloud
     navigation contentinfo complementary""".split()
 )
+#: The label of forms: boilerplate for sure, unless the page's text stands in them.
+_FORM = 3
 #: Of those, the ones whose elements often hold articles that are not the page's text.
 _REPLY_NAMES = frozenset("comment comments commentlist disqus reply replies respond discussion reader-comments related recommended recommendations".split())
 _ABOUT = frozenset("has with without no".split())
@@ -72,6 +74,7 @@ class Rules:
     min_stop_density = 0.12
     article_min_stop_density = 0.04
     most_taken_by_names = 0.5  # share of an article's characters
+    least_words = 20  # to tell that a page's language is none of the lists'
 
 
 def _named(token: str, region: int) -> int:
@@ -170,7 +173,7 @@ def blocks(page: str) -> list[tuple[str, float, int, int]]:
         return len(names) - 1
 
     def taken_back(at: int) -> bool:
-        """Take back the labels by name around an article, if it is the page's text."""
+        """Take back the labels by name, and those of forms, around an article, if it is the page's text."""
         around = []
         while at:
             around.append(at)
@@ -252,7 +255,9 @@ def blocks(page: str) -> list[tuple[str, float, int, int]]:
         if tag == "a":
             in_link = 0 if end else 1
             continue
-        if tag in _INLINE and tag != "img":
+        if tag == "img":  # stands in the line
+            continue
+        if tag in _INLINE:
             sure, at, region = stack[-1][1:] if stack else (False, 0, 0)
             if not end and attributes and any(found := _attributes(attributes, region)) and not closed:
                 close()
@@ -279,7 +284,9 @@ def blocks(page: str) -> list[tuple[str, float, int, int]]:
         if tag in _GOOD_TAGS and not region and not sure and taken_back(at):
             regions += 1
             region = regions
-        if tag in _BAD_TAGS or (tag == "header" and not region):
+        if tag == "form":  # some pages stand in one as a whole
+            at = label(_FORM, at)
+        elif tag in _BAD_TAGS or (tag == "header" and not region):
             sure = True
         elif attributes and tag not in ("html", "body"):
             named, role, hidden = _attributes(attributes, region)
@@ -288,6 +295,15 @@ def blocks(page: str) -> list[tuple[str, float, int, int]]:
             at = at if text else label(named, at)
         stack.put(tag, sure, at, region)
     close()
+    size, held = 0, Counter()
+    for text, share, sure, at, _ in out:
+        if not sure and share <= Rules.max_link_density:
+            size += len(text)
+            while at:
+                held[at] += len(text)
+                at = above[at]
+    for i in [i for i, n in held.items() if names[i] == _FORM and 2 * n > size and n >= Rules.long]:
+        names[i] = 0  # more than half of the page's text: a form around the page
     marked = [0] * len(names)
     for i in range(1, len(names)):
         marked[i] = max(names[i], marked[above[i]])
@@ -299,7 +315,7 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def _overruled(found: list[tuple[str, float, int, int]]) -> set[int]:
+def _overruled(found: list[tuple[str, float, int, int]], density: Callable[[str], float]) -> set[int]:
     """Regions whose names of boilerplate are those of a layout."""
     out, whole, taken, replies = set(), Counter(), Counter(), Counter()
     for text, share, bad, region in found:
@@ -310,23 +326,31 @@ def _overruled(found: list[tuple[str, float, int, int]]) -> set[int]:
     for region in whole:
         if region and taken[region] > Rules.most_taken_by_names * (whole[region] - replies[region]):
             out.add(region)
-    good = lambda text, share: len(text) >= Rules.long and share <= Rules.max_link_density and stop_density(text) >= Rules.min_stop_density
+    good = lambda text, share: len(text) >= Rules.long and share <= Rules.max_link_density and density(text) >= Rules.min_stop_density
     if set(whole) == {0} and not any(bad == 0 and good(text, share) for text, share, bad, _ in found):
         out.add(0)
     return out
 
 
+def _unknown_language(found: list[tuple[str, float, int, int]]) -> bool:
+    """Are hardly any words of the page's unlinked long blocks stop words of the list? Then length and links alone decide."""
+    words = [w for text, share, bad, _ in found if bad != 3 and len(text) >= Rules.short and share <= Rules.max_link_density for w in _WORD.findall(text.lower())]
+    return len(words) >= Rules.least_words and sum(w in STOP_WORDS for w in words) < Rules.article_min_stop_density * len(words)
+
+
 def _first_pass(found: list[tuple[str, float, int, int]]) -> list[bool | None]:
     """Good, bad or undecided, for each block alone."""
-    layout, labels = _overruled(found), []
+    unknown = _unknown_language(found)
+    density = lambda text: 1.0 if unknown else stop_density(text)
+    layout, labels = _overruled(found, density), []
     for text, link_share, bad, region in found:
         if (bad and not (bad == 1 and region in layout)) or link_share > Rules.max_link_density:
             labels.append(False)
         elif len(text) < Rules.short:
             labels.append(None)
         elif region:
-            labels.append(True if stop_density(text) >= Rules.article_min_stop_density else None)
-        elif stop_density(text) >= Rules.min_stop_density:
+            labels.append(True if density(text) >= Rules.article_min_stop_density else None)
+        elif density(text) >= Rules.min_stop_density:
             labels.append(True if len(text) >= Rules.long else None)
         else:
             labels.append(False)

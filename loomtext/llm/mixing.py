@@ -17,7 +17,7 @@ harm. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold_key, global_rank, join_checked, let, n_words, of_row, rows_of, stage, unpacked
@@ -84,12 +84,34 @@ def _fold(items: Column, done_type: str, seed: int) -> Column:
     return F.aggregate(F.slice(items, 2, F.greatest(F.size(items), F.lit(1))), zero, pair)
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """sizes(_k, _kn, key, u, size, _part) with u made different for rows that are equal in it, by their number among them.
+
+    Equal rows are numbered within the task that wrote them and then across tasks, so a name that a third of all rows have
+    is many tasks; names that stand alone keep u. Which of equal rows has which number does not matter.
+    """
+    name = ["_k", "_kn", "u"]
+    several = stage(sizes.groupBy(*name).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*name, F.lit(True).alias("_equal")), "equal-names")
+    if not several.limit(1).count():
+        return sizes.drop("_part")
+    marked = join_checked(sizes, several, name, "left")
+    counts = marked.filter("_equal").groupBy(*name, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    along = Window.partitionBy(*name).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    before = stage(counts.select(*name, "_part", F.coalesce(F.sum("_c").over(along), F.lit(0)).alias("_before")), "equal-before")
+    inside = F.row_number().over(Window.partitionBy(*name, "_part").orderBy("size"))
+    equal = join_checked(marked.filter("_equal").withColumn("_i", inside), before, [*name, "_part"])
+    nth = F.col("_i") - 1 + F.col("_before")
+    equal = equal.withColumn("u", F.when(nth > 0, F.xxhash64("u", nth)).otherwise(F.col("u")))
+    return stage(equal.select(*sizes.columns).unionByName(marked.filter("_equal is null").select(*sizes.columns)).drop("_part"), "numbered")
+
+
 def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, block: int = 64) -> DataFrame:
     """For rows(key, name, source, size): key, _k and _kn (the source), size, source_size, target, copies.
 
-    `key` is carried along. `name` seeds a row's random numbers; rows of one name and size are interchangeable.
+    `key` is carried along. `name` seeds a row's random numbers; rows of one name and size are interchangeable, and are dealt
+    over blocks like others.
     """
-    sizes = stage(fold_key(rows, "source").select("_k", "_kn", "key", F.xxhash64("name").alias("u"), "size"), "sizes")
+    sizes = _numbered(stage(fold_key(rows, "source").select("_k", "_kn", "key", F.xxhash64("name").alias("u"), "size", F.spark_partition_id().alias("_part")), "sizes"))
     sources = stage(source_targets(sizes, weights, share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     every = join_checked(sizes, sources, ["_k", "_kn"]).withColumns({"_whole": F.floor(rate).cast("int"), "_p": rate - F.floor(rate)})

@@ -248,3 +248,47 @@ def test_runs_of_texts(spark):
 def test_parameters_of_runs(spark):
     with pytest.raises(ValueError, match="exponent"):
         periodic_runs.find_runs(spark.createDataFrame([], DOCS), exponent=2)
+
+
+# --- pages and mixes that went wrong before ---
+
+LONG = "This is the text of the article and it has many words that are in the list of the stop words so that it is good. " * 3
+RUSSIAN = "Это основной текст статьи, который написан на русском языке и содержит достаточно много слов для проверки работы правил извлечения. " * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body><form id=aspnetForm><nav>menu of the site and more</nav><main><article><p>{t}</p></article></main></form></body>", [LONG]),
+        ("<body><form id=f><div><p>{t}</p><p>{t}</p></div><input></form></body>", [LONG, LONG]),
+        ("<body><article><p>{t}</p><p>{t}</p><form><p>Leave your name and the mail of your friend to be told of the news of this site.</p></form></article></body>", [LONG, LONG]),
+        ("<body><form action=/search><p>Search for a word in all of the pages of this site</p></form><div><p>{t}</p></div></body>", [LONG]),
+        ("<body><div><a href=x>Главная</a> <a href=y>Новости</a></div><div><p>{r}</p><p>{r}</p></div><footer>Права защищены</footer></body>", [RUSSIAN, RUSSIAN]),
+        ("<article><p>one two <img src=a>\n three {t}</p></article>", ["one two three " + LONG]),
+    ],
+)
+def test_pages_of_other_kinds(page, want):
+    """A form around the page, forms in and beside it, a language of no list, an image in the line."""
+    from loomtext.llm import html_text
+
+    assert html_text.main_text(page.format(t=LONG, r=RUSSIAN)) == "\n".join(t.strip() for t in want)
+
+
+def test_mix_of_equal_rows(spark):
+    """100,000 equal rows are dealt over all blocks: linear, at most two copies each, and as near the target as others."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from loomtext.llm import mixing
+
+    n = 100_000
+    equal = spark.range(n).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same five words here").alias("text"), F.lit("a").alias("source"))
+    other = spark.range(3000).select((F.col("id") + 100).alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 90 + 1).cast("int")).alias("text"), F.when(F.col("id") % 3 > 0, "b").alias("source"))
+    began = time.time()
+    got = mixing.report(equal.unionByName(other)).groupBy("source_size").agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("copies").alias("copies")).collect()
+    assert time.time() - began < 120 and sum(r.n for r in got) == n + 3000
+    assert all(abs(r.taken - r.target) <= 100 and r.copies <= 2 for r in got)
+    one = mixing.report(equal.unionByName(other)).groupBy("doc_id", "size", "copies").count()
+    again = mixing.report(other.unionByName(equal.repartition(3))).groupBy("doc_id", "size", "copies").count()
+    assert one.exceptAll(again).count() == again.exceptAll(one).count() == 0
