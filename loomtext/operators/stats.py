@@ -44,6 +44,22 @@ def latency_percentiles(runs: DataFrame, keys: list[str], value: str = "value",
     return runs.groupBy(*keys).agg(p.alias("p")).select(*keys, *[F.col("p")[i].alias(x) for i, x in enumerate(("p50", "p90", "p99"))])
 
 
+def latency_sketch(runs: DataFrame, keys: list[str], value: str = "value", k: int = 400) -> DataFrame:
+    """(keys, sketch): a quantile sketch of each group, a few KB whatever its size, that can be merged; nulls are left out."""
+    return runs.groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def merge_latency(sketches: DataFrame, keys: list[str], k: int = 400) -> DataFrame:
+    """One sketch for each key from those of several increments."""
+    return sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+
+
+def latency_estimates(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_values, p50, p90, p99): values whose ranks lie within about 1 % of the asked ones for k = 400."""
+    at = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(q))
+    return sketches.select(*keys, F.kll_sketch_get_n_double("sketch").alias("n_values"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"))
+
+
 def bootstrap_ci(runs: DataFrame, keys: list[str], value: str = "value", draws: int = 2000, seed: int = 7) -> DataFrame:
     """2.5 and 97.5 % points of the median over resamples; picks are hashes of draw and place, so reruns agree.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import join_checked, stage
 from ..operators import stats, timeseries
 from .registering import query, table
 
@@ -60,6 +61,18 @@ def _(spark, sf):
     return stats.latency_percentiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice")
 
 
+@query("latency_estimates", "SELECT l_returnflag, count(*) AS n_values, true AS near FROM lineitem GROUP BY 1")
+def _(spark, sf):
+    """Percentiles by sketches of two increments, merged: the share of values up to each is within 2 % of what was asked."""
+    li = table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", F.col("l_extendedprice").cast("double").alias("value"))
+    increments = [stats.latency_sketch(li.filter(F.col("l_orderkey") % 2 == k), ["l_returnflag"]) for k in (0, 1)]
+    guess = stats.latency_estimates(stats.merge_latency(increments[0].unionByName(increments[1]), ["l_returnflag"]), ["l_returnflag"])
+    points = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    shares = join_checked(li, stage(guess, "latency-guess"), ["l_returnflag"]).groupBy("l_returnflag", "n_values").agg(*[F.avg((F.col("value") <= F.col(p)).cast("double")).alias(p) for p in points])
+    near = [F.abs(F.col(p) - q) <= 0.02 for p, q in points.items()]
+    return shares.select("l_returnflag", "n_values", (near[0] & near[1] & near[2]).alias("near"))
+
+
 @query("bootstrap_ci")
 def _(spark, sf):
     return stats.bootstrap_ci(runs(spark, sf), ["arm", "n"], draws=2000)

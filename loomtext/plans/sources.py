@@ -47,9 +47,8 @@ def _(spark, sf):
     li = table(spark, sf, "lineitem")
     cells = li.groupBy((F.col("l_suppkey") % 3 + 42).alias("seed"), (F.col("l_partkey") % 3).alias("inv"), "l_linenumber").agg(F.round(F.sum("l_quantity"), 2).alias("mean"), F.count(F.lit(1)).alias("reps"))
     runs = cells.groupBy("seed", "inv").agg(F.map_from_entries(F.collect_list(F.struct(F.col("l_linenumber").cast("string").alias("key"), F.struct("mean", "reps").alias("value")))).alias("cells"))
-    path = new_path(spark, "runs")
-    readers.jsonl(runs, "seed", "inv", "cells").repartition(9).write.text(path)
-    return readers.read_runs(spark, path)
+    one = runs.select(F.concat_ws("-", "seed", "inv").alias("run"), F.to_json(F.struct("seed", "inv", "cells")).alias("value"))
+    return readers.read_runs(spark, _one_file_each(one, spark, "runs", "run"))
 
 
 @query("read_trees", "WITH RECURSIVE nd AS (SELECT doc_id // 40 AS tree, doc_id % 40 AS id, CASE WHEN doc_id % 40 > 0 THEN (doc_id % 40 - 1) // 3 END AS parent FROM documents), dp AS (SELECT tree, id, 0 AS depth FROM nd WHERE parent IS NULL UNION ALL SELECT nd.tree, nd.id, dp.depth + 1 FROM nd JOIN dp ON nd.tree = dp.tree AND nd.parent = dp.id), b AS (SELECT tree, depth, list(id ORDER BY id) AS ids FROM dp GROUP BY tree, depth) SELECT tree AS puzzle_id, count(*) AS n_beams, max(depth) AS deepest, arg_max(ids, depth) AS last_beam FROM b GROUP BY tree")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fingerprint import BASES, MODULUS
 from ..functions.tables import stage
-from ..operators import identity, leaves, trees, versions
+from ..operators import identity, leaftable, leaves, trees, versions
 from ..operators.text import parse_value
 from .content import _CUTS, _LEAF_TOKENS, _TOKENS, LB, _pow, docs
 from .registering import query, table
@@ -66,6 +66,16 @@ def _(spark, sf):
     return versions.sharing_stats(refs(spark, sf), ["base_id"])
 
 
+@query("sharing_estimates", f"WITH {_REFS} SELECT (base_id // 10) % 7 AS part, count(*) AS n_refs, count(DISTINCT leaf) AS n_blocks, true AS near FROM refs GROUP BY 1")
+def _(spark, sf):
+    """Distinct blocks by sketches of two increments, merged, within 4 % of the exact count beside them."""
+    r = stage(refs(spark, sf).withColumn("part", F.floor(F.col("base_id") / 10) % 7), "sharing-refs")
+    increments = [versions.sharing_sketch(r.filter(F.col("branch_id") % 2 == k), ["part"]) for k in (0, 1)]
+    guess = versions.sharing_estimate(versions.merge_sharing(increments[0].unionByName(increments[1]), ["part"]), ["part"])
+    exact = versions.sharing_stats(r, ["part"]).select("part", F.col("n_blocks").alias("exact"))
+    return guess.join(exact, "part").select("part", "n_refs", F.col("exact").alias("n_blocks"), (F.abs(F.col("n_blocks") - F.col("exact")) <= 0.04 * F.col("exact")).alias("near"))
+
+
 @query("copy_vs_share", f"WITH {_REFS}, u AS (SELECT base_id, leaf, count(*) AS c FROM refs GROUP BY base_id, leaf) SELECT base_id, sum(c * (length(leaf) // 2))::BIGINT AS copied_bytes, sum(length(leaf) // 2)::BIGINT AS shared_bytes FROM u GROUP BY base_id")
 def _(spark, sf):
     return versions.copy_vs_share(refs(spark, sf), ["base_id"])
@@ -252,6 +262,14 @@ def _(spark, sf):
     return versions.edit_pieces(*churn_tables(spark, sf)).select("doc_id", "base_bytes", (F.col("kept_bytes") + F.col("new_bytes")).alias("n_bytes"))
 
 
+@query("leaf_table_changes", f"{_CHURNED}, l AS (SELECT doc_id, step, o, substr(h, o * {2 * LB} + 1, {2 * LB}) AS leaf FROM e, unnest(range((length(h) + {2 * LB - 1}) // {2 * LB})) u(o) WHERE step IN (0, {_CHURN})), c AS (SELECT doc_id, count(*) FILTER (step = 0) AS n_before, count(*) FILTER (step > 0) AS n_after FROM l GROUP BY doc_id), s AS (SELECT doc_id, count(*) AS n_same FROM l a JOIN l b USING (doc_id, o, leaf) WHERE a.step = 0 AND b.step > 0 GROUP BY doc_id), w AS (SELECT doc_id, count(DISTINCT leaf) AS n_new FROM l WHERE step > 0 AND NOT EXISTS (SELECT 1 FROM l p WHERE p.doc_id = l.doc_id AND p.step = 0 AND p.leaf = l.leaf) GROUP BY doc_id) SELECT doc_id, n_before, n_after, coalesce(n_same, 0) AS n_same, coalesce(n_new, 0) AS n_new FROM c LEFT JOIN s USING (doc_id) LEFT JOIN w USING (doc_id)")
+def _(spark, sf):
+    """Leaf tables of all documents before and after the churn, in buckets, compared without an exchange."""
+    d, e = churn_tables(spark, sf)
+    table_of = lambda x: leaftable.leaf_table(x, LB, "data", buckets=8)
+    return leaftable.changed_leaves(table_of(d), table_of(versions.edit_apply(d, e)))
+
+
 _TURN = "role || ': ' || text || chr(10) || chr(10)"
 
 
