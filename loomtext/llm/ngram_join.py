@@ -14,8 +14,10 @@ more matches. The steps, each of which loses no link:
 3. Sets for which l would exceed 16 % of their tokens are dense, nearly all heavy: members of large families of near
    copies. What many of them share outside of their prefixes is heavy too. Among themselves they join on prefixes with
    light tokens first: verified stars around the set that has fewest of those tie most of a family together, and only
-   pairs between different components, close enough in size and in the place of the token, are then compared. No family
-   is expanded into its pairs. To the other sets they offer all their light tokens.
+   pairs between different components, close enough in size and in the place of the token, are then compared, and only
+   if they share every large bundle that sets of their sizes must share: tokens that always stand together, as those of
+   a popular passage do, are matched at once. No family is expanded into its pairs. To the other sets they offer all
+   their light tokens.
 4. Pairs that can still reach the overlap are verified on the complete sets, links become components. Complete sets are
    cut again from the texts that are asked for, found in place by a Bloom filter; texts never move.
 
@@ -118,15 +120,25 @@ def verified(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, text: str, k:
     return full.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def _lists_met(entries: DataFrame, heads: DataFrame, hot: int = 1000) -> DataFrame:
+def _lists_met(entries: DataFrame, heads: DataFrame, hot: int = 1000, most: int = BROADCAST_BYTES) -> DataFrame:
     """entries(tok, ...) joined with heads(tok, c, ...), one row for each token, c the length of its list.
 
-    Heads of long lists go to all tasks, so that such a list stays where it lies; the others are shuffled.
+    Heads of long lists that fit a broadcast go to all tasks, the longest first, so that such a list stays where it
+    lies; all others are shuffled. A list too long for one task is among the first: there are at most entries / c of
+    lists of length c.
     """
     heads = stage(heads, "heads")
-    long = stage(heads.filter(F.col("c") > hot), "long-lists")
-    if measured_bytes(long) > BROADCAST_BYTES:
-        return entries.join(heads, "tok")
+    by_power = F.floor(F.log2("c"))
+    width = measured_bytes(heads.filter(F.col("c") > hot))
+    if width > most:  # lists are taken by powers of two of their lengths, from the longest on, while their heads fit
+        sizes = dict(heads.filter(F.col("c") > hot).groupBy(by_power.alias("p")).agg(F.count(F.lit(1)).alias("k")).collect())  # at most 64 rows
+        each, total = width / sum(sizes.values()), 0
+        for p in sorted(sizes, reverse=True):
+            total += sizes[p] * each
+            if total > most:
+                hot = max(hot, 2 ** (p + 1) - 1)
+                break
+    long = heads.filter(F.col("c") > hot)
     met = entries.join(F.broadcast(long), "tok")
     rest = entries.join(F.broadcast(long.select("tok")), "tok", "left_anti").join(heads.filter(F.col("c") <= hot), "tok")
     return met.unionByName(rest)
@@ -176,24 +188,60 @@ def _stars(entries: DataFrame, percent: int) -> DataFrame:
     return star.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
 
 
-def _across(entries: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets in different components (node, root) that share a token of their prefixes and can link."""
+def _size_band(n: Column, ratio: float = 1.06) -> Column:
+    return F.floor(F.log(n.cast("double")) / float(np.log(ratio)))
+
+
+def _passages(rows: DataFrame, nodes: DataFrame, text: str, k: int, percent: int) -> DataFrame:
+    """(node, big): the large bundles of the staged nodes(node, at), as an array of (w, x, y).
+
+    A bundle is all the tokens of a set that stand in the very same sets of `nodes`: mostly the inside of one passage.
+    A partner has a bundle whole or not at all. x and y are its name, made of the sets that it stands in, and w is its
+    number of tokens. Only bundles that no partner can lack at equal sizes are told, so a node has few of them.
+    """
+    entries = stage(_sets(rows, nodes, text, k).select("node", "n", F.explode("toks").alias("tok")), "bundle-entries")
+    named = entries.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.expr("bit_xor(xxhash64(node, 1))").alias("x"), F.expr("bit_xor(xxhash64(node, 2))").alias("y"))
+    bundles = _lists_met(entries, named).groupBy("node", "x", "y").agg(F.count(F.lit(1)).alias("w"), F.max("n").alias("n"))
+    large = bundles.filter(F.col("w") * (100 + percent) > F.col("n") * (100 - percent))
+    out = large.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("x", "y", "w"))).alias("big"))
+    out = stage(out, "bundles")
+    discard(entries)
+    return out
+
+
+def _must_share(big: Column, ba: Column, bb: Column, percent: int, ratio: float = 1.06) -> Column:
+    """A hash of the bundles that two linked sets in the size bands ba and bb have both or neither.
+
+    Of sets of n and m tokens that link, the first has at most (n - p m) / (1 + p) tokens that the second lacks.
+    """
+    p, low, high = percent / 100.0, lambda b: F.pow(F.lit(ratio), b), lambda b: F.pow(F.lit(ratio), b + 1)
+    most = F.greatest(high(ba) - p * low(bb), high(bb) - p * low(ba)) / (1 + p) + 1e-6
+    return F.xxhash64(F.transform(F.filter(big, lambda g: g["w"] > most), lambda g: F.struct(g["x"], g["y"])))
+
+
+def _across(entries: DataFrame, roots: DataFrame, rows: DataFrame, nodes: DataFrame, text: str, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets in different components (node, root) that share a token of their prefixes and all the large
+    bundles that sets of their sizes must share, and can link."""
     rooted = stage(join_checked(entries, roots, ["node"], "left").withColumn("root", F.coalesce("root", "node")), "dense-rooted")
     per = rooted.groupBy("tok", "root").agg(F.count(F.lit(1)).alias("k"))
     main = per.groupBy("tok").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("c")).filter("roots > 1")
     mixed = stage(_lists_met(rooted, main.select("tok", "c", F.col("top.root").alias("main"))), "mixed-lists")
+    met = stage(nodes.join(mixed.select("node").distinct(), "node", "left_semi").select("node", "at"), "mixed-nodes")
+    big = _passages(rows, met, text, k, percent)
+    none = F.array().cast(big.schema["big"].dataType)
+    mixed = join_checked(mixed, big, ["node"], "left").withColumn("big", F.coalesce("big", none))
     # a partner of size m at best has its token in front: n - pos >= percent (n + m) / (100 + percent) bounds m
-    size_band = lambda c: F.floor(F.log(c.cast("double")) / float(np.log(1.02)))
     n, pos = F.col("n"), F.col("pos")
     largest = F.least(n * 100.0 / percent, (n - pos) * (100.0 + percent) / percent - n)
     smallest = n * percent / 100.0
-    probes = mixed.filter(F.col("root") != F.col("main")).filter(largest >= smallest)
-    probes = probes.withColumn("band", F.explode(F.sequence(size_band(smallest + 0.0), size_band(largest + 1e-6))))
-    probes = probes.select("tok", "band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
-    index = mixed.select("tok", size_band(n).alias("band"), F.col("node").alias("b"), n.alias("nb"), pos.alias("pb"), F.col("root").alias("rb"))
-    near = probes.join(index, ["tok", "band"]).filter("ra <> rb").filter(_sized(F.col("na"), F.col("nb"), percent))
-    near = near.filter(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _needed(F.col("na"), F.col("nb"), percent))
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    mixed = mixed.filter(largest >= smallest).withColumns({"own": _size_band(n), "other": F.explode(F.sequence(_size_band(smallest - 1e-6), _size_band(largest + 1e-6)))})
+    shown = lambda df, x, own, other: df.select(
+        "tok", F.col("own").alias(own), F.col("other").alias(other), _must_share(F.col("big"), F.col("own"), F.col("other"), percent).alias("must"), F.struct("node", "n", "pos", "root").alias(x)
+    )
+    probes = shown(mixed.filter(F.col("root") != F.col("main")), "p", "b1", "b2")
+    near = probes.join(shown(mixed, "q", "b2", "b1"), ["tok", "b1", "b2", "must"]).filter("p.root <> q.root").filter(_sized(F.col("p.n"), F.col("q.n"), percent))
+    near = near.filter(F.least(F.col("p.n") - F.col("p.pos"), F.col("q.n") - F.col("q.pos")) >= _needed(F.col("p.n"), F.col("q.n"), percent))
+    return near.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
 
 
 def _nodes(rows: DataFrame, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -295,7 +343,7 @@ def link_rows(rows: DataFrame, text: str = "text", k: int = K, percent: int = PE
         dense = stage(_dense_sets(rows, families, Bloom(tokens, F.col("tok")), text, k, percent), "dense-sets")
         entries = stage(_dense_entries(dense), "dense-entries")
         stars = stage(verified(rows, stage(_stars(entries, percent), "stars"), nodes, text, k, percent), "star-links")
-        across = stage(_across(entries, stage(components(stars), "star-roots"), percent), "across")
+        across = stage(_across(entries, stage(components(stars), "star-roots"), rows, nodes, text, k, percent), "across")
 
     # 4. all other pairs
     pairs = stage(_pairs(prefixes, dense, percent), "light-pairs")

@@ -57,6 +57,45 @@ def test_components_of_texts(spark, heavy):
     assert got == brute(rows)
 
 
+def popular(n, r, per=4, of=40):
+    """Texts that each join `per` of `of` passages of 60 words, and a near copy of each 100th."""
+    passages = [[f"p{i}w{j}" for j in range(60)] for i in range(of)]
+    texts = [[w for p in r.sample(passages, per) for w in p] for _ in range(n)]
+    texts += [t[:-2] + ["end"] for t in texts[::100]]
+    return list(enumerate(map(" ".join, texts)))
+
+
+def test_popular_passages(spark, monkeypatch):
+    """Sets of popular passages alone: candidates follow the links, not the square of the lists, and no link is lost."""
+    seen = []
+    plain = ngram_join.verified
+
+    def counted(rows, pairs, *rest):
+        seen[-1] += pairs.count()
+        return plain(rows, pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    for n in (400, 1600):
+        rows = popular(n, random.Random(n))
+        seen.append(0)
+        got = sorted(tuple(x)[:3] for x in ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string"), heavy=16).collect())
+        if n == 400:
+            assert got == brute(rows)
+        else:
+            assert sum(a != c for a, _, c in got) >= 16
+    print("candidates", seen)
+    assert seen[1] < 8 * seen[0]
+
+
+def test_long_lists_in_part(spark):
+    """Where the heads of long lists exceed a broadcast, the longest are sent and the others shuffled."""
+    e = spark.range(5000).selectExpr("case when id < 3000 then 0 when id < 4500 then 1 + id % 2 else id end as tok", "id as node")
+    heads = e.groupBy("tok").agg(F.count(F.lit(1)).alias("c"))
+    want = sorted(map(tuple, e.join(heads, "tok").collect()))
+    for most in (1 << 20, 100, 0):
+        assert sorted(map(tuple, ngram_join._lists_met(e, heads, hot=100, most=most).collect())) == want
+
+
 def test_join_edges(spark):
     df = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A B C D E F G"), (3, None)], "doc_id long, text string")
     assert sorted(tuple(x)[:3] for x in ngram_join.link_components(df).collect()) == [(1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 0, 3)]
