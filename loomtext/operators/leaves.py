@@ -115,3 +115,15 @@ def identity_report(docs: DataFrame, leaves: Column, text: str = "text", key: st
     rows = rows.select(key, F.size("leaves").cast("long").alias("n_leaves"), F.size("a").cast("long").alias("whole_tok"), F.size("b").cast("long").alias("chunked_tok"), differs.alias("differs"), bad.cast("long").alias("invalid_leaves"))
     first = F.nullif(F.array_position("differs", F.lit(True)), F.lit(0)) - 1
     return rows.select(key, first.isNull().alias("exact_match"), "n_leaves", "whole_tok", "chunked_tok", first.alias("first_divergence"), F.size(F.filter("differs", lambda x: x)).cast("long").alias("divergent_positions"), "invalid_leaves")
+
+
+def size_sweep(docs: DataFrame, sizes: list[int], text: str = "text") -> DataFrame:
+    """(target, n_docs, n_leaves, exact_docs) for each leaf size: texts are read and tokenised whole once for all sizes.
+
+    Each size's leaves are compared inside the row and only counts leave it. Null counts as an empty text, which is exact
+    and has the leaves that `aligned` gives it; without rows there is no result row.
+    """
+    rows = docs.select(F.col(text).alias("text"), tokens(F.col(text)).alias("whole"), *[aligned(F.col(text), n).alias(f"cut_{n}") for n in sizes])
+    told = [F.struct(F.lit(n).alias("target"), F.size(f"cut_{n}").cast("long").alias("n_leaves"), (leaf_tokens(F.col(f"cut_{n}")) == F.col("whole")).alias("exact")) for n in sizes]
+    each = rows.select(F.inline(F.array(*told)))
+    return each.groupBy("target").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_leaves").alias("n_leaves"), F.count_if("exact").alias("exact_docs"))

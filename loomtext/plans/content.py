@@ -85,11 +85,7 @@ def _(spark, sf):
 
 @query("leaf_size_sweep", f"{_CUTS('[128, 256, 512]')}, {_LEAF_TOKENS} SELECT target, count(*) AS n_docs, sum(n_leaves)::BIGINT AS n_leaves, count_if(len(bad) = 0) AS exact_docs FROM cmp GROUP BY target")
 def _(spark, sf):
-    d, out = docs(spark, sf), None
-    for size in (128, 256, 512):
-        r = leaves.identity_report(d, leaves.aligned(F.col("text"), size)).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_leaves").alias("n_leaves"), F.count_if("exact_match").alias("exact_docs")).withColumn("target", F.lit(size))
-        out = r if out is None else out.unionByName(r)
-    return out
+    return leaves.size_sweep(docs(spark, sf), [128, 256, 512])
 
 
 @query("leaf_fingerprint", f"WITH {_BYTES} SELECT doc_id, b.i // {LB} AS ord, {_SUM('w1')} AS fp1, {_SUM('w2')} AS fp2 FROM b JOIN pw ON pw.i = b.i % {LB} GROUP BY doc_id, b.i // {LB}")
@@ -203,7 +199,7 @@ def _(spark, sf):
     return s.join(F.broadcast(one)).select("id", identity.lcp_array(F.col("q"), F.col("t")).alias("lcp"))
 
 
-@query("identify_arms", f"WITH {_SEQ} SELECT x.id, {_LCPT} AS scan, {_LCPT} AS by_bytes, true AS agree FROM s x JOIN s y ON y.id = x.id + 1")
+@query("identify_arms", f"WITH {_SEQ}, c AS (SELECT x.id, {_LCPT} AS scan, x.h AS h, y.h AS g FROM (SELECT id, t, {_CODES} AS h FROM s) x JOIN (SELECT id, t, {_CODES} AS h FROM s) y ON y.id = x.id + 1), z AS (SELECT id, scan, (SELECT coalesce(min(i), least(length(h), length(g))) FROM range(least(length(h), length(g))) r(i) WHERE substr(h, i + 1, 1) <> substr(g, i + 1, 1)) // 8 AS by_bytes FROM c) SELECT id, scan, by_bytes, scan = by_bytes AS agree FROM z")
 def _(spark, sf):
     by = text.token_offset(identity.lcp_bytes(text.encode_tokens(F.col("a")), text.encode_tokens(F.col("b"))))
     return neighbours(spark, sf).select("id", identity.lcp_array(F.col("a"), F.col("b")).alias("scan"), by.alias("by_bytes")).withColumn("agree", F.col("scan") == F.col("by_bytes"))
@@ -280,7 +276,7 @@ def _(spark, sf):
     return blocks.groupBy("source").agg(F.sum(F.col("k") * F.col("c")).alias("redundant_bytes"), F.sum("k").cast("long").alias("deduplicated_bytes"), F.sum("c").alias("n_refs"), F.count(F.lit(1)).alias("n_blocks"))
 
 
-@query("exact_dup_groups", "SELECT strlen(text) AS n, min(doc_id) AS first_id, count(*) AS n_docs, true AS verified FROM documents GROUP BY text HAVING count(*) > 1")
+@query("exact_dup_groups", "SELECT any_value(strlen(t)) AS n, min(doc_id) AS first_id, count(*) AS n_docs, count(DISTINCT t) = 1 AS verified FROM (SELECT doc_id, coalesce(text, '') AS t, md5(coalesce(text, '')) AS k FROM documents) GROUP BY k HAVING count(*) > 1")
 def _(spark, sf):
     return identity.exact_dup_groups(docs(spark, sf), LB).drop("fp1", "fp2")
 

@@ -205,3 +205,14 @@ def test_offsets_of_characters(spark, text_):
 def test_shuffle_is_a_permutation(spark):
     rows = text.seeded_shuffle(spark.range(500), "id", 42).collect()
     assert sorted(r.place for r in rows) == list(range(500)) and [r.id for r in sorted(rows, key=lambda r: r.place)] != list(range(500))
+
+
+def test_size_sweep(spark):
+    """One pass gives what a report for each size gives; nulls, empty texts and texts without a lone space among the rows."""
+    texts = ["a few words here " * 50, "x" * 700, "é ü " * 200, "", None, " \n a  b " * 60]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.target: tuple(r)[1:] for r in leaves.size_sweep(d, [16, 128]).collect()}
+    for size in (16, 128):
+        rows = leaves.identity_report(d, leaves.aligned(F.col("text"), size)).collect()
+        assert got[size] == (len(texts), sum(r.n_leaves for r in rows), sum(r.exact_match for r in rows))
+    assert leaves.size_sweep(d.limit(0), [16]).count() == 0
