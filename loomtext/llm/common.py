@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.tables import BROADCAST_BYTES, Bloom, bloom, discard, global_rank, join_checked, let, measured_bytes, new_path, running_sum, stage, stage_at
 
 __all__ = [
-    "BROADCAST_BYTES", "Bloom", "SPACES", "bloom", "discard", "documents", "fold_key", "global_rank", "join_checked", "let", "measured_bytes", "n_words", "new_path", "of_row", "rows_of", "running_sum",
+    "BROADCAST_BYTES", "Bloom", "SPACES", "bloom", "discard", "documents", "fold_key", "global_rank", "join_checked", "let", "measured_bytes", "n_words", "new_path", "of_row", "picked", "rows_of", "running_sum",
     "stage", "stage_at", "text_or_empty", "unpacked", "with_sparse", "without", "words",
 ]
 
@@ -67,6 +67,24 @@ def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*[of_row(c).alias(c) for c in columns])
 
 
+def picked(rows: DataFrame, listed: DataFrame, most: int = 1 << 21) -> DataFrame:
+    """The rows(row, at) whose place is in the staged table listed(at, ...), found in place, and about one in 70 others.
+
+    A Bloom filter holds at most some `most` places at 16 bits each. Longer lists are taken in blocks of files, each with
+    a filter of its own places, and what is found is staged, block by block; each block reads its own files alone. So
+    as few others pass at any size (but from a single file with more than `most` places).
+    """
+    blocks = -(-listed.count() // most)
+    if blocks <= 1:
+        return rows.filter(bloom(listed, lambda: F.col("at"))(F.col("at")))
+    block, found = F.pmod(F.col("at.file"), F.lit(blocks)), None
+    for b in range(blocks):
+        places = stage(listed.filter(block == b).select("at"), "block-places")
+        part = stage(rows.filter(block == b).filter(bloom(places, lambda: F.col("at"))(F.col("at"))), "picked")
+        found = found.unionByName(part) if found else part
+    return found
+
+
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """rows(row, at) without those whose place is in the staged table gone(at).
 

@@ -3,10 +3,10 @@
 The documents' keys (digest, id, length, locator) arrive as a stream. The state, one entry for each digest, lives in
 RocksDB under the checkpoint folder and never expires; it keeps the best row so far, its locator (file and position, by
 which the row is read again) and a count. Each micro-batch emits the entries that it changed, and the last emission of a
-digest is its group. A digest that was hit again is checked on full bytes: a Bloom filter of the hit digests picks their
-rows in place, and all texts under a digest, its keeper's among them, must have one minimum and maximum, which partial
-aggregation reduces to a row in each task before anything moves, however many copies there are. Rows whose texts differ
-under one digest (none are known for SHA-256) are grouped by their full text instead.
+digest is its group. Every row that hit a digest is then checked on full bytes before anything is decided: its text, read
+again by its locator, is compared with its keeper's, in one join on the digest in which large groups are dealt over
+copies of the keeper's text. Texts that were never hit stay where they are. Rows whose texts differ under one digest
+(none are known for SHA-256) are grouped by their full text instead.
 
 Null text counts as empty, all empty texts are equal. Ties go to the smallest doc_id, a null doc_id loses to any
 other; of fully equal rows the first by its locator stays. doc_id may have any type that has an order. Rows that share
@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, bloom, join_checked, new_path, of_row, rows_of, stage, stage_at, text_or_empty, unpacked, without
+from .common import SPACES, join_checked, new_path, of_row, picked, rows_of, stage, stage_at, text_or_empty, unpacked, without
 
 _ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -73,11 +73,28 @@ def keyed_state(keys: DataFrame, path: str, files_per_batch: int = 1000) -> Data
     return last.groupBy("digest").agg(F.max_by(F.struct("group_size", "best"), "batch").alias("s")).select("digest", "s.group_size", "s.best")
 
 
-def clashes(rows: DataFrame, hits: DataFrame, text: str = "text", digest: Callable[[Column], Column] = _digest) -> DataFrame:
-    """Digests of the staged table hits(digest) under which the full texts of rows(row, at) differ."""
-    hit = bloom(hits, lambda: F.col("digest"))
-    texts = rows.select(digest(of_row(text)).alias("digest"), normalised(of_row(text)).alias("full")).filter(hit(F.col("digest")))
-    return texts.groupBy("digest").agg(F.min("full").alias("a"), F.max("full").alias("b")).filter("a <> b").select("digest")
+def clashes(rows: DataFrame, keys: DataFrame, groups: DataFrame, text: str = "text", digest: Callable[[Column], Column] = _digest, hot: int = 1000) -> DataFrame:
+    """Digests of the staged groups(digest, group_size, best) under which a full text of rows(row, at) differs from its
+    keeper's; keys(digest, at) are those of the rows.
+
+    Rows that were hit are known by their places before any text is read; only their texts are hashed and moved. The
+    keeper's text of a group of more than `hot` rows is copied, one for each `hot` of them, and its rows are dealt over
+    the copies. The groups that are told to all tasks for that are fewer than 100,000, whatever the table's size.
+    """
+    hits = stage(groups.filter("group_size > 1").select("digest", F.col("best.at").alias("at"), "group_size"), "hits")
+    total = hits.agg(F.sum("group_size")).first()[0]
+    if not total:
+        return hits.select("digest")
+    hot = max(hot, total // 100_000)
+    parts = F.when(F.col("group_size") > hot, F.ceil(F.col("group_size") / hot)).otherwise(1).cast("int")
+    copies = stage(keys.select("digest", "at").join(hits.select("digest", F.col("at").alias("head")), "digest").filter("at <> head").select("at"), "hit-places")
+    texts = lambda df: df.select(digest(of_row(text)).alias("digest"), "at", normalised(of_row(text)).alias("full"))
+    keepers = texts(picked(rows, hits)).join(hits.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), ["digest", "at"])
+    large = hits.filter(F.col("group_size") > hot).select("digest", parts.alias("parts"))
+    dealt = texts(picked(rows, copies)).join(F.broadcast(large), "digest", "left")
+    dealt = dealt.select("digest", F.pmod(F.xxhash64("at"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "full")
+    met = dealt.join(keepers.select("digest", "part", F.col("full").alias("kept")).hint("merge"), ["digest", "part"])
+    return met.filter("full <> kept").select("digest").distinct()
 
 
 def _grouped(rows: DataFrame, text: str, digest: Callable[[Column], Column]) -> DataFrame:
@@ -85,8 +102,7 @@ def _grouped(rows: DataFrame, text: str, digest: Callable[[Column], Column]) ->
     measured = [of_row("doc_id").alias("doc_id"), digest(of_row(text)).alias("digest"), F.length(text_or_empty(of_row(text))).alias("n_points"), F.col("at")]
     keys, path = stage_at(rows.select(*measured), "keys")
     groups = stage(keyed_state(keys, path), "groups")
-    hits = stage(groups.filter("group_size > 1").select("digest"), "hits")
-    bad = stage(clashes(rows, hits, text, digest), "clashes")
+    bad = stage(clashes(rows, keys, groups, text, digest), "clashes")
     out = keys.join(groups, "digest")
     if bad.limit(1).count():
         split = stage(join_checked(rows.select(*measured, normalised(of_row(text)).alias("full")), bad, ["digest"]), "split")

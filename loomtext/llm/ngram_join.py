@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import BROADCAST_BYTES, SPACES, Bloom, bloom, discard, join_checked, measured_bytes, of_row, rows_of, stage, text_or_empty, unpacked, without
+from .common import BROADCAST_BYTES, SPACES, Bloom, discard, join_checked, measured_bytes, of_row, picked, rows_of, stage, text_or_empty, unpacked, without
 from .components import components
 
 HEAVY = 64
@@ -89,8 +89,7 @@ def _sets(rows: DataFrame, nodes: DataFrame, text: str, k: int) -> DataFrame:
     A Bloom filter of the nodes' places picks their rows in place, so that only texts that are asked for are cut into
     shingles, and only their sets move; no text does, at any number of nodes.
     """
-    asked = bloom(nodes, lambda: F.col("at"))
-    texts = rows.filter(asked(F.col("at"))).select(of_row(text).alias("text"), "at.file", "at.pos")
+    texts = picked(rows, nodes).select(of_row(text).alias("text"), "at.file", "at.pos")
     sets = _arrow_pass(texts, ["file", "pos"], "n long, toks array<long>", lambda s: (len(s), s), k)
     return nodes.select("node", "at.file", "at.pos").join(sets, ["file", "pos"]).select("node", "n", "toks")
 
@@ -146,7 +145,6 @@ def _lists_met(entries: DataFrame, heads: DataFrame, hot: int = 1000, most: int
 
 def _dense_tokens(rows: DataFrame, nodes: DataFrame, text: str, k: int, heavy: int) -> DataFrame:
     """(tok) on more than `heavy` of the complete sets of nodes(node, at); each task adds up its own sets first."""
-    asked = bloom(nodes, lambda: F.col("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,21 +153,21 @@ def _dense_tokens(rows: DataFrame, nodes: DataFrame, text: str, k: int, heavy: i
             for at in range(0, len(toks), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(toks[at : at + 100_000].view(np.int64)), pa.array(c[at : at + 100_000])], names=["tok", "c"])
 
-    counts = rows.filter(asked(F.col("at"))).select(of_row(text).alias("text")).mapInArrow(run, "tok long, c long")
+    counts = picked(rows, nodes).select(of_row(text).alias("text")).mapInArrow(run, "tok long, c long")
     return counts.groupBy("tok").agg(F.sum("c").alias("c")).filter(F.col("c") > heavy).select("tok")
 
 
 def _dense_sets(rows: DataFrame, nodes: DataFrame, heavy: Bloom, text: str, k: int, percent: int) -> DataFrame:
     """(node, n, pos, light, front) of the dense nodes(node, at): the light tokens with their places among all, and the
     prefix that one match is asked of, light tokens first."""
-    test, asked = heavy.in_tasks(), bloom(nodes, lambda: F.col("at"))
+    test = heavy.in_tasks()
 
     def made(s: np.ndarray):
         load = test(s)
         front = np.concatenate((s[~load], s[load]))[: len(s) - _least_own(len(s), percent) + 1]
         return len(s), np.flatnonzero(~load).astype(np.uint64), s[~load], front
 
-    texts = rows.filter(asked(F.col("at"))).select(of_row(text).alias("text"), "at.file", "at.pos")
+    texts = picked(rows, nodes).select(of_row(text).alias("text"), "at.file", "at.pos")
     sets = _arrow_pass(texts, ["file", "pos"], "n long, places array<long>, light array<long>, front array<long>", made, k)
     return nodes.select("node", "at.file", "at.pos").join(sets, ["file", "pos"]).select("node", "n", F.col("places").alias("pos"), "light", "front")
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtext.llm import exact_dedup, mixing, packing, quality_rules
+from loomtext.llm.common import picked, rows_of, stage_at
 
 SCHEMA = "doc_id long, text string, source string, n_tokens string, size string, kept string"
 ROWS = [
@@ -76,6 +77,30 @@ def test_digest_clash_splits_the_group(spark):
     assert {x.doc_id for x in exact_dedup.keep_first(docs, digest=bit).collect()} == {k for k, _, _ in want.values()}
 
 
+@pytest.mark.parametrize("hot", [3, 1000])
+def test_bytes_are_checked_against_the_keeper(spark, hot):
+    """Only digests with differing texts are told, in groups dealt over copies of the keeper's text as in others; no text
+    is an aggregate's value, which would be sorted."""
+    rows = [(i, f"{i % 7} text") for i in range(70)] + [(100 + i, "odd" if i == 17 else "even") for i in range(40)] + [(200, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same = lambda text: F.encode(F.when(text.isin("odd", "even"), F.lit("x")).otherwise(exact_dedup.normalised(text)), "UTF-8")
+    held = rows_of(docs)
+    keys = held.select("row.doc_id", same(F.col("row.text")).alias("digest"), F.length("row.text").alias("n_points"), "at")
+    groups = stage_at(keys.groupBy("digest").agg(*exact_dedup._group()), "groups")[0]
+    bad = exact_dedup.clashes(held, keys, groups, digest=same, hot=hot)
+    assert [bytes(r.digest) for r in bad.collect()] == [b"x"]
+    assert "SortAggregate" not in bad._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_are_picked_in_blocks(spark):
+    """A list of ten times what a filter holds: nothing is missed and hardly anything else passes."""
+    rows = rows_of(spark.range(0, 40_000, 1, 40).withColumnRenamed("id", "doc_id"))
+    listed = stage_at(rows.filter("row.doc_id % 2 = 0").select("at"), "listed")[0]
+    got = [r.doc_id for r in picked(rows, listed, most=2000).select("row.doc_id").collect()]
+    assert len(got) == len(set(got)) and set(range(0, 40_000, 2)) <= set(got)
+    assert len(got) < 21_000
+
+
 def test_ids_of_any_kind(spark):
     """Strings, the least long and repeated ids whose texts differ in white space only."""
     named = spark.createDataFrame([("b", "x y"), ("a", "xy"), ("c", "z"), (None, "z")], "doc_id string, text string")
