@@ -6,9 +6,10 @@ gated attention, learned from document labels alone, weighs the passages; the sc
 weighted mean embedding. Every passage of every text is encoded and scored.
 
 The model is fitted on at most `most_rows` labelled documents, those with the smallest hashes of their id among the
-rows that may be learned from, and on at most `MOST_PASSAGES` passages of each, spread evenly; their features, some 90
-bytes a passage, come to the driver. Log odds are counted on Spark, for a bounded number of hashed words, in two halves
-of the sample: a document is fitted on the odds of the other half, so that its own label is not in its features.
+rows that may be learned from, and on every passage of each. Their features, some 90 bytes a passage, are staged, and the
+driver takes them batch by batch, some 8 MB or one document at a time, however long the documents are. Log odds are
+counted on Spark, for a bounded number of hashed words, in two halves of the sample: a document is fitted on the odds of
+the other half, so that its own label is not in its features.
 Scoring is one pass over Arrow batches, a megabyte of text at a time.
 
 Null and empty texts are one empty passage. Rows may repeat, each is scored; in the sample an id counts once, with its
@@ -18,7 +19,7 @@ of label 1 (0.5 if there are none). An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from .common import stage
 
 PASSAGE = 64
 MOST_ROWS = 5000
-MOST_PASSAGES = 64
+BATCHES, EPOCHS = 20, 40
 BUCKETS = 1 << 16  # of hashed words
 
 _KINDS = np.full(256, 9, dtype=np.int8)  # bytes by kind; 9: others
@@ -116,8 +117,9 @@ def _content(v: np.ndarray, passage: np.ndarray, n: int, count: np.ndarray) -> n
     out = np.zeros((n, N_CONTENT))
     if len(v):
         out[:, 0] = np.bincount(passage, v, n) / count
-        np.maximum.at(out[:, 1], passage, v)
-        np.minimum.at(out[:, 2], passage, v)
+        first = np.flatnonzero(np.diff(passage, prepend=-1))  # words stand passage by passage
+        out[passage[first], 1] = np.maximum(np.maximum.reduceat(v, first), 0)
+        out[passage[first], 2] = np.minimum(np.minimum.reduceat(v, first), 0)
         out[:, 3], out[:, 4] = np.bincount(passage, v > 1, n) / count, np.bincount(passage, v < -1, n) / count
     return out
 
@@ -156,16 +158,25 @@ class GatedAttention:
         g["W"], g["b"] = f["x"].T @ dh, dh.sum(0)
         return g
 
-    def fit(self, x: np.ndarray, per: np.ndarray, y: np.ndarray, epochs: int = 300, rate: float = 0.02, decay: float = 1e-4) -> None:
-        self.mean, self.scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-3
-        p, m, v = self.p, {}, {}
-        for step in range(1, epochs + 1):
-            g = self.gradient(x, per, y)
-            for k in p:
-                g[k] = g[k] + decay * p[k]
-                m[k] = 0.9 * m.get(k, 0) + 0.1 * g[k]
-                v[k] = 0.999 * v.get(k, 0) + 0.001 * g[k] ** 2
-                p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+    def fit(self, x: np.ndarray, per: np.ndarray, y: np.ndarray, epochs: int = 300, **how) -> None:
+        self.fit_batches(lambda: iter([(x, per, y)]), epochs, **how)
+
+    def fit_batches(self, batches: Callable[[], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], epochs: int, rate: float = 0.02, decay: float = 1e-4) -> None:
+        """batches() gives the batches (x, per, y) of all documents; each epoch takes one step for each of them."""
+        n, total, square = 0, 0.0, 0.0
+        for x, _, _ in batches():
+            n, total, square = n + len(x), total + x.sum(0, dtype=np.float64), square + np.square(x, dtype=np.float64).sum(0)
+        self.mean = total / n
+        self.scale = np.sqrt(np.maximum(square / n - self.mean**2, 0)) + 1e-3
+        p, m, v, step = self.p, {}, {}, 0
+        for _ in range(epochs):
+            for batch in batches():
+                step, g = step + 1, self.gradient(*batch)
+                for k in p:
+                    g[k] = g[k] + decay * p[k]
+                    m[k] = 0.9 * m.get(k, 0) + 0.1 * g[k]
+                    v[k] = 0.999 * v.get(k, 0) + 0.001 * g[k] ** 2
+                    p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
     def score(self, x: np.ndarray, per: np.ndarray) -> np.ndarray:
         return self.forward(x.astype(np.float64), per)["y"]
@@ -212,6 +223,33 @@ def log_odds(rows: DataFrame) -> list[np.ndarray]:
     return out
 
 
+def batches_of(features: DataFrame, size: int, most_bytes: int = 8 << 20, held_bytes: int = 64 << 20) -> Callable[[], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """All rows of the staged features(x, y), in the order of a hash, as batches (x, per, y) of `size` documents, or of
+    fewer where those have more than most_bytes of features. They are read again for each epoch, one partition at a time;
+    those of a table of at most held_bytes are the same batches, kept."""
+    ordered = features.orderBy(F.xxhash64("x", "y"), "x", "y")
+
+    def packed(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bags = [np.frombuffer(bytes(r["x"]), dtype=np.float32).reshape(-1, N_FEATURES) for r in rows]
+        return np.concatenate(bags), np.array([len(b) for b in bags]), np.array([r["y"] for r in rows], dtype=float)
+
+    def read() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        rows, width = [], 0
+        for r in ordered.toLocalIterator():
+            if rows and (len(rows) == size or width + len(r["x"]) > most_bytes):
+                yield packed(rows)
+                rows, width = [], 0
+            rows.append(r)
+            width += len(r["x"])
+        if rows:
+            yield packed(rows)
+
+    if (features.agg(F.sum(F.octet_length("x"))).first()[0] or 0) > held_bytes:
+        return read
+    held = list(read())
+    return lambda: iter(held)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", most_rows: int = MOST_ROWS) -> tuple[GatedAttention | None, np.ndarray, float]:
     """The model, the words' log odds, and the share of label 1; no model without both labels."""
     rows = stage(sample(docs, labels, label, text, most_rows), "quality-sample")
@@ -227,15 +265,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
                 part, bags = batch.filter(pa.array(batch.column("half").to_numpy() == half)), []
                 for x, per in passages(part.column("text"), shared.value[1 - half]):
                     for e, k in zip(np.cumsum(per).tolist(), per.tolist(), strict=True):
-                        bags.append(x[e - k : e][np.unique(np.linspace(0, k - 1, min(k, MOST_PASSAGES)).astype(int))].tobytes())
+                        bags.append(x[e - k : e].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), part.column("y")], names=["x", "y"])
 
-    got = rows.mapInArrow(run, "x binary, y int").collect()  # at most most_rows, of at most MOST_PASSAGES passages
-    y = np.array([r["y"] for r in got], dtype=float)
-    bags = [np.frombuffer(bytes(r["x"]), dtype=np.float32).reshape(-1, N_FEATURES) for r in got]
-    model = GatedAttention(N_FEATURES)
-    model.fit(np.concatenate(bags).astype(np.float64), np.array([len(b) for b in bags]), y)
-    return model, odds[2], float(y.mean())
+    features = stage(rows.mapInArrow(run, "x binary, y int"), "quality-features")
+    model, n = GatedAttention(N_FEATURES), sum(kinds.values())
+    model.fit_batches(batches_of(features, -(-n // BATCHES)), EPOCHS)
+    return model, odds[2], kinds[1] / n
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", most_rows: int = MOST_ROWS) -> DataFrame:

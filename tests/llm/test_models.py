@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 
 from loomtext.llm import html_text, lattice_lm, quality_mil, toxicity
+from loomtext.llm.common import stage
 
 SCHEMA = "doc_id long, text string, score string"
 
@@ -112,6 +113,21 @@ def test_attention_finds_the_passage():
     assert right[0] > 0.88 and right[0] > right[1] + 0.1, right
 
 
+def test_every_passage_is_fitted_in_batches(spark):
+    """Bags of up to 400 passages come back whole, in batches of bounded size that are the same on each reading, kept or not."""
+    r = np.random.default_rng(3)
+    bags = [r.normal(size=(int(k), quality_mil.N_FEATURES)).astype(np.float32) for k in r.integers(1, 400, 60)]
+    rows = spark.createDataFrame([(bytearray(b.tobytes()), i % 2) for i, b in enumerate(bags)], "x binary, y int").repartition(5)
+    kept, read = (quality_mil.batches_of(stage(rows, "features"), 8, most_bytes=100_000, held_bytes=h) for h in (1 << 30, 0))
+    first, second, third = list(kept()), list(read()), list(read())
+    for other in (second, third):
+        assert all(np.array_equal(a, b) for x, y in zip(first, other, strict=True) for a, b in zip(x, y, strict=True))
+    assert sum(int(p.sum()) for _, p, _ in first) == sum(map(len, bags)) and sum(len(y) for *_, y in first) == 60
+    assert all(len(p) <= 8 and (len(p) == 1 or x.nbytes <= 100_000) for x, p, _ in first)
+    want = sorted(b.tobytes() for b in bags)
+    assert sorted(x[e - k : e].tobytes() for x, p, _ in first for e, k in zip(np.cumsum(p), p, strict=True)) == want
+
+
 def test_quality_by_words_alone(spark):
     """Bad texts that differ from good ones in their words only, not in their shape."""
     r = random.Random(2)
