@@ -45,10 +45,10 @@ def branch_refs(branches: DataFrame, base_leaves: DataFrame) -> DataFrame:
     A branch is the leaves of its base and then one leaf for each step from its first ancestor's to its own, all by
     reference: owner and at name the base's leaf or the branch whose step it is. No bytes are copied, so a fork costs a row
     for each leaf it refers to, however long the leaf is. With parent_branch (null: a fork of the base itself) a branch
-    forks another one, which may be a fork in turn; base_id is then that of the first.
+    forks another one, which may be a fork in turn; base_id is then that of the first. A null step adds no leaf.
     """
     base = named_blocks(base_leaves.select(F.col("doc_id").alias("owner"), "ord", "leaf", "n"), "owner")
-    steps = named_blocks(branches.select(F.col("branch_id").alias("owner"), F.lit(0).alias("ord"), F.col("step").alias("leaf"), F.octet_length("step").alias("n")), "owner")
+    steps = named_blocks(branches.filter("step is not null").select(F.col("branch_id").alias("owner"), F.lit(0).alias("ord"), F.col("step").alias("leaf"), F.octet_length("step").alias("n")), "owner")
     if "parent_branch" in branches.columns:
         chains = tree_ids(branches.select(F.lit(0).alias("tree"), F.col("branch_id").alias("id"), F.col("parent_branch").alias("parent"))).select(F.col("id").alias("branch_id"), "ids")
     else:
