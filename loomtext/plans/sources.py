@@ -16,6 +16,23 @@ def _one_file_each(rows, spark, name, key):
     return path
 
 
+#: Rows in a document at most, roughly: what a reader of whole documents holds at once.
+_IN_A_DOCUMENT = 10_000
+
+
+def _dealt(rows, *by):
+    """rows with g, the number of their document: as many documents as the rows need, dealt by a hash of columns."""
+    n = max(1, -(-rows.count() // _IN_A_DOCUMENT))
+    return rows.withColumn("g", F.pmod(F.xxhash64(*by), F.lit(n)))
+
+
+def _documents(docs, spark, name):
+    """Each row's JSON text in a file of its own, all in one folder."""
+    path = new_path(spark, name)
+    docs.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 def _written(rows, spark, name):
     path = new_path(spark, name)
     rows.write.text(path)
@@ -71,9 +88,8 @@ def _(spark, sf):
     track_a = F.when(k == 3, F.struct(F.lit(True).alias("skipped"), F.lit("no memory").alias("reason"), F.lit(None).cast("double").alias("joules_per_token"))).when(k != 2, F.struct(F.lit(None).cast("boolean").alias("skipped"), F.lit(None).cast("string").alias("reason"), F.col("l_quantity").alias("joules_per_token")))
     track_b = F.when(F.col("l_linenumber") % 2 == 0, F.struct(F.struct((F.col("l_partkey") % 7).alias("n_checks"), F.lit(0).alias("mismatches")).alias("gate")))
     cell = F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("cell_id"), (k == 0).alias("cache_on"), F.lit(42).alias("seed"), k.alias("inv"), F.lit(1000).alias("L"), track_a.alias("track_a"), track_b.alias("track_b"))
-    docs = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(cell).alias("cells"))
-    docs = docs.groupBy((F.col("l_orderkey") % 50).alias("g")).agg(F.to_json(F.struct(F.flatten(F.collect_list("cells")).alias("cells"))).alias("value"))
-    got = readers.read_cells(spark, _one_file_each(docs, spark, "cells", "g"))
+    docs = _dealt(table(spark, sf, "lineitem"), "l_orderkey").groupBy("g").agg(F.to_json(F.struct(F.collect_list(cell).alias("cells"))).alias("value"))
+    got = readers.read_cells(spark, _documents(docs, spark, "cells"))
     count = lambda s: F.count_if(F.col("state") == s)
     return got.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_cells"), count("skipped").alias("skipped"), count("absent").alias("absent"), F.sum("joules_per_token").alias("joules"), F.sum("n_checks").alias("n_checks"), F.count("n_checks").alias("gated"))
 
