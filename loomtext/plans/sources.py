@@ -97,13 +97,13 @@ def _(spark, sf):
 @query("read_controls", "SELECT l_shipmode_ AS key, sum(total)::BIGINT AS total, sum(detected)::BIGINT AS detected FROM (SELECT (l_partkey % 5)::VARCHAR AS l_shipmode_, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber ELSE 2 END AS total, CASE WHEN l_linenumber % 2 = 0 THEN CASE WHEN l_quantity > 5 THEN l_linenumber ELSE 1 END ELSE CASE WHEN l_discount > 0.01 THEN 2 ELSE 1 END END AS detected FROM lineitem) GROUP BY 1")
 def _(spark, sf):
     """Control documents of both shapes, a number with a flag or a sample, and a list."""
-    li = table(spark, sf, "lineitem").select((F.col("l_partkey") % 5).cast("string").alias("dataset"), "l_linenumber", "l_quantity", "l_discount")
+    li = table(spark, sf, "lineitem").select((F.col("l_partkey") % 5).cast("string").alias("dataset"), "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount")
     flag = lambda x: F.struct(x.alias("detected"))
     counted = F.to_json(F.struct("dataset", F.col("l_linenumber").alias("controls"), F.when(F.col("l_quantity") > 5, F.lit(True)).alias("all_detected"), F.array(flag(F.lit(True)), flag(F.lit(False))).alias("sample")))
     listed = F.to_json(F.struct("dataset", F.array(flag(F.lit(True)), flag(F.col("l_discount") > 0.01)).alias("controls")))
     row = F.when(F.col("l_linenumber") % 2 == 0, counted).otherwise(listed)
-    docs = li.groupBy((F.hash("dataset", "l_linenumber") % 40).alias("g")).agg(F.concat(F.lit('{"seed": 42, "rows": ['), F.array_join(F.collect_list(row), ","), F.lit("]}")).alias("value"))
-    got = readers.read_controls(spark, _one_file_each(docs, spark, "controls", "g"))
+    docs = _dealt(li, "l_orderkey", "l_partkey", "l_linenumber").groupBy("g").agg(F.concat(F.lit('{"seed": 42, "rows": ['), F.array_join(F.collect_list(row), ","), F.lit("]}")).alias("value"))
+    got = readers.read_controls(spark, _documents(docs, spark, "controls"))
     return got.groupBy("key").agg(F.sum("total").alias("total"), F.sum("detected").alias("detected"))
 
 

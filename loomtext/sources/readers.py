@@ -56,8 +56,12 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
 
 def read_controls(spark: SparkSession, path: str) -> DataFrame:
     """(key, total, detected) of each row of negative-control documents in both shapes: a number of controls with a flag
-    (without it, the detected ones of the row's sample count), and a list of controls with a flag each."""
-    r = spark.read.schema(CONTROLS).option("multiLine", True).json(path).select(F.explode("rows").alias("r")).select("r.*")
+    (without it, the detected ones of the row's sample count), and a list of controls with a flag each.
+
+    A file is read once, as a text, and parsed from there: a JSON reader of files goes back to the file for each value that
+    is no string but is read as one, as `controls` is."""
+    whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", CONTROLS).alias("d"))
+    r = whole.select(F.explode("d.rows").alias("r")).select("r.*")
     listed = F.from_json("controls", "array<struct<detected:boolean>>")
     n, many = F.col("controls").try_cast("long"), F.col("controls").startswith("[")
     hits = lambda a: F.size(F.filter(F.coalesce(a, F.array().cast("array<struct<detected:boolean>>")), lambda x: F.coalesce(x["detected"], F.lit(False)))).cast("long")
