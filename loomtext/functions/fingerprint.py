@@ -43,12 +43,17 @@ def powers(lane: int, n: int) -> np.ndarray:
     return out
 
 
+@functools.cache
+def _digit_powers(lane: int, k: int) -> np.ndarray:
+    """The lane's base to d * 2^k for each byte d."""
+    return np.array([pow(BASES[lane], d << k, MODULUS) for d in range(256)], dtype=np.int64)
+
+
 def powers_at(lane: int, exponents: np.ndarray) -> np.ndarray:
     """The lane's base to each of the exponents, by a table for each byte of them."""
     out, k = np.ones(len(exponents), dtype=np.int64), 0
     while len(exponents) and (int(exponents.max()) >> k):
-        digits = np.array([pow(BASES[lane], d << k, MODULUS) for d in range(256)], dtype=np.int64)
-        out = out * digits[(exponents >> k) & 255] % MODULUS
+        out = out * _digit_powers(lane, k)[(exponents >> k) & 255] % MODULUS
         k += 8
     return out
 
