@@ -7,6 +7,7 @@ and q copies are H(S) * (1 + x^n + ... + x^((q-1) n)). Products of two residues
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,17 @@ def byte_values(blocks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 256, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows and bytes of a column: a task holds what it makes of one slice."""
+    for batch in batches:
+        ends = byte_values(batch.column(column))[1] if len(batch) else [0]
+        at = 0
+        while at < len(batch):
+            to = max(at + 1, min(at + most, int(np.searchsorted(ends, ends[at] + most_bytes, "right")) - 1))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def hash_blocks(data: np.ndarray, offsets: np.ndarray, most_bytes: int = 1 << 20) -> np.ndarray:
     """Both lanes of all blocks, a megabyte of them at a time."""
     out, i = np.zeros((2, len(offsets) - 1), dtype=np.int64), 0

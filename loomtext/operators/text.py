@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fingerprint import byte_values
+from ..functions.fingerprint import byte_values, slices
 from ..functions.tables import global_rank, let
 
 
@@ -104,7 +106,6 @@ def token_offset(byte: Column) -> Column:
 def utf8_offsets(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, i, byte): where each character begins, and the total length for i = number of characters. Narrow."""
 
-    @F.arrow_udf("array<bigint>")
     def begins(texts: pa.Array) -> pa.Array:
         data, offsets = byte_values(texts)
         first = np.flatnonzero((data & 0xC0) != 0x80)
@@ -117,7 +118,13 @@ def utf8_offsets(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("
         out[inner], out[ends] = first[cuts[0] : cuts[-1]] - offsets[of[inner]], np.diff(offsets)
         return pa.ListArray.from_arrays(pa.array(np.append(0, ends + 1), pa.int32()), pa.array(out))
 
-    return docs.select(*keys, F.posexplode(begins(F.coalesce(F.col(text), F.lit("")))).alias("i", "byte"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):  # an offset takes eight times its character
+            yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(keys))], begins(part.column(len(keys)))], names=[*keys, "begins"])
+
+    kept = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+    rows = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, f"{kept}, begins array<bigint>")
+    return rows.select(*keys, F.posexplode("begins").alias("i", "byte"))
 
 
 # The grammar of a move line and the value words.

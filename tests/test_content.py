@@ -216,3 +216,29 @@ def test_size_sweep(spark):
         rows = leaves.identity_report(d, leaves.aligned(F.col("text"), size)).collect()
         assert got[size] == (len(texts), sum(r.n_leaves for r in rows), sum(r.exact_match for r in rows))
     assert leaves.size_sweep(d.limit(0), [16]).count() == 0
+
+
+def test_popular_keys_are_dealt(spark):
+    """Rows that share one key are met in many tasks, each once, and rows of other keys go."""
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("k"))
+    met = identity._met(rows, spark.createDataFrame([(0,), (7,)], "k int"), ["k"]).hint("merge")
+    assert sorted(x.doc_id for x in met.collect()) == [i for i in range(2000) if i % 10]
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        met = identity._met(rows, spark.createDataFrame([(0,)], "k int"), ["k"])
+        sizes = [x["count"] for x in met.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(sizes) == 1800 and max(sizes) < 1000
+
+
+def test_offsets_of_many_texts(spark):
+    """Texts come in slices: offsets of each are its own, also behind long and empty ones."""
+    texts = ["é" * 3_000_000, "", None, *["aé😀"] * 300]
+    rows = text.utf8_offsets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    got = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("byte").alias("end"), F.sum("byte").alias("s")).collect()
+    want = {i: (len(t or "") + 1, len((t or "").encode())) for i, t in enumerate(texts)}
+    assert {x.doc_id: (x.n, x.end) for x in got} == want and {x.s for x in got if x.doc_id > 2} == {0 + 1 + 3 + 7}

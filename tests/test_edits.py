@@ -113,6 +113,6 @@ def test_fingerprints_of_sources_by_byte_and_by_leaf():
 def test_slices_hold_few_documents(spark):
     """A task takes its documents in slices, whatever the size of the batch that Spark hands it."""
     batch = __import__("pyarrow").RecordBatch.from_pydict({"data": [b"x" * (5 << 20), b"", *[b"abc"] * 600, None]})
-    parts = list(edits._parts([batch]))
+    parts = list(fp.slices([batch], "data"))
     assert [x for p in parts for x in p.column("data").to_pylist()] == batch.column("data").to_pylist()
     assert max(map(len, parts)) == 256 and len(parts[0]) == 1
