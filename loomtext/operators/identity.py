@@ -138,10 +138,17 @@ def match_prefix(queries: DataFrame, cache: DataFrame, size: int = LEAF, text: s
     key = ["k", *LANES]
     deepest = mine.join(leaves.filter("k > 0").select(*key).distinct(), key, "left_semi").groupBy("doc_id").agg(F.max(F.struct(*key)).alias("c")).select("doc_id", "c.*")
     asked = stage(_next_leaf(queries, deepest, size, text), "asked-leaves")
-    cached = stage(leaves.join(asked.select(*key).distinct(), key, "left_semi"), "met-leaves")
+    cached = stage(_met(leaves, asked.select(*key).distinct(), key), "met-leaves")
     return _match_leaves(asked, cached, key)
 
 
+def _met(rows: DataFrame, keys: DataFrame, on: list[str], parts: int = 64) -> DataFrame:
+    """The rows(doc_id, ...) whose key is among the distinct keys. Each key goes to `parts` places and a row to one of them,
+    by its id: what all documents share, the empty beginning at least, is many tasks."""
+    dealt = keys.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return rows.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).join(dealt, [*on, "_part"], "left_semi").drop("_part")
+
+
 def _next_leaf(docs: DataFrame, known: DataFrame, size: int, text: str, every: bool = False) -> DataFrame:
     """(doc_id, k, fp1, fp2, data): the leaf after the first k for known(doc_id, k, fp1, fp2), and the first leaf of
     documents that are not known, or of `every` one, with k = 0."""
@@ -162,7 +169,7 @@ def _match_leaves(asked: DataFrame, cached: DataFrame, key: list[str], size: int
     longest = asked.select("doc_id", *key, F.explode(coarse(1)).alias("p")).join(known, [*key, "p"], "left_semi").groupBy("doc_id").agg(F.max(F.octet_length("p")).alias("at"))
     asked = stage(asked.join(longest, "doc_id", "left").withColumn("at", F.coalesce("at", F.lit(0))), "asked-beginnings")
     bases = asked.select(*key, prefix(F.col("at")).alias("base")).distinct()
-    behind = cached.select("doc_id", *key, "data", F.explode(coarse(0)).alias("base")).join(bases, [*key, "base"], "left_semi").withColumn("at", F.octet_length("base"))
+    behind = _met(cached.select("doc_id", *key, "data", F.explode(coarse(0)).alias("base")), bases, [*key, "base"]).withColumn("at", F.octet_length("base"))
     first = behind.select("doc_id", *key, F.explode(fine).alias("p")).groupBy(*key, "p").agg(F.min("doc_id").alias("cached_id"))
     met = asked.select("doc_id", *key, F.explode(fine).alias("p")).join(first, [*key, "p"], "left").withColumn("m", F.when(F.col("cached_id").isNotNull(), F.octet_length("p")))
     return met.groupBy("doc_id").agg(F.max_by("cached_id", "m").alias("cached_id"), (F.max("k") * size + F.coalesce(F.max("m"), F.lit(0))).cast("long").alias("lcp"))
