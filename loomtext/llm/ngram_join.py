@@ -144,19 +144,35 @@ def _lists_met(entries: DataFrame, heads: DataFrame, hot: int = 1000, most: int
 
 
 def _dense_tokens(rows: DataFrame, nodes: DataFrame, text: str, k: int, heavy: int) -> DataFrame:
-    """(tok) on more than `heavy` of the complete sets of nodes(node, at); each task adds up its own sets first."""
+    """(tok) on more than `heavy` of the complete sets of nodes(node, at); each task adds up its own sets first, over all its
+    batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toks, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             sets = list(shingles.sets_of(batch.column("text"), k))
-            toks, c = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            for at in range(0, len(toks), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(toks[at : at + 100_000].view(np.int64)), pa.array(c[at : at + 100_000])], names=["tok", "c"])
-
-    counts = picked(rows, nodes).select(of_row(text).alias("text")).mapInArrow(run, "tok long, c long")
+            toks, c = _added_up(np.concatenate([toks, *sets]), np.concatenate([c, np.ones(sum(map(len, sets)), np.int64)]))
+            if len(toks) > 1_000_000:
+                yield from told(toks, c)
+                toks, c = toks[:0], c[:0]
+        yield from told(toks, c)
+
+    def told(toks, c):
+        for at in range(0, len(toks), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(toks[at : at + 100_000].view(np.int64)), pa.array(c[at : at + 100_000])], names=["tok", "c"])
+
+    texts = picked(rows, nodes).select(of_row(text).alias("text"), "at.file", "at.pos")  # and some that the filter of places lets pass
+    texts = join_checked(texts, nodes.select("at.file", "at.pos"), ["file", "pos"], "left_semi")
+    counts = texts.select("text").mapInArrow(run, "tok long, c long")
     return counts.groupBy("tok").agg(F.sum("c").alias("c")).filter(F.col("c") > heavy).select("tok")
 
 
+def _added_up(toks: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens with the sums of their counts."""
+    toks, at = np.unique(toks, return_inverse=True)
+    return toks, np.bincount(at, weights=c, minlength=len(toks)).astype(np.int64)
+
+
 def _dense_sets(rows: DataFrame, nodes: DataFrame, heavy: Bloom, text: str, k: int, percent: int) -> DataFrame:
     """(node, n, pos, light, front) of the dense nodes(node, at): the light tokens with their places among all, and the
     prefix that one match is asked of, light tokens first."""

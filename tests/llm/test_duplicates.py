@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +175,25 @@ def test_line_edges(spark):
     assert sorted((x.n_lines, x.n_deleted, x.n_chars) for x in rows) == [(1, 0, 0), (1, 0, 0), (1, 1, 0), (2, 0, 7), (2, 2, 0)]
     assert line_dedup.report(df.limit(0)).count() == 0
     assert line_dedup.clean(df, min_words=3).filter(F.col("text") == "a b c\nd").count() == 1
+
+
+def test_dense_tokens_count_the_asked_sets_alone(spark, monkeypatch):
+    """Texts that only the filter of places lets pass are not cut, and a task tells a token once, whatever its batches."""
+    words = lambda x, n: [" ".join(f"{x}{j}" for j in range(8)) + f" end{x}{i}" for i in range(n)]
+    df = spark.createDataFrame(list(enumerate([*words("a", 3), *words("b", 9)])), "doc_id long, text string").coalesce(1)
+    rows = ngram_join.rows_of(df)
+    asked = ngram_join.stage(rows.filter("row.doc_id < 3").select(F.col("row.doc_id").alias("node"), "at"), "nodes")
+    cut = lambda t: {int(x) for x in next(iter(ngram_join.shingles.sets_of(pa.array([t]), 5))).view("int64")}
+    shared = set.intersection(*map(cut, words("a", 3)))
+    made = []
+    plain = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **how: made.append(plain(self, *a, **how)) or made[-1])
+    monkeypatch.setattr(ngram_join, "picked", lambda rows, listed: rows)  # all others pass
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = ngram_join._dense_tokens(rows, asked, "text", 5, 2)
+        assert {x.tok for x in got.collect()} == shared
+        assert made[-1].count() == made[-1].select("tok").distinct().count() == len(shared) + 3
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
