@@ -19,9 +19,9 @@ __all__ = [
 
 
 def materialize(leaves: DataFrame, keys: tuple[str, ...] = ("doc_id",), leaf: str = "leaf") -> DataFrame:
-    """(keys, data): leaves joined in order."""
-    parts = F.sort_array(F.collect_list(F.struct("ord", F.hex(leaf).alias("h"))))
-    return leaves.groupBy(*keys).agg(parts.alias("p")).select(*keys, F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("data"))
+    """(keys, data): leaves joined in order. Arrays join as strings only, so each byte travels as one Latin-1 character."""
+    parts = F.sort_array(F.collect_list(F.struct("ord", F.decode(leaf, "ISO-8859-1").alias("h"))))
+    return leaves.groupBy(*keys).agg(parts.alias("p")).select(*keys, F.encode(F.array_join(F.transform("p", lambda x: x["h"]), ""), "ISO-8859-1").alias("data"))
 
 
 #: What names a block: its fingerprint and length. Two blocks of one name with different bytes are an error (see named_blocks).

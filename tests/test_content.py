@@ -242,3 +242,12 @@ def test_offsets_of_many_texts(spark):
     got = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("byte").alias("end"), F.sum("byte").alias("s")).collect()
     want = {i: (len(t or "") + 1, len((t or "").encode())) for i, t in enumerate(texts)}
     assert {x.doc_id: (x.n, x.end) for x in got} == want and {x.s for x in got if x.doc_id > 2} == {0 + 1 + 3 + 7}
+
+
+def test_materialize_moves_bytes_as_they_are(spark):
+    """Each byte of a leaf is one character on the way, not two hexadecimal digits, and every byte comes back."""
+    every = bytes(range(256))
+    rows = [(1, k, bytearray(every[k * 64 : k * 64 + 64])) for k in (2, 0, 3, 1)] + [(2, 0, bytearray(b""))]
+    got = versions.materialize(spark.createDataFrame(rows, "doc_id long, ord int, leaf binary"))
+    assert {x.doc_id: bytes(x.data) for x in got.collect()} == {1: every, 2: b""}
+    assert "hex(" not in got._jdf.queryExecution().optimizedPlan().toString()
