@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -55,6 +56,19 @@ def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextlib.contextmanager
+def dealt_finely(spark: SparkSession, times: int = 16) -> Iterator[None]:
+    """What is staged meanwhile is dealt into `times` as many partitions as usual, which adaptive execution joins again while
+    they are small; so a task's share stops growing at the advised partition size."""
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(times * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     return stage_at(df, name)[0]
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import BASES, LANES, MODULUS, geometric, leaf_hash, power
-from ..functions.tables import let, scan, stage
+from ..functions.tables import dealt_finely, let, scan, stage
 from .edits import edit_apply, edit_identity, edit_pieces, snapshot_at
 from .trees import tree_ids
 
@@ -133,8 +133,13 @@ def block_table(tokens: DataFrame, sizes: list[int], group: str, key: str = "doc
     """(group, block_size, table_entries, live_blocks) of paged sequences; entries are the sum of ceil(tokens / size).
 
     Tokens are hashed once, in blocks of the sizes' greatest common divisor; a larger block's chain is that of the
-    last small one in it.
+    last small one in it. All steps are staged, in many partitions, so that a task's memory does not grow with the input.
     """
+    with dealt_finely(tokens.sparkSession):
+        return stage(_block_table(tokens, sizes, group, key), "block-table")
+
+
+def _block_table(tokens: DataFrame, sizes: list[int], group: str, key: str) -> DataFrame:
     unit = math.gcd(*sizes)
     small = token_blocks(tokens, unit, (group, key))
     last = F.max("block").over(Window.partitionBy(group, key))

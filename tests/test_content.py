@@ -251,3 +251,18 @@ def test_materialize_moves_bytes_as_they_are(spark):
     got = versions.materialize(spark.createDataFrame(rows, "doc_id long, ord int, leaf binary"))
     assert {x.doc_id: bytes(x.data) for x in got.collect()} == {1: every, 2: b""}
     assert "hex(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_block_table_is_dealt_finely(spark, monkeypatch):
+    """All steps of a block table run on many small partitions, whose number adaptive execution cuts, and the setting goes back."""
+    key, seen, plain = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", [], versions.stage
+
+    def told(df, name):
+        seen.append((name, spark.conf.get(key, None)))
+        return plain(df, name)
+
+    monkeypatch.setattr(versions, "stage", told)
+    rows = [("s", d, p, f"t{p % 3}") for d in (1, 2) for p in range(20)]
+    got = versions.block_table(spark.createDataFrame(rows, "source string, doc_id long, pos int, token string"), [8, 16], "source")
+    assert seen == [("block-table", str(16 * int(spark.conf.get("spark.sql.shuffle.partitions"))))] and spark.conf.get(key, None) is None
+    assert sorted(map(tuple, got.collect())) == [("s", 8, 6, 3), ("s", 16, 4, 2)]
