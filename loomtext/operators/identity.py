@@ -48,15 +48,19 @@ def range_fingerprint(docs: DataFrame, ranges: DataFrame, size: int = LEAF, text
 
 
 def lcp_bytes(a: Column, b: Column, size: int = LEAF) -> Column:
-    """Exact longest common prefix of two byte strings: first block that differs, then first byte in it."""
+    """Exact longest common prefix of two byte strings: first block that differs, first 16 bytes in it, first byte in those.
+    No place behind the end of the shorter one is looked at."""
 
     def of(x):
         n = F.least(F.octet_length(x["a"]), F.octet_length(x["b"]))
-        at = lambda s, i, k: F.substring(s, i, F.lit(k))
-        blocks = F.filter(F.sequence(F.lit(0), F.floor(n / size).cast("int")), lambda i: at(x["a"], i * size + 1, size) != at(x["b"], i * size + 1, size))
-        inner = lambda k: F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: at(x["a"], k * size + j + 1, 1) != at(x["b"], k * size + j + 1, 1))
-        first = lambda k: F.least(n, k * size + F.coalesce(F.get(inner(k), F.lit(0)), F.lit(size)))
-        return let(F.get(blocks, F.lit(0)), lambda k: F.when(k.isNull(), n).otherwise(first(k)))
+
+        def first(at, width, last):
+            differs = lambda i: F.substring(x["a"], i + 1, F.lit(width)) != F.substring(x["b"], i + 1, F.lit(width))
+            return F.get(F.filter(F.sequence(at, last, F.lit(width)), differs), F.lit(0))
+
+        byte = lambda j: F.coalesce(first(j, 1, F.least(n, j + 15)), n)
+        inner = lambda k: let(first(k, 16, F.least(n, k + size - 1)), byte)
+        return let(first(F.lit(0), size, n), lambda k: F.when(k.isNull(), n).otherwise(inner(k)))
 
     return let(F.struct(a.alias("a"), b.alias("b")), of).cast("long")
 

@@ -87,8 +87,9 @@ def sample_pairs(turns: DataFrame, n: int | None = None, seed: int = 42, min_tur
 
 def encode_tokens(tokens: Column) -> Column:
     """Token ids as 4 little-endian bytes each."""
-    le = lambda t: F.regexp_replace(F.lpad(F.hex(t.cast("long")), 8, "0"), "(..)(..)(..)(..)", "$4$3$2$1")
-    return F.unhex(F.array_join(F.transform(tokens, le), ""))
+    byte = lambda t, k: F.shiftright(t.cast("long"), 8 * k).bitwiseAND(F.lit(255))
+    swapped = lambda t: sum((F.shiftleft(byte(t, k), 24 - 8 * k) for k in range(1, 4)), F.shiftleft(byte(t, 0), 24))
+    return F.unhex(F.array_join(F.transform(tokens, lambda t: F.lpad(F.hex(swapped(t)), 8, "0")), ""))
 
 
 def decode_tokens(data: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import BASES, MODULUS
+from ..functions.tables import stage
 from ..operators import forest, identity, leaves, text
 from .registering import query, table
 
@@ -180,7 +181,7 @@ def sequences(spark, sf):
 
 
 def neighbours(spark, sf):
-    s = sequences(spark, sf)
+    s = stage(sequences(spark, sf), "sequences")
     return s.select("id", F.col("t").alias("a")).join(s.select((F.col("id") - 1).alias("id"), F.col("t").alias("b")), "id")
 
 

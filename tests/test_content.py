@@ -47,6 +47,34 @@ def test_fingerprints_do_not_depend_on_cuts(docs, size):
     assert got == {i: (len((t or "").encode()), fold((t or "").encode())) for i, t in [*enumerate(TEXTS), (99, "")]}
 
 
+def test_lcp_bytes_at_every_place(spark):
+    """Lengths and places around steps of 16 and of a block."""
+    r, rows = random.Random(5), []
+    for n in (0, 1, 15, 16, 17, 31, 32, 33, 47, 48, 49, 64, 70, 100):
+        for at in {0, n // 2, n - 1, n, *(r.randrange(n + 1) for _ in range(4))} - {-1}:
+            a = bytes(r.choices(b"ab", k=n))
+            other = a[:at] + b"c" * r.choice([0, 1, 40])
+            rows.append((a, other, next((i for i, (x, y) in enumerate(zip(a, other, strict=False)) if x != y), min(n, len(other)))))
+    df = spark.createDataFrame([(bytearray(a), bytearray(b), k) for a, b, k in rows], "a binary, b binary, k long")
+    for size in (16, 24, 32, 256):
+        assert df.select(identity.lcp_bytes(F.col("a"), F.col("b"), size).alias("x"), identity.lcp_bytes(F.col("b"), F.col("a"), size).alias("y"), "k").filter("x is distinct from k or y is distinct from k").count() == 0
+
+
+def test_tokens_beyond_four_bytes_keep_the_low_ones(spark):
+    """As the SQL takes them: x & 255, (x >> 8) & 255 and so on."""
+    values = [0, 255, 256, 2**31, 2**32 - 1, 2**32 + 7, -2]
+    got = spark.createDataFrame([(values,)], "t array<long>").select(text.encode_tokens(F.col("t"))).first()[0]
+    assert bytes(got) == b"".join((v % 2**32).to_bytes(4, "little") for v in values)
+
+
+def test_neighbours_read_the_table_once(spark):
+    """Both sides of the join come from the staged sequences, so lineitem is grouped once."""
+    from loomtext.plans import content
+
+    plan = content.neighbours(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "sequences" in plan
+
+
 @pytest.mark.parametrize(("a", "b", "lcp"), [([], [], 0), ([1], [], 0), ([1, 2, 3], [1, 2, 3], 3), ([1, 2], [1, 2, 3], 2), ([9, 2], [1, 2], 0), ([1, 2, 9], [1, 2, 3], 2)])
 def test_lcp_tokens(spark, a, b, lcp):
     df = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")
