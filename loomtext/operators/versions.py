@@ -13,7 +13,7 @@ from .edits import edit_apply, edit_identity, edit_pieces, snapshot_at
 from .trees import tree_ids
 
 __all__ = [
-    "BLOCK", "append_delta", "block_table", "branch_content", "branch_fingerprint", "branch_refs", "compression_ratio", "copy_vs_share", "edit_apply", "edit_identity", "edit_pieces", "first_leaf_change",
+    "BLOCK", "append_delta", "array_runs", "block_table", "branch_content", "branch_fingerprint", "branch_refs", "compression_ratio", "copy_vs_share", "edit_apply", "edit_identity", "edit_pieces", "first_leaf_change",
     "materialize", "merge_sharing", "named_blocks", "new_blocks", "run_encode", "run_expand", "run_fingerprint", "sharing_estimate", "sharing_sketch", "sharing_stats", "snapshot_at", "tail_block", "token_blocks",
 ]
 
@@ -179,6 +179,20 @@ def run_encode(units: DataFrame, keys: tuple[str, ...], order: str, unit: str) -
     return runs.join(rows.select(*keys, F.col("_i").alias("start"), "unit"), [*keys, "start"]).select(*keys, F.col("start").cast(kind).alias("start"), "unit", "q")
 
 
+def array_runs(units: Column) -> Column:
+    """array<struct<start, unit, q>>: runs of equal neighbours (nulls are equal) of an array, in order; null for an empty one.
+
+    Inside the row: nothing is shuffled or sorted, and a task holds one row's units. For units in rows of their own, see run_encode.
+    """
+
+    def of(u):
+        begins = F.filter(F.sequence(F.lit(0), F.size(u) - 1), lambda i: (i == 0) | ~F.get(u, i).eqNullSafe(F.get(u, i - 1)))
+        run = lambda b: F.transform(b, lambda i, k: F.struct(i.alias("start"), F.get(u, i).alias("unit"), (F.coalesce(F.get(b, k + 1), F.size(u)) - i).cast("long").alias("q")))
+        return F.when(F.size(u) > 0, let(begins, run))
+
+    return let(units, of)
+
+
 def run_expand(runs: DataFrame, q: str = "q") -> DataFrame:
     """Each row q times, with its number i from 0; none for q = 0."""
     return runs.filter(F.col(q) > 0).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col(q) - 1)))

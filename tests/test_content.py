@@ -294,3 +294,20 @@ def test_block_table_is_dealt_finely(spark, monkeypatch):
     got = versions.block_table(spark.createDataFrame(rows, "source string, doc_id long, pos int, token string"), [8, 16], "source")
     assert seen == [("block-table", str(16 * int(spark.conf.get("spark.sql.shuffle.partitions"))))] and spark.conf.get(key, None) is None
     assert sorted(map(tuple, got.collect())) == [("s", 8, 6, 3), ("s", 16, 4, 2)]
+
+
+def test_runs_of_arrays_stay_in_the_row(spark):
+    """Runs of arrays are those of the same units as rows; those of lines are not shuffled."""
+    from loomtext.plans import versions as plans
+
+    r = random.Random(7)
+    lists = [[r.choice(["", "a", "b", None, "long " * 50]) for _ in range(n)] for n in (1, 2, 3, 10, 200)] + [["x"] * 5000, [None] * 3, []]
+    want = []
+    for d, u in enumerate(lists):
+        starts = [i for i in range(len(u)) if i == 0 or u[i] != u[i - 1]]
+        want += [(d, i, u[i], j - i) for i, j in zip(starts, [*starts[1:], len(u)], strict=False)]
+    rows = spark.createDataFrame(list(enumerate(lists)), "doc_id long, u array<string>")
+    order = lambda got: sorted((tuple(x) for x in got.collect()), key=repr)
+    assert order(rows.select("doc_id", F.inline(versions.array_runs(F.col("u"))))) == sorted(want, key=repr)
+    assert order(versions.run_encode(rows.select("doc_id", F.posexplode("u").alias("i", "unit")), ("doc_id",), "i", "unit")) == sorted(want, key=repr)
+    assert "Exchange" not in plans.line_runs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
