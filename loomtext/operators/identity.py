@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import BASES, LANES, MODULUS, leaf_hash, power
-from ..functions.tables import bloom, let, scan, stage
+from ..functions.tables import BROADCAST_BYTES, bloom, let, measured_bytes, scan, stage
 from .leaves import content, leaves_fixed
 
 LEAF = 256
@@ -135,22 +135,30 @@ def match_prefix(queries: DataFrame, cache: DataFrame, size: int = LEAF, text: s
        each byte behind the longest of those. Cached prefixes are first reduced to the smallest id, so a beginning that
        all entries share costs one row, and no table of pairs exists.
 
+    Only keys that were measured are broadcast (see _met). All other joins are hinted to merge: the planner takes a staged
+    table for as small as its files, and would broadcast what compresses well or is multiplied after it.
+
     `leaves` is the cache as cached_leaves gives it, if it is at hand; the cache itself is then not read.
     """
     leaves = cached_leaves(cache, size, text) if leaves is None else leaves
     mine = stage(full_prefixes(queries, size, text), "asked-prefixes")
     key = ["k", *LANES]
-    deepest = mine.join(leaves.filter("k > 0").select(*key).distinct(), key, "left_semi").groupBy("doc_id").agg(F.max(F.struct(*key)).alias("c")).select("doc_id", "c.*")
+    deepest = mine.join(leaves.filter("k > 0").select(*key).distinct().hint("merge"), key, "left_semi").groupBy("doc_id").agg(F.max(F.struct(*key)).alias("c")).select("doc_id", "c.*")
     asked = stage(_next_leaf(queries, deepest, size, text), "asked-leaves")
-    cached = stage(_met(leaves, asked.select(*key).distinct(), key), "met-leaves")
+    places = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # first leaves stand in few files of the cache
+    cached = stage(_met(leaves, asked.select(*key).distinct(), key).repartition(places, "doc_id"), "met-leaves")
     return _match_leaves(asked, cached, key)
 
 
-def _met(rows: DataFrame, keys: DataFrame, on: list[str], parts: int = 64) -> DataFrame:
-    """The rows(doc_id, ...) whose key is among the distinct keys. Each key goes to `parts` places and a row to one of them,
-    by its id: what all documents share, the empty beginning at least, is many tasks."""
+def _met(rows: DataFrame, keys: DataFrame, on: list[str], parts: int = 64, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows(doc_id, ...) whose key is among the distinct keys. Keys of at most `most` measured bytes are broadcast, each
+    once, and no row moves. More keys are shuffled: each goes to `parts` places and a row to one of them, by its id, so what
+    all documents share, the empty beginning at least, is many tasks; keys in so many places are never broadcast."""
+    keys = stage(keys, "met-keys")
+    if measured_bytes(keys) <= most:
+        return rows.join(F.broadcast(keys), on, "left_semi")
     dealt = keys.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    return rows.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).join(dealt, [*on, "_part"], "left_semi").drop("_part")
+    return rows.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).join(dealt.hint("merge"), [*on, "_part"], "left_semi").drop("_part")
 
 
 def _next_leaf(docs: DataFrame, known: DataFrame, size: int, text: str, every: bool = False) -> DataFrame:
@@ -159,8 +167,8 @@ def _next_leaf(docs: DataFrame, known: DataFrame, size: int, text: str, every: b
     none = [F.lit(0).cast("long").alias(x) for x in LANES]
     first = docs.select("doc_id", F.lit(0).alias("k"), *none, F.substring(content(F.col(text)), F.lit(1), F.lit(size)).alias("data"))
     leaf = leaves_fixed(docs, size, text).select("doc_id", F.col("ord").alias("k"), F.col("leaf").alias("data")).filter("k > 0")
-    later = known.join(leaf, ["doc_id", "k"], "left").select("doc_id", "k", *LANES, F.coalesce("data", F.lit(b"")).alias("data"))
-    return later.unionByName(first if every else first.join(known, "doc_id", "left_anti"))
+    later = known.join(leaf.hint("merge"), ["doc_id", "k"], "left").select("doc_id", "k", *LANES, F.coalesce("data", F.lit(b"")).alias("data"))
+    return later.unionByName(first if every else first.join(known.hint("merge"), "doc_id", "left_anti"))
 
 
 def _match_leaves(asked: DataFrame, cached: DataFrame, key: list[str], size: int = LEAF, step: int = 16) -> DataFrame:
@@ -170,12 +178,12 @@ def _match_leaves(asked: DataFrame, cached: DataFrame, key: list[str], size: int
     coarse = lambda least: F.transform(F.filter(F.sequence(F.lit(0), F.floor(n / step).cast("int")), lambda i: i >= least), lambda i: prefix(i * step))
     fine = F.transform(F.sequence(F.col("at"), F.least(n, F.col("at") + step - 1)), lambda i: prefix(i))
     known = cached.select(*key, F.explode(coarse(1)).alias("p")).distinct()
-    longest = asked.select("doc_id", *key, F.explode(coarse(1)).alias("p")).join(known, [*key, "p"], "left_semi").groupBy("doc_id").agg(F.max(F.octet_length("p")).alias("at"))
-    asked = stage(asked.join(longest, "doc_id", "left").withColumn("at", F.coalesce("at", F.lit(0))), "asked-beginnings")
+    longest = asked.select("doc_id", *key, F.explode(coarse(1)).alias("p")).join(known.hint("merge"), [*key, "p"], "left_semi").groupBy("doc_id").agg(F.max(F.octet_length("p")).alias("at"))
+    asked = stage(asked.join(longest.hint("merge"), "doc_id", "left").withColumn("at", F.coalesce("at", F.lit(0))), "asked-beginnings")
     bases = asked.select(*key, prefix(F.col("at")).alias("base")).distinct()
     behind = _met(cached.select("doc_id", *key, "data", F.explode(coarse(0)).alias("base")), bases, [*key, "base"]).withColumn("at", F.octet_length("base"))
     first = behind.select("doc_id", *key, F.explode(fine).alias("p")).groupBy(*key, "p").agg(F.min("doc_id").alias("cached_id"))
-    met = asked.select("doc_id", *key, F.explode(fine).alias("p")).join(first, [*key, "p"], "left").withColumn("m", F.when(F.col("cached_id").isNotNull(), F.octet_length("p")))
+    met = asked.select("doc_id", *key, F.explode(fine).alias("p")).join(first.hint("merge"), [*key, "p"], "left").withColumn("m", F.when(F.col("cached_id").isNotNull(), F.octet_length("p")))
     return met.groupBy("doc_id").agg(F.max_by("cached_id", "m").alias("cached_id"), (F.max("k") * size + F.coalesce(F.max("m"), F.lit(0))).cast("long").alias("lcp"))
 
 

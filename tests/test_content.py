@@ -263,6 +263,37 @@ def test_popular_keys_are_dealt(spark):
     assert sum(sizes) == 1800 and max(sizes) < 1000
 
 
+def _broadcast_rows(spark, run):
+    """What run gives, and the rows of each broadcast meanwhile."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    each = lambda x: [x.apply(i) for i in range(x.size())]
+    bus.waitUntilEmpty(30_000)
+    old, out = {x.executionId() for x in each(store.executionsList())}, run()
+    bus.waitUntilEmpty(30_000)
+    rows = []
+    for i in {x.executionId() for x in each(store.executionsList())} - old:
+        values = store.executionMetrics(i)
+        for node in each(store.planGraph(i).allNodes()):
+            told = [m.accumulatorId() for m in each(node.metrics()) if m.name() == "number of output rows"] if node.name() == "BroadcastExchange" else []
+            rows += [int(values.apply(m).replace(",", "")) for m in told if values.contains(m)]
+    return out, rows
+
+
+def test_matching_broadcasts_no_multiplied_keys(spark, monkeypatch):
+    """A broadcast holds each class of requests once, whatever the places in which popular ones are met, and with more classes
+    than may be broadcast the results are the same without any."""
+    r = random.Random(6)
+    rows = [(2 * i + k, text + tail) for i in range(150) for text in ["".join(r.choice("abcdef") for _ in range(300))] for k, tail in enumerate(("x", "yz"))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    match = lambda: {(x.doc_id, x.cached_id, x.lcp) for x in identity.match_prefix(d.filter("doc_id % 2 = 1"), d.filter("doc_id % 2 = 0")).collect()}
+    got, sent = _broadcast_rows(spark, match)
+    assert got == {(2 * i + 1, 2 * i, 300) for i in range(150)} and max(sent) == 150
+    met = identity._met
+    monkeypatch.setattr(identity, "_met", lambda *x: met(*x, most=0))
+    shuffled, sent = _broadcast_rows(spark, match)
+    assert shuffled == got and not any(sent)
+
+
 def test_offsets_of_many_texts(spark):
     """Texts come in slices: offsets of each are its own, also behind long and empty ones."""
     texts = ["é" * 3_000_000, "", None, *["aé😀"] * 300]
